@@ -12,6 +12,17 @@ from galena.llm.session import table
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.labelled import HELD_OUT
+    from galena.llm.session import fold
+    from galena.llm.toxicity import learn, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", F.col("text")), model, score_col="score").drop("text")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.llm.exact_dedup import exact_groups
 
@@ -35,6 +46,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galena.llm.bpe import encode_decode
+
+    coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.llm.session import written
     from galena.llm.topk import exact_top_k, integer_vectors
