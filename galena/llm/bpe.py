@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galena.llm.session import fresh
 
@@ -195,7 +196,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_c
     keep = [c for c in docs.columns if c.lower() not in new]
     last = fresh(docs, "text")
     fed = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(last))
-    schema = fed.drop(last).schema.add(ids_col, "array<int>")
+    schema = fed.drop(last).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     if decode:
         schema = schema.add(decoded_col, "string")
     return fed.mapInArrow(_encode(tokenizer, True, decode), schema)
