@@ -12,6 +12,16 @@ from galena.llm.session import table
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.labelled import HELD_OUT
+    from galena.llm.quality import learn, score_quality
+    from galena.llm.session import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, learn(docs, table(spark, sf_dir, "labels")), score_col="score")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.llm.labelled import HELD_OUT
     from galena.llm.session import fold
