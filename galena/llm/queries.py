@@ -86,6 +86,15 @@ OP6_SQL = """
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.lm import score_texts
+    from galena.llm.session import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs.where(fold(F.col("doc_id")) != 1), docs)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
