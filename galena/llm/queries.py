@@ -95,6 +95,18 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.language_id import identify, learn
+
+    return identify(table(spark, sf_dir, "pages"), learn(table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.llm.ngram_join import near_duplicates
 
@@ -106,4 +118,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_exact_topk": OP6_SQL}
+    from galena.llm.mixing import SQL
+
+    return {"op3_exact_dedup": OP3_SQL, "op6_exact_topk": OP6_SQL, "op9_mixing": SQL}
