@@ -83,7 +83,7 @@ class QualityNet:
         pooled = np.maximum.reduceat(z, begin[:-1], axis=0)
         logits = pooled @ w["out"] + w["out_bias"]
         if keep is not None:
-            keep.update(locals())
+            keep.update(y=y, blocks=blocks, total=total, cubes=cubes, sums=sums, tops=tops, chunks=chunks, left=left, right=right, alone=alone, inverse=inverse, features=features, z=z, pooled=pooled)
         return logits
 
     def gradient(self, codes: np.ndarray, halves: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
