@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.packing import gathered, pack, runs, unpack
+from galena.llm.packing import distinct, gathered, pack, release, runs, unpack
 from galena.llm.session import shuffle_width, written
 from galena.llm.vectext import Words, batch_words, mix
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 #: Histories with this share of all tokens or more (so at most so many) spread their bigrams over SPREAD buckets.
@@ -117,6 +117,7 @@ def _count_words(buckets: int):
             order = np.argsort(where, kind="stable")
             kinds, n, where = kinds[order], n[order], where[order]
             yield _emit([(WORD, b, 0, pack(kinds[i:j], 8, True), pack(n[i:j])) for b, i, j in _cut(where)])
+            release()
 
     return run
 
@@ -182,6 +183,7 @@ def _count_pairs(buckets: int, hot: np.ndarray):
                 keys = pack((code[i:j] & np.uint64(2**48 - 1))[by], 6)
                 out.append((PAIR, b, 0, len(body).to_bytes(4, "little") + body + keys, pack(n[i:j][by])))
             yield _emit(out)
+            release()
 
     return run
 
@@ -238,6 +240,7 @@ def _ask(buckets: int, hot: np.ndarray):
             body = b"".join(len(x).to_bytes(4, "little") + x for x in texts)
             out.append((TEXT, block % buckets, block, body, b""))
             yield _emit(out)
+            release()
 
     return run
 
@@ -246,9 +249,9 @@ def _codes(kinds: np.ndarray, words: np.ndarray, first: np.ndarray, hot: np.ndar
     """The distinct bigrams of a block as sorted codes: the bucket, then the key."""
     before = np.empty_like(words)
     before[1:], before[first[:-1]] = words[:-1], np.searchsorted(kinds, START)
-    both = np.unique(before.astype(np.int64) * len(kinds) + words)
+    both = distinct(before.astype(np.int64) * len(kinds) + words)
     where, key = _pairs(kinds[both // len(kinds)], kinds[both % len(kinds)], hot, buckets)
-    return np.unique((where.astype(np.uint64) << np.uint64(48)) | key)
+    return distinct((where.astype(np.uint64) << np.uint64(48)) | key)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +320,7 @@ def _score(buckets: int, hot: np.ndarray, g: Globals):
                 if block is not None and row["block"] != block:
                     yield from _walk(held, buckets, hot, g)
                     held = []
+                    release()
                 block = row["block"]
                 held.append(row)
         if held:
@@ -339,13 +343,13 @@ def _walk(rows: list[dict], buckets: int, hot: np.ndarray, g: Globals) -> Iterat
         where = (mix(kinds) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         n, mass, arcs = (np.zeros(len(kinds)) for _ in range(3))
-        replies = _distinct(answers[WORD], len(np.unique(where)))
+        replies = _distinct(answers[WORD], len(distinct(where)))
         cut = np.cumsum([0, *(len(x) // 3 for x in replies)])
         for x, i in zip(replies, cut, strict=False):
             own = order[i : i + len(x) // 3]
             n[own], mass[own], arcs[own] = x.reshape(3, -1).astype(float)
         code = _codes(kinds, words, first, hot, buckets)
-        pairs = np.concatenate(_distinct(answers[PAIR], len(np.unique(code >> np.uint64(48))))).astype(float)
+        pairs = np.concatenate(_distinct(answers[PAIR], len(distinct(code >> np.uint64(48))))).astype(float)
         begin = int(np.searchsorted(kinds, START))
         seen_as_history = n.copy()
         seen_as_history[begin] = g.texts
@@ -354,7 +358,7 @@ def _walk(rows: list[dict], buckets: int, hot: np.ndarray, g: Globals) -> Iterat
             backoff = np.where(seen_as_history > 0, 1 - (mass - g.discount * arcs) / seen_as_history, 1.0)
         before = np.empty_like(words)
         before[1:], before[first[:-1]] = words[:-1], begin
-        both = np.unique(before * len(kinds) + words)
+        both = distinct(before * len(kinds) + words)
         states, ends = both // len(kinds), both % len(kinds)
         own_where, own_key = _pairs(kinds[states], kinds[ends], hot, buckets)
         n_pair = pairs[np.searchsorted(code, (own_where.astype(np.uint64) << np.uint64(48)) | own_key)]
@@ -396,7 +400,7 @@ def score_texts(train: DataFrame, texts: DataFrame) -> DataFrame:
     # at most HOT_SHARE words, as each has that share of all
     least = max(1, math.ceil(tokens / HOT_SHARE))
     hot = np.sort(np.array([r[0] for r in words.where(F.col("most") >= least).select("body", "more").mapInArrow(_hot_words(least), "word long").collect()], np.int64).astype(np.uint64))
-    hot = np.unique(np.concatenate([hot, [START]]))
+    hot = distinct(np.concatenate([hot, [START]]))
     pairs = shuffled(train.select(text).mapInArrow(_count_pairs(buckets, hot), ROW)).mapInArrow(_sum_pairs(buckets), f"{ROW}, once long, twice long")
     pairs = written(pairs, "pairs")
     once, twice = pairs.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()

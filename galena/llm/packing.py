@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,3 +52,20 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in rising order, by a sort."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can; a worker lives on after its block."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
