@@ -194,10 +194,17 @@ class ToxicityModel:
         x = np.array([self.features(t) for t in texts]).reshape(-1, 6)
         y, start = np.array(labels, float), np.array([-3.0, 4.0, 1.0, 1.5, 0.5, 0.3])
         w = start.copy()
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float(np.logaddexp(0, z).sum() - z @ y + pull / 2 * ((w - start) ** 2).sum())
+
         for _ in range(steps if len(texts) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (p - y) + pull * (w - start)
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull * np.eye(6), grad)
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step /= 2
             w -= step
             if np.abs(step).max() < 1e-9:
                 break
