@@ -95,44 +95,48 @@ def _ema_frame(df: DataFrame, x: str, out: str, mu: Measure, series: Series) ->
 
 
 def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, blocks: int | None = None) -> DataFrame:
-    """An exponential average along one series of any length, in range partitions of its order.
+    """An exponential average along one series of any length, in ranges of its order's first column (a number or a time).
 
-    A block turns what it is handed into y * (1 - a)**n + b, so a first pass gathers n and b of each block (two numbers), the
-    driver folds them from left to right, and a second pass starts every block from its own hand-over. df is read twice.
+    A block of n rows turns what it is handed into y * (1 - a)**n + b, so a first pass gathers n and b of each block (two numbers), the
+    driver folds them from left to right, and a second pass starts every block from its own hand-over. The ranges are
+    fixed before either pass, so both see the same blocks, also after a lost executor.
     """
     spark = df.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(blocks, *[F.col(f"`{c}`") for c in series.order]).sortWithinPartitions(*series.order).withColumn("__block", F.spark_partition_id())
+    place = F.col(f"`{series.order[0]}`")
+    place = (place.cast("timestamp") if dict(df.dtypes)[series.order[0]] == "timestamp_ntz" else place).cast("double")
+    bounds = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.001)))
+    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0)
+    dealt = df.withColumn("__block", block.cast("int")).repartition(blocks, "__block").sortWithinPartitions("__block", *series.order)
 
     def summary(batches):
-        block, n, held, first = None, 0, 0.0, None
+        found: dict[int, list] = {}
         for pdf in batches:
-            for b, v in zip(pdf["__block"], pdf[x].to_numpy(float), strict=True):
-                first = v if block is None else first
-                block = b
-                held = a * v + (1 - a) * held
-                n += 1
-        if block is not None:
-            yield pd.DataFrame({"block": [block], "n": [n], "b": [held], "first": [first]})
+            for b, v in zip(pdf["__block"].to_numpy(), pdf[x].to_numpy(float), strict=True):
+                state = found.setdefault(int(b), [0, 0.0, v])
+                state[0] += 1
+                state[1] = a * v + (1 - a) * state[1]
+        yield pd.DataFrame([(b, *v) for b, v in found.items()], columns=["block", "n", "b", "first"])
 
-    parts = sorted(tuple(r) for r in ranged.select("__block", x).mapInPandas(summary, "block int, n long, b double, first double").collect())
+    parts = sorted(tuple(r) for r in dealt.select("__block", x).mapInPandas(summary, "block int, n long, b double, first double").collect())
     start, held = {}, None
-    for block, n, b, first in parts:
+    for b, n, added, first in parts:
         held = first if held is None else held  # the series begins at its own first value
-        start[block] = held
-        held = held * (1 - a) ** n + b
+        start[b] = held
+        held = held * (1 - a) ** n + added
 
     def run(batches):
-        held = None
+        now, held = None, 0.0
         for pdf in batches:
             made = np.empty(len(pdf))
-            for i, (b, v) in enumerate(zip(pdf["__block"], pdf[x].to_numpy(float), strict=True)):
-                held = start[b] if held is None else held
+            for i, (b, v) in enumerate(zip(pdf["__block"].to_numpy(), pdf[x].to_numpy(float), strict=True)):
+                if b != now:
+                    now, held = b, start[b]
                 held = a * v + (1 - a) * held
                 made[i] = held
             yield pdf.drop(columns="__block").assign(**{out: made})
 
-    return ranged.mapInPandas(run, df.schema.add(out, "double"))
+    return dealt.mapInPandas(run, df.schema.add(out, "double"))
 
 
 class Compiler:
