@@ -6,10 +6,11 @@ that ranks equals. Sets that share a prefix token under the first order are brou
 must pass the prefixes of the other two orders before its whole sets are compared. How common a token is comes
 from a sketch of fixed size over all documents, and only steers the order: no result depends on it.
 
-Sets are identified by a 128-bit signature, so copies of a set are one entity. A first round compares each entity
-with one leader of every prefix token and joins what links into components; the second compares all pairs that
-share a prefix token across different components. Together these lose no link that could change a component, and
-a token shared by a large group of near copies costs one comparison a member rather than all pairs.
+Sets are identified by a signature, so copies of a set are one entity. Pairs are never listed by token: the tokens
+that belong mostly to one component form a group, whose task counts the prefix tokens that its sets share and names those pairs that
+share enough for a link. Two rounds compare only the likeliest partners of each set and join what links into
+components; the last round compares every such pair across different components. So no link is lost that could
+change a component, and a large group of near copies costs a few comparisons a member rather than all pairs.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.components import components
-from galena.llm.packing import gathered, pack, runs, unpack
+from galena.llm.packing import gathered, pack, release, runs, unpack
 from galena.llm.session import fresh, shuffle_width, written
 from galena.llm.vectext import batch_words, mix, shingle_sets
 
 BLOCK_BYTES = 8 << 20
-CELLS, CHUNKS = 1 << 22, 16
+CELLS, CHUNKS = 1 << 23, 32
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Sets of a group that meet at once.
+GROUP_BLOCK = 2048
 #: Up to so many ids an id list goes to every executor; beyond, it is joined by a shuffle.
 MOST_BROADCAST_IDS = 2_000_000
 
@@ -59,13 +63,18 @@ SURVEYED = "doc_id long, entity long, n int, chunk int, body binary"
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document with its set's signature and size, and the task's share of the sketch."""
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.uint32)
     names = ["doc_id", "entity", "n", "chunk", "body"]
     for table in gathered(batches, BLOCK_BYTES):
         tokens, first, sign = _sets(table, 1)
-        counts += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        cells = np.sort((tokens & np.uint64(CELLS - 1)).astype(np.uint32))
+        at = runs(cells)
+        if len(cells):
+            counts[cells[at[:-1]]] += np.diff(at).astype(np.uint32)
         rows = len(sign)
         yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(sign), pa.array(np.diff(first).astype(np.int32)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        del table, tokens, cells
+        release()
     if counts.any():
         step = CELLS // CHUNKS
         parts = [pack(counts[i * step : (i + 1) * step], 6) for i in range(CHUNKS)]
@@ -78,23 +87,46 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             part = unpack(body, 6)
             sums[chunk] = sums[chunk] + part if chunk in sums else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x, 6) for x in sums.values()], pa.binary())], ["chunk", "body"])
+    totals = pa.array([int(x.sum()) for x in sums.values()], pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x, 6) for x in sums.values()], pa.binary()), totals], ["chunk", "body", "total"])
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for cells as any, then four steps a doubling: a byte for each of CELLS cells."""
-    usual = 2 * counts.mean() + 8
-    return np.clip(np.floor(4 * np.log2(np.maximum(counts, usual) / usual)) + (counts > usual), 0, 63).astype(np.uint8)
+def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
+    """0 for cells that hold no more than chance explains, then two steps a doubling of the excess: a byte for each cell."""
+    chance = 4 * mean**0.5 + 4
+    excess = counts.astype(float) - mean
+    return np.where(excess > chance, np.clip(np.floor(2 * np.log2(np.maximum(excess, chance) / chance)) + 1, 1, 63), 0).astype(np.uint8)
 
 
-def _prefixes(levels: np.ndarray, buckets: int):
+def _levels(mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pack(levels_of(unpack(x, 6), mean).astype(np.uint64), 1) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["chunk", "body"])
+
+    return run
+
+
+def _sketch(survey: DataFrame) -> Broadcast:
+    """The level of each of CELLS cells, 8 MiB in all whatever the input, on every executor."""
+    spark = survey.sparkSession
+    sums = survey.where("chunk is not null").select("chunk", "body").repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, body binary, total long")
+    sums = written(sums, "sketch")
+    total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    levels, step = np.zeros(CELLS, np.uint8), CELLS // CHUNKS
+    for chunk, body in sums.mapInArrow(_levels(total / CELLS), "chunk int, body binary").collect():
+        levels[chunk * step : (chunk + 1) * step] = unpack(body, 1)
+    return spark.sparkContext.broadcast(levels)
+
+
+def _prefixes(levels: Broadcast, buckets: int):
     """The first order's prefix tokens with their entities, dealt into buckets; common tokens apart (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, BLOCK_BYTES):
             tokens, first, sign = _sets(table, 0)
             _, once = np.unique(sign, return_index=True)  # copies in a block are one
-            keys = order_keys(tokens, levels, 0)
+            keys = order_keys(tokens, levels.value, 0)
             n = np.diff(first)
             take = prefix_length(n)
             parts, owners = [], []
@@ -119,6 +151,8 @@ def _prefixes(levels: np.ndarray, buckets: int):
                 out.append((int(where[i]) if not common else -1 - int(keys[i] % np.uint64(buckets)), body, pack(entity[i:j].view(np.uint64))))
             b, body, more = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(body, pa.binary()), pa.array(more, pa.binary())], ["bucket", "body", "more"])
+            del table, tokens, keys, parts, entity, short, where, order
+            release()
 
     return run
 
@@ -181,10 +215,10 @@ def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(both) - shared)
 
 
-def _verify(levels: np.ndarray):
+def _verify(levels: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), levels) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), levels.value) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -198,6 +232,120 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
     return docs.join(side, docs[id_col] == side[at], how)
 
 
+def least_shared(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The prefix tokens that sets of m and n tokens must share if they link.
+
+    Beyond its prefix a set of n has ceil(3n/4) - 1 tokens, so with c shared prefix tokens the overlap is c + max of these at
+    most; a link needs an overlap of ceil(3(m+n)/7).
+    """
+    return (3 * (m + n) + 6) // 7 - (3 * np.maximum(m, n) + 3) // 4 + 1
+
+
+def _counter(at: np.ndarray, col: np.ndarray, entities: int, tokens: int, right: np.ndarray):
+    """A function from entities x to the numbers of tokens that each shares with each of `right`."""
+    if entities * tokens <= 1 << 20:
+        has = np.zeros((entities, tokens), np.float32)
+        has[at, col] = 1
+        ours = has[right].T
+        return lambda x: has[x] @ ours
+    place = np.full(entities, -1)
+    place[right] = np.arange(len(right))
+    order = np.argsort(col, kind="stable")
+    order = order[place[at[order]] >= 0]
+    lists = np.split(place[at[order]], np.searchsorted(col[order], np.arange(1, tokens)))
+    order = np.argsort(at, kind="stable")
+    own = np.split(col[order], np.searchsorted(at[order], np.arange(1, entities)))
+    return lambda x: np.stack([np.bincount(np.concatenate([lists[t] for t in own[e]]), minlength=len(right)) for e in x]).astype(np.float32)
+
+
+def _meet(best: int | None):
+    """Pairs of entities of different components in each group (rows sorted by c, i, j, which name the group and two of its blocks)."""
+    names = ["c", "i", "j", "block", "token", "entity", "n", "root", "groups"]
+
+    def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = rows[0, 1], rows[0, 2]
+        entities, first, at = np.unique(rows[:, 5], return_index=True, return_inverse=True)
+        if len(entities) < 2:
+            return
+        tokens, col = np.unique(rows[:, 4], return_inverse=True)
+        block, n, root, groups = (rows[first, k] for k in (3, 6, 7, 8))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        count = _counter(at, col, len(entities), len(tokens), right)
+        for begin in range(0, len(left), 256):
+            x = left[begin : begin + 256]
+            shared = count(x)
+            m, k = n[x][:, None], n[right][None]
+            # with c shared in all, one of the g groups that a set's tokens fall into has c / g of them
+            need = least_shared(m, k) / np.minimum(groups[x][:, None], groups[right][None])
+            good = (shared >= need) & (shared > 0) & (root[x][:, None] != root[right][None]) & (4 * np.minimum(m, k) >= 3 * np.maximum(m, k))
+            if i == j:
+                if best is None:
+                    good &= entities[x][:, None] < entities[right][None]
+            if best is not None and good.shape[1] > best:
+                score = np.where(good, shared / np.maximum(m, k), -1)
+                low = np.partition(score, good.shape[1] - best, axis=1)[:, good.shape[1] - best]
+                good &= score >= low[:, None]
+                # of equals no more than best, in order of entities
+                good &= np.cumsum(good, axis=1) <= best
+            a, b = np.nonzero(good)
+            if len(a):
+                p, q = entities[x[a]], entities[right[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(names)), np.int64)
+        for batch in batches:
+            table = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).astype(np.int64)
+            held = np.concatenate([held, table]) if len(held) else table
+            changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
+            cuts = [0, *changes.tolist()]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                yield from meet(held[p:q])
+            held = held[cuts[-1] :]
+        if len(held):
+            yield from meet(held)
+
+    return run
+
+
+def _candidates(groups: DataFrame, roots: DataFrame, width: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of entities in different components that share enough prefix tokens; of each entity's in a group only the `best`, if given.
+
+    Tokens make one group if the same component has most of their entities, so that near copies meet in few groups and the
+    tokens that a pair shares are counted there; a large group is cut into blocks, and a task takes two blocks of it.
+    """
+    placed = written(_placed(groups, roots), "placed")
+    held = placed.groupBy("token", "root").count()
+    leaders = held.groupBy("token").agg(F.count("*").alias("many"), F.max_by("root", F.struct("count", "root")).alias("c")).where("many > 1").select("token", "c")
+    rows = written(placed.join(leaders, "token"), "contested")
+    spread = rows.groupBy("entity").agg(F.countDistinct("c").alias("groups"))
+    blocks = rows.groupBy("c").agg(F.ceil(F.approx_count_distinct("entity") / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
+    rows = rows.join(spread, "entity").join(blocks, "c").withColumn("block", block)
+    # a block meets every block of its group, itself included, each two once
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    fed = rows.select("c", "i", "j", "block", "token", "entity", "n", "root", "groups").repartition(width, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return fed.mapInArrow(_meet(best), "a long, b long").distinct()
+
+
+def _placed(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """groups (token, entity, n) with each entity's component."""
+    found = groups.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
+    return found.select("token", "entity", "n", F.coalesce("root", "entity").alias("root"))
+
+
+def _verified(slim: DataFrame, entities: DataFrame, pairs: DataFrame, levels: Broadcast) -> DataFrame:
+    """Those pairs (a, b) of entities that link, by their whole sets."""
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
+    ids = entities.join(wanted, "entity", "left_semi").where("doc_id is not null").select("doc_id")
+    sets = only_ids(slim, ids, "doc_id").select("text").mapInArrow(_whole_sets, "entity long, tokens binary").dropDuplicates(["entity"])
+    left = pairs.join(sets.select(F.col("entity").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("entity").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_verify(levels), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col long, n_shingles long, component_id long) of every row.
 
@@ -206,46 +354,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that links reach. Equal ids are one node. A null id gets a row, and a component_id
     only from others. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(docs.sparkSession)
     buckets = 4 * width
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     survey = written(slim.mapInArrow(_survey, SURVEYED), "survey")
     rows = survey.where("chunk is null").select("doc_id", "entity", "n")
-    sums = {r[0]: unpack(r[1], 6) for r in survey.where("chunk is not null").select("chunk", "body").repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, body binary").collect()}
-    counts = np.concatenate([sums[i] for i in range(CHUNKS)]) if sums else np.zeros(CHUNKS, np.uint64)
-    levels = levels_of(counts.astype(float)) if sums else np.zeros(CELLS, np.uint8)
+    levels = _sketch(survey)
     prefixes = slim.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, body binary, more binary")
     groups = prefixes.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "token long, entity long")
-    groups = written(groups, "prefix-tokens").distinct()
-    entities = rows.where("n > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    # first round: every entity against the least entity of each of its tokens
-    leaders = groups.groupBy("token").agg(F.min("entity").alias("leader"))
-    star = groups.join(leaders, "token").where("entity <> leader").select(F.col("leader").alias("a"), F.col("entity").alias("b")).distinct()
-    star = written(star, "pairs")
-    wanted = star.select(F.col("a").alias("entity")).union(star.select("b")).distinct()
-    ids = entities.join(wanted, "entity", "left_semi").where("doc_id is not null").select("doc_id")
-    sets = written(only_ids(slim, ids, "doc_id").select("text").mapInArrow(_whole_sets, "entity long, tokens binary"), "sets").dropDuplicates(["entity"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("entity").alias("a"), F.col("tokens").alias("x")), "a")
-        both = left.join(sets.select(F.col("entity").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(levels), "a long, b long")
-
-    edges = written(verified(star), "links")
-    roots = written(components(edges), "roots")
-    # second round: pairs of a token across components
-    placed = groups.join(entities.select("entity", "n"), "entity").join(roots.withColumnRenamed("node", "entity"), "entity", "left").withColumn("root", F.coalesce("root", "entity"))
-    placed = written(placed, "placed")
-    contested = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    across = written(placed.join(contested, "token", "left_semi"), "contested")
-    l, r = across.alias("l"), across.alias("r")
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.root") < F.col("r.root")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")))
-    pairs = pairs.select(F.least("l.entity", "r.entity").alias("a"), F.greatest("l.entity", "r.entity").alias("b")).distinct()
-    tried = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(verified(tried), "links")
-    if more.take(1):
-        roots = written(components(edges.unionByName(more)), "roots")
+    groups = written(groups.distinct(), "prefix-tokens")
+    entities = written(rows.where("n > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "entities")
+    groups = groups.join(entities.select("entity", "n"), "entity")
+    edges, roots = None, entities.select(F.col("entity").alias("node"), F.col("entity").alias("root")).limit(0)
+    for best in (3, 3, None):
+        # the last round takes every pair; those before only the likeliest partners, to join what is one component
+        pairs = _candidates(groups, roots, width, best)
+        found = written(_verified(slim, entities, pairs, levels), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = written(components(edges), "roots")
     whole = entities.join(roots.withColumnRenamed("node", "entity"), "entity", "left").withColumn("root", F.coalesce("root", "entity"))
     least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = whole.join(least, "root").select("entity", "component_id")
