@@ -81,10 +81,13 @@ class TextModel:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram models from at most sample_rows texts with a language, chosen by a hash of the text."""
+    """Trigram models from at most sample_rows different texts with a language, those of the least hashes."""
     text = F.substring(F.col(f"`{text_col}`"), 1, SAMPLE_CHARS).alias("text")
     some = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(text, F.lower(F.col(f"`{lang_col}`")).alias("lang"))
-    rows = some.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+    some = some.withColumn("hash", F.xxhash64("text", "lang"))
+    # the hashes alone are ranked, so only the sample's texts move
+    last = some.select("hash").distinct().orderBy("hash").limit(sample_rows).agg(F.max("hash")).first()[0]
+    rows = some.where(F.col("hash") <= F.lit(last)).dropDuplicates(["hash"]).orderBy("hash").collect() if last is not None else []
     return TextModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
