@@ -40,7 +40,8 @@ def _holds(a: Column, b: Column, test: Column) -> Column:
 
 def _power(a: Column, b: Column) -> Column:
     raised = F.pow(F.greatest(F.abs(a), F.lit(POW_FLOOR)), F.greatest(F.least(b, F.lit(POW_CLIP)), F.lit(-POW_CLIP)))
-    whole = F.when(F.isnan(a) | F.isnan(b), F.lit(0.0)).when(finite(raised), raised).otherwise(F.lit(0.0))
+    # as in IEEE: one to any power is one, and anything to the power zero
+    whole = F.when(F.isnan(b), (F.abs(a) == 1).cast("double")).when(finite(raised), raised).otherwise(F.lit(0.0))
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(whole)
 
 
@@ -108,7 +109,7 @@ def _indicator(test):
 
 NP_BINARY: dict[str, Callable] = {
     "add": np.add, "sub": np.subtract, "mul": np.multiply, "div": _np_div, "min": np.minimum, "max": np.maximum,
-    "gt": _indicator(np.greater), "lt": _indicator(np.less), "ge": _indicator(np.greater_equal), "le": _indicator(np.less_equal), "pow": _np_power, "atan2": np.arctan2,
+    "gt": _indicator(np.greater), "lt": _indicator(np.less), "ge": _indicator(np.greater_equal), "le": _indicator(np.less_equal), "pow": _np_power, "atan2": lambda a, b: np.arctan2(a + 0.0, b + 0.0),  # as in Spark, -0.0 counts as 0.0
 }
 
 NP_UNARY: dict[str, Callable] = {

@@ -16,10 +16,11 @@ from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, No
 
 @dataclass(frozen=True)
 class Interval:
-    """All finite values lie in [low, high]; nothing at all does if low > high."""
+    """All finite values lie in [low, high]. holes: there may be NaN besides, which comparisons and powers turn into 0."""
 
     low: float
     high: float
+    holes: bool = False
 
     @property
     def bounded(self) -> bool:
@@ -30,12 +31,13 @@ class Interval:
         return max(abs(self.low), abs(self.high))
 
 
-EVERYTHING = Interval(-math.inf, math.inf)
+EVERYTHING = Interval(-math.inf, math.inf, True)
 
 
 def of_points(values: Iterable[float]) -> Interval:
-    values = [v for v in values if math.isfinite(v)]
-    return Interval(min(values), max(values)) if values else EVERYTHING
+    values = list(values)
+    good = [v for v in values if math.isfinite(v)]
+    return Interval(min(good), max(good), len(good) < len(values)) if good else EVERYTHING
 
 
 def _span(values: Iterable[float]) -> Interval:
@@ -46,8 +48,8 @@ def _span(values: Iterable[float]) -> Interval:
 def of_columns(df: DataFrame, names: list[str]) -> dict[str, Interval]:
     """The range of finite values of every column, in one pass."""
     good = {n: F.when(finite(F.col(n).cast("double")), F.col(n).cast("double")) for n in names}
-    row = df.agg(*[f(good[n]).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    return {n: EVERYTHING if row[f"min_{n}"] is None else Interval(row[f"min_{n}"], row[f"max_{n}"]) for n in names}
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(good[n]).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max, F.count)]).first()
+    return {n: EVERYTHING if row[f"min_{n}"] is None else Interval(row[f"min_{n}"], row[f"max_{n}"], row[f"count_{n}"] < row["rows"]) for n in names}
 
 
 def _compare(op: str, a: Interval, b: Interval) -> Interval:
@@ -123,6 +125,16 @@ def _unary(op: str, a: Interval) -> Interval:
     raise ValueError(op)
 
 
+ZERO_FOR_NAN = {"gt", "lt", "ge", "le", "pow", "step"}
+
+
+def _with_holes(op: str, r: Interval, *args: Interval) -> Interval:
+    holes = any(a.holes or not a.bounded for a in args)
+    if op in ZERO_FOR_NAN:
+        return Interval(min(r.low, 0.0), max(r.high, 0.0)) if holes else r
+    return Interval(r.low, r.high, holes or not r.bounded)
+
+
 def evaluate(node: Node, env: dict[str, Interval]) -> Interval:
     """A range that holds every finite value of the tree over rows whose columns lie in env."""
     match node:
@@ -131,17 +143,19 @@ def evaluate(node: Node, env: dict[str, Interval]) -> Interval:
         case Const(value):
             return Interval(value, value)
         case BinOp(op, a, b):
-            return _binary(op, evaluate(a, env), evaluate(b, env))
+            x, y = evaluate(a, env), evaluate(b, env)
+            return _with_holes(op, _binary(op, x, y), x, y)
         case UnOp(op, a):
-            return _unary(op, evaluate(a, env))
+            x = evaluate(a, env)
+            return _with_holes(op, _unary(op, x), x)
         case FunctionalOp(f, args):
             reach = 1.0
             for mu, i in f.parts():
                 reach *= mu.l1() * evaluate(args[i], env).reach
-            return EVERYTHING if math.isnan(reach) else Interval(-reach, reach)
+            return Interval(-reach, reach, True) if math.isfinite(reach) else EVERYTHING
         case FunctionalOp2D(m, arg):
             reach = m.l1() * evaluate(arg, env).reach
-            return EVERYTHING if math.isnan(reach) else Interval(-reach, reach)
+            return Interval(-reach, reach, True) if math.isfinite(reach) else EVERYTHING
     raise TypeError(node)
 
 
@@ -155,7 +169,7 @@ class TargetBound:
         self.sums, self.squares = np.concatenate([zero, np.cumsum(y)]), np.concatenate([zero, np.cumsum(y * y)])
 
     def mse(self, r: Interval) -> float:
-        if not r.bounded or not len(self.y):
+        if not r.bounded or not len(self.y) or r.reach > 1e100:
             return 0.0
         i, j = np.searchsorted(self.y, r.low, "left"), np.searchsorted(self.y, r.high, "right")
         low = self.squares[i] - 2 * r.low * self.sums[i] + i * r.low**2

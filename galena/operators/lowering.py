@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from galena.functions.pointwise import BINARY, REDUCE, UNARY
 from galena.operators.measures import Measure, Measure2D, smoothing
@@ -74,12 +75,17 @@ def _measure_column(x: str, mu: Measure, series: Series) -> Column:
     return F.when(number > last, dot)
 
 
+def _with_double(df: DataFrame, name: str) -> types.StructType:
+    """df's schema and one more column (add() would change df's own)."""
+    return types.StructType([*df.schema.fields, types.StructField(name, types.DoubleType())])
+
+
 def _ema_frame(df: DataFrame, x: str, out: str, mu: Measure, series: Series) -> DataFrame:
     """The recurrence by one pass over each series' rows, linear in its length."""
     a = smoothing(dict(mu.density.params)["halflife"])
     if not series.keys:
         return blocked_ema(df, x, out, a, series)
-    schema = df.schema.add(out, "double")
+    schema = _with_double(df, out)
     order = list(series.order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +111,7 @@ def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, block
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.col(f"`{series.order[0]}`")
     place = (place.cast("timestamp") if dict(df.dtypes)[series.order[0]] == "timestamp_ntz" else place).cast("double")
-    bounds = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.001)))
+    bounds = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.001))) if blocks > 1 else []
     block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0)
     dealt = df.withColumn("__block", block.cast("int")).repartition(blocks, "__block").sortWithinPartitions("__block", *series.order)
 
@@ -116,7 +122,8 @@ def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, block
                 state = found.setdefault(int(b), [0, 0.0, v])
                 state[0] += 1
                 state[1] = a * v + (1 - a) * state[1]
-        yield pd.DataFrame([(b, *v) for b, v in found.items()], columns=["block", "n", "b", "first"])
+        if found:
+            yield pd.DataFrame([(b, *v) for b, v in found.items()], columns=["block", "n", "b", "first"])
 
     parts = sorted(tuple(r) for r in dealt.select("__block", x).mapInPandas(summary, "block int, n long, b double, first double").collect())
     start, held = {}, None
@@ -136,7 +143,7 @@ def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, block
                 made[i] = held
             yield pdf.drop(columns="__block").assign(**{out: made})
 
-    return dealt.mapInPandas(run, df.schema.add(out, "double"))
+    return dealt.mapInPandas(run, _with_double(df, out))
 
 
 class Compiler:

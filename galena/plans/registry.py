@@ -50,7 +50,7 @@ BINARY_SQL = {
     "add": "a + b", "sub": "a - b", "mul": "a * b", "div": f"CASE WHEN a IS NULL OR b IS NULL THEN {NONE} WHEN b = 0 THEN 0 ELSE a / b END",
     "min": _guard("least(a, b)", "a", "b"), "max": _guard("greatest(a, b)", "a", "b"),
     **{op: f"CASE WHEN {NUMBERS} AND a {s} b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for op, s in (("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<="))},
-    "pow": f"CASE WHEN a IS NULL OR b IS NULL THEN {NONE} WHEN isnan(a) OR isnan(b) THEN 0.0::DOUBLE ELSE pow(greatest(abs(a), 1e-12), greatest(least(b, 8.0), -8.0)) END",
+    "pow": f"CASE WHEN a IS NULL OR b IS NULL THEN {NONE} WHEN isnan(b) THEN CAST(abs(a) = 1 AS DOUBLE) WHEN isnan(a) THEN CAST(b = 0 AS DOUBLE) ELSE pow(greatest(abs(a), 1e-12), greatest(least(b, 8.0), -8.0)) END",
     "atan2": _guard("atan2(a, b)", "a", "b"),
 }
 UNARY_SQL = {

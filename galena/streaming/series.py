@@ -27,7 +27,7 @@ def measure_stream(events: DataFrame, key: str, order: str, value: str, mu: Meas
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
-        for v in rows[value].to_numpy(float):
+        for v in rows[value].to_numpy(float).tolist():
             if recursive:
                 held = [v if not held else a * v + (1 - a) * held[0]]
                 out.append(held[0])
