@@ -276,7 +276,7 @@ def discover_deep(env: dict[str, np.ndarray], y: np.ndarray, depth: int = 2, con
 PEELS = {
     "square": (lambda y: y * y, lambda t: UnOp("sqrt", t)), "sqrt": (lambda y: np.sqrt(np.abs(y)), lambda t: BinOp("mul", t, t)),
     "log": (lambda y: np.log(np.maximum(np.abs(y), 1e-300)), lambda t: UnOp("exp", t)), "inverse": (lambda y: 1 / np.where(np.abs(y) < 1e-300, np.nan, y), lambda t: BinOp("div", Const(1.0), t)),
-    "sine": (lambda y: np.sin(y), lambda t: UnOp("asin", t)),
+    "inverse_square": (lambda y: 1 / np.where(np.abs(y) < 1e-150, np.nan, y * y), lambda t: BinOp("div", Const(1.0), UnOp("sqrt", t))), "sine": (lambda y: np.sin(y), lambda t: UnOp("asin", t)),
 }
 
 
@@ -332,6 +332,37 @@ def interaction_groups(env: dict[str, np.ndarray], y: np.ndarray, least: float =
     return sorted(groups.values())
 
 
+def _leftover(env: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
+    """What cubic polynomials of the variables leave of y (linear ones, where those are too many), scaled up for the terms used."""
+    names = sorted(env)
+    degree = 3 if math.comb(len(names) + 3, 3) < 0.2 * len(y) else 1
+    cols = [np.prod([env[n] ** k for n, k in zip(names, p, strict=True) if k], axis=0) for p in monomials(names, degree)]
+    a = np.column_stack([np.ones(len(y)), *cols])
+    a = a / np.sqrt((a * a).sum(0))
+    return (y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) * math.sqrt(len(y) / max(1, len(y) - a.shape[1]))
+
+
+def common_factor(env: dict[str, np.ndarray], y: np.ndarray) -> tuple[str, int] | None:
+    """A variable and a power whose quotient of y does not depend on the variable any more: neither what other variables
+    leave of the quotient, nor its square, goes with it, and the quotient varies less than y."""
+    limit = 4 / math.sqrt(len(y))
+    for name in sorted(env):
+        x, others = env[name], {k: v for k, v in env.items() if k != name}
+        if not others or np.abs(x).min() < 1e-9:
+            continue
+        for power in (1, -1, 2, -2):
+            q = y / x**power
+            rest = _leftover(others, q)
+            scale = float(np.std(q)) or 1e-300
+            if np.std(rest) < 1e-9 * scale:
+                return name, power
+            marks = [abs(np.corrcoef(f, g)[0, 1]) for f in (rest, rest * rest, q) for g in (x, np.log(np.abs(x)))]
+            both = _leftover(env, q)
+            if max(marks) < limit and np.std(both) > 0.97 * np.std(rest):
+                return name, power
+    return None
+
+
 def decompose(env: dict[str, np.ndarray], y: np.ndarray, config: DiscoveryConfig | None = None, depth: int = 2, spark: SparkSession | None = None) -> Discovery:
     """A formula by the first of: a power law, a polynomial, a small free form, the same under a peeled outer function, a sum over
     groups of variables. Each branch is judged on the last fifth of the rows, which no fit sees."""
@@ -380,6 +411,14 @@ def decompose(env: dict[str, np.ndarray], y: np.ndarray, config: DiscoveryConfig
     for t in leaf(*fit):
         if consider(simplify(t, fast=False)):
             return Discovery(best, score)
+    if len(env) > 1 and (factor := common_factor(*fit)):
+        name, power = factor
+        inner = decompose({k: v for k, v in env.items() if k != name}, y / env[name] ** power, config, depth, spark)
+        tree = inner.tree
+        for _ in range(abs(power)):
+            tree = BinOp("mul" if power > 0 else "div", tree, Var(name))
+        if consider(simplify(tree, fast=False)):
+            return Discovery(best, score)
     for forward, back in PEELS.values():
         with np.errstate(all="ignore"):
             inner = forward(fit[1])

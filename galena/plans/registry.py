@@ -547,6 +547,14 @@ def _decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(str(found.tree), float(found.r2), loss < 1e-6)], "tree string, r2 double, exact boolean")
 
 
+@query("recovery_formulas")
+def _recovery_of_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty formulas from 2,000 rows each, judged on rows that the search does not see; a formula a task."""
+    from galena.plans.formulas import recovery
+
+    return recovery(spark).select("formula", "rel", "exact", "found")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -317,6 +317,21 @@ def test_discovery_and_decomposition():
     assert refined.r2 > 1 - 1e-8
 
 
+def test_formulas_are_recovered(spark):
+    from galena.plans.formulas import FORMULAS, recovery
+
+    assert len(FORMULAS) == 30
+    some = ["I.6.20", "I.8.14", "I.11.19", "I.12.2", "I.24.6", "I.27.6", "I.40.1", "I.47.23"]
+    assert all(r["exact"] for r in recovery(spark, some).collect())
+
+
+def test_common_factor():
+    rng = np.random.default_rng(16)
+    a, b, c = (rng.uniform(1, 3, 1500) for _ in range(3))
+    assert enumeration.common_factor({"a": a, "b": b, "c": c}, b / np.sqrt(1 + a * c)) == ("b", 1)
+    assert enumeration.common_factor({"a": a, "b": b}, a + b) is None
+
+
 def test_dictionary_on_executors_equals_here(spark):
     rng = np.random.default_rng(11)
     env = {"a": rng.uniform(1, 2, 50), "b": rng.uniform(1, 2, 50)}
