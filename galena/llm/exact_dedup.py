@@ -8,7 +8,9 @@ byte length); a full table is rebuilt at twice the size from the stored keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,18 +35,18 @@ class CuckooIndex:
         self.resized = 0
 
     @staticmethod
-    def _mark(key: bytes) -> int:
-        return int.from_bytes(key[:2], "big") or 1
-
-    def _home(self, key: bytes) -> int:
-        return int.from_bytes(key[2:10], "big") & self.mask
+    def _mark_home(key: bytes) -> tuple[int, int]:
+        """The fingerprint and the unmasked home bucket; of all of the key, so keys that differ anywhere spread."""
+        h = int.from_bytes(blake2b(key, digest_size=8).digest(), "big")
+        return h & 0xFFFF or 1, h >> 16
 
     def _other(self, bucket: int, mark: int) -> int:
         return bucket ^ ((mark * 0x5BD1E995) & self.mask)
 
     def get(self, key: bytes) -> list | None:
         """The live entry [mark, key, payload] of the key: the filter's marks first, the content after."""
-        mark, home = self._mark(key), self._home(key)
+        mark, home = self._mark_home(key)
+        home &= self.mask
         for bucket in (home, self._other(home, mark)):
             for entry in self.table[bucket]:
                 if entry[0] == mark and entry[1] == key:
@@ -52,11 +54,12 @@ class CuckooIndex:
         return None
 
     def insert(self, key: bytes, payload: object) -> None:
-        self._place([self._mark(key), key, payload])
+        self._place([self._mark_home(key)[0], key, payload])
         self.live += 1
 
     def delete(self, key: bytes) -> bool:
-        mark, home = self._mark(key), self._home(key)
+        mark, home = self._mark_home(key)
+        home &= self.mask
         for bucket in (home, self._other(home, mark)):
             for i, entry in enumerate(self.table[bucket]):
                 if entry[0] == mark and entry[1] == key:
@@ -66,7 +69,7 @@ class CuckooIndex:
         return False
 
     def _place(self, entry: list) -> None:
-        home = self._home(entry[1])
+        home = self._mark_home(entry[1])[1] & self.mask
         for bucket in (home, self._other(home, entry[0])):
             if len(self.table[bucket]) < SLOTS:
                 self.table[bucket].append(entry)
@@ -134,7 +137,7 @@ LIVE = "__digest binary, __id long, __n long, __salt int"
 NAMES = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 20_000, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 (or other names for these four).
 
     Null text counts as empty. The largest id of a group stays; a null id never beats another, and a group of
@@ -142,16 +145,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay or go together. Extra columns pass through, but for those of the four names. An empty table gives an
     empty one.
 
-    A text's rows are first gathered in salted parts of about rows_per_salt rows, so the rows of one text, be
-    it a third of all, spread over many tasks; only (digest, salt) rows meet in the second step, and results go
-    back along the salt.
+    A text's rows are first gathered in salted parts, so the rows of one text, be it a third of all, spread over
+    many tasks; only (digest, salt) rows meet in the second step, and results go back along the salt. There are
+    as many salts as the square root of the rows, so neither step brings more than that of one text together.
     """
     spark = docs.sparkSession
     sha, salt = fresh(docs, "own_sha"), fresh(docs, "own_salt")
     text = lower_ascii(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     content = docs.withColumn(sha, F.unhex(F.sha2(text.cast("binary"), 256)))
     slim = written(content.select(F.col(sha).alias("__digest"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.octet_length(text).cast("long").alias("__bytes")), "digests")
-    parts = max(1, -(-slim.count() // rows_per_salt))
+    parts = salts or math.isqrt(slim.count()) + 1
     spread = F.pmod(F.xxhash64(F.col("__id")), F.lit(parts)).cast("int")
     # the content key that verifies a hit: the digest, then the length
     key = F.concat(F.col("__digest"), F.unhex(F.lpad(F.hex("__bytes"), 16, "0")))
