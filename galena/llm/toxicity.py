@@ -34,6 +34,7 @@ OPENING, CLOSING = "\"“«„‹‘", "\"”»“›’"
 REPORTING = ["said", "says", "wrote", "writes", "quoted", "quote", "quoting", "called", "word", "term", "sagte", "schrieb", "zitat", "wort", "dit", "disait", "mot", "dijo", "palabra", "cita"]
 
 WORD = re.compile(r"\w+(?:[*@$!]+\w+)*")
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 _REPORT = re.compile(r"\b(?:" + "|".join(REPORTING) + r")\b")
 
 
@@ -223,9 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not toxic or toxic == rows:
         return ToxicityModel([])
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
-    uses = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("words", i - 1)).alias("before")))
-    uses = sample.select("label", words.alias("words")).select("label", F.explode(F.array_distinct(uses)).alias("use")).select("label", "use.*").distinct()
+    uses = sample.select("label", "text").mapInArrow(_uses, "label int, word string, before string").distinct()
     counts = uses.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     counts = written(counts, "toxic-words")
     surest = lambda df, purity: df.where((F.col("toxic") >= _least(df.count(), toxic / rows)) & (F.col("toxic") >= purity * F.col("docs"))).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS)
@@ -243,6 +242,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different (word, word before) of each text, of words of three letters or more."""
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = LETTERS.findall(text.as_py().lower())
+            pairs = set(zip(words, ["", *words], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(pairs), pa.int32()), pa.array([w for w, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], ["label", "word", "before"])
+
+
 def _least(kinds: int, share: float) -> int:
     """The toxic uses that fewer than 0.05 of so many kinds of words would reach by chance alone."""
     return max(3, math.ceil((math.log(kinds + 1) - math.log(0.05)) / -math.log(share)))
