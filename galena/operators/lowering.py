@@ -157,6 +157,10 @@ class Compiler:
     def column(self, node: Node) -> Column:
         return pointwise(self._flat(node))
 
+    def flat(self, node: Node) -> Node:
+        """The tree as a pointwise one over the frame's columns, which gain those of its measures and reductions."""
+        return self._flat(node)
+
     def _flat(self, node: Node) -> Node:
         """The tree with every measure and reduction replaced by a column of the frame."""
         match node:
@@ -287,6 +291,36 @@ def evaluate(df: DataFrame, trees: dict[str, Node], series: Series | None = None
     return c.df.select(*[F.col(f"`{k}`") for k in (df.columns if keep is None else keep)], *[v.alias(k) for k, v in made.items()])
 
 
+def in_layers(df: DataFrame, trees: list[Node], keep: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with a column for every different operator node of pointwise trees, a projection for each height, and the trees' columns.
+
+    Protected operators name their operands several times, so a deep tree as one expression would grow with a power of its depth;
+    in layers each node is computed once, and once for all trees that share it.
+    """
+    names: dict[Node, str] = {}
+    heights: dict[int, list[Node]] = {}
+
+    def height(n: Node) -> int:
+        return 0 if isinstance(n, Var | Const) else 1 + max(height(c) for c in children(n))
+
+    for t in trees:
+        for n in subtrees(t):
+            if not isinstance(n, Var | Const) and n not in names:
+                names[n] = f"__n{len(names)}"
+                heights.setdefault(height(n), []).append(n)
+
+    def leaf(n: Node) -> Column:
+        return F.col(names[n]) if n in names else pointwise(n)
+
+    for h in sorted(heights):
+        made = {}
+        for n in heights[h]:
+            args = [leaf(c) for c in children(n)]
+            made[names[n]] = BINARY[n.op](*args) if isinstance(n, BinOp) else UNARY[n.op](*args)
+        df = df.withColumns(made)
+    return df.select(*keep, *names.values()), [leaf(t) for t in trees]
+
+
 def shared_measures(trees: list[Node]) -> list[Node]:
     """Measure nodes that occur in two trees or more: what a population's plan computes once."""
     seen: dict[Node, int] = {}

@@ -7,6 +7,7 @@ travel as rows. Both give the same losses.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from galena.functions.pointwise import finite
 from galena.operators import tree as T
-from galena.operators.lowering import Compiler, Series, evaluate
+from galena.operators.lowering import Compiler, Series, evaluate, in_layers
 from galena.operators.tree import Node
 
-#: Candidates of one aggregate; wider ones outgrow what the JVM compiles well.
-BATCH = 50
+#: Candidates of one aggregate.
+BATCH = 25
 #: A table of up to so many cells may go to every task.
 MOST_LOCAL_CELLS = 4_000_000
 
@@ -128,14 +129,30 @@ def merge_halls(halls: DataFrame, more: DataFrame) -> DataFrame:
 Loss = Callable[[Column, Column], Column]
 
 
+@contextlib.contextmanager
+def split_methods(spark: SparkSession):
+    """Generated code in methods short enough to be compiled: one method for a whole stage of so many expressions is not, and is then interpreted."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def losses_by_data(df: DataFrame, trees: list[Node], y: str, series: Series | None = None, fill: float | None = 0.0, loss: Loss = mse, share: float = 0.9) -> list[float]:
     """One loss for each tree, in passes of BATCH trees over df. Measures that trees share are one column."""
     out: list[float] = []
     for at in range(0, len(trees), BATCH):
         part = trees[at : at + BATCH]
         c = Compiler(df, series, fill)
-        columns = [c.column(t) for t in part]
-        row = c.df.agg(*[guarded(loss(p, F.col(y).cast("double")), p, share).alias(f"l{i}") for i, p in enumerate(columns)]).first()
+        flat = [c.flat(t) for t in part]
+        needed = sorted(set().union(*map(T.used_features, flat)))
+        rows, columns = in_layers(c.df.select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed]), flat, ["__y", *needed])
+        made = rows.select("__y", *[p.alias(f"__p{i}") for i, p in enumerate(columns)])
+        with split_methods(df.sparkSession):
+            row = made.agg(*[guarded(loss(F.col(f"__p{i}"), F.col("__y")), F.col(f"__p{i}"), share).alias(f"l{i}") for i in range(len(part))]).first()
         out += [float(v) if v is not None and not math.isnan(v) else math.inf for v in row]
     return out
 
