@@ -320,8 +320,10 @@ def _candidates(groups: DataFrame, roots: DataFrame, width: int, best: int | Non
     rows = written(placed.join(leaders, "token"), "contested")
     spread = rows.groupBy("entity").agg(F.countDistinct("c").alias("groups"))
     blocks = rows.groupBy("c").agg(F.ceil(F.approx_count_distinct("entity") / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    blocks = written(blocks.where("blocks > 1"), "blocks")  # few groups: each has more than GROUP_BLOCK sets
+    blocks = F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST_IDS else blocks
     block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
-    rows = rows.join(spread, "entity").join(blocks, "c").withColumn("block", block)
+    rows = rows.join(spread, "entity").join(blocks, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block)
     # a block meets every block of its group, itself included, each two once
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
