@@ -417,27 +417,31 @@ def _koopman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nearest_neighbours", "WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.embedding, v.embedding) AS d FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM d) SELECT query_id, vec_id, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 3")
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of an embedding nearest to each query point: queries in blocks against all rows."""
+    """Points of an embedding nearest to each query point: queries in blocks against all rows in blocks, each pair of blocks a task."""
     import pandas as pd
+    from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    few = [(r["vec_id"], r["e"]) for r in rows.where("vec_id % 100 = 0").limit(10_000).collect()]
-    ids, points = np.array([i for i, _ in few]), np.array([e for _, e in few])
-
-    def near(batches):
-        for pdf in batches:
-            x = np.array(pdf["e"].tolist())
-            own = pdf["vec_id"].to_numpy()
-            for i, p in zip(ids, points, strict=True):
-                d = np.sqrt(((x - p) ** 2).sum(1))
+    asked = rows.where("vec_id % 100 = 0")
+    many = [max(1, -(-df.count() // size)) for df, size in ((rows, 8192), (asked, 1024))]
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("c", block(many[0])).withColumn("q", every(many[1]))
+    right = asked.withColumn("q", block(many[1])).withColumn("c", every(many[0]))
+
+    def near(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "d": []})]
+        if len(points):
+            x, own = np.array(points["e"].tolist()), points["vec_id"].to_numpy()
+            for i, p in zip(queries["vec_id"], queries["e"], strict=True):
+                d = np.sqrt(((x - np.array(p)) ** 2).sum(1))
                 d[own == i] = np.inf
                 best = np.lexsort((own, d))[:3]
                 best = best[np.isfinite(d[best])]
-                yield pd.DataFrame({"query_id": i, "vec_id": own[best], "d": d[best]})
-
-    from pyspark.sql import Window
+                found.append(pd.DataFrame({"query_id": i, "vec_id": own[best], "d": d[best]}))
+        return pd.concat(found)
 
-    found = rows.mapInPandas(near, "query_id long, vec_id long, d double")
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(near, "query_id long, vec_id long, d double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where("rank <= 3").select("query_id", "vec_id", "rank")
 
