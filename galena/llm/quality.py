@@ -8,6 +8,9 @@ document, and a logistic unit turns that into one probability.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,31 @@ SAMPLE_ROWS = 4000
 PIECE = 1 << 19
 
 
+@contextlib.contextmanager
+def one_thread():
+    """numpy's linear algebra on one thread, where its library can be told so: its matrices here are too small for more."""
+    calls = None
+    try:
+        with open("/proc/self/maps") as f:
+            path = next((line.split()[-1] for line in f if "openblas" in line), None)
+        if path:
+            lib = ctypes.CDLL(path)
+            for prefix, suffix in itertools.product(("scipy_", ""), ("64_", "")):
+                if hasattr(lib, f"{prefix}openblas_set_num_threads{suffix}"):
+                    calls = getattr(lib, f"{prefix}openblas_get_num_threads{suffix}"), getattr(lib, f"{prefix}openblas_set_num_threads{suffix}")
+                    break
+    except OSError:
+        pass
+    before = calls[0]() if calls else 0
+    if calls:
+        calls[1](1)
+    try:
+        yield
+    finally:
+        if calls:
+            calls[1](before)
+
+
 def laid_out(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents padded to whole halves, two blocks of padding at least after each: codes (0 for padding, byte + 1), halves of each, lengths."""
     lengths = np.diff(offsets)
@@ -121,6 +149,10 @@ class QualityNet:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 48, segment: int = 1536, rate: float = 4e-3, seed: int = 9) -> None:
         """Adam over segments of the texts, a new place in each epoch; scoring always reads whole texts."""
+        with one_thread():
+            self._fit(texts, labels, epochs, batch, segment, rate, seed)
+
+    def _fit(self, texts: list[bytes], labels: np.ndarray, epochs: int, batch: int, segment: int, rate: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
         moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in self.w.items()}
         step, steps = 0, max(1, epochs * -(-len(texts) // batch))
