@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.labelled import labelled_texts
+from galena.llm.packing import release
 from galena.llm.session import fresh, written
 
 #: At most so many labelled texts are learnt from, and so many terms are kept, the surest first.
@@ -28,7 +29,7 @@ MOST_TERMS = 4096
 #: Least and most letters of a learnt stem.
 STEM = (5, 9)
 WINDOW = 48
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 # fixed values: signs that open and close a quotation, and words that report one
 OPENING, CLOSING = "\"“«„‹‘", "\"”»“›’"
 REPORTING = ["said", "says", "wrote", "writes", "quoted", "quote", "quoting", "called", "word", "term", "sagte", "schrieb", "zitat", "wort", "dit", "disait", "mot", "dijo", "palabra", "cita"]
@@ -50,7 +51,7 @@ class LexiconAutomaton:
     least edits to any term, or None.
     """
 
-    def __init__(self, terms: list[str], stems: list[str] = ()) -> None:
+    def __init__(self, terms: list[str], stems: list[str] = (), rigid: list[str] = ()) -> None:
         self.stems = tuple(stems)
         self.longest_stem = max(map(len, self.stems), default=0)
         self.stem_set = frozenset(self.stems)
@@ -59,7 +60,7 @@ class LexiconAutomaton:
         self.room = [0]  # the most edits that any term below forgives
         self.term_edits: list[int] = [-1]
         for term in terms:
-            node, allowed = 0, edits_for(term)
+            node, allowed = 0, 0 if term in rigid else edits_for(term)
             self.room[0] = max(self.room[0], allowed)
             for c in term:
                 if c not in self.children[node]:
@@ -144,15 +145,16 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 @dataclass
 class ToxicityModel:
     terms: list[str]
-    weights: list[float] = field(default_factory=lambda: [-3.0, 4.0, 1.0, 1.5, 0.5, 0.3])
+    weights: list[float] = field(default_factory=lambda: [-3.0, 4.0, 1.0, -0.2, 0.3])
     stems: list[str] = field(default_factory=list)
+    rigid: list[str] = field(default_factory=list)  # terms that forgive no edit
 
     def __post_init__(self) -> None:
-        self.automaton = LexiconAutomaton(self.terms, self.stems)
+        self.automaton = LexiconAutomaton(self.terms, self.stems, frozenset(self.rigid))
         self.cache: dict[str, int | None] = {}
 
     def __reduce__(self):
-        return (ToxicityModel, (self.terms, self.weights, self.stems))
+        return (ToxicityModel, (self.terms, self.weights, self.stems, self.rigid))
 
     def hit(self, word: str) -> int | None:
         found = self.cache.get(word, -1)
@@ -176,15 +178,14 @@ class ToxicityModel:
         return out
 
     def features(self, text: str | None) -> list[float]:
-        exact = fuzzy = quoted = 0
+        abuse = fuzzy = quoted = 0
         for _, _, _, edits, quote in self.hits(text) if text else ():
             if quote:
                 quoted += 1
-            elif edits:
-                fuzzy += 1
             else:
-                exact += 1
-        return [1.0, float(exact > 0), math.log1p(exact), float(fuzzy > 0), math.log1p(fuzzy), math.log1p(quoted)]
+                abuse += 1
+                fuzzy += edits > 0
+        return [1.0, float(abuse > 0), math.log1p(abuse), math.log1p(fuzzy), math.log1p(quoted)]
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
@@ -192,8 +193,8 @@ class ToxicityModel:
 
     def fit(self, texts: list[str], labels: list[int], steps: int = 60, pull: float = 1.0) -> None:
         """Newton steps of a logistic model, drawn to the weights that it had."""
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 6)
-        y, start = np.array(labels, float), np.array([-3.0, 4.0, 1.0, 1.5, 0.5, 0.3])
+        x = np.array([self.features(t) for t in texts]).reshape(-1, 5)
+        y, start = np.array(labels, float), np.array([-3.0, 4.0, 1.0, -0.2, 0.3])
         w = start.copy()
 
         def loss(w: np.ndarray) -> float:
@@ -203,7 +204,7 @@ class ToxicityModel:
         for _ in range(steps if len(texts) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (p - y) + pull * (w - start)
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull * np.eye(6), grad)
+            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull * np.eye(5), grad)
             while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
                 step /= 2
             w -= step
@@ -218,7 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     A use of a word is a word that stands before it, so that copies of a text count once. A word is a term
     if at least nine tenths of its uses are in toxic documents and fewer than 0.05 words of so many toxic
     uses would be expected by chance. A beginning of words is a stem on the same terms if 97 of 100 uses are in
-    toxic documents and it has four forms at least; of two stems the shorter stands for both.
+    toxic documents and it has four forms at least; of two stems the shorter stands for both. A term keeps its
+    edits unless a word of the sample's clean texts lies within them.
     """
     sample = written(labelled_texts(docs, labels, "toxic", sample_rows), "toxic-sample")
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -237,6 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         if not stem.startswith(tuple(stems)):
             stems.append(stem)
     model = ToxicityModel(sorted(terms), stems=sorted(stems))
+    # a term that clean texts come near to forgives no edit
+    near = counts.where("toxic < docs").select("word").mapInArrow(_near(model), "term string").distinct()
+    model = ToxicityModel(sorted(terms), stems=sorted(stems), rigid=sorted(r["term"] for r in near.collect()))
     few = sample.orderBy(F.xxhash64("doc_id")).limit(4000).collect()
     model.fit([r["text"] for r in few], [r["label"] for r in few])
     return model
@@ -251,6 +256,20 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(pairs), pa.int32()), pa.array([w for w, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], ["label", "word", "before"])
 
 
+def _near(model: ToxicityModel):
+    """The terms (MOST_TERMS at most) that words come within their edits of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                if model.automaton.accepts(word):
+                    found.update(t for t in model.terms if t not in found and LexiconAutomaton([t]).accepts(word) is not None)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["term"])
+
+    return run
+
+
 def _least(kinds: int, share: float) -> int:
     """The toxic uses that fewer than 0.05 of so many kinds of words would reach by chance alone."""
     return max(3, math.ceil((math.log(kinds + 1) - math.log(0.05)) / -math.log(share)))
@@ -262,6 +281,8 @@ def _score(model: ToxicityModel):
             last = batch.num_columns - 1
             scores = [model.score(x.as_py()) for x in batch.column(last)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [str(i) for i in range(last + 1)])
+        model.cache.clear()
+        release()
 
     return run
 
