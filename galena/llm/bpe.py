@@ -23,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galena.llm.packing import release
 from galena.llm.session import fresh
 
 # fixed values: the white space that \s means in the tokenizer's pattern language
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 # fixed values: the contractions that are words of their own
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
-CACHE_WORDS = 300_000
+# str.split() also cuts at these four, the tokenizer does not
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WHITE_RUNS = re.compile(f"[{WHITE}]+")
+CACHE_WORDS = 60_000
 LONGEST_CACHED = 64
 
 
@@ -99,7 +103,9 @@ class BytePairs:
         letters, numbers = _ranges("L"), _ranges("N")
         self.find = re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")").split if added else lambda text: [text]
-        self.words = Words(self.encode_word)
+        self.words = Words(self.encode_word, CACHE_WORDS // 2)
+        # no word goes over white space, so what stands between it is looked up first and cut into words only when new
+        self.chunks = Words(lambda chunk: b"".join(map(self.words.__getitem__, self.find(chunk))))
 
     def encode_word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
@@ -145,7 +151,9 @@ class BytePairs:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out += map(self.words.__getitem__, self.find(self.normalise(part)))
+                text = self.normalise(part)
+                chunks = text.split() if _SEPARATORS.search(text) is None else _WHITE_RUNS.split(text)
+                out += map(self.chunks.__getitem__, chunks)
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
@@ -177,6 +185,7 @@ def _encode(path: str, encode: bool, decode: bool):
                 ids = pairs.encode(last.to_pylist()) if encode else pa.ListArray.from_arrays(*_flat(last))
                 more = [ids] * encode + [pairs.decode(ids)] * decode
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [str(i) for i in range(batch.num_columns - 1 + len(more))])
+            release()
 
     return run
 
