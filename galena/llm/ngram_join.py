@@ -28,7 +28,7 @@ from galena.llm.packing import gathered, pack, release, runs, unpack
 from galena.llm.session import fresh, shuffle_width, written
 from galena.llm.vectext import batch_words, mix, shingle_sets
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CELLS, CHUNKS = 1 << 23, 32
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Sets of a group that meet at once.
@@ -196,6 +196,8 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, first, sign = _sets(table, 0)
         raw = tokens.tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["entity", "tokens"])
+        del table, tokens, raw
+        release()
 
 
 def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> bool:
