@@ -1,7 +1,7 @@
 """Language-model scoring by a weighted backoff automaton.
 
 States are the root and one for each word (and the text's begin) as history; a state's arcs are the bigrams seen
-twice or more in the training texts, weighted by absolute discounting interpolated with the smoothed unigram, and
+min_count times or more in the training texts, weighted by absolute discounting interpolated with the smoothed unigram, and
 every other word takes the failure arc, which costs the state's backoff weight and ends at the root, whose arcs are
 the unigrams. A text is read once from left to right; the state carries over and log-probabilities add up. For every
 state the arcs' probabilities sum to one over the training words and one unknown word.
@@ -188,8 +188,8 @@ def _count_pairs(buckets: int, hot: np.ndarray):
     return run
 
 
-def _sum_pairs(word_buckets: int):
-    """A bucket's bigrams of MIN_COUNT or more; and for the words' buckets what each history's arcs hold."""
+def _sum_pairs(word_buckets: int, min_count: int):
+    """A bucket's bigrams of min_count or more; and for the words' buckets what each history's arcs hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
@@ -204,7 +204,7 @@ def _sum_pairs(word_buckets: int):
             at = runs(keys)
             n = np.add.reduceat(n[order], at[:-1])
             once, twice = int((n == 1).sum()), int((n == 2).sum())
-            keep = n >= MIN_COUNT
+            keep = n >= min_count
             keys, h, n = keys[at[:-1]][keep], h[order[at[:-1]]][keep], n[keep]
             out = [(PAIR, bucket, 0, pack(keys, 6, True), pack(n), once, twice)]
             kinds, back = np.unique(h, return_inverse=True)
@@ -217,6 +217,7 @@ def _sum_pairs(word_buckets: int):
                 out.append((WORD, b, 1, pack(kinds[i:j], 8, True), len(mass_bytes).to_bytes(4, "little") + mass_bytes + pack(arcs[i:j]), 0, 0))
             base = _emit([x[:5] for x in out])
             yield pa.RecordBatch.from_arrays([*base.columns, pa.array([x[5] for x in out], pa.int64()), pa.array([x[6] for x in out], pa.int64())], [*base.schema.names, "once", "twice"])
+            release()
 
     return run
 
@@ -382,12 +383,13 @@ def _distinct(replies: list[np.ndarray], asked: int) -> list[np.ndarray]:
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(train: DataFrame, texts: DataFrame) -> DataFrame:
+def score_texts(train: DataFrame, texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of `texts`, by the model of `train`.
 
     train: text; texts: doc_id, text. Null text counts as empty: one END token. A null doc_id comes back null. Rows
     repeated are scored each. base_score is that of the smoothed unigram alone. Without training texts every
-    token is unknown and has the probability one half over one half.
+    token is unknown and has the probability one half over one half. Bigrams seen less than min_count times are no
+    arcs; 1 keeps every bigram.
     """
     spark = texts.sparkSession
     width = shuffle_width(spark)
@@ -401,7 +403,7 @@ def score_texts(train: DataFrame, texts: DataFrame) -> DataFrame:
     least = max(1, math.ceil(tokens / HOT_SHARE))
     hot = np.sort(np.array([r[0] for r in words.where(F.col("most") >= least).select("body", "more").mapInArrow(_hot_words(least), "word long").collect()], np.int64).astype(np.uint64))
     hot = distinct(np.concatenate([hot, [START]]))
-    pairs = shuffled(train.select(text).mapInArrow(_count_pairs(buckets, hot), ROW)).mapInArrow(_sum_pairs(buckets), f"{ROW}, once long, twice long")
+    pairs = shuffled(train.select(text).mapInArrow(_count_pairs(buckets, hot), ROW)).mapInArrow(_sum_pairs(buckets, min_count), f"{ROW}, once long, twice long")
     pairs = written(pairs, "pairs")
     once, twice = pairs.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
     g = Globals(tokens, kinds, train.count(), once / (once + 2 * twice) if once and twice else 0.75)

@@ -91,7 +91,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.llm.session import fold
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs.where(fold(F.col("doc_id")) != 1), docs)
+    scored = score_texts(docs.where(fold(F.col("doc_id")) != 1), docs, min_count=1)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from galena.llm import bpe, components, exact_dedup, language_id, lm, mixing, ngram_join, packing, quality, session, sharding, topk, toxicity, vectext
+from galena.llm import bpe, components, exact_dedup, language_id, lm, mixing, ngram_join, packing, quality, queries, session, sharding, topk, toxicity, vectext
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -321,6 +321,31 @@ def test_lm_equals_plain_python(spark, odd_docs, no_docs):
     assert {r["base_score"] for r in lm.score_texts(train.limit(0), docs.where("doc_id = 4")).collect()} == {0.0}
 
 
+def test_lm_query_keeps_bigrams_seen_once(spark, monkeypatch):
+    train = [(0, "a b c a b d"), (2, "b e"), (3, "a b")]  # no id of the held-out fold
+    docs = spark.createDataFrame([*train, (1000, "b e c a"), (1001, "e b")], "doc_id long, text string")
+    asked = {}
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    plain = lm.score_texts
+    monkeypatch.setattr(lm, "score_texts", lambda _, texts, **kw: plain(spark.createDataFrame(train, docs.schema), texts, **(asked.update(kw) or kw)))
+    got = {r["doc_id"]: r["score"] for r in queries.op7_lm_scoring(spark, SF).collect()}
+    assert asked == {"min_count": 1}
+    c, b = Counter(), Counter()
+    for _, t in train:
+        w = [*words(t), "\n"]
+        c.update(w)
+        b.update(zip(["\t", *w], w, strict=False))
+    once, twice, total = sum(v == 1 for v in b.values()), sum(v == 2 for v in b.values()), sum(c.values())
+    d = once / (once + 2 * twice) if once and twice else 0.75
+    for i, t in docs.collect():
+        score = 0.0
+        for h, x in zip(["\t", *words(t)], [*words(t), "\n"], strict=True):
+            p = (c[x] + 0.5) / (total + 0.5 * (len(c) + 1))
+            seen, arcs = (3 if h == "\t" else c[h]), sum(g == h for g, _ in b)
+            score += math.log10(max(b[h, x] - d, 0) / seen + d * arcs / seen * p)
+        assert abs(got[i] - score) < 1e-9
+
+
 def test_automaton_probabilities_sum_to_one():
     root = np.log10(np.array([0.5, 0.3, 0.2]))
     arcs, p = np.array([0 * 3 + 1]), 0.6  # state 0 has one arc, to word 1
