@@ -30,6 +30,8 @@ MOST_TERMS = 4096
 STEM = (5, 9)
 WINDOW = 48
 CACHE_WORDS = 100_000
+#: Terms of so many letters forgive one substitution or swap, if slips are allowed.
+SHORT = 4
 # fixed values: signs that open and close a quotation, and words that report one
 OPENING, CLOSING = "\"“«„‹‘", "\"”»“›’"
 REPORTING = ["said", "says", "wrote", "writes", "quoted", "quote", "quoting", "called", "word", "term", "sagte", "schrieb", "zitat", "wort", "dit", "disait", "mot", "dijo", "palabra", "cita"]
@@ -40,7 +42,7 @@ _REPORT = re.compile(r"\b(?:" + "|".join(REPORTING) + r")\b")
 
 
 def edits_for(term: str) -> int:
-    """How many edits a term forgives: none up to four letters, one up to eleven, then two."""
+    """How many edits of any kind a term forgives: none up to four letters, one up to eleven, then two."""
     return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
@@ -48,10 +50,12 @@ class LexiconAutomaton:
     """The lazily built DFA of all words within a term's edits of that term.
 
     A stem accepts every word that begins with it. A state of the product is a set of (trie node, edits spent, letter awaited by a swap). accepts() gives the
-    least edits to any term, or None.
+    least edits to any term, or None. Words of `clean` are never accepted by edits. With `slips` a term of SHORT letters forgives one edit
+    that keeps its length.
     """
 
-    def __init__(self, terms: list[str], stems: list[str] = (), rigid: list[str] = ()) -> None:
+    def __init__(self, terms: list[str], stems: list[str] = (), clean: frozenset[str] = frozenset(), slips: bool = False) -> None:
+        self.clean = clean
         self.stems = tuple(stems)
         self.longest_stem = max(map(len, self.stems), default=0)
         self.stem_set = frozenset(self.stems)
@@ -59,8 +63,10 @@ class LexiconAutomaton:
         self.children: list[dict[str, int]] = [{}]
         self.room = [0]  # the most edits that any term below forgives
         self.term_edits: list[int] = [-1]
+        self.slip_ends: set[int] = set()  # nodes of short terms
         for term in terms:
-            node, allowed = 0, 0 if term in rigid else edits_for(term)
+            slip = slips and len(term) == SHORT
+            node, allowed = 0, 1 if slip else edits_for(term)
             self.room[0] = max(self.room[0], allowed)
             for c in term:
                 if c not in self.children[node]:
@@ -70,10 +76,13 @@ class LexiconAutomaton:
                     self.term_edits.append(-1)
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], allowed)
-            self.term_edits[node] = allowed
+            self.term_edits[node] = 0 if slip else allowed
+            if slip:
+                self.slip_ends.add(node)
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
         self.accept: list[int | None] = []
+        self.accept_short: list[bool] = []  # one edit from a short term
         self.known: dict[frozenset, int] = {}
         self.start = self._state(self._close({(0, 0, 0)}))
 
@@ -96,6 +105,7 @@ class LexiconAutomaton:
             self.steps.append({})
             ends = [spent for node, spent, swap in items if not swap and spent <= self.term_edits[node]]
             self.accept.append(min(ends, default=None))
+            self.accept_short.append(any(spent == 1 and not swap and node in self.slip_ends for node, spent, swap in items))
         return self.known[items]
 
     def _step(self, state: int, c: str) -> int:
@@ -130,7 +140,10 @@ class LexiconAutomaton:
             if to < 0:
                 return None
             state = to
-        return self.accept[state]
+        found = self.accept[state]
+        if found is None and len(word) == SHORT and self.accept_short[state]:
+            found = 1
+        return None if found and word in self.clean else found
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
@@ -147,14 +160,14 @@ class ToxicityModel:
     terms: list[str]
     weights: list[float] = field(default_factory=lambda: [-3.0, 4.0, 1.0, -0.2, 0.3])
     stems: list[str] = field(default_factory=list)
-    rigid: list[str] = field(default_factory=list)  # terms that forgive no edit
+    clean: list[str] = field(default_factory=list)  # words near a term that are no misspelling of it
 
     def __post_init__(self) -> None:
-        self.automaton = LexiconAutomaton(self.terms, self.stems, frozenset(self.rigid))
+        self.automaton = LexiconAutomaton(self.terms, self.stems, frozenset(self.clean), slips=True)
         self.cache: dict[str, int | None] = {}
 
     def __reduce__(self):
-        return (ToxicityModel, (self.terms, self.weights, self.stems, self.rigid))
+        return (ToxicityModel, (self.terms, self.weights, self.stems, self.clean))
 
     def hit(self, word: str) -> int | None:
         found = self.cache.get(word, -1)
@@ -219,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     A use of a word is a word that stands before it, so that copies of a text count once. A word is a term
     if at least nine tenths of its uses are in toxic documents and fewer than 0.05 words of so many toxic
     uses would be expected by chance. A beginning of words is a stem on the same terms if 97 of 100 uses are in
-    toxic documents and it has four forms at least; of two stems the shorter stands for both. A term keeps its
-    edits unless a word of the sample's clean texts lies within them.
+    toxic documents and it has four forms at least; of two stems the shorter stands for both. A word
+    within a term's edits is no misspelling of it if half of its uses or more are in clean texts.
     """
     sample = written(labelled_texts(docs, labels, "toxic", sample_rows), "toxic-sample")
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -239,9 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         if not stem.startswith(tuple(stems)):
             stems.append(stem)
     model = ToxicityModel(sorted(terms), stems=sorted(stems))
-    # a term that clean texts come near to forgives no edit
-    near = counts.where("toxic < docs").select("word").mapInArrow(_near(model), "term string").distinct()
-    model = ToxicityModel(sorted(terms), stems=sorted(stems), rigid=sorted(r["term"] for r in near.collect()))
+    near = sample.select("label", "text").mapInArrow(_near(model), "label int, word string, before string").distinct()
+    near = near.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("uses")).where("2 * toxic <= uses")
+    model = ToxicityModel(sorted(terms), stems=sorted(stems), clean=sorted(r["word"] for r in near.collect()))
     few = sample.orderBy(F.xxhash64("doc_id")).limit(4000).collect()
     model.fit([r["text"] for r in few], [r["label"] for r in few])
     return model
@@ -257,15 +270,17 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(model: ToxicityModel):
-    """The terms (MOST_TERMS at most) that words come within their edits of."""
+    """The different (word, word before) of each text whose word is some edits from a term, words cut as in scoring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                if model.automaton.accepts(word):
-                    found.update(t for t in model.terms if t not in found and LexiconAutomaton([t]).accepts(word) is not None)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["term"])
+            found: set[tuple[int, str, str]] = set()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = WORD.findall(text.as_py().lower())
+                found.update((label, w, b) for w, b in zip(words, ["", *words], strict=False) if model.hit(w))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["label", "word", "before"])
+        model.cache.clear()
+        release()
 
     return run
 

@@ -160,6 +160,18 @@ def test_toxicity_frames(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, toxicity.learn(no_docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_clean_neighbours_leave_terms_their_edits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"w{i} {letters[i % 26]}{letters[i // 26 % 26]}xx moron {letters[i % 26]}zz scum w{i % 3}" if i % 3 == 0 else f"w{i} calm water {'oron scur ' * (i % 50 == 1)}w{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.learn(docs, labels, 400)
+    assert {"moron", "scum"} <= set(model.terms) and {"oron", "scur"} <= set(model.clean)
+    hit = {w: model.hit(w) for w in ("moron", "moorn", "moran", "mooron", "oron", "scum", "scun", "sucm", "scur", "scu", "scumm", "scrum")}
+    assert hit == {"moron": 0, "moorn": 1, "moran": 1, "mooron": 1, "oron": None, "scum": 0, "scun": 1, "sucm": 1, "scur": None, "scu": None, "scumm": None, "scrum": None}
+    assert model.score("you moran") > model.score("you oron") == model.score("a calm river")
+
+
 # --- 3 exact dedup
 
 
