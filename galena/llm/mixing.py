@@ -2,7 +2,8 @@
 
 A source's share p of all tokens becomes the weight p**t / sum(p**t). The exponent t is bisected: the smallest
 (the flattest mix) at which no source is repeated more than the limit allows and the entropy is not above its
-target. Weights times a token budget give each source its tokens; they are realised as blocks, each a new
+target. Below t = 1 the least source is repeated most, above it the largest; the limit bounds both and wins over the
+entropy: where natural shares are so even that t > 1 is asked for, t goes as far up as the limit allows. Weights times a token budget give each source its tokens; they are realised as blocks, each a new
 permutation of the source: as many whole blocks as fit, then the beginning of one more.
 """
 
@@ -43,7 +44,10 @@ def temperature(sources: DataFrame, repeat_limit: float | None, entropy_share: f
         fits = [(repeat_limit is None or (most / least) ** (1 - t) <= repeat_limit) and (entropy_share is None or h <= entropy_share * math.log(n)) for t, h in zip(points, entropy, strict=True)]
         at = fits.index(True) if True in fits else GRID - 1
         low, high = points[at] - (points[at] - low) / (at + 1), points[at]
-    return high
+    if repeat_limit is None:
+        return high
+    # above 1 the largest source is repeated (most / least)**(t - 1) times
+    return min(high, 1 + max(0.0, math.log(repeat_limit)) / math.log(most / least))
 
 
 def _slim(docs: DataFrame, id_col: str, source_col: str, text_col: str, tokens_col: str | None) -> DataFrame:

@@ -401,6 +401,17 @@ def test_temperature_meets_its_target(spark):
     assert abs(-(w * np.log(w)).sum() - 0.95 * math.log(3)) < 1e-6
 
 
+def test_repeat_limit_holds_where_sources_are_even(spark):
+    even = {f"s{k:02}": 20 for k in range(19)} | {"large": 24}
+    shares = spark.createDataFrame([(v / sum(even.values()),) for v in even.values()], "share double")
+    assert 1.2 ** (mixing.temperature(shares, None, 0.97) - 1) > 3
+    assert abs(1.2 ** (mixing.temperature(shares, 2.0, 0.97) - 1) - 2) < 1e-6
+    assert mixing.temperature(shares, 1.0, 0.97) == 1
+    docs = spark.createDataFrame([(1000 * k + i, s, 1) for k, (s, v) in enumerate(even.items()) for i in range(v)], "doc_id long, source string, tokens long")
+    used = Counter((r["source"], r["doc_id"]) for r in mixing.mixture(docs, tokens_col="tokens").collect())
+    assert len(used) == sum(even.values()) and all(n == 1 + (s == "large") for (s, _), n in used.items())
+
+
 def test_mixture(spark, odd_docs, no_docs):
     rows = [(i, "a", 10) for i in range(60)] + [(100 + i, "b", 7) for i in range(9)] + [(200, None, 5), (201, "z", 0), (202, "z", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, tokens long").withColumn("block", F.lit("x"))
