@@ -1,13 +1,16 @@
 """Language-model scoring by a weighted backoff automaton.
 
 States are the root and one for each word (and the text's begin) as history; a state's arcs are the bigrams seen
-min_count times or more in the training texts, weighted by absolute discounting interpolated with the smoothed unigram, and
-every other word takes the failure arc, which costs the state's backoff weight and ends at the root, whose arcs are
-the unigrams. A text is read once from left to right; the state carries over and log-probabilities add up. For every
-state the arcs' probabilities sum to one over the training words and one unknown word.
+min_count times or more in the training texts (all, unless the caller says otherwise), weighted by absolute discounting
+interpolated with the smoothed unigram, and every other word takes the failure arc, which costs the state's backoff
+weight and ends at the root, whose arcs are the unigrams. A text is read once from left to right; the state carries over
+and log-probabilities add up. For every state the arcs' probabilities sum to one over the training words and one unknown word.
 
-The model is as large as the corpus allows and is never in one place. Counts meet in hash buckets. To be scored,
-a block of texts asks the buckets for the parts of the automaton that it can touch, and walks that part.
+The model is as large as the corpus allows and is never in one place. Counts meet in hash buckets, whose number follows the bytes
+of text. To be scored, a block of texts asks the buckets for the parts of the automaton that it can touch, and walks that part.
+
+A word is a hash of 64 bits, a bigram one of 48 within its bucket. A bucket holds the bigrams of about BUCKET_BYTES of text, some
+10**6, so a bigram shares its key with another once in some 10**8, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +29,12 @@ from galena.llm.packing import distinct, gathered, pack, release, runs, unpack
 from galena.llm.session import shuffle_width, written
 from galena.llm.vectext import Words, batch_words, mix
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES, PART_BYTES = 8 << 20, 32 << 20
 END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 #: Histories with this share of all tokens or more (so at most so many) spread their bigrams over SPREAD buckets.
 HOT_SHARE, SPREAD = 4096, 64
-MIN_COUNT = 2
 WORD, PAIR, TEXT = 0, 1, 2
 ROW = "kind int, bucket int, block long, body binary, more binary"
 
@@ -45,9 +49,9 @@ class BackoffAutomaton:
     def __init__(self, root: np.ndarray, fail: np.ndarray, arcs: np.ndarray, weights: np.ndarray) -> None:
         self.root, self.fail, self.arcs, self.weights = root, fail, arcs, weights
 
-    def steps(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def step(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The log-probability of each step from a state by a word."""
-        out = self.fail[states] + self.root[words]
+        out = self.fail[states] + self.root[words]  # the failure arc to the root, then the root's own arc
         if len(self.arcs):
             codes = states.astype(np.int64) * len(self.root) + words
             at = np.minimum(np.searchsorted(self.arcs, codes), len(self.arcs) - 1)
@@ -55,10 +59,15 @@ class BackoffAutomaton:
             out[hit] = self.weights[at[hit]]
         return out
 
-    def walk(self, words: np.ndarray, begin: int) -> float:
-        """One text: the state after a word is that word's; `begin` is the state before the first."""
-        states = np.concatenate([[begin], words[:-1]]) if len(words) else np.zeros(0, np.int64)
-        return float(self.steps(states, words).sum())
+    def walk(self, words: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
+        """Each text's log-probability, read from left to right; text i is words[first[i]:first[i + 1]], at least one word; `begin` is every text's first state.
+
+        Every arc by a word ends in that word's state, also after a failure, so the states that a whole block's texts carry
+        over are the words one step later, and all steps are taken at once.
+        """
+        carried = np.empty_like(words)
+        carried[1:], carried[first[:-1]] = words[:-1], begin
+        return np.add.reduceat(self.step(carried, words), first[:-1])
 
 
 @dataclass
@@ -122,16 +131,23 @@ def _count_words(buckets: int):
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A row at a time, so that only one is in memory as Python objects."""
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(names)}
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows sorted by bucket, a bucket at a time."""
     bucket, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if bucket is not None and row["bucket"] != bucket:
-                yield bucket, held
-                held = []
-            bucket = row["bucket"]
-            held.append(row)
+    for row in _rows(batches):
+        if bucket is not None and row["bucket"] != bucket:
+            yield bucket, held
+            held = []
+        bucket = row["bucket"]
+        held.append(row)
     if held:
         yield bucket, held
 
@@ -223,24 +239,31 @@ def _sum_pairs(word_buckets: int, min_count: int):
 
 
 def _ask(buckets: int, hot: np.ndarray):
-    """For each block of texts: what it asks of the buckets, and its texts as numbers of its own words."""
+    """For each block of texts: what it asks of the buckets, and its texts as numbers of its own words.
+
+    A block's number is its task's and its place there, so no two blocks share one, whatever their ids and texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, BLOCK_BYTES):
-            ids = table.column(0).to_numpy().astype(np.int64)
+        part = TaskContext.get().partitionId() << 32
+        for at, table in enumerate(gathered(batches, BLOCK_BYTES)):
+            block = part + at
+            ids = table.column(0)
+            none = ids.is_null().to_numpy()
+            ids = ids.fill_null(0).to_numpy().astype(np.int64)
             tokens, first = _sequences(table, 1)
             kinds, words = np.unique(np.concatenate([tokens, np.array([START, END])]), return_inverse=True)
             words = words[:-2]
-            block = int.from_bytes(np.array([mix(np.array([len(tokens)], np.uint64))[0], np.bitwise_xor.reduce(mix(ids.astype(np.uint64) + np.arange(len(ids), dtype=np.uint64) * _K1))]).sum(dtype=np.uint64).tobytes(), "little", signed=True)
             where = (mix(kinds) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             out = [(WORD, b, block, pack(kinds[order[i:j]], 8, True), b"") for b, i, j in _cut(where[order])]
             code = _codes(kinds, words, first, hot, buckets)
             out += [(PAIR, b, block, pack(code[i:j] & np.uint64(2**48 - 1), 6, True), b"") for b, i, j in _cut((code >> np.uint64(48)).astype(np.int64))]
-            texts = [pack(ids.astype(np.uint64)), pack(np.diff(first)), pack(words, 4), pack(kinds, 8, True)]
+            texts = [pack(ids.view(np.uint64)), pack(none, 1), pack(np.diff(first)), pack(words, 4), pack(kinds, 8, True)]
             body = b"".join(len(x).to_bytes(4, "little") + x for x in texts)
             out.append((TEXT, block % buckets, block, body, b""))
             yield _emit(out)
+            del table, tokens, kinds, words, code, out
             release()
 
     return run
@@ -258,33 +281,27 @@ def _codes(kinds: np.ndarray, words: np.ndarray, first: np.ndarray, hot: np.ndar
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model's rows of a bucket (block null) come before the questions to it; texts pass through."""
     bucket = None
-    words = pairs = None
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket:
-                bucket = row["bucket"]
-                words, pairs = [np.zeros(0, np.uint64), {}], (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-                added = []
-            if row["kind"] == TEXT:
-                out.append((TEXT, row["bucket"], row["block"], row["body"], b""))
-            elif row["model"]:
-                if row["kind"] == PAIR:
-                    pairs = (unpack(row["body"], 6, True), unpack(row["more"]))
-                else:
-                    added.append(row)
-                    words = None
-            elif row["kind"] == PAIR:
-                keys = unpack(row["body"], 6, True)
-                out.append((PAIR, bucket, row["block"], pack(_look(pairs[0], pairs[1], keys)), b""))
+    none = np.zeros(0, np.uint64)
+    words, pairs, added = (none, {}), (none, none), []
+    for row in _rows(batches):
+        if row["bucket"] != bucket:
+            bucket = row["bucket"]
+            words, pairs, added = (none, {}), (none, none), []
+        if row["kind"] == TEXT:
+            yield _emit([(TEXT, bucket, row["block"], row["body"], b"")])
+        elif row["model"]:
+            if row["kind"] == PAIR:
+                pairs = (unpack(row["body"], 6, True), unpack(row["more"]))
             else:
-                if words is None:
-                    words = _joined(added)
-                keys = unpack(row["body"], 8, True)
-                found = [_look(words[0], words[1].get(k, np.zeros(len(words[0]), np.uint64)), keys) for k in ("n", "mass", "arcs")]
-                out.append((WORD, bucket, row["block"], pack(np.concatenate(found)), b""))
-        if out:
-            yield _emit(out)
+                added.append(row)
+        elif row["kind"] == PAIR:
+            yield _emit([(PAIR, bucket, row["block"], pack(_look(pairs[0], pairs[1], unpack(row["body"], 6, True))), b"")])
+        else:
+            if added:
+                words, added = _joined(added), []
+            keys = unpack(row["body"], 8, True)
+            found = [_look(words[0], words[1].get(k, np.zeros(len(words[0]), np.uint64)), keys) for k in ("n", "mass", "arcs")]
+            yield _emit([(WORD, bucket, row["block"], pack(np.concatenate(found)), b"")])
 
 
 def _joined(rows: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -316,85 +333,87 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
 def _score(buckets: int, hot: np.ndarray, g: Globals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if block is not None and row["block"] != block:
-                    yield from _walk(held, buckets, hot, g)
-                    held = []
-                    release()
-                block = row["block"]
-                held.append(row)
+        for row in _rows(batches):
+            if block is not None and row["block"] != block:
+                yield _walk(held, buckets, hot, g)
+                held = []
+                release()
+            block = row["block"]
+            held.append(row)
         if held:
-            yield from _walk(held, buckets, hot, g)
+            yield _walk(held, buckets, hot, g)
+            release()
 
     return run
 
 
-def _walk(rows: list[dict], buckets: int, hot: np.ndarray, g: Globals) -> Iterator[pa.RecordBatch]:
-    answers = {kind: [unpack(r["body"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])] for kind in (WORD, PAIR)}
-    # two blocks of one number hold the same texts and asked the same, so one set of answers serves each
-    for text in (r["body"] for r in rows if r["kind"] == TEXT):
-        parts, at = [], 0
-        while at < len(text):
-            size = int.from_bytes(text[at : at + 4], "little")
-            parts.append(text[at + 4 : at + 4 + size])
-            at += 4 + size
-        ids, lengths, words, kinds = unpack(parts[0]).astype(np.int64), unpack(parts[1]).astype(np.int64), unpack(parts[2], 4).astype(np.int64), unpack(parts[3], 8, True)
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        where = (mix(kinds) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        n, mass, arcs = (np.zeros(len(kinds)) for _ in range(3))
-        replies = _distinct(answers[WORD], len(distinct(where)))
-        cut = np.cumsum([0, *(len(x) // 3 for x in replies)])
-        for x, i in zip(replies, cut, strict=False):
-            own = order[i : i + len(x) // 3]
-            n[own], mass[own], arcs[own] = x.reshape(3, -1).astype(float)
-        code = _codes(kinds, words, first, hot, buckets)
-        pairs = np.concatenate(_distinct(answers[PAIR], len(distinct(code >> np.uint64(48))))).astype(float)
-        begin = int(np.searchsorted(kinds, START))
-        seen_as_history = n.copy()
-        seen_as_history[begin] = g.texts
-        unigram = (n + 0.5) / (g.tokens + 0.5 * (g.kinds + 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            backoff = np.where(seen_as_history > 0, 1 - (mass - g.discount * arcs) / seen_as_history, 1.0)
-        before = np.empty_like(words)
-        before[1:], before[first[:-1]] = words[:-1], begin
-        both = distinct(before * len(kinds) + words)
-        states, ends = both // len(kinds), both % len(kinds)
-        own_where, own_key = _pairs(kinds[states], kinds[ends], hot, buckets)
-        n_pair = pairs[np.searchsorted(code, (own_where.astype(np.uint64) << np.uint64(48)) | own_key)]
-        has = n_pair > 0
-        with np.errstate(divide="ignore"):
-            weights = np.log10((n_pair[has] - g.discount) / seen_as_history[states[has]] + backoff[states[has]] * unigram[ends[has]])
-            fail = np.log10(np.maximum(backoff, 1e-12))
-        automaton = BackoffAutomaton(np.log10(unigram), fail, both[has], weights)
-        steps = automaton.steps(before, words)
-        score = np.add.reduceat(steps, first[:-1])
-        base = np.add.reduceat(automaton.root[words], first[:-1])
-        known = np.add.reduceat((n[words] > 0).astype(np.int64), first[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-
-def _distinct(replies: list[np.ndarray], asked: int) -> list[np.ndarray]:
-    """One answer of each bucket, in order."""
-    return replies[:: max(1, len(replies) // max(1, asked))]
+def _walk(rows: list[dict], buckets: int, hot: np.ndarray, g: Globals) -> pa.RecordBatch:
+    """The scores of one block: its text row, and the answer of each bucket that it asked."""
+    (text,) = (r["body"] for r in rows if r["kind"] == TEXT)
+    replies = {kind: [unpack(r["body"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])] for kind in (WORD, PAIR)}
+    parts, at = [], 0
+    while at < len(text):
+        size = int.from_bytes(text[at : at + 4], "little")
+        parts.append(text[at + 4 : at + 4 + size])
+        at += 4 + size
+    ids, none, lengths, words = unpack(parts[0]).view(np.int64), unpack(parts[1], 1) > 0, unpack(parts[2]).astype(np.int64), unpack(parts[3], 4).astype(np.int64)
+    kinds = unpack(parts[4], 8, True)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    order = np.argsort((mix(kinds) % np.uint64(buckets)).astype(np.int64), kind="stable")
+    n, mass, arcs = (np.zeros(len(kinds)) for _ in range(3))
+    done = 0
+    for x in replies[WORD]:
+        own = order[done : done + len(x) // 3]
+        n[own], mass[own], arcs[own] = x.reshape(3, -1).astype(float)
+        done += len(own)
+    code = _codes(kinds, words, first, hot, buckets)
+    pairs = np.concatenate(replies[PAIR]).astype(float)
+    if done != len(kinds) or len(pairs) != len(code):
+        raise RuntimeError("a block's answers do not fit its questions: the texts must come in the same order when a task runs again")
+    begin = int(np.searchsorted(kinds, START))
+    seen_as_history = n.copy()
+    seen_as_history[begin] = g.texts
+    unigram = (n + 0.5) / (g.tokens + 0.5 * (g.kinds + 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        backoff = np.where(seen_as_history > 0, 1 - (mass - g.discount * arcs) / seen_as_history, 1.0)
+    before = np.empty_like(words)
+    before[1:], before[first[:-1]] = words[:-1], begin
+    both = distinct(before * len(kinds) + words)
+    del before
+    states, ends = both // len(kinds), both % len(kinds)
+    own_where, own_key = _pairs(kinds[states], kinds[ends], hot, buckets)
+    n_pair = pairs[np.searchsorted(code, (own_where.astype(np.uint64) << np.uint64(48)) | own_key)]
+    del own_where, own_key, code, pairs
+    has = n_pair > 0
+    with np.errstate(divide="ignore"):
+        weights = np.log10((n_pair[has] - g.discount) / seen_as_history[states[has]] + backoff[states[has]] * unigram[ends[has]])
+        fail = np.log10(np.maximum(backoff, 1e-12))
+    automaton = BackoffAutomaton(np.log10(unigram), fail, both[has], weights)
+    del states, ends, both, has, n_pair
+    score = automaton.walk(words, first, begin)
+    base = np.add.reduceat(automaton.root[words], first[:-1])
+    known = np.add.reduceat((n[words] > 0).astype(np.int64), first[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(train: DataFrame, texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def score_texts(train: DataFrame, texts: DataFrame, min_count: int = 1) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of `texts`, by the model of `train`.
 
-    train: text; texts: doc_id, text. Null text counts as empty: one END token. A null doc_id comes back null. Rows
-    repeated are scored each. base_score is that of the smoothed unigram alone. Without training texts every
-    token is unknown and has the probability one half over one half. Bigrams seen less than min_count times are no
-    arcs; 1 keeps every bigram.
+    train: text; texts: doc_id, text. Null text counts as empty: one END token. A null doc_id comes back null, and rows with
+    the same id, or without one, are scored each by its own text. base_score is that of the smoothed unigram alone. Without
+    training texts every token is unknown and has the probability one half over one half. Bigrams seen less than min_count times
+    are no arcs; 1 keeps every bigram. Columns beside these are not read. An empty table gives an empty one.
     """
     spark = texts.sparkSession
-    width = shuffle_width(spark)
-    buckets = 4 * width
     text = F.col("text").cast("string").alias("text")
+    bytes_of = F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))
+    learnt, size = train.agg(F.count(F.lit(1)), bytes_of).first()
+    size = max(size, texts.agg(bytes_of).first()[0])
+    width = shuffle_width(spark, size, PART_BYTES)
+    buckets = max(4 * width, -(-size // BUCKET_BYTES))
     shuffled = lambda df: df.repartition(width, "bucket").sortWithinPartitions("bucket")
     words = shuffled(train.select(text).mapInArrow(_count_words(buckets), ROW)).mapInArrow(_sum_words, "bucket int, body binary, more binary, tokens long, kinds long, most long")
     words = written(words, "words")
@@ -406,11 +425,10 @@ def score_texts(train: DataFrame, texts: DataFrame, min_count: int = MIN_COUNT)
     pairs = shuffled(train.select(text).mapInArrow(_count_pairs(buckets, hot), ROW)).mapInArrow(_sum_pairs(buckets, min_count), f"{ROW}, once long, twice long")
     pairs = written(pairs, "pairs")
     once, twice = pairs.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
-    g = Globals(tokens, kinds, train.count(), once / (once + 2 * twice) if once and twice else 0.75)
+    g = Globals(tokens, kinds, learnt, once / (once + 2 * twice) if once and twice else 0.75)
     model = words.select(F.lit(WORD).alias("kind"), "bucket", F.lit(0).cast("long").alias("block"), "body", "more").unionByName(pairs.select("kind", "bucket", "block", "body", "more"))
-    asked = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), text).mapInArrow(_ask(buckets, hot), ROW)
+    asked = texts.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_ask(buckets, hot), ROW)
     both = model.withColumn("model", F.lit(True)).unionByName(asked.withColumn("model", F.lit(False)))
     answered = both.repartition(width, "bucket").sortWithinPartitions("bucket", F.desc("model")).mapInArrow(_answer, ROW)
     scored = answered.repartition(width, "block").sortWithinPartitions("block").mapInArrow(_score(buckets, hot, g), SCORES)
-    row = F.when(F.col("doc_id") == -(2**63), None).otherwise(F.col("doc_id"))
-    return scored.select(row.alias("doc_id"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: dict[int, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this process only where the setting is empty."""
+    """The folder that spark.checkpoint.dir names; where the setting is empty, one of this process on a local master, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later jobs restart from the files, not from the inputs.
 
-    The files go when the session's JVM ends.
+    The shuffles that made it are deleted when it is written. Its own files go by forget(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # only queries that begin meanwhile see it, and none needs its shuffles once it has ended
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    hadoop, system = _files(spark, path)
+    system.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(id(df), None):
+            hadoop, system = _files(df.sparkSession, path)
+            system.delete(hadoop, True)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -53,5 +81,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shuffle_width(spark: SparkSession, size: int = 0, part: int = 64 << 20) -> int:
+    """The session's number of shuffle partitions, or as many as `size` bytes of input need at `part` each, if that is more."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part))

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-PIECE_BYTES = 1 << 19
+#: Bytes, or shingles, that are worked on at once.
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,7 +27,6 @@ _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE_BYTES), _BASE if which == "up" else _BASE_INV, np.uint64)
-        steps[0] = 1
-        have = _powers[which] = np.multiply.accumulate(steps)
-    return have[:n]
+@lru_cache(maxsize=4)
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, modulo 2**64."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,24 +73,53 @@ class Words:
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    if not len(raw):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    low = _LOWER[raw]
-    inside = _IN_WORD[low]
-    edges = offsets[(offsets > 0) & (offsets < len(raw))]
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    before[edges] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1], after[:-1] = False, inside[1:]
-    after[edges - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[low] * _power("up", len(raw)), out=sums[1:])
-    own = (sums[ends] - sums[starts]) * _power("down", len(raw))[starts]
-    own = mix(own ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return Words(own, np.searchsorted(starts, offsets).astype(np.int64))
+    """In pieces of PIECE_BYTES, cut anywhere: a word that goes over a piece's end is carried into the next, so beside the result memory does not grow with a text."""
+    up, down = _power(_BASE, PIECE_BYTES), _power(_BASE_INV, PIECE_BYTES)
+    parts, sizes, first = [], [], np.zeros(len(offsets), np.int64)
+    held, held_size, begun = 0, 0, 0  # the open word's sum and bytes; words begun so far
+    for begin in range(0, len(raw), PIECE_BYTES):
+        low = _LOWER[raw[begin : begin + PIECE_BYTES]]
+        n = len(low)
+        inside = _IN_WORD[low]
+        i, j = np.searchsorted(offsets, [begin, begin + n])
+        edges = offsets[i:j] - begin  # documents that begin here
+        new = inside.copy()
+        new[1:] &= ~inside[:-1]
+        new[edges] |= inside[edges]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        at = edges[edges > 0] - 1
+        last[at] |= inside[at]
+        starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[low] * up[:n], out=sums[1:])
+        own, size = (sums[ends] - sums[starts]) * down[starts], ends - starts
+        fresh = starts
+        if held_size:
+            if len(starts) and starts[0] == 0 and not (len(edges) and edges[0] == 0):
+                own[0] = (held + pow(_BASE, held_size, 2**64) * int(own[0])) % 2**64
+                size[0] += held_size
+                fresh = starts[1:]
+            else:
+                parts.append(np.array([held], np.uint64))
+                sizes.append(np.array([held_size]))
+            held_size = 0
+        first[i:j] = begun + np.searchsorted(fresh, edges)
+        begun += len(fresh)
+        if len(ends) and ends[-1] == n and begin + n < len(raw):
+            held, held_size = int(own[-1]), int(size[-1])
+            own, size = own[:-1], size[:-1]
+        parts.append(own)
+        sizes.append(size)
+    first[np.searchsorted(offsets, len(raw)) :] = begun
+    out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    at = 0
+    for size in sizes:
+        end = at + len(size)
+        out[at:end] = mix(out[at:end] ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        at = end
+    return Words(out, first)
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,14 +132,25 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES) -> Ite
 
 
 def batch_words(column: pa.Array | pa.ChunkedArray) -> Words:
-    raw, offsets = utf8(column)
-    parts, firsts, n = [], [np.zeros(1, np.int64)], 0
-    for _, _, r, o in pieces(raw, offsets):
-        w = words(r, o)
-        parts.append(w.hashes)
-        firsts.append(w.first[1:] + n)
-        n += len(w.hashes)
-    return Words(np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(firsts))
+    return words(*utf8(column))
+
+
+def spans(first: np.ndarray, most: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(begin, end, document, its and the following documents' shares) of stretches of at most `most` items; first: where each document's items begin."""
+    for a in range(0, int(first[-1]), most):
+        b = min(a + most, int(first[-1]))
+        d, e = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b))
+        yield a, b, d, np.minimum(first[d + 1 : e + 1], b) - np.maximum(first[d:e], a)
+
+
+def sums_by(first: np.ndarray, values, most: int = PIECE_BYTES) -> np.ndarray:
+    """Each document's sum, modulo 2**64, of values(begin, end) over its items."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    for a, b, d, shares in spans(first, most):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values(a, b), dtype=np.uint64)])
+        ends = np.cumsum(shares)
+        out[d : d + len(shares)] += total[ends] - total[ends - shares]
+    return out
 
 
 def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +161,20 @@ def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     counts = w.counts()
     made = np.where(counts >= SHINGLE, counts - (SHINGLE - 1), np.minimum(counts, 1))
     first = np.concatenate([np.zeros(1, np.int64), np.cumsum(made)])
-    if not len(w.hashes):
-        return np.zeros(0, np.uint64), first
-    padded = np.concatenate([w.hashes, np.zeros(SHINGLE - 1, np.uint64)])
-    at = np.arange(first[-1]) + np.repeat(w.first[:-1] - first[:-1], made)
-    short = np.repeat(np.where(counts >= SHINGLE, SHINGLE, counts), made)
-    sums = short.astype(np.uint64) * _PLACE[SHINGLE]
-    for k in range(SHINGLE):
-        here = padded[at + k] * _PLACE[k]
-        sums += here if k == 0 else np.where(short > k, here, np.uint64(0))
-    sums = mix(sums)
+    sums = np.empty(first[-1], np.uint64)
+    for a, b, d, shares in spans(first, PIECE_BYTES):
+        at = np.arange(a, b) + np.repeat(w.first[d : d + len(shares)] - first[d : d + len(shares)], shares)
+        short = np.repeat(np.minimum(counts[d : d + len(shares)], SHINGLE), shares)
+        part = short.astype(np.uint64) * _PLACE[SHINGLE]
+        for k in range(SHINGLE):
+            here = np.take(w.hashes, at + k, mode="clip") * _PLACE[k]
+            part += here if k == 0 else np.where(short > k, here, np.uint64(0))
+        sums[a:b] = mix(part)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a > 1:
             sums[a:b].sort()
     keep = np.ones(len(sums), bool)
     keep[1:] = sums[1:] != sums[:-1]
     keep[first[:-1][made > 0]] = True
-    kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
-    return sums[keep], kept[first]
+    kept = sums_by(first, lambda a, b: keep[a:b]).astype(np.int64)
+    return sums[keep], np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])

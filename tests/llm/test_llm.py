@@ -49,6 +49,25 @@ def test_words_and_shingles_equal_plain_python():
     assert s[first[4] : first[5]].tolist() == s[first[5] : first[6]].tolist()
 
 
+def test_words_do_not_depend_on_where_pieces_end(monkeypatch):
+    rng, plain = random.Random(2), []
+    for _ in range(60):
+        plain.append([None if rng.random() < 0.1 else "".join(rng.choice(["a", "B", " ", "é", "\t", "word ", "xx"]) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(12))])
+
+    def found():
+        out = []
+        for texts in plain:
+            w = vectext.batch_words(pa.array(texts, pa.string()))
+            out.append([x.tolist() for x in (w.hashes, w.first, *vectext.shingle_sets(w))])
+        return out
+
+    whole = found()
+    assert [np.diff(x[1]).tolist() for x in whole] == [[len(words(t)) for t in texts] for texts in plain]
+    for size in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(vectext, "PIECE_BYTES", size)
+        assert found() == whole
+
+
 def test_packing_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 2**48, 1000, dtype=np.uint64))
     assert (packing.unpack(packing.pack(x, 6, True), 6, True) == x).all()
@@ -296,66 +315,58 @@ def test_threshold_stops_before_the_end():
 # --- 7 language model
 
 
-def test_lm_equals_plain_python(spark, odd_docs, no_docs):
-    docs = odd_docs.select("doc_id", "text").where("doc_id is not null")
-    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    train = docs.where(session.fold(F.col("doc_id")) != 1)
-    c, b, n = Counter(), Counter(), 0
-    for i, t in texts:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            w = [*words(t), "\n"]
-            c.update(w)
-            b.update(zip(["\t", *w], w, strict=False))
-            n += 1
+def plain_scores(train, texts):
+    """[(n_tokens, n_known, base, score)] of texts by a literal left-to-right walk over counts in plain Python."""
+    c, b = Counter(), Counter()
+    for t in train:
+        w = [*words(t), "\n"]
+        c.update(w)
+        b.update(zip(["\t", *w], w, strict=False))
     total, kinds = sum(c.values()), len(c)
     once, twice = sum(v == 1 for v in b.values()), sum(v == 2 for v in b.values())
     d = once / (once + 2 * twice) if once and twice else 0.75
-    mass, arcs = Counter(), Counter()
-    for (h, _), v in b.items():
-        if v > 1:
-            mass[h] += v
-            arcs[h] += 1
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm.score_texts(train, docs).collect())
-    want = Counter()
-    for i, t in texts:
-        w = [*words(t), "\n"]
-        p1 = [(c[x] + 0.5) / (total + 0.5 * (kinds + 1)) for x in w]
-        score = 0.0
-        for h, x, p in zip(["\t", *w], w, p1, strict=False):
-            seen = n if h == "\t" else c[h]
-            back = 1 - (mass[h] - d * arcs[h]) / seen if seen else 1.0
-            score += math.log10((b[h, x] - d) / seen + back * p if b[h, x] > 1 else back * p)
-        want[(i, len(w), sum(c[x] > 0 for x in w), total, sum(map(math.log10, p1)), score)] += 1
-    assert [x[:4] for x in sorted(got)] == [x[:4] for x in sorted(want)] and sum(got.values()) == sum(want.values())
-    assert np.allclose([x[4:] for x in sorted(got)], [x[4:] for x in sorted(want)], rtol=1e-9)
-    assert lm.score_texts(train, odd_docs.select("doc_id", "text")).where("doc_id is null").count() == 1
+    arcs = Counter(h for h, _ in b)
+    out = []
+    for t in texts:
+        state, base, score, known, n = "\t", 0.0, 0.0, 0, 0
+        for x in [*words(t), "\n"]:
+            p = (c[x] + 0.5) / (total + 0.5 * (kinds + 1))
+            seen = len(train) if state == "\t" else c[state]
+            back = d * arcs[state] / seen if seen else 1.0
+            score += math.log10((b[state, x] - d) / seen + back * p) if (state, x) in b else math.log10(back) + math.log10(p)
+            base += math.log10(p)
+            known, n, state = known + (c[x] > 0), n + 1, x
+        out.append((n, known, base, score))
+    return out, total
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_lm_equals_plain_python(spark, odd_docs, no_docs, parts):
+    """Also for ids that repeat or are missing: each row by its own text, however rows are dealt out."""
+    more = [(5, "a b c"), (5, "q r s"), (None, "a b c"), (None, "short zz one"), (77, "a b c d a b"), (2**62, ""), (-(2**63), "x y")]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).coalesce(1)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    train = docs.where(session.fold(F.col("doc_id")) != 1)
+    scores, total = plain_scores([t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1], [t for _, t in rows])
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm.score_texts(train, docs.repartition(parts, "text")).collect()]
+    want = [(i, n, known, total, base, score) for (i, _), (n, known, base, score) in zip(rows, scores, strict=True)]
+    flat = lambda found: sorted((-(2**64) if r[0] is None else r[0], *r[1:4], *(round(x, 6) for x in r[4:])) for r in found)
+    assert len(got) == len(want) and np.allclose(np.array(flat(got), float), np.array(flat(want), float), rtol=1e-9)
     assert lm.score_texts(train, no_docs.select("doc_id", "text")).count() == 0
     assert {r["base_score"] for r in lm.score_texts(train.limit(0), docs.where("doc_id = 4")).collect()} == {0.0}
 
 
-def test_lm_query_keeps_bigrams_seen_once(spark, monkeypatch):
-    train = [(0, "a b c a b d"), (2, "b e"), (3, "a b")]  # no id of the held-out fold
-    docs = spark.createDataFrame([*train, (1000, "b e c a"), (1001, "e b")], "doc_id long, text string")
-    asked = {}
+def test_lm_query_uses_all_bigrams_outside_the_fold(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["a b c a b d", "b e", "a b", "b e c a", "e b", "c c", "a d", "d b e"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(queries, "table", lambda *_: docs)
-    plain = lm.score_texts
-    monkeypatch.setattr(lm, "score_texts", lambda _, texts, **kw: plain(spark.createDataFrame(train, docs.schema), texts, **(asked.update(kw) or kw)))
-    got = {r["doc_id"]: r["score"] for r in queries.op7_lm_scoring(spark, SF).collect()}
-    assert asked == {"min_count": 1}
-    c, b = Counter(), Counter()
-    for _, t in train:
-        w = [*words(t), "\n"]
-        c.update(w)
-        b.update(zip(["\t", *w], w, strict=False))
-    once, twice, total = sum(v == 1 for v in b.values()), sum(v == 2 for v in b.values()), sum(c.values())
-    d = once / (once + 2 * twice) if once and twice else 0.75
-    for i, t in docs.collect():
-        score = 0.0
-        for h, x in zip(["\t", *words(t)], [*words(t), "\n"], strict=True):
-            p = (c[x] + 0.5) / (total + 0.5 * (len(c) + 1))
-            seen, arcs = (3 if h == "\t" else c[h]), sum(g == h for g, _ in b)
-            score += math.log10(max(b[h, x] - d, 0) / seen + d * arcs / seen * p)
-        assert abs(got[i] - score) < 1e-9
+    got = {r["doc_id"]: r for r in queries.op7_lm_scoring(spark, SF).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    scores, total = plain_scores([t for i, t in rows if not held[i]], [t for _, t in rows])
+    for (i, _), (n, known, base, score) in zip(rows, scores, strict=True):
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], n, known, total)
+        assert abs(r["base_score"] - base) < 1e-9 and abs(r["score"] - score) < 1e-9
 
 
 def test_automaton_probabilities_sum_to_one():
@@ -364,8 +375,9 @@ def test_automaton_probabilities_sum_to_one():
     back = (1 - p) / (1 - 0.3)
     a = lm.BackoffAutomaton(root, np.log10(np.array([back, 1, 1])), arcs, np.log10(np.array([p])))
     for state in range(3):
-        assert abs((10 ** a.steps(np.full(3, state), np.arange(3))).sum() - 1) < 1e-12
-    assert abs(a.walk(np.array([0, 1, 2]), 2) - (root[0] + np.log10(p) + root[2])) < 1e-12
+        assert abs((10 ** a.step(np.full(3, state), np.arange(3))).sum() - 1) < 1e-12
+    texts = np.array([0, 1, 2, 1])
+    assert np.allclose(a.walk(texts, np.array([0, 3, 4]), 2), [root[0] + np.log10(p) + root[2], root[1]], atol=1e-12)
 
 
 # --- 8 language identification
