@@ -29,7 +29,7 @@ from galena.llm.packing import distinct, gathered, pack, release, runs, unpack
 from galena.llm.session import shuffle_width, written
 from galena.llm.vectext import Words, batch_words, mix
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES, PART_BYTES = 8 << 20, 32 << 20
 END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
@@ -259,7 +259,7 @@ def _ask(buckets: int, hot: np.ndarray):
             out = [(WORD, b, block, pack(kinds[order[i:j]], 8, True), b"") for b, i, j in _cut(where[order])]
             code = _codes(kinds, words, first, hot, buckets)
             out += [(PAIR, b, block, pack(code[i:j] & np.uint64(2**48 - 1), 6, True), b"") for b, i, j in _cut((code >> np.uint64(48)).astype(np.int64))]
-            texts = [pack(ids.view(np.uint64)), pack(none, 1), pack(np.diff(first)), pack(words, 4), pack(kinds, 8, True)]
+            texts = [pack(ids.view(np.uint64)), pack(none, 1), pack(np.diff(first)), pack(words, 4)]
             body = b"".join(len(x).to_bytes(4, "little") + x for x in texts)
             out.append((TEXT, block % buckets, block, body, b""))
             yield _emit(out)
@@ -301,7 +301,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, added = _joined(added), []
             keys = unpack(row["body"], 8, True)
             found = [_look(words[0], words[1].get(k, np.zeros(len(words[0]), np.uint64)), keys) for k in ("n", "mass", "arcs")]
-            yield _emit([(WORD, bucket, row["block"], pack(np.concatenate(found)), b"")])
+            yield _emit([(WORD, bucket, row["block"], pack(np.concatenate(found)), row["body"])])  # the words go back too, so texts do without them
 
 
 def _joined(rows: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -350,25 +350,21 @@ def _score(buckets: int, hot: np.ndarray, g: Globals):
 def _walk(rows: list[dict], buckets: int, hot: np.ndarray, g: Globals) -> pa.RecordBatch:
     """The scores of one block: its text row, and the answer of each bucket that it asked."""
     (text,) = (r["body"] for r in rows if r["kind"] == TEXT)
-    replies = {kind: [unpack(r["body"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])] for kind in (WORD, PAIR)}
+    replies = {kind: sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"]) for kind in (WORD, PAIR)}
     parts, at = [], 0
     while at < len(text):
         size = int.from_bytes(text[at : at + 4], "little")
         parts.append(text[at + 4 : at + 4 + size])
         at += 4 + size
     ids, none, lengths, words = unpack(parts[0]).view(np.int64), unpack(parts[1], 1) > 0, unpack(parts[2]).astype(np.int64), unpack(parts[3], 4).astype(np.int64)
-    kinds = unpack(parts[4], 8, True)
     first = np.concatenate([[0], np.cumsum(lengths)])
-    order = np.argsort((mix(kinds) % np.uint64(buckets)).astype(np.int64), kind="stable")
-    n, mass, arcs = (np.zeros(len(kinds)) for _ in range(3))
-    done = 0
-    for x in replies[WORD]:
-        own = order[done : done + len(x) // 3]
-        n[own], mass[own], arcs[own] = x.reshape(3, -1).astype(float)
-        done += len(own)
+    kinds = np.concatenate([unpack(r["more"], 8, True) for r in replies[WORD]])
+    order = np.argsort(kinds)
+    kinds = kinds[order]
+    n, mass, arcs = np.concatenate([unpack(r["body"]).reshape(3, -1) for r in replies[WORD]], axis=1)[:, order].astype(float)
     code = _codes(kinds, words, first, hot, buckets)
-    pairs = np.concatenate(replies[PAIR]).astype(float)
-    if done != len(kinds) or len(pairs) != len(code):
+    pairs = np.concatenate([unpack(r["body"]) for r in replies[PAIR]]).astype(float)
+    if len(pairs) != len(code):
         raise RuntimeError("a block's answers do not fit its questions: the texts must come in the same order when a task runs again")
     begin = int(np.searchsorted(kinds, START))
     seen_as_history = n.copy()
