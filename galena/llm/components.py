@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.session import written
+from galena.llm.session import forget, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (a long, b long): root is the component's smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a long, b long): root is the component's smallest node. A written table.
 
-    Large-star and small-star steps by turns until no edge changes. The least neighbour of a node is found by a
-    partial aggregate and joined back, so a node with very many edges is split as any skewed join is. Edges
-    from a node to itself only name it; no edge gives no row.
+    Large-star and small-star steps by turns until no edge changes, which takes rounds in the logarithm of the largest component.
+    The least neighbour of a node is found by a partial aggregate and joined back, so a node with very many edges is split as
+    any skewed join is. Edges from a node to itself only name it; no edge gives no row.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == state or not mark[0]:
             break
@@ -34,6 +34,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # every smaller neighbour, and the node itself, gets an edge to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").union(low.select(F.col("a").alias("x"), "m"))
-        now = written(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        last, now = now, written(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        forget(last)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    out = written(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    forget(now)
+    return out

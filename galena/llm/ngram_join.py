@@ -1,16 +1,19 @@
 """Jaccard self-join of documents on word shingles by multiple-global-order filtering.
 
-Two sets with 100 * |A and B| >= 75 * |A or B| share a token among the first n - ceil(3n/4) + 1 of each under any
+Two sets with 100 * |A and B| >= 75 * |A or B| share tokens among the first n - ceil(3n/4) + 1 of each under any
 global order. Three orders are used: all rank tokens by how common they are (rarest first) and differ in the hash
-that ranks equals. Sets that share a prefix token under the first order are brought together by a shuffle; a pair
-must pass the prefixes of the other two orders before its whole sets are compared. How common a token is comes
-from a sketch of fixed size over all documents, and only steers the order: no result depends on it.
-
-Sets are identified by a signature, so copies of a set are one entity. Pairs are never listed by token: the tokens
-that belong mostly to one component form a group, whose task counts the prefix tokens that its sets share and names those pairs that
-share enough for a link. Two rounds compare only the likeliest partners of each set and join what links into
-components; the last round compares every such pair across different components. So no link is lost that could
-change a component, and a large group of near copies costs a few comparisons a member rather than all pairs.
+that ranks equals. Sets that share prefix tokens under the first order are brought together by a shuffle. Of these pairs
+only those whose prefixes under the second and the third order share enough tokens too are candidates; prefixes of
+these orders are 32-bit prints, so a chance equality can only let a pair pass. Only candidates' whole sets are fetched and
+compared. How common a token is comes from a sketch of fixed size over all documents, and only steers the order: no result
+depends on it.
+
+Sets are identified by a signature of 64 bits, so copies of a set are one entity (among d documents d**2 / 2**65 pairs of different
+sets are expected to share one). Pairs are never listed by token. Two linear rounds first compare each set with its
+neighbours in lists sorted by a min-hash, and join what links into components, so that a large group of near copies
+costs a few comparisons a member. The last round takes every pair of sets of different components that share enough
+prefix tokens: tokens that belong mostly to one component form a group, in which that component's sets meet only the
+others. So no link is lost that could change a component.
 """
 
 from __future__ import annotations
@@ -20,19 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.llm.components import components
 from galena.llm.packing import gathered, pack, release, runs, unpack
-from galena.llm.session import fresh, shuffle_width, written
-from galena.llm.vectext import batch_words, mix, shingle_sets
+from galena.llm.session import forget, fresh, shuffle_width, written
+from galena.llm.vectext import batch_words, mix, shingle_sets, sums_by
 
 BLOCK_BYTES = 4 << 20
-CELLS, CHUNKS = 1 << 23, 32
+CELLS, CHUNKS, SPREAD = 1 << 23, 32, 32
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-#: Sets of a group that meet at once.
-GROUP_BLOCK = 2048
+#: Prefix tokens of either side of a group that meet at once, and rows of a token that are sorted at once in a linear round.
+GROUP_BLOCK, LIST_BLOCK = 16_384, 1024
+#: Linear rounds, and how many neighbours a set is compared with in each.
+LINEAR, NEIGHBOURS = 2, 2
 #: Up to so many ids an id list goes to every executor; beyond, it is joined by a shuffle.
 MOST_BROADCAST_IDS = 2_000_000
 
@@ -50,12 +55,9 @@ def order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray
 def _sets(table: pa.Table, text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents' shingles, where each document's begin, and each document's signature."""
     tokens, first = shingle_sets(batch_words(table.column(text)))
-    a, b = mix(tokens), mix(tokens + ORDERS[2])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a, dtype=np.uint64)])
-    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b, dtype=np.uint64)])
     n = np.diff(first).astype(np.uint64)
-    sign = mix((total[first[1:]] - total[first[:-1]]) ^ mix((other[first[1:]] - other[first[:-1]]) + n))
-    return tokens, first, sign.view(np.int64)
+    one, two = sums_by(first, lambda a, b: mix(tokens[a:b])), sums_by(first, lambda a, b: mix(tokens[a:b] + ORDERS[2]))
+    return tokens, first, mix(one ^ mix(two + n)).view(np.int64)
 
 
 SURVEYED = "doc_id long, entity long, n int, chunk int, body binary"
@@ -110,12 +112,16 @@ def _levels(mean: float):
 def _sketch(survey: DataFrame) -> Broadcast:
     """The level of each of CELLS cells, 8 MiB in all whatever the input, on every executor."""
     spark = survey.sparkSession
-    sums = survey.where("chunk is not null").select("chunk", "body").repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, body binary, total long")
+    parts = survey.where("chunk is not null").select("chunk", "body", F.pmod(F.xxhash64("body"), F.lit(SPREAD)).alias("salt"))
+    # in two steps: however many tasks there are, no one adds the sketches of all
+    sums = parts.repartition(shuffle_width(spark), "chunk", "salt").select("chunk", "body").mapInArrow(_add_chunks, "chunk int, body binary, total long")
+    sums = sums.select("chunk", "body").repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, body binary, total long")
     sums = written(sums, "sketch")
     total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     levels, step = np.zeros(CELLS, np.uint8), CELLS // CHUNKS
     for chunk, body in sums.mapInArrow(_levels(total / CELLS), "chunk int, body binary").collect():
         levels[chunk * step : (chunk + 1) * step] = unpack(body, 1)
+    forget(sums)
     return spark.sparkContext.broadcast(levels)
 
 
@@ -200,30 +206,66 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> bool:
-    """Whether two sets (rising tokens) pass the other orders' prefixes and then the threshold."""
-    small, large = sorted((len(a), len(b)))
-    if 4 * small < 3 * large or not small:
+def _other_prefixes(levels: Broadcast):
+    """(entity, n, prints): the prints of each set's prefixes under all orders but the first, in rising order, one order after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, BLOCK_BYTES):
+            tokens, first, sign = _sets(table, 0)
+            n = np.diff(first)
+            take = prefix_length(n)
+            some = np.flatnonzero(n).tolist()
+            keys = [order_keys(tokens, levels.value, order) for order in range(1, len(ORDERS))]
+            prints = []
+            for i in some:
+                own = []
+                for k in keys:
+                    part = np.partition(k[first[i] : first[i + 1]], take[i] - 1)[: take[i]].astype(np.uint32)  # the low bits: of the hash alone
+                    part.sort()
+                    own.append(part.tobytes())
+                prints.append(b"".join(own))
+            yield pa.RecordBatch.from_arrays([pa.array(sign[some]), pa.array(n[some].astype(np.int32)), pa.array(prints, pa.binary())], ["entity", "n", "prints"])
+            del table, tokens, keys, prints
+            release()
+
+    return run
+
+
+def passes(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
+    """Whether sets of m and n tokens with the prints x and y share enough of their prefixes under every order but the first."""
+    if 4 * min(m, n) < 3 * max(m, n):
         return False
-    for order in range(1, len(ORDERS)):
-        ka, kb = order_keys(a, levels, order), order_keys(b, levels, order)
-        pa_, pb = int(prefix_length(np.int64(len(a)))), int(prefix_length(np.int64(len(b))))
-        ka, kb = np.partition(ka, pa_ - 1)[:pa_], np.partition(kb, pb - 1)[:pb]
-        if not np.isin(ka, kb, kind="sort").any():
+    need = int(least_shared(np.int64(m), np.int64(n)))
+    for a, b in zip(np.split(x, len(ORDERS) - 1), np.split(y, len(ORDERS) - 1), strict=True):
+        both = np.concatenate([a, b])
+        both.sort()
+        # a print that stands twice in one prefix counts once too often, which only lets more pass
+        if int((both[1:] == both[:-1]).sum()) < need:
             return False
+    return True
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (rising tokens) are similar enough."""
     both = np.concatenate([a, b])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= 75 * (len(both) - shared)
+    return shared > 0 and 100 * shared >= 75 * (len(both) - shared)
 
 
-def _verify(levels: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), levels.value) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, m, n, x, y) as the pairs (a, b) that pass the other orders."""
+    for batch in batches:
+        m, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        keep = [passes(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), i, j) for x, y, i, j in zip(batch.column(4), batch.column(5), m, n, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, x, y) as the pairs (a, b) whose whole sets link."""
+    for batch in batches:
+        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
@@ -260,8 +302,8 @@ def _counter(at: np.ndarray, col: np.ndarray, entities: int, tokens: int, right:
     return lambda x: np.stack([np.bincount(np.concatenate([lists[t] for t in own[e]]), minlength=len(right)) for e in x]).astype(np.float32)
 
 
-def _meet(best: int | None):
-    """Pairs of entities of different components in each group (rows sorted by c, i, j, which name the group and two of its blocks)."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of entities of different components that share enough prefix tokens, from rows sorted by (c, i, j), which name a group and two of its blocks."""
     names = ["c", "i", "j", "block", "token", "entity", "n", "root", "groups"]
 
     def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -272,6 +314,8 @@ def _meet(best: int | None):
         tokens, col = np.unique(rows[:, 4], return_inverse=True)
         block, n, root, groups = (rows[first, k] for k in (3, 6, 7, 8))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return
         count = _counter(at, col, len(entities), len(tokens), right)
         for begin in range(0, len(left), 256):
             x = left[begin : begin + 256]
@@ -281,110 +325,173 @@ def _meet(best: int | None):
             need = least_shared(m, k) / np.minimum(groups[x][:, None], groups[right][None])
             good = (shared >= need) & (shared > 0) & (root[x][:, None] != root[right][None]) & (4 * np.minimum(m, k) >= 3 * np.maximum(m, k))
             if i == j:
-                if best is None:
-                    good &= entities[x][:, None] < entities[right][None]
-            if best is not None and good.shape[1] > best:
-                score = np.where(good, shared / np.maximum(m, k), -1)
-                low = np.partition(score, good.shape[1] - best, axis=1)[:, good.shape[1] - best]
-                good &= score >= low[:, None]
-                # of equals no more than best, in order of entities
-                good &= np.cumsum(good, axis=1) <= best
+                good &= entities[x][:, None] < entities[right][None]
             a, b = np.nonzero(good)
             if len(a):
                 p, q = entities[x[a]], entities[right[b]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, len(names)), np.int64)
-        for batch in batches:
-            table = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).astype(np.int64)
-            held = np.concatenate([held, table]) if len(held) else table
-            changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
-            cuts = [0, *changes.tolist()]
-            for p, q in zip(cuts, cuts[1:], strict=False):
-                yield from meet(held[p:q])
-            held = held[cuts[-1] :]
-        if len(held):
-            yield from meet(held)
-
-    return run
+    held = np.zeros((0, len(names)), np.int64)
+    for batch in batches:
+        table = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).astype(np.int64)
+        held = np.concatenate([held, table]) if len(held) else table
+        changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
+        cuts = [0, *changes.tolist()]
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            yield from meet(held[p:q])
+        held = held[cuts[-1] :]
+    if len(held):
+        yield from meet(held)
+
+
+def _contested(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, c, entity, n, root) of the tokens that entities of several components have; c: the component that most of them belong to."""
+    found = groups.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
+    placed = found.select("token", "entity", "n", F.coalesce("root", "entity").alias("root"))
+    held = placed.groupBy("token", "root").count()
+    leaders = held.groupBy("token").agg(F.count("*").alias("many"), F.max_by("root", F.struct("count", "root")).alias("c")).where("many > 1").select("token", "c")
+    return written(placed.join(leaders, "token"), "contested")
 
 
-def _candidates(groups: DataFrame, roots: DataFrame, width: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of entities in different components that share enough prefix tokens; of each entity's in a group only the `best`, if given.
+def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """Some pairs (a, b) of contested entities in different components, a few for each entity, in time linear in the rows.
 
-    Tokens make one group if the same component has most of their entities, so that near copies meet in few groups and the
-    tokens that a pair shares are counted there; a large group is cut into blocks, and a task takes two blocks of it.
+    Every token's entities are sorted by a min-hash of their contested tokens, a long list in ranges of it, and each is paired with the next one of another component;
+    pairs that come about through most tokens go first.
+    """
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(turn), "token"))
+    keys = hashed.groupBy("entity").agg(F.min("h").alias("key"))
+    longest = rows.groupBy("token").count().where(F.col("count") > LIST_BLOCK).select("token", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("cuts"))
+    listed = rows.select("token", "entity", "n", "root").join(keys, "entity").join(longest, "token", "left")
+    # ranges of the key alone would leave those with equal keys together, so each has a place of its own near its key
+    place = F.shiftrightunsigned(F.xxhash64("key"), 1) + F.pmod(F.xxhash64("entity"), F.lit(1 << 56))
+    cut = F.floor(place.cast("double") / F.lit(2.0**63 + 2.0**56) * F.coalesce("cuts", F.lit(1)))
+    order = Window.partitionBy("token", "cut").orderBy("place", "entity")
+    after = lambda x: F.lead(x).over(order)
+    listed = listed.withColumn("place", place).withColumn("cut", cut)
+    pairs = listed.select("entity", "n", "root", after("entity").alias("other"), after("n").alias("k"), after("root").alias("far"))
+    pairs = pairs.where((F.col("root") != F.col("far")) & (4 * F.least("n", "k") >= 3 * F.greatest("n", "k")))
+    counted = pairs.groupBy(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).count()
+    best = Window.partitionBy("a").orderBy(F.desc("count"), "b")  # as many rows as an entity has tokens at most
+    return counted.withColumn("best", F.row_number().over(best)).where(F.col("best") <= NEIGHBOURS).select("a", "b")
+
+
+def _all_pairs(rows: DataFrame, width: int) -> DataFrame:
+    """Every pair (a, b) of contested entities in different components that share enough prefix tokens.
+
+    In a group c the entities of the component c meet only those of others. Either side is cut into blocks of about GROUP_BLOCK rows,
+    and a task takes two blocks: blocks 0, 1, ... are the others, -1, -2, ... those of c.
     """
-    placed = written(_placed(groups, roots), "placed")
-    held = placed.groupBy("token", "root").count()
-    leaders = held.groupBy("token").agg(F.count("*").alias("many"), F.max_by("root", F.struct("count", "root")).alias("c")).where("many > 1").select("token", "c")
-    rows = written(placed.join(leaders, "token"), "contested")
     spread = rows.groupBy("entity").agg(F.countDistinct("c").alias("groups"))
-    blocks = rows.groupBy("c").agg(F.ceil(F.approx_count_distinct("entity") / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
-    blocks = written(blocks.where("blocks > 1"), "blocks")  # few groups: each has more than GROUP_BLOCK sets
-    blocks = F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST_IDS else blocks
-    block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
-    rows = rows.join(spread, "entity").join(blocks, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block)
-    # a block meets every block of its group, itself included, each two once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    mine = F.col("root") == F.col("c")
+    cuts = lambda side: F.greatest(F.ceil(F.count_if(side) / F.lit(GROUP_BLOCK)), F.lit(1)).cast("int")
+    sizes = written(rows.groupBy("c").agg(cuts(mine).alias("own"), cuts(~mine).alias("others")).where("own > 1 or others > 1"), "blocks")  # few: each of more than GROUP_BLOCK rows
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST_IDS else sizes
+    rows = rows.join(spread, "entity").join(sizes, "c", "left").withColumns({"own": F.coalesce("own", F.lit(1)), "others": F.coalesce("others", F.lit(1))})
+    at = F.xxhash64("entity")
+    rows = rows.withColumn("block", F.when(mine, -1 - F.pmod(at, F.col("own"))).otherwise(F.pmod(at, F.col("others"))).cast("int"))
+    # a block of others meets all blocks, itself included, each two once; one of c the others
+    outer = F.sequence(F.lit(0), F.col("others") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(mine, outer).otherwise(F.concat(outer, F.sequence(-F.col("own"), F.lit(-1))))))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     fed = rows.select("c", "i", "j", "block", "token", "entity", "n", "root", "groups").repartition(width, "c", "i", "j").sortWithinPartitions("c", "i", "j")
-    return fed.mapInArrow(_meet(best), "a long, b long").distinct()
+    return fed.mapInArrow(_meet, "a long, b long").distinct()
 
 
-def _placed(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """groups (token, entity, n) with each entity's component."""
-    found = groups.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
-    return found.select("token", "entity", "n", F.coalesce("root", "entity").alias("root"))
+def _texts_of(slim: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A text at least of every wanted entity: by the least id of its documents, or among the rows without an id."""
+    ids = entities.join(wanted, "entity", "left_semi").where("doc_id is not null").select("doc_id")
+    return only_ids(slim.where("doc_id is not null"), ids, "doc_id").select("text").unionByName(slim.where("doc_id is null").select("text"))
 
 
-def _verified(slim: DataFrame, entities: DataFrame, pairs: DataFrame, levels: Broadcast) -> DataFrame:
-    """Those pairs (a, b) of entities that link, by their whole sets."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
-    ids = entities.join(wanted, "entity", "left_semi").where("doc_id is not null").select("doc_id")
-    sets = only_ids(slim, ids, "doc_id").select("text").mapInArrow(_whole_sets, "entity long, tokens binary").dropDuplicates(["entity"])
-    left = pairs.join(sets.select(F.col("entity").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("entity").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(levels), "a long, b long")
+def _onto_pairs(pairs: DataFrame, table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """pairs (a, b) with columns of `table` for either entity: {column: (name for a, name for b)}."""
+    for k, end in enumerate(("a", "b")):
+        pairs = pairs.join(table.select(F.col("entity").alias(end), *[F.col(c).alias(names[k]) for c, names in columns.items()]), end)
+    return pairs.select("a", "b", *[n for names in columns.values() for n in names])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col long, n_shingles long, component_id long) of every row.
+def _verified(slim: DataFrame, entities: DataFrame, others: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of entities that link: first by the prefixes under the other orders, then by whole sets."""
+    both = _onto_pairs(pairs, others, {"n": ("m", "n"), "prints": ("x", "y")})
+    left = written(both.mapInArrow(_filter, "a long, b long"), "candidates")
+    wanted = left.select(F.col("a").alias("entity")).union(left.select("b")).distinct()
+    sets = _texts_of(slim, entities, wanted).mapInArrow(_whole_sets, "entity long, tokens binary").dropDuplicates(["entity"])
+    found = written(_onto_pairs(left, sets, {"tokens": ("x", "y")}).mapInArrow(_verify, "a long, b long"), "links")
+    forget(left)
+    return found
 
-    A set is the distinct five-word shingles of the text with A-Z lower-cased; fewer words are one shingle, no
-    word (or a null text) an empty set, linked with nothing. Rows link at a Jaccard similarity of 0.75 or more;
-    component_id is the smallest id that links reach. Equal ids are one node. A null id gets a row, and a component_id
-    only from others. An empty table gives an empty one.
-    """
-    width = shuffle_width(docs.sparkSession)
-    buckets = 4 * width
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, entity, n, component_id) of every row."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    width = shuffle_width(docs.sparkSession, slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    buckets = 4 * width
     survey = written(slim.mapInArrow(_survey, SURVEYED), "survey")
     rows = survey.where("chunk is null").select("doc_id", "entity", "n")
     levels = _sketch(survey)
     prefixes = slim.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, body binary, more binary")
     groups = prefixes.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "token long, entity long")
-    groups = written(groups.distinct(), "prefix-tokens")
     entities = written(rows.where("n > 0").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "entities")
-    groups = groups.join(entities.select("entity", "n"), "entity")
+    groups = written(groups.distinct().join(entities.select("entity", "n"), "entity"), "prefix-tokens")
+    wanted = groups.select("entity").distinct()
+    others = _texts_of(slim, entities, wanted).mapInArrow(_other_prefixes(levels), "entity long, n int, prints binary")
+    others = written(others.dropDuplicates(["entity"]), "other-prefixes")
+    levels.unpersist()
     edges, roots = None, entities.select(F.col("entity").alias("node"), F.col("entity").alias("root")).limit(0)
-    for best in (3, 3, None):
-        # the last round takes every pair; those before only the likeliest partners, to join what is one component
-        pairs = _candidates(groups, roots, width, best)
-        found = written(_verified(slim, entities, pairs, levels), "links")
+    for turn in range(LINEAR + 1):
+        contested = _contested(groups, roots)
+        pairs = written(_neighbours(contested, turn) if turn < LINEAR else _all_pairs(contested, width), "pairs")
+        found = _verified(slim, entities, others, pairs)
+        forget(contested, pairs)
         edges = found if edges is None else edges.unionByName(found)
-        roots = written(components(edges), "roots")
+        roots = components(edges)
+    forget(groups, others)
     whole = entities.join(roots.withColumnRenamed("node", "entity"), "entity", "left").withColumn("root", F.coalesce("root", "entity"))
     least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = whole.join(least, "root").select("entity", "component_id")
-    out = rows.join(named, "entity", "left")
+    return rows.join(named, "entity", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col long, n_shingles long, component_id long) of every row.
+
+    A set is the distinct five-word shingles of the text with A-Z lower-cased; fewer words are one shingle, no
+    word (or a null text) an empty set, linked with nothing. Rows link at a Jaccard similarity of 0.75 or more;
+    component_id is the smallest id that links reach. A row without an id links like any other, and others link over it; its
+    component_id is that of those that it reaches, null if none has an id. Rows that repeat an id count each by its own text. Columns beside
+    these two are not read. An empty table gives an empty one.
+    """
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return _classes(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as its set's entity."""
+    for table in gathered(batches, BLOCK_BYTES):
+        last = table.num_columns - 1
+        sign = _sets(table, last)[2]
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns[:-1]), pa.array(sign)], [str(i) for i in range(last + 1)])
+        release()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that link, directly or over others, to a smaller id; rows without an id stay."""
-    found = written(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    return only_ids(docs, found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti")
+    """docs without the rows that link, directly or over others, to a smaller id; rows without an id stay.
+
+    Rows that repeat an id are judged each by its own text; rows alike in id and set stay or go together. An empty table gives an empty one.
+    """
+    found = written(_classes(docs, id_col, text_col), "near-duplicates")
+    gone = (F.col("n") > 0) & (F.col("doc_id") != F.col("component_id"))
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(gone).alias("some"), F.min(gone).alias("all"))
+    by_id = written(by_id.where("some"), "gone")
+    out = only_ids(docs, by_id.select("doc_id"), id_col, "left_anti")
+    mixed = by_id.where("not all").select("doc_id")
+    if mixed.isEmpty():
+        return out
+    # ids of which one row goes and another stays: these few rows are told apart by their sets
+    at, entity = fresh(docs, "id"), fresh(docs, "entity")
+    lost = found.where(gone).select(F.col("doc_id").alias(at), F.col("entity").alias("lost")).distinct()
+    some = only_ids(docs, mixed, id_col).withColumn(entity, F.col(f"`{text_col}`").cast("string"))
+    some = some.mapInArrow(_entities, docs.select(*[F.col(f"`{c}`") for c in docs.columns]).schema.add(entity, "long"))
+    some = some.join(lost, (some[id_col] == lost[at]) & (some[entity] == lost["lost"]), "left_anti")
+    return out.unionByName(some.drop(entity))

@@ -448,6 +448,15 @@ def test_mixture(spark, odd_docs, no_docs):
 # --- 10 n-gram join
 
 
+def shingles(text):
+    v = words(text)
+    return {tuple(v[k : k + 5]) for k in range(len(v) - 4)} if len(v) >= 5 else {tuple(v)} if v else set()
+
+
+def near(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+
+
 def brute_components(texts):
     sets = []
     for i, t in texts:
@@ -473,12 +482,35 @@ def test_near_duplicates_odd(odd_docs, no_docs):
     got = {tuple(r) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert ngram_join.near_duplicates(odd_docs).count() == 15 and ngram_join.near_duplicates(no_docs).count() == 0
+
+
+def test_near_duplicates_without_ids_and_with_repeated_ids(spark):
+    """Links over rows that have no id count, and of rows that share an id each is judged by its own text."""
+    text = [f"t{k}" for k in range(61)]
+    swap = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(text))
+    # 5 and the row without an id are near, so are that row and 7, but not 5 and 7
+    a, b, c = swap(), swap(10), swap(10, 30)
+    rows = [(5, a), (None, b), (7, c), (None, "alone among rows without an id, quite alone"), (9, a), (9, "another text of the same id that is like no other"), (None, None)]
+    far = " ".join(text[:50] + [f"y{k}" for k in range(7)])
+    rows += [(20, far), (21, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entity", F.lit("own"))
+    sets = [shingles(t) for _, t in rows]
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+    want = [5, 5, 5, None, 5, 9, None, 20, 20]
+    assert got == Counter((i, len(s), w) for (i, _), s, w in zip(rows, sets, want, strict=True))
+    left = ngram_join.near_dedup(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] or "" for r in left.collect()) == sorted(["", a, b, rows[3][1], rows[5][1], far])
+
+
+def test_near_dedup_odd(odd_docs):
     left = ngram_join.near_dedup(odd_docs)
     assert left.columns == odd_docs.columns and {r["doc_id"] for r in left.collect()} == {None, 1, 4, 5, 6, 7, 9, 11, 13}
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_near_duplicates_of_drifting_copies(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "linear"), [(16_384, 2), (40, 1), (40, 0)])
+def test_near_duplicates_of_drifting_copies(spark, block, linear, monkeypatch):
     """A large group of copies that drift apart in steps, copies of a common passage, and small sets."""
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
@@ -492,6 +524,8 @@ def test_near_duplicates_of_drifting_copies(spark, block, monkeypatch):
     texts += [(200 + i, " ".join([f"r{i}x{k}" for k in range(rng.randrange(5, 60))] + common)) for i in range(40)]
     texts += [(300 + i, " ".join(rng.choices("ab", k=rng.randrange(1, 9)))) for i in range(40)]
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block // 8)
+    monkeypatch.setattr(ngram_join, "LINEAR", linear)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in ngram_join.near_duplicates(docs).collect()} == brute_components(texts)
 
@@ -508,6 +542,23 @@ def test_prefix_bound_loses_no_link():
             assert len(first(a) & first(b)) >= ngram_join.least_shared(np.int64(len(a)), np.int64(len(b))) >= 1
 
 
+def test_other_orders_pass_every_link_and_stop_pairs_that_are_no_links():
+    rng, stopped = random.Random(12), 0
+    levels = np.zeros(ngram_join.CELLS, np.uint8)
+    held = type("Held", (), {"value": levels})
+    for _ in range(60):
+        own = [f"w{rng.randrange(400)}" for _ in range(60)]
+        other = [x if rng.random() < rng.choice([0.8, 0.97]) else f"v{rng.randrange(400)}" for x in own]
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(own), " ".join(other)])], ["text"])
+        (found,) = ngram_join._other_prefixes(held)(iter([batch]))
+        x, y = (np.frombuffer(v, np.uint32) for v in found.column(2).to_pylist())
+        link = near(shingles(" ".join(own)), shingles(" ".join(other)))
+        passed = ngram_join.passes(x, y, *found.column(1).to_pylist())
+        assert passed or not link
+        stopped += not passed
+    assert stopped > 10
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (500, 500)]
