@@ -364,8 +364,8 @@ def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
     longest = rows.groupBy("token").count().where(F.col("count") > LIST_BLOCK).select("token", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("cuts"))
     listed = rows.select("token", "entity", "n", "root").join(keys, "entity").join(longest, "token", "left")
     # ranges of the key alone would leave those with equal keys together, so each has a place of its own near its key
-    place = F.shiftrightunsigned(F.xxhash64("key"), 1) + F.pmod(F.xxhash64("entity"), F.lit(1 << 56))
-    cut = F.floor(place.cast("double") / F.lit(2.0**63 + 2.0**56) * F.coalesce("cuts", F.lit(1)))
+    place = F.shiftrightunsigned(F.xxhash64("key"), 2) + F.pmod(F.xxhash64("entity"), F.lit(1 << 56))
+    cut = F.floor(place.cast("double") / F.lit(2.0**62 + 2.0**56) * F.coalesce("cuts", F.lit(1)))
     order = Window.partitionBy("token", "cut").orderBy("place", "entity")
     after = lambda x: F.lead(x).over(order)
     listed = listed.withColumn("place", place).withColumn("cut", cut)
