@@ -9,9 +9,10 @@ compared. How common a token is comes from a sketch of fixed size over all docum
 depends on it.
 
 Sets are identified by a signature of 64 bits, so copies of a set are one entity (among d documents d**2 / 2**65 pairs of different
-sets are expected to share one). Pairs are never listed by token. Two linear rounds first compare each set with its
-neighbours in lists sorted by a min-hash, and join what links into components, so that a large group of near copies
-costs a few comparisons a member. The last round takes every pair of sets of different components that share enough
+sets are expected to share one). Pairs are never listed by token. A linear round first compares each set with its
+neighbours in lists sorted by a min-hash and with the set that shares most with a list, and joins what links into components, so that
+a large group of near copies costs a few comparisons a member; a second round compares what is left outside the largest component
+of a group with its likeliest partners. The last round takes every pair of sets of different components that share enough
 prefix tokens: tokens that belong mostly to one component form a group, in which that component's sets meet only the
 others. So no link is lost that could change a component.
 """
@@ -35,9 +36,9 @@ BLOCK_BYTES = 4 << 20
 CELLS, CHUNKS, SPREAD = 1 << 23, 32, 32
 ORDERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Prefix tokens of either side of a group that meet at once, and rows of a token that are sorted at once in a linear round.
-GROUP_BLOCK, LIST_BLOCK = 16_384, 1024
-#: Linear rounds, and how many neighbours a set is compared with in each.
-LINEAR, NEIGHBOURS = 2, 2
+GROUP_BLOCK, LIST_BLOCK = 4096, 1024
+#: The rounds before the one that takes all pairs: whether they are linear. And how many partners a set is compared with in each.
+FIRST_ROUNDS, PARTNERS = (True, False), 3
 #: Up to so many ids an id list goes to every executor; beyond, it is joined by a shuffle.
 MOST_BROADCAST_IDS = 2_000_000
 
@@ -302,8 +303,11 @@ def _counter(at: np.ndarray, col: np.ndarray, entities: int, tokens: int, right:
     return lambda x: np.stack([np.bincount(np.concatenate([lists[t] for t in own[e]]), minlength=len(right)) for e in x]).astype(np.float32)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of entities of different components that share enough prefix tokens, from rows sorted by (c, i, j), which name a group and two of its blocks."""
+def _meet(best: int | None):
+    """Pairs (a, b, score) of entities of different components that share enough prefix tokens; of each b's in two blocks only the `best`, if given.
+
+    Rows are sorted by (c, i, j), which name a group and two of its blocks.
+    """
     names = ["c", "i", "j", "block", "token", "entity", "n", "root", "groups"]
 
     def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -313,35 +317,41 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         tokens, col = np.unique(rows[:, 4], return_inverse=True)
         block, n, root, groups = (rows[first, k] for k in (3, 6, 7, 8))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(left) or not len(right):
+        x_all, y = np.flatnonzero(block == j), np.flatnonzero(block == i)
+        if not len(x_all) or not len(y):
             return
-        count = _counter(at, col, len(entities), len(tokens), right)
-        for begin in range(0, len(left), 256):
-            x = left[begin : begin + 256]
+        count = _counter(at, col, len(entities), len(tokens), y)
+        for begin in range(0, len(x_all), 256):
+            x = x_all[begin : begin + 256]
             shared = count(x)
-            m, k = n[x][:, None], n[right][None]
+            m, k = n[x][:, None], n[y][None]
             # with c shared in all, one of the g groups that a set's tokens fall into has c / g of them
-            need = least_shared(m, k) / np.minimum(groups[x][:, None], groups[right][None])
-            good = (shared >= need) & (shared > 0) & (root[x][:, None] != root[right][None]) & (4 * np.minimum(m, k) >= 3 * np.maximum(m, k))
-            if i == j:
-                good &= entities[x][:, None] < entities[right][None]
-            a, b = np.nonzero(good)
+            need = least_shared(m, k) / np.minimum(groups[x][:, None], groups[y][None])
+            good = (shared >= need) & (shared > 0) & (root[x][:, None] != root[y][None]) & (4 * np.minimum(m, k) >= 3 * np.maximum(m, k))
+            if i == j and best is None:
+                good &= entities[x][:, None] < entities[y][None]
+            score = np.where(good, shared / np.maximum(m, k), -1)
+            if best is not None and len(y) > best:
+                good &= score >= np.partition(score, len(y) - best, axis=1)[:, len(y) - best, None]
+                good &= np.cumsum(good, axis=1) <= best
+            b, a = np.nonzero(good)
             if len(a):
-                p, q = entities[x[a]], entities[right[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(entities[y[a]]), pa.array(entities[x[b]]), pa.array(score[b, a].astype(np.float64))], ["a", "b", "score"])
 
-    held = np.zeros((0, len(names)), np.int64)
-    for batch in batches:
-        table = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).astype(np.int64)
-        held = np.concatenate([held, table]) if len(held) else table
-        changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
-        cuts = [0, *changes.tolist()]
-        for p, q in zip(cuts, cuts[1:], strict=False):
-            yield from meet(held[p:q])
-        held = held[cuts[-1] :]
-    if len(held):
-        yield from meet(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(names)), np.int64)
+        for batch in batches:
+            table = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))]).astype(np.int64)
+            held = np.concatenate([held, table]) if len(held) else table
+            changes = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
+            cuts = [0, *changes.tolist()]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                yield from meet(held[p:q])
+            held = held[cuts[-1] :]
+        if len(held):
+            yield from meet(held)
+
+    return run
 
 
 def _contested(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -353,31 +363,36 @@ def _contested(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return written(placed.join(leaders, "token"), "contested")
 
 
-def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
+def _likely(rows: DataFrame, turn: int) -> DataFrame:
     """Some pairs (a, b) of contested entities in different components, a few for each entity, in time linear in the rows.
 
-    Every token's entities are sorted by a min-hash of their contested tokens, a long list in ranges of it, and each is paired with the next one of another component;
-    pairs that come about through most tokens go first.
+    Every token's entities are sorted by a min-hash of their contested tokens, a long list in ranges of it. Each is paired with the next one,
+    and with the range's hub, the one whose tokens stand in the longest lists; pairs that come about through most tokens go first.
     """
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(turn), "token"))
-    keys = hashed.groupBy("entity").agg(F.min("h").alias("key"))
-    longest = rows.groupBy("token").count().where(F.col("count") > LIST_BLOCK).select("token", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("cuts"))
-    listed = rows.select("token", "entity", "n", "root").join(keys, "entity").join(longest, "token", "left")
+    sizes = rows.groupBy("token").count()
+    keys = rows.join(sizes, "token").groupBy("entity").agg(F.min(F.xxhash64(F.lit(turn), "token")).alias("key"), F.sum(F.round(F.log2("count"), 3)).alias("weight"))
+    cuts = sizes.where(F.col("count") > LIST_BLOCK).select("token", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("cuts"))
     # ranges of the key alone would leave those with equal keys together, so each has a place of its own near its key
     place = F.shiftrightunsigned(F.xxhash64("key"), 2) + F.pmod(F.xxhash64("entity"), F.lit(1 << 56))
-    cut = F.floor(place.cast("double") / F.lit(2.0**62 + 2.0**56) * F.coalesce("cuts", F.lit(1)))
-    order = Window.partitionBy("token", "cut").orderBy("place", "entity")
-    after = lambda x: F.lead(x).over(order)
-    listed = listed.withColumn("place", place).withColumn("cut", cut)
-    pairs = listed.select("entity", "n", "root", after("entity").alias("other"), after("n").alias("k"), after("root").alias("far"))
-    pairs = pairs.where((F.col("root") != F.col("far")) & (4 * F.least("n", "k") >= 3 * F.greatest("n", "k")))
-    counted = pairs.groupBy(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).count()
-    best = Window.partitionBy("a").orderBy(F.desc("count"), "b")  # as many rows as an entity has tokens at most
-    return counted.withColumn("best", F.row_number().over(best)).where(F.col("best") <= NEIGHBOURS).select("a", "b")
+    listed = rows.select("token", "entity", "n", "root").join(keys.select("entity", "weight", place.alias("place")), "entity").join(cuts, "token", "left")
+    listed = listed.withColumn("cut", F.floor(F.col("place").cast("double") / F.lit(2.0**62 + 2.0**56) * F.coalesce("cuts", F.lit(1))))
+    whole = Window.partitionBy("token", "cut")
+    order = whole.orderBy("place", "entity")
+    one = F.struct("entity", "n", "root")
+    met = listed.select("entity", "n", "root", F.lead(one).over(order).alias("next"), F.max_by(one, F.struct("weight", "entity")).over(whole).alias("hub"))
+    pairs = met.select("entity", "n", "root", F.explode(F.array("next", "hub")).alias("o"))
+    pairs = pairs.where((F.col("root") != F.col("o.root")) & (4 * F.least("n", "o.n") >= 3 * F.greatest("n", "o.n")))
+    return _best(pairs.groupBy("entity", F.col("o.entity").alias("other")).count(), "entity", "count", "other").select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
+
+
+def _best(pairs: DataFrame, of: str, score: str, other: str) -> DataFrame:
+    """The PARTNERS pairs of highest score of each `of`; an entity has few, a small number for each of its tokens or groups."""
+    order = Window.partitionBy(of).orderBy(F.desc(score), other)
+    return pairs.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= PARTNERS).drop("__rank")
 
 
-def _all_pairs(rows: DataFrame, width: int) -> DataFrame:
-    """Every pair (a, b) of contested entities in different components that share enough prefix tokens.
+def _pairs(rows: DataFrame, width: int, best: int | None) -> DataFrame:
+    """Every pair (a, b) of contested entities in different components that share enough prefix tokens, or the `best` of each b outside its group's component.
 
     In a group c the entities of the component c meet only those of others. Either side is cut into blocks of about GROUP_BLOCK rows,
     and a task takes two blocks: blocks 0, 1, ... are the others, -1, -2, ... those of c.
@@ -395,7 +410,10 @@ def _all_pairs(rows: DataFrame, width: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.when(mine, outer).otherwise(F.concat(outer, F.sequence(-F.col("own"), F.lit(-1))))))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     fed = rows.select("c", "i", "j", "block", "token", "entity", "n", "root", "groups").repartition(width, "c", "i", "j").sortWithinPartitions("c", "i", "j")
-    return fed.mapInArrow(_meet, "a long, b long").distinct()
+    found = fed.mapInArrow(_meet(best), "a long, b long, score double")
+    if best is not None:
+        found = _best(found.groupBy("a", "b").agg(F.max("score").alias("score")), "b", "score", "a")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _texts_of(slim: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -439,9 +457,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     others = written(others.dropDuplicates(["entity"]), "other-prefixes")
     levels.unpersist()
     edges, roots = None, entities.select(F.col("entity").alias("node"), F.col("entity").alias("root")).limit(0)
-    for turn in range(LINEAR + 1):
+    for turn, linear in enumerate((*FIRST_ROUNDS, None)):
         contested = _contested(groups, roots)
-        pairs = written(_neighbours(contested, turn) if turn < LINEAR else _all_pairs(contested, width), "pairs")
+        pairs = written(_likely(contested, turn) if linear else _pairs(contested, width, None if linear is None else PARTNERS), "pairs")
         found = _verified(slim, entities, others, pairs)
         forget(contested, pairs)
         edges = found if edges is None else edges.unionByName(found)

@@ -509,7 +509,7 @@ def test_near_dedup_odd(odd_docs):
     assert left.columns == odd_docs.columns and {r["doc_id"] for r in left.collect()} == {None, 1, 4, 5, 6, 7, 9, 11, 13}
 
 
-@pytest.mark.parametrize(("block", "linear"), [(16_384, 2), (40, 1), (40, 0)])
+@pytest.mark.parametrize(("block", "linear"), [(4096, (True, False)), (40, (True, False)), (40, ())])
 def test_near_duplicates_of_drifting_copies(spark, block, linear, monkeypatch):
     """A large group of copies that drift apart in steps, copies of a common passage, and small sets."""
     rng = random.Random(9)
@@ -525,7 +525,7 @@ def test_near_duplicates_of_drifting_copies(spark, block, linear, monkeypatch):
     texts += [(300 + i, " ".join(rng.choices("ab", k=rng.randrange(1, 9)))) for i in range(40)]
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", block)
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", block // 8)
-    monkeypatch.setattr(ngram_join, "LINEAR", linear)
+    monkeypatch.setattr(ngram_join, "FIRST_ROUNDS", linear)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in ngram_join.near_duplicates(docs).collect()} == brute_components(texts)
 
