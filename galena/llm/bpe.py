@@ -102,6 +102,7 @@ class BytePairs:
         self.final = [vocab[s + self.end] for s in symbols]
         letters, numbers = _ranges("L"), _ranges("N")
         self.find = re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
+        self.marks = sorted({text[:1] for text in added})
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")").split if added else lambda text: [text]
         self.words = Words(self.encode_word, CACHE_WORDS // 2)
         # no word goes over white space, so what stands between it is looked up first and cut into words only when new
@@ -145,7 +146,7 @@ class BytePairs:
 
     def encode_text(self, text: str) -> bytes:
         """All ids of a text as little-endian int32 bytes."""
-        parts = self.split(text) if "<" in text else [text]
+        parts = self.split(text) if any(mark in text for mark in self.marks) else [text]
         out = []
         for part in parts:
             if part in self.added:
@@ -172,15 +173,28 @@ def load(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-ROWS = 512
+#: Texts of so many bytes, or rows of so many ids, are in memory with their ids at once; a longer text is alone.
+MOST_BYTES, MOST_ROWS = 2 << 20, 512
+
+
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of rows whose sizes add up to MOST_BYTES at most, or of one larger row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = min(at + MOST_ROWS, max(at + 1, int(np.searchsorted(ends, before + MOST_BYTES, "right"))))
+        yield at, end
+        at = end
 
 
 def _encode(path: str, encode: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):  # ids of a few hundred texts are in memory at once
-                batch = whole.slice(at, ROWS)
+            column = whole.column(whole.num_columns - 1)
+            sizes = pc.fill_null(pc.binary_length(column) if encode else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, end in _cuts(sizes):
+                batch = whole.slice(at, end - at)
                 last = batch.column(batch.num_columns - 1)
                 ids = pairs.encode(last.to_pylist()) if encode else pa.ListArray.from_arrays(*_flat(last))
                 more = [ids] * encode + [pairs.decode(ids)] * decode

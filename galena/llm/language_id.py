@@ -21,20 +21,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galena.llm.ngram_join import MOST_BROADCAST_IDS
+from galena.llm.packing import pack, unpack
 from galena.llm.session import written
 from galena.llm.vectext import pieces
 
 SLOTS = 1 << 15
-#: At most so many labelled texts, of at most so many characters each, are learnt from.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 8192
+#: About so many texts of each language are learnt from.
+SAMPLE_ROWS = 1500
 #: A text counts for so many independent trigrams at most; strength of the upper level of a prior, in pages.
 TEXT_WEIGHT, STRENGTH, DECLARED_STRENGTH = 40.0, 4.0, 1.0
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_TAG = re.compile(r"<!--|<(?:(script|style|noscript|template)\b)?[^>]*>", re.IGNORECASE)
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in ("script", "style", "noscript", "template")}
 
 
 def visible_text(page: str | None) -> str:
     """What a reader sees: without scripts, styles, comments and tags, entities resolved."""
-    return html.unescape(_HIDDEN.sub(" ", page)) if page else ""
+    out, at = [], 0
+    closed = dict.fromkeys([*_ENDS, "<!--"], True)  # an element that is not closed once is not looked for again, so time is linear
+    page = page or ""
+    while found := _TAG.search(page, at):
+        out.append(page[at : found.start()])
+        at = found.end()
+        name = "<!--" if found[0] == "<!--" else (found[1] or "").lower()
+        if name and closed[name]:
+            if name == "<!--":
+                end = page.find("-->", at)
+                end = end + 3 if end >= 0 else -1
+            else:
+                last = _ENDS[name].search(page, at)
+                end = last.end() if last else -1
+            if end >= 0:
+                at = end
+            else:
+                closed[name] = False
+    out.append(page[at:])
+    return html.unescape(" ".join(out))
 
 
 def _codes(raw: np.ndarray) -> np.ndarray:
@@ -51,14 +72,11 @@ class TextModel:
     table: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str]) -> TextModel:
-        languages = sorted(set(labels)) or ["und"]
-        counts = np.full((len(languages), SLOTS), 0.5)
-        for text, label in zip(texts, labels, strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            if len(raw) > 2:
-                counts[languages.index(label)] += np.bincount(_codes(raw), minlength=SLOTS)
-        return cls(languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    def of(cls, counts: dict[str, np.ndarray]) -> TextModel:
+        """From each language's trigram counts; without any, one language that is none."""
+        languages = sorted(counts) or ["und"]
+        table = np.array([counts.get(x, np.zeros(SLOTS)) for x in languages], float) + 0.5
+        return cls(languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
         """[text, language] from whole texts alone, under equal priors; the evidence of long texts is held to TEXT_WEIGHT trigrams."""
@@ -80,15 +98,33 @@ class TextModel:
         return out / out.sum(1, keepdims=True)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, body) as each language's trigram counts of a batch."""
+    for batch in batches:
+        sums: dict[str, np.ndarray] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = np.frombuffer(text.as_py().encode(), np.uint8)
+            if len(raw) > 2:
+                sums[lang] = sums.get(lang, 0) + np.bincount(_codes(raw), minlength=SLOTS)
+            else:
+                sums.setdefault(lang, np.zeros(SLOTS, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([pack(x.astype(np.uint64)) for x in sums.values()], pa.binary())], ["lang", "body"])
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram models from at most sample_rows different texts with a language, those of the least hashes."""
-    text = F.substring(F.col(f"`{text_col}`"), 1, SAMPLE_CHARS).alias("text")
-    some = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(text, F.lower(F.col(f"`{lang_col}`")).alias("lang"))
+    """Trigram models from about sample_rows different whole texts of each language, those of the least hashes; a language with fewer gives all.
+
+    Rows without a language or a text are left out. Only counts come to the driver.
+    """
+    some = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.lower(F.col(f"`{lang_col}`").cast("string")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     some = some.withColumn("hash", F.xxhash64("text", "lang"))
-    # the hashes alone are ranked, so only the sample's texts move
-    last = some.select("hash").distinct().orderBy("hash").limit(sample_rows).agg(F.max("hash")).first()[0]
-    rows = some.where(F.col("hash") <= F.lit(last)).dropDuplicates(["hash"]).orderBy("hash").collect() if last is not None else []
-    return TextModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    sizes = some.groupBy("lang").agg(F.approx_count_distinct("hash").alias("kinds"))  # as many rows as languages
+    least = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("kinds"))
+    sample = some.join(F.broadcast(sizes), "lang").where(F.col("hash").cast("double") <= least).select("lang", "text", "hash").dropDuplicates(["hash"])
+    counts: dict[str, np.ndarray] = {}
+    for lang, body in sample.select("lang", "text").mapInArrow(_counts, "lang string, body binary").toLocalIterator():
+        counts[lang] = counts.get(lang, 0) + unpack(body)
+    return TextModel.of(counts)
 
 
 def _text_only(model: TextModel):

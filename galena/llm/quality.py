@@ -25,8 +25,8 @@ from galena.llm.vectext import pieces, utf8
 BLOCK, WIDTH, HALF = 4, 3, 32  # a filter sees WIDTH blocks of BLOCK bytes; half a chunk is HALF steps of a block
 STEP_BYTES = BLOCK * HALF
 EMBED, FILTERS, HIDDEN = 8, 48, 32
-#: At most so many labelled texts are learnt from.
-SAMPLE_ROWS = 4000
+#: At most so many labelled texts are learnt from, and so many segments of so many bytes of each, from all over the text: what the driver holds to fit.
+SAMPLE_ROWS, EPOCHS, SEGMENT = 4000, 10, 1536
 PIECE = 1 << 19
 
 
@@ -147,23 +147,20 @@ class QualityNet:
         g["embed"][0] = 0
         return loss, g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 48, segment: int = 1536, rate: float = 4e-3, seed: int = 9) -> None:
-        """Adam over segments of the texts, a new place in each epoch; scoring always reads whole texts."""
+    def fit(self, texts: list[list[bytes]], labels: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 4e-3, seed: int = 9) -> None:
+        """Adam over segments of the texts, each text's next one in each epoch; scoring always reads whole texts."""
         with one_thread():
-            self._fit(texts, labels, epochs, batch, segment, rate, seed)
+            self._fit(texts, labels, epochs, batch, rate, seed)
 
-    def _fit(self, texts: list[bytes], labels: np.ndarray, epochs: int, batch: int, segment: int, rate: float, seed: int) -> None:
+    def _fit(self, texts: list[list[bytes]], labels: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
         moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in self.w.items()}
         step, steps = 0, max(1, epochs * -(-len(texts) // batch))
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                parts = []
-                for r in rows:
-                    begin = int(rng.integers(0, max(1, len(texts[r]) - segment + 1)))
-                    parts.append(np.frombuffer(texts[r][begin : begin + segment], np.uint8))
+                parts = [np.frombuffer(texts[r][epoch % len(texts[r])], np.uint8) for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                 _, g = self.gradient(*laid_out(np.concatenate(parts), offsets), labels[rows].astype(np.float32))
                 step += 1
@@ -182,22 +179,51 @@ class QualityNet:
         return out
 
     def _long(self, raw: np.ndarray) -> np.ndarray:
-        """One very long document in bounded memory: overlapping stretches by themselves, then the largest of each hidden unit."""
+        """One very long document in stretches of whole halves: each stretch sees the bytes after it, and shares its last half with the next, so all chunks are those of one pass."""
+        w, size = self.w, len(raw)
+        halves, used = -(-(size + BLOCK * (WIDTH - 1)) // STEP_BYTES), -(-size // BLOCK)
         pooled: np.ndarray | None = None
-        for at in range(0, len(raw), PIECE):
-            v: dict = {}
-            part = raw[max(0, at - STEP_BYTES) : at + PIECE]
-            self.forward(*laid_out(part, np.array([0, len(part)])), keep=v)
-            pooled = v["pooled"] if pooled is None else np.maximum(pooled, v["pooled"])
-        return pooled @ self.w["out"] + self.w["out_bias"]
+        at, step = 0, PIECE // STEP_BYTES
+        while at < halves - 1:
+            end = min(halves, at + step + 1)
+            codes = np.zeros((end - at) * STEP_BYTES + BLOCK * (WIDTH - 1), np.int16)
+            part = raw[at * STEP_BYTES : end * STEP_BYTES + BLOCK * (WIDTH - 1)]
+            codes[: len(part)] = part.astype(np.int16) + 1
+            blocks = w["embed"][codes].reshape(-1, BLOCK * EMBED)
+            n = (end - at) * HALF
+            y = blocks[:n] @ w["filters"][0]
+            for k in range(1, WIDTH):
+                y += blocks[k : n + k] @ w["filters"][k]
+            valid = np.arange(n) + at * HALF < used
+            y = np.maximum(y + w["bias"], 0) * valid[:, None]
+            cubes, counts = y.reshape(-1, HALF, FILTERS), valid.reshape(-1, HALF).sum(1).astype(np.float32)
+            sums, tops, size_of = cubes.sum(1), cubes.max(1), counts[:-1] + counts[1:]
+            mean = (sums[:-1] + sums[1:]) * (1 / np.maximum(size_of, 1)).astype(np.float32)[:, None]
+            features = np.concatenate([mean, np.maximum(tops[:-1], tops[1:]), np.log1p(size_of)[:, None].astype(np.float32) / 4], 1)
+            top = np.maximum(features @ w["hidden"] + w["hidden_bias"], 0).max(0)
+            pooled = top if pooled is None else np.maximum(pooled, top)
+            at = end - 1
+        return (pooled @ w["out"] + w["out_bias"]).reshape(1)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, text) as (doc_id, label, EPOCHS segments): places all over the whole text that follow from its id; a short text once."""
+    for batch in batches:
+        made = []
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            raw = text.as_py().encode()
+            rng = np.random.default_rng(row & (2**63 - 1))
+            made.append([raw[at : at + SEGMENT] for at in rng.integers(0, len(raw) - SEGMENT + 1, EPOCHS).tolist()] if len(raw) > SEGMENT else [raw])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityNet:
-    """A network fitted on at most sample_rows labelled texts outside the held-out fold (first 64 Ki characters of each); without any, one that says 1/2."""
-    rows = sorted(labelled_texts(docs, labels, "quality", sample_rows, 1 << 16).collect())
+    """A network fitted on at most sample_rows labelled texts outside the held-out fold, EPOCHS segments of each; without any, one that says 1/2."""
+    some = labelled_texts(docs, labels, "quality", sample_rows).select("doc_id", "label", "text")
+    rows = sorted(some.mapInArrow(_segments, "doc_id long, label int, parts array<binary>").collect())
     net = QualityNet()
     if rows:
-        net.fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows]))
+        net.fit([[bytes(x) for x in r["parts"]] for r in rows], np.array([r["label"] for r in rows]), EPOCHS)
     else:
         net.w["out"][:] = 0
     return net

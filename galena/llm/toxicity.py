@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from galena.llm.labelled import labelled_texts
 from galena.llm.packing import release
-from galena.llm.session import fresh, written
+from galena.llm.session import forget, fresh, written
 
-#: At most so many labelled texts are learnt from, and so many terms are kept, the surest first.
+#: At most so many labelled texts are learnt from.
 SAMPLE_ROWS = 12_000
-MOST_TERMS = 4096
+#: So many states of the automaton are kept, then they are made anew.
+MOST_STATES = 50_000
+ANY = -1  # in place of a trie node: a stem has been read, and any word that goes on from it is accepted
 #: Least and most letters of a learnt stem.
 STEM = (5, 9)
 WINDOW = 48
@@ -57,9 +59,6 @@ class LexiconAutomaton:
     def __init__(self, terms: list[str], stems: list[str] = (), clean: frozenset[str] = frozenset(), slips: bool = False) -> None:
         self.clean = clean
         self.stems = tuple(stems)
-        self.longest_stem = max(map(len, self.stems), default=0)
-        self.stem_set = frozenset(self.stems)
-        self.shortest_stem = min(map(len, self.stems), default=1)
         self.children: list[dict[str, int]] = [{}]
         self.room = [0]  # the most edits that any term below forgives
         self.term_edits: list[int] = [-1]
@@ -79,6 +78,21 @@ class LexiconAutomaton:
             self.term_edits[node] = 0 if slip else allowed
             if slip:
                 self.slip_ends.add(node)
+        self.stem_ends: set[int] = set()
+        for stem in self.stems:
+            node = 0
+            for c in stem:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.room.append(0)
+                    self.term_edits.append(-1)
+                node = self.children[node][c]
+            self.stem_ends.add(node)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No state but the first."""
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
         self.accept: list[int | None] = []
@@ -91,6 +105,8 @@ class LexiconAutomaton:
         out, todo = set(), list(items)
         while todo:
             node, spent, swap = todo.pop()
+            if node == ANY:
+                return frozenset({(ANY, 0, 0)})
             if spent > self.room[node] or (node, spent, swap) in out:
                 continue
             out.add((node, spent, swap))
@@ -103,7 +119,7 @@ class LexiconAutomaton:
             self.known[items] = len(self.sets)
             self.sets.append(items)
             self.steps.append({})
-            ends = [spent for node, spent, swap in items if not swap and spent <= self.term_edits[node]]
+            ends = [spent for node, spent, swap in items if node == ANY or not swap and spent <= self.term_edits[node]]
             self.accept.append(min(ends, default=None))
             self.accept_short.append(any(spent == 1 and not swap and node in self.slip_ends for node, spent, swap in items))
         return self.known[items]
@@ -111,6 +127,9 @@ class LexiconAutomaton:
     def _step(self, state: int, c: str) -> int:
         nxt: set[tuple[int, int, int]] = set()
         for node, spent, swap in self.sets[state]:
+            if node == ANY:
+                nxt.add((ANY, 0, 0))
+                continue
             if swap:  # the letter after this one came first; now this one must come
                 if c == chr(swap):
                     nxt.add((node, spent, 0))
@@ -118,6 +137,8 @@ class LexiconAutomaton:
             child = self.children[node].get(c)
             if child is not None:
                 nxt.add((child, spent, 0))
+                if not spent and child in self.stem_ends:
+                    nxt.add((ANY, 0, 0))
             if spent < self.room[node]:
                 nxt.add((node, spent + 1, 0))
                 for letter, other in self.children[node].items():
@@ -130,8 +151,8 @@ class LexiconAutomaton:
         return to
 
     def accepts(self, word: str) -> int | None:
-        if self.stem_set and any(word[:n] in self.stem_set for n in range(self.shortest_stem, min(len(word), self.longest_stem) + 1)):
-            return 0
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -204,9 +225,9 @@ class ToxicityModel:
         z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def fit(self, texts: list[str], labels: list[int], steps: int = 60, pull: float = 1.0) -> None:
+    def fit(self, features: list[list[float]], labels: list[int], steps: int = 60, pull: float = 1.0) -> None:
         """Newton steps of a logistic model, drawn to the weights that it had."""
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 5)
+        x = np.array(features, float).reshape(-1, 5)
         y, start = np.array(labels, float), np.array([-3.0, 4.0, 1.0, -0.2, 0.3])
         w = start.copy()
 
@@ -214,7 +235,7 @@ class ToxicityModel:
             z = x @ w
             return float(np.logaddexp(0, z).sum() - z @ y + pull / 2 * ((w - start) ** 2).sum())
 
-        for _ in range(steps if len(texts) else 0):
+        for _ in range(steps if len(x) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (p - y) + pull * (w - start)
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull * np.eye(5), grad)
@@ -242,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     uses = sample.select("label", "text").mapInArrow(_uses, "label int, word string, before string").distinct()
     counts = uses.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     counts = written(counts, "toxic-words")
-    surest = lambda df, purity: df.where((F.col("toxic") >= _least(df.count(), toxic / rows)) & (F.col("toxic") >= purity * F.col("docs"))).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS)
+    surest = lambda df, purity: df.where((F.col("toxic") >= _least(df.count(), toxic / rows)) & (F.col("toxic") >= purity * F.col("docs")))  # noqa: E731  a bounded sample has few such words
     terms = [r["word"] for r in surest(counts, 0.9).collect()]
     cut = F.transform(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda n: F.substring("word", F.lit(1), n))
     begun = counts.where(F.length("word") > STEM[0]).select(F.explode(F.array_distinct(cut)).alias("word"), "toxic", "docs")
@@ -255,8 +276,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     near = sample.select("label", "text").mapInArrow(_near(model), "label int, word string, before string").distinct()
     near = near.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("uses")).where("2 * toxic <= uses")
     model = ToxicityModel(sorted(terms), stems=sorted(stems), clean=sorted(r["word"] for r in near.collect()))
-    few = sample.orderBy(F.xxhash64("doc_id")).limit(4000).collect()
-    model.fit([r["text"] for r in few], [r["label"] for r in few])
+    made = sample.select("label", "text").mapInArrow(_features(model), "label int, x array<double>").collect()  # five numbers a text of the sample
+    made.sort()
+    model.fit([r["x"] for r in made], [r["label"] for r in made])
+    forget(sample, counts)
     return model
 
 
@@ -285,6 +308,16 @@ def _near(model: ToxicityModel):
     return run
 
 
+def _features(model: ToxicityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.features(x.as_py()) for x in batch.column(1)], pa.list_(pa.float64()))], ["label", "x"])
+        model.cache.clear()
+        release()
+
+    return run
+
+
 def _least(kinds: int, share: float) -> int:
     """The toxic uses that fewer than 0.05 of so many kinds of words would reach by chance alone."""
     return max(3, math.ceil((math.log(kinds + 1) - math.log(0.05)) / -math.log(share)))

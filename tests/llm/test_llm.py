@@ -83,7 +83,7 @@ def test_quality_learns_and_reads_the_whole_text():
     good = [" ".join(rng.choice(["the", "river", "was", "calm", "and", "wide", "today"]) for _ in range(80)) for _ in range(150)]
     bad = [re.sub(" ", "$$$ ", t) for t in good]
     net = quality.QualityNet()
-    net.fit([t.encode() for t in good + bad], np.array([1] * 150 + [0] * 150), epochs=6)
+    net.fit([[t.encode()] for t in good + bad], np.array([1] * 150 + [0] * 150), epochs=6)
     texts = [good[0], bad[0], " ".join(good[:60]) + bad[3], "", None]
     got = net.scores(*vectext.utf8(pa.array(texts)))
     assert got[0] > 0.7 and got[1] < 0.3 and got[2] < got[0] - 0.02 and 0 <= got[3] <= 1 and abs(got[3] - got[4]) < 1e-6
@@ -110,10 +110,40 @@ def test_quality_gradient():
 
 def test_quality_long_documents_in_stretches(monkeypatch):
     net = quality.QualityNet()
-    text = np.frombuffer(("some words " * 4000).encode(), np.uint8)
-    whole = net.forward(*quality.laid_out(text, np.array([0, len(text)])))
+    rng = random.Random(7)
     monkeypatch.setattr(quality, "PIECE", 4096)
-    assert abs(net._long(text)[0] - whole[0]) < 0.2
+    for size in (300, 4096 * 5, 4096 * 5 + 1, 4096 * 5 - 9, 50_001):
+        text = np.frombuffer(bytes(rng.choices(range(32, 127), k=size)), np.uint8)
+        whole = net.forward(*quality.laid_out(text, np.array([0, len(text)])))
+        assert abs(net._long(text)[0] - whole[0]) < 1e-4
+
+
+def test_quality_forward_equals_plain_loops():
+    """The whole definition without numpy's tricks: embeddings, filters, overlapping chunks, hidden units, one logit."""
+    net, rng = quality.QualityNet(seed=3), random.Random(13)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    texts = [bytes(rng.choices(range(32, 127), k=k)) for k in (0, 3, 127, 300, 900)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.forward(*quality.laid_out(np.frombuffer(b"".join(texts), np.uint8), offsets))
+    for t, logit in zip(texts, got, strict=True):
+        halves = max(1, -(-(len(t) + 8) // 128))
+        codes = [b + 1 for b in t] + [0] * (halves * 128 + 8 - len(t))
+        y = []
+        for block in range(halves * 32):
+            if 4 * block >= len(t):
+                y.append(None)
+                continue
+            v = w["bias"].copy()
+            for k in range(3):
+                v += np.concatenate([w["embed"][c] for c in codes[4 * (block + k) : 4 * (block + k) + 4]]) @ w["filters"][k]
+            y.append(np.maximum(v, 0))
+        best = np.zeros(quality.HIDDEN)
+        for chunk in range(max(1, halves - 1)):
+            own = [v for v in y[32 * chunk : 32 * chunk + 64] if v is not None]
+            mean = sum(own) / len(own) if own else np.zeros(quality.FILTERS)
+            top = np.max(own, axis=0) if own else np.zeros(quality.FILTERS)
+            best = np.maximum(best, np.concatenate([mean, top, [math.log1p(len(own)) / 4]]) @ w["hidden"] + w["hidden_bias"])
+        assert abs(best @ w["out"] + w["out_bias"][0] - logit) < 1e-3
 
 
 def test_quality_frames(spark, odd_docs, no_docs):
@@ -158,6 +188,31 @@ def test_automaton_equals_edit_distance():
         assert automaton.accepts(word) == min(found, default=None), word
 
 
+def test_stems_are_part_of_the_automaton(monkeypatch):
+    automaton = toxicity.LexiconAutomaton(["idiot"], ["wretch", "scoundr"], frozenset(), slips=True)
+    hit = {x: automaton.accepts(x) for x in ("wretch", "wretched", "wretc", "wrrtched", "scoundrels", "idiot", "idoit", "idiotic", "calm")}
+    assert hit == {"wretch": 0, "wretched": 0, "wretc": None, "wrrtched": None, "scoundrels": 0, "idiot": 0, "idoit": 1, "idiotic": None, "calm": None}
+    monkeypatch.setattr(toxicity, "MOST_STATES", 3)
+    assert {x: automaton.accepts(x) for x in hit} == hit and len(automaton.sets) < 20
+
+
+def test_score_equals_a_plain_reading_of_the_text():
+    """Hits, their context and the logistic score, told by whole-text rules instead of the automaton."""
+    model = toxicity.ToxicityModel(["idiot", "worthless"], weights=[-2.0, 3.0, 1.0, -0.5, 0.25])
+    texts = ["you idiot", "he said: you idiot", "an id1ot and wortless \n idiot", '"idiot" she wrote', "nothing here", "“worthless” is a word", "idiot " * 30]
+    for t in texts:
+        abuse = fuzzy = quoted = 0
+        for m in re.finditer(r"\w+", t.lower()):
+            edits = {"idiot": 0, "worthless": 0, "id1ot": 1, "wortless": 1}.get(m[0])
+            if edits is not None:
+                left, right = t.lower()[max(0, m.start() - 48) : m.start()].split("\n")[-1], t.lower()[m.end() : m.end() + 48].split("\n")[0]
+                told = any(re.search(rf"\b{x}\b", left + " | " + right) for x in ("said", "wrote", "word"))
+                marks = left.count('"') % 2 == 1 and '"' in right or "“" in left and "”" in right
+                quoted, abuse, fuzzy = quoted + (told or marks), abuse + (not (told or marks)), fuzzy + (not (told or marks) and edits)
+        z = -2 + 3 * (abuse > 0) + math.log1p(abuse) - 0.5 * math.log1p(fuzzy) + 0.25 * math.log1p(quoted)
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9, t
+
+
 def test_context_tells_quotation_from_abuse():
     model = toxicity.ToxicityModel(["idiot", "worthless"])
     assert model.score("you are an idiot and worthless") > 0.5
@@ -234,6 +289,12 @@ def test_exact_groups(odd_docs, no_docs, salts):
 def test_matrix_has_exact_margins_and_the_right_law():
     m = sharding.communication_matrix([10, 0, 7, 30], 4, 1)
     assert m.sum(1).tolist() == [10, 0, 7, 30] and m.sum(0).max() - m.sum(0).min() <= 1 and m.min() >= 0
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((3, 4, 5), (40, 60, 30), (10**13, 3 * 10**13, 20_000)):  # also beyond any library's range
+        drawn = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        mean = n * good / (good + bad)
+        spread = mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1)
+        assert abs(drawn.mean() - mean) < 5 * (spread / 4000) ** 0.5 and abs(drawn.var() / spread - 1) < 0.15
     draws = np.array([sharding.communication_matrix([6, 6], 2, s)[0, 0] for s in range(3000)])
     want = [math.comb(6, k) ** 2 / math.comb(12, 6) for k in range(7)]
     assert np.abs(np.bincount(draws, minlength=7) / 3000 - want).max() < 0.03
