@@ -1,8 +1,8 @@
 """Trees as Spark plans.
 
 Pointwise nodes become column expressions. A linear measure becomes a window expression over one series' rows; lags of one
-argument share one window and so one exchange. An exponential average runs its recurrence over a series' collected
-values; one series too long for that goes through blocked_ema(). Reductions become an aggregate that is joined
+argument share one window and so one exchange. An exponential average runs its recurrence in one pass over sorted rows. A
+series without keys is cut into ranges with a halo of the rows before. Reductions become an aggregate that is joined
 back as one row, a stratum for each level of nesting; they are never a window over everything.
 """
 
@@ -54,10 +54,6 @@ def _measure_column(x: str, mu: Measure, series: Series) -> Column:
     """mu * x over the series' windows; null before the warmup."""
     w, c = series.window(), F.col(f"`{x}`")
     number = F.row_number().over(w)
-    if mu.is_recursive:
-        a = smoothing(dict(mu.density.params)["halflife"])
-        seen = F.collect_list(F.coalesce(c, F.lit(float("nan")))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.aggregate(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), seen[0], lambda held, v: F.lit(a) * v + F.lit(1 - a) * held)
     kernel = mu.kernel()
     used = np.flatnonzero(kernel)
     if mu.density is not None and mu.density.family == "rectangular" and not mu.atoms:
@@ -81,23 +77,60 @@ def _with_double(df: DataFrame, name: str) -> types.StructType:
 
 
 def _ema_frame(df: DataFrame, x: str, out: str, mu: Measure, series: Series) -> DataFrame:
-    """The recurrence by one pass over each series' rows, linear in its length."""
+    """The recurrence by one pass over sorted rows, linear in their number; only the last value of a series is held, however long it is.
+
+    A missing value makes the average of its series NaN from there on.
+    """
     a = smoothing(dict(mu.density.params)["halflife"])
     if not series.keys:
         return blocked_ema(df, x, out, a, series)
-    schema = _with_double(df, out)
-    order = list(series.order)
+    keys = list(series.keys)
+
+    def run(batches):
+        last, held = None, 0.0
+        for pdf in batches:
+            values = pdf[x].to_numpy(float).tolist()
+            made = np.empty(len(values))
+            for i, (k, v) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), values, strict=True)):
+                same = k == last or last is not None and all(p == q or (p != p and q != q) or (p is None and q is None) for p, q in zip(k, last, strict=True))
+                held = a * v + (1 - a) * held if same else v
+                last = k
+                made[i] = held
+            yield pdf.assign(**{out: made})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        values = pdf[x].to_numpy(float)
-        made, held = np.empty_like(values), 0.0
-        for i, v in enumerate(values.tolist()):
-            held = v if i == 0 else a * v + (1 - a) * held
-            made[i] = held
-        return pdf.assign(**{out: made})
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *series.order)
+    made = dealt.mapInPandas(run, _with_double(df, out))
+    return made.withColumn(out, F.coalesce(out, F.lit(float("nan"))))  # NaN comes back from pandas as null
 
-    return df.groupBy(*series.keys).applyInPandas(run, schema)
+
+def in_ranges(df: DataFrame, series: Series, before: int, blocks: int | None = None) -> tuple[DataFrame, Series, str]:
+    """df of one series in ranges of its order, each with the `before` rows that precede it: (rows, a series of ranges, name of a flag of the range's own rows).
+
+    The ranges are fixed first; a range gets the last rows of as many earlier ranges as it takes.
+    """
+    spark = df.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = series.order[0]
+    place = (F.col(f"`{first}`").cast("timestamp") if dict(df.dtypes)[first] == "timestamp_ntz" else F.col(f"`{first}`")).cast("double")
+    bounds = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.001))) if blocks > 1 else []
+    own = (F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0)).cast("int")
+    dealt = df.withColumn("__block", own)
+    counts = dict(tuple(r) for r in dealt.groupBy("__block").count().collect())  # one number a range
+    targets: dict[int, list[int]] = {b: [] for b in counts}
+    order = sorted(counts)
+    for at, b in enumerate(order):
+        short = before
+        for earlier in reversed(order[:at]):
+            if short <= 0:
+                break
+            targets[earlier].append(b)
+            short -= counts[earlier]
+    rows = [(b, t, before - sum(counts[k] for k in order if b < k < t)) for b in order for t in targets[b]]
+    lists = spark.createDataFrame(rows, "__block int, __to int, __many int")
+    back = Window.partitionBy("__block").orderBy(*[F.col(f"`{c}`").desc() for c in series.order])
+    tails = dealt.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= before).join(F.broadcast(lists), "__block").where(F.col("__back") <= F.col("__many"))
+    tails = tails.drop("__block", "__back", "__many").withColumnRenamed("__to", "__block").withColumn("__own", F.lit(False))
+    return dealt.withColumn("__own", F.lit(True)).unionByName(tails), Series(series.order, ["__block"]), "__own"
 
 
 def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, blocks: int | None = None) -> DataFrame:
@@ -149,9 +182,8 @@ def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, block
 class Compiler:
     """Adds to a frame the columns that trees need, each measure once, and compiles the rest to expressions."""
 
-    def __init__(self, df: DataFrame, series: Series | None = None, fill: float | None = None, recurrence: str = "window") -> None:
-        """recurrence: how exponential averages run over keyed series: "window" stays in SQL, "pass" is linear in a series' length."""
-        self.df, self.series, self.fill, self.recurrence = df, series, fill, recurrence
+    def __init__(self, df: DataFrame, series: Series | None = None, fill: float | None = None) -> None:
+        self.df, self.series, self.fill = df, series, fill
         self.made: dict[str, str] = {}
 
     def column(self, node: Node) -> Column:
@@ -205,7 +237,7 @@ class Compiler:
         if what not in self.made:
             x = self._named(arg)
             name = self._new(what)
-            if mu.is_recursive and (self.recurrence == "pass" or not self.series.keys):
+            if mu.is_recursive:
                 self.df = _ema_frame(self.df, x, name, mu, self.series)
             else:
                 value = _measure_column(x, mu, self.series)
@@ -224,13 +256,30 @@ class Compiler:
                 self.df = self.df.withColumn(name, F.coalesce(name, F.lit(float(self.fill))))
         return self.made[what]
 
+    def prepare(self, trees: list[Node]) -> None:
+        """All reductions of the trees: one aggregate for each level of nesting, so that the rows are read once more a level, however many reductions there are."""
+        levels: dict[int, dict[str, tuple[str, Node]]] = {}
+
+        def level(n: Node) -> int:
+            inner = max((level(c) for c in children(n)), default=0)
+            if isinstance(n, UnOp) and n.op in REDUCE:
+                levels.setdefault(inner, {})[f"{n.op} {key(n.a)}"] = (n.op, n.a)
+                return inner + 1
+            return inner
+
+        for t in trees:
+            level(t)
+        for k in sorted(levels):
+            new = {what: (op, self._named(arg)) for what, (op, arg) in levels[k].items() if what not in self.made}
+            if new:
+                named = {what: self._new(what) for what in new}
+                one = self.df.agg(*[REDUCE[op](F.col(x)).alias(named[what]) for what, (op, x) in new.items()])  # one row
+                self.df = self.df.join(F.broadcast(one))
+
     def _reduce(self, op: str, arg: Node) -> str:
         what = f"{op} {key(arg)}"
         if what not in self.made:
-            x = self._named(arg)
-            name = self._new(what)
-            one = self.df.agg(REDUCE[op](F.col(x)).alias(name))  # one row
-            self.df = self.df.join(F.broadcast(one))
+            self.prepare([UnOp(op, arg)])
         return self.made[what]
 
 
@@ -286,9 +335,27 @@ def evaluate(df: DataFrame, trees: dict[str, Node], series: Series | None = None
     missing = set().union(*(used_features(t) for t in trees.values())) - set(df.columns)
     if missing:
         raise KeyError(f"no columns {sorted(missing)}")
+    kept, own = df.columns if keep is None else keep, None
+    before = halo(list(trees.values()))
+    if series is not None and not series.keys and series.space is None and before and not any(isinstance(n, UnOp) and n.op in REDUCE for t in trees.values() for n in subtrees(t)):
+        df, series, own = in_ranges(df, series, before)
     c = Compiler(df, series, fill)
+    c.prepare(list(trees.values()))
     made = {name: c.column(t) for name, t in trees.items()}
-    return c.df.select(*[F.col(f"`{k}`") for k in (df.columns if keep is None else keep)], *[v.alias(k) for k, v in made.items()])
+    return (c.df if own is None else c.df.where(own)).select(*[F.col(f"`{k}`") for k in kept], *[v.alias(k) for k, v in made.items()])
+
+
+def halo(trees: list[Node]) -> int:
+    """The rows before a row that its values can depend on, 0 if none or if an exponential average reaches back without end."""
+
+    def reach(n: Node) -> float:
+        inner = max((reach(c) for c in children(n)), default=0)
+        if isinstance(n, FunctionalOp):
+            return inner + max(float("inf") if mu.is_recursive else mu.warmup for mu, _ in n.functional.parts())
+        return inner
+
+    most = max((reach(t) for t in trees), default=0)
+    return 0 if most == float("inf") else int(most)
 
 
 def in_layers(df: DataFrame, trees: list[Node], keep: list[str]) -> tuple[DataFrame, list[Column]]:

@@ -45,6 +45,17 @@ def pool_rows(rows: DataFrame, value: str, side: int, height: int, width: int) -
     return inside.groupBy("img", (F.floor(F.col("r") / h) * side + F.floor(F.col("c") / w)).cast("int").alias("region")).agg(F.avg(F.when((v - v) == 0, v)).alias(value))
 
 
+def predict_images(pixels: DataFrame, tree: Node, pool: str = "mean") -> DataFrame:
+    """(img, prediction) by a tree on each image's pixels (img, r, c, channels), pooled by mean, max or sum of finite values; with "none" a row a pixel."""
+    from galena.operators.lowering import evaluate
+
+    made = evaluate(pixels, {"prediction": tree}, keep=["img", "r", "c"])
+    if pool == "none":
+        return made
+    v = F.col("prediction")
+    return made.groupBy("img").agg({"mean": F.avg, "max": F.max, "sum": F.sum}[pool](F.when((v - v) == 0, v)).alias("prediction"))
+
+
 @dataclass
 class Network:
     features: list[Node]  # on channels

@@ -1,19 +1,19 @@
 """Losses as aggregates, Pareto fronts, halls of fame, and scoring of whole populations.
 
-A population is scored in one of two ways. By data: candidates become columns of one aggregate, some fifty at a
-time, over rows of any number. By candidate: the table, whose size is checked, goes to every task, and trees
+A population is scored in one of two ways. By data: one pass over rows of any number for all candidates, whose measures and
+reductions are columns first. By candidate: the table, whose size is checked, goes to every task, and trees
 travel as rows. Both give the same losses.
 """
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from galena.operators.tree import Node
 
 #: Candidates of one aggregate.
 BATCH = 25
+#: Rows at once and values of nodes kept for them, where trees are scored over Arrow batches.
+CHUNK, MEMO = 4096, 512
 #: A table of up to so many cells may go to every task.
 MOST_LOCAL_CELLS = 4_000_000
 
@@ -129,34 +131,72 @@ def merge_halls(halls: DataFrame, more: DataFrame) -> DataFrame:
 Loss = Callable[[Column, Column], Column]
 
 
-@contextlib.contextmanager
-def split_methods(spark: SparkSession):
-    """Generated code in methods short enough to be compiled: one method for a whole stage of so many expressions is not, and is then interpreted."""
-    name = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def losses_by_data(df: DataFrame, trees: list[Node], y: str, series: Series | None = None, fill: float | None = 0.0, loss: Loss = mse, share: float = 0.9) -> list[float]:
-    """One loss for each tree, in passes of BATCH trees over df. Measures that trees share are one column."""
+    """One loss for each tree over all rows of df. Measures and reductions that trees share are one column.
+
+    Mean square errors: one pass over the rows, in which every task adds up four numbers a tree over Arrow batches. Other losses: an
+    aggregate for each BATCH trees.
+    """
+    c = Compiler(df, series, fill)
+    c.prepare(trees)
+    flat = [c.flat(t) for t in trees]
+    needed = sorted(set().union(*map(T.used_features, flat)))
+    rows = c.df.select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed])
+    if loss is mse:
+        return _square_errors(rows, flat, needed, share)
     out: list[float] = []
-    for at in range(0, len(trees), BATCH):
-        part = trees[at : at + BATCH]
-        c = Compiler(df, series, fill)
-        flat = [c.flat(t) for t in part]
-        needed = sorted(set().union(*map(T.used_features, flat)))
-        rows, columns = in_layers(c.df.select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed]), flat, ["__y", *needed])
-        made = rows.select("__y", *[p.alias(f"__p{i}") for i, p in enumerate(columns)])
-        with split_methods(df.sparkSession):
-            row = made.agg(*[guarded(loss(F.col(f"__p{i}"), F.col("__y")), F.col(f"__p{i}"), share).alias(f"l{i}") for i in range(len(part))]).first()
+    for at in range(0, len(flat), BATCH):
+        laid, columns = in_layers(rows, flat[at : at + BATCH], ["__y", *needed])
+        made = laid.select("__y", *[p.alias(f"__p{i}") for i, p in enumerate(columns)])
+        row = made.agg(*[guarded(loss(F.col(f"__p{i}"), F.col("__y")), F.col(f"__p{i}"), share).alias(f"l{i}") for i in range(len(columns))]).first()
         out += [float(v) if v is not None and not math.isnan(v) else math.inf for v in row]
     return out
 
 
+def _square_errors(rows: DataFrame, trees: list[Node], names: list[str], share: float) -> list[float]:
+    """The guarded mean square errors of pointwise trees over rows (__y, names)."""
+
+    def run(batches):
+        sums = np.zeros((len(trees), 4))
+        for batch in batches:
+            values = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns)]
+            for at in range(0, batch.num_rows, CHUNK):  # operands stay in the processor's cache
+                y, *columns = (v[at : at + CHUNK] for v in values)
+                env, known = dict(zip(names, columns, strict=True)), np.isfinite(y)
+                memo: dict[Node, np.ndarray] = {}
+                for i, t in enumerate(trees):
+                    p = np.broadcast_to(_shared(t, env, memo), y.shape)
+                    fine = np.isfinite(p)
+                    good = fine & known
+                    e = p[good] - y[good]
+                    sums[i] += len(y), fine.sum(), len(e), e @ e
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trees))), *(pa.array(x) for x in sums.T)], ["i", "n", "fine", "good", "e"])
+
+    found = rows.mapInArrow(run, "i long, n double, fine double, good double, e double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("fine").alias("fine"), F.sum("good").alias("good"), F.sum("e").alias("e"))
+    losses = [math.inf] * len(trees)
+    for r in found.collect():  # a row a tree
+        if r["fine"] >= max(2, math.floor(r["n"] * share)) and r["good"] and not math.isnan(r["e"]):
+            losses[r["i"]] = r["e"] / r["good"]
+    return losses
+
+
+def _shared(node: Node, env: dict[str, np.ndarray], memo: dict[Node, np.ndarray]) -> np.ndarray:
+    """A pointwise tree's values; those of operator nodes are kept for the trees after it, as many as MEMO."""
+    if isinstance(node, T.Var):
+        return env[node.name]
+    if isinstance(node, T.Const):
+        return np.float64(node.value)
+    if node not in memo:
+        with np.errstate(all="ignore"):
+            args = [np.asarray(_shared(x, env, memo), float) for x in T.children(node)]
+            made = (T.NP_BINARY if isinstance(node, T.BinOp) else T.NP_UNARY)[node.op](*args)
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[node] = made
+        return made
+    return memo[node]
+
+
 def score_arrays(tree: Node, env: dict[str, np.ndarray], y: np.ndarray, fill: float = 0.0, share: float = 0.9, memo: dict | None = None) -> float:
     """The guarded mean square error in memory."""
     try:

@@ -25,9 +25,9 @@ from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, No
 
 # fixed values: limits of trees, and the grids that random measures are drawn from
 MOST_DEPTH, MOST_COMPLEXITY, MOST_CONSTANT = 8, 40, 1e4
-HALF_LIVES = [3, 6, 12, 24, 48, 72, 168, 336, 720]
+HALF_LIVES = [3, 6, 12, 24, 48, 168, 336, 720]
 LAGS = [1, 2, 3, 6, 12, 24, 48, 72, 168, 336]
-WINDOWS = [3, 6, 12, 24, 48, 72, 168, 336]
+WINDOWS = [3, 6, 12, 24, 48, 168, 336]
 ALPHAS = [1.2, 1.5, 2.0, 2.5, 3.0]
 SWAPS = [("add", "sub"), ("div", "mul", "pow"), ("max", "min"), ("sign", "tanh"), ("abs", "neg"), ("exp", "log", "sqrt"), ("cos", "sin"), ("acos", "asin")]
 
@@ -229,10 +229,11 @@ def optimise_constants(node: Node, loss: Callable[[Node], float], steps: int = 2
 
 
 def neat_values() -> list[float]:
-    """Whole numbers, simple fractions and products with pi, e and roots, by a rule."""
-    simple = [float(k) for k in range(0, 11)] + [p / q for q in (2, 3, 4, 5, 6, 8) for p in range(1, 2 * q) if p % q]
-    special = [math.pi, 2 * math.pi, 4 * math.pi, math.pi / 2, math.pi / 4, 1 / math.pi, 1 / (2 * math.pi), 1 / (4 * math.pi), 1 / (6 * math.pi), math.e, 1 / math.e, 2**0.5, 3**0.5, 5**0.5, 0.5**0.5]
-    return sorted({s * v for v in simple + special for s in (1, -1)})
+    """By a rule, of either sign: whole numbers to ten, simple fractions, powers of pi and e with small factors, roots, and the reciprocals of all these."""
+    simple = [float(k) for k in range(0, 11)] + [p / q for q in (2, 3, 4, 5, 6, 8, 10) for p in range(1, 3 * q) if p % q]
+    circle = [k * math.pi**n for n in (1, 2, 3) for k in (1, 2, 3, 4, 6, 8, 1 / 2, 1 / 3, 1 / 4, 2 / 3, 3 / 2, 4 / 3)]
+    special = [*circle, math.e, math.e**2, *(k**0.5 for k in (2, 3, 5, 6, 7, 10)), (2 * math.pi) ** 0.5, math.pi**0.5]
+    return sorted({s * v for v in simple + special + [1 / v for v in special] for s in (1, -1)})
 
 
 def snap_constants(node: Node, loss: Callable[[Node], float], tolerance: float = 0.005) -> tuple[Node, float]:

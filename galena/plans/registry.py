@@ -152,12 +152,6 @@ query("functional_volterra", _series_sql({"v": f"(value - {_lag(1)}) * (value -
 query("functional_bilinear", _series_sql({"v": f"({_lag(1)}) * ({_lag(2)} - 100)"}))(_series({"v": FunctionalOp(SeparableBilinear(M.lag(1), M.lag(2)), (Var("value"), BinOp("sub", Var("value"), Const(100.0))))}))
 
 
-@query("measure_long_kernel")
-def _long_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More weights than become lags: a collected window."""
-    return _series({"v": linear(M.power_law(24, 1.5, 100))})(spark, sf_dir)
-
-
 @query("measure_ema_pass")
 def _ema_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one series, in range blocks."""
@@ -341,16 +335,6 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("change", round(m.change(np.array([0.1, 0.2])), 10))], "name string, value double")
 
 
-@query("additive_polynomial")
-def _polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from galena.operators.regression import additive_polynomial
-
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("z"))
-    found = additive_polynomial(rows.withColumn("y", 2 * F.col("x") * F.col("x") * F.col("z") - F.col("z") + 0.5), ["x", "z"], "y")
-    return spark.createDataFrame([(str(p), round(c, 8)) for c, p in found.terms], "powers string, coefficient double")
-
-
-@query("stlsq_lorenz")
 def _lorenz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three rates of a Lorenz trajectory from its states, by thresholded least squares on monomials."""
     from galena.operators.dynamics import SYSTEMS, trajectories
@@ -462,15 +446,6 @@ def _queens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queens(spark, 6).select(*[F.get("files", F.lit(i)).alias(n) for i, n in enumerate("abcdef")])
 
 
-@query("exact_cover", "SELECT 1 AS a, 3 AS b, 5 AS c")
-def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small instance with one solution."""
-    from galena.operators.combinatorics import exact_cover
-
-    rows = spark.createDataFrame([(0, [2, 4]), (1, [0, 3, 6]), (2, [1, 2, 5]), (3, [2, 4, 5]), (4, [0, 3]), (5, [1]), (6, [3, 4, 6])], "id long, covers array<int>")
-    return exact_cover(rows, list(range(7))).select(*[F.get("solution", F.lit(i)).cast("int").alias(n) for i, n in enumerate("abc")])
-
-
 @query("ising_ground_state", "WITH s AS (SELECT range AS state, list_transform(range(6), lambda i: 2 * ((range >> i) & 1) - 1) AS s FROM range(64)), e AS (SELECT state, -list_sum(list_transform(range(1, 6), lambda i: s[i] * s[i + 1] * CASE WHEN i % 2 = 0 THEN 1.5 ELSE -1 END)) - 0.25 * s[1] AS e FROM s) SELECT min_by(state, e * 1000 + state) AS state, min(e) AS energy FROM e")
 def _ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.operators.ising import Ising, ground_state
@@ -506,16 +481,42 @@ def _pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search and discovery: seeded; rows only
 
 
+def _on_all_rows(spark: SparkSession, rows: DataFrame, front: list, y: str) -> DataFrame:
+    """(tree, complexity, loss) of a front that was found on a bounded sample, its losses over the whole table."""
+    from galena.operators.scoring import losses_by_data
+
+    losses = losses_by_data(rows, [c.tree for c in front], y)
+    return spark.createDataFrame([(str(c.tree), c.complexity, float(x)) for c, x in zip(front, losses, strict=True)], "tree string, complexity int, loss double")
+
+
+def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    return table(spark, sf_dir, "lineitem").select((q / 50).alias("q"), (d * 10).alias("d"), (q * (1 - d)).alias("net"), d.alias("discount"), (3 * q / 50 + 2).alias("line"))
+
+
 @query("search_evolution")
 def _evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.operators.enumeration import sample_rows
     from galena.operators.search import Evolution, Grammar, SearchConfig
 
-    data = sample_rows(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"], 2000)
-    y = data["l_quantity"] * (1 - data["l_discount"])
-    env = {"q": data["l_quantity"] / 50, "d": data["l_discount"] * 10}
-    front = Evolution(Grammar(["q", "d"], measures_1d=False), env, y, SearchConfig(population=60, generations=10, seed=1), spark).run()
-    return spark.createDataFrame([(str(c.tree), c.complexity, float(c.loss)) for c in front], "tree string, complexity int, loss double")
+    rows = _goods(spark, sf_dir)
+    data = sample_rows(rows, ["q", "d", "net"], 2000)
+    front = Evolution(Grammar(["q", "d"], measures_1d=False), {k: data[k] for k in "qd"}, data["net"], SearchConfig(population=60, generations=10, seed=1), spark).run()
+    return _on_all_rows(spark, rows, front, "net")
+
+
+@query("search_by_data")
+def _evolution_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every generation scored over all rows; only bounds and polishing see the sample."""
+    from galena.operators.enumeration import sample_rows
+    from galena.operators.scoring import losses_by_data
+    from galena.operators.search import Evolution, Grammar, SearchConfig
+
+    rows = _goods(spark, sf_dir)
+    data = sample_rows(rows, ["q", "d", "net"], 2000)
+    score = lambda trees: losses_by_data(rows, trees, "net")
+    front = Evolution(Grammar(["q", "d"], measures_1d=False), {k: data[k] for k in "qd"}, data["net"], SearchConfig(population=40, generations=3, seed=1), score=score).run()
+    return _on_all_rows(spark, rows, front, "net")
 
 
 @query("search_random")
@@ -523,9 +524,10 @@ def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.operators.enumeration import sample_rows
     from galena.operators.search import Grammar, random_search
 
-    data = sample_rows(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 2000)
-    front = random_search(Grammar(["q"], measures_1d=False), {"q": data["l_quantity"] / 50}, data["l_discount"], 1000, 1, spark)
-    return spark.createDataFrame([(str(c.tree), c.complexity, float(c.loss)) for c in front], "tree string, complexity int, loss double")
+    rows = _goods(spark, sf_dir)
+    data = sample_rows(rows, ["q", "discount"], 2000)
+    front = random_search(Grammar(["q"], measures_1d=False), {"q": data["q"]}, data["discount"], 1000, 1, spark)
+    return _on_all_rows(spark, rows, front, "discount")
 
 
 @query("search_annealing")
@@ -533,9 +535,10 @@ def _annealing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.operators.enumeration import sample_rows
     from galena.operators.search import Grammar, anneal
 
-    q = sample_rows(table(spark, sf_dir, "lineitem"), ["l_quantity"], 1000)["l_quantity"] / 50
-    front = anneal(Grammar(["q"], measures_1d=False), {"q": q}, 3 * q + 2, 400, 4, seed=2, spark=spark)
-    return spark.createDataFrame([(str(c.tree), c.complexity, float(c.loss)) for c in front], "tree string, complexity int, loss double")
+    rows = _goods(spark, sf_dir)
+    data = sample_rows(rows, ["q", "line"], 1000)
+    front = anneal(Grammar(["q"], measures_1d=False), {"q": data["q"]}, data["line"], 400, 4, seed=2, spark=spark)
+    return _on_all_rows(spark, rows, front, "line")
 
 
 @query("discover_decompose")
@@ -560,8 +563,12 @@ def _recovery_of_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from galena.plans import algebra  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from galena.plans import algebra  # noqa: F401
+
     return dict(ORACLES)

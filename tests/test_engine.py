@@ -133,6 +133,52 @@ def test_blocked_average_over_one_long_series(spark):
         assert np.allclose(got, pd.Series(x).ewm(alpha=0.1, adjust=False).mean())
 
 
+def test_one_series_in_ranges_equals_one_window(spark):
+    """Ranges shorter than the halo too, nested measures, and a fill for the warmup."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=400)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").repartition(5)
+    inner = FunctionalOp(Linear(measures.roll_mean(7)), (Var("x"),))
+    tree = FunctionalOp(Linear(measures.lag(70)), (BinOp("mul", inner, Var("x")),))
+    want = (pd.Series(x).rolling(7).mean() * x).shift(70).to_numpy()
+    for blocks in (1, 3, 40):
+        cut, series, own = L.in_ranges(rows, L.Series(["i"]), 76, blocks)
+        got = {r["i"]: r["v"] for r in L.evaluate(cut, {"v": tree}, series, keep=["i", own]).where(own).collect()}
+        assert len(got) == 400 and L.halo([tree]) == 76
+        assert all((got[i] is None) == (i < 76) and (i < 76 or abs(got[i] - want[i]) < 1e-12) for i in range(400))
+    got = {r["i"]: r["v"] for r in L.evaluate(rows, {"v": tree}, L.Series(["i"]), keep=["i"]).collect()}
+    assert all(i < 76 or abs(got[i] - want[i]) < 1e-12 for i in range(400)) and len(got) == 400
+
+
+def test_exponential_average_is_one_pass(spark):
+    """Series longer than a batch, one with a gap that stays NaN, and no collected window in the plan."""
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(v)) for k in ("a", "b") for i, v in enumerate(rng.normal(size=12_000))] + [("c", 0, 1.0), ("c", 1, None), ("c", 2, 2.0), (None, 0, 4.0), (None, 1, 8.0)]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(4)
+    made = L.evaluate(df, {"v": FunctionalOp(Linear(measures.ema(3)), (Var("x"),))}, L.Series(["i"], ["k"]))
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    got = {(r["k"], r["i"]): r["v"] for r in made.collect()}
+    for k in ("a", "b"):
+        want = measures.ema(3).apply(np.array([x for q, _, x in rows if q == k]))
+        assert np.allclose([got[k, i] for i in range(12_000)], want)
+    assert got["c", 0] == 1 and np.isnan(got["c", 1]) and np.isnan(got["c", 2])
+    assert got[None, 0] == 4 and abs(got[None, 1] - (4 + 4 * measures.smoothing(3))) < 1e-12
+
+
+def test_reductions_read_the_rows_once_a_level(spark, tmp_path):
+    spark.range(100).selectExpr("CAST(id AS DOUBLE) AS x").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    x, reduce = Var("x"), lambda op, a: UnOp(f"reduce_{op}", a)
+    flat = {f"v{i}": BinOp("sub", x, reduce(op, x)) for i, op in enumerate(("mean", "max", "sum", "std"))}
+    plan = L.evaluate(rows, flat)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+    nested = {"a": reduce("std", BinOp("sub", x, reduce("mean", x))), "b": reduce("max", BinOp("div", x, reduce("sum", x))), **flat}
+    plan = L.evaluate(rows, nested)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 4
+    got = L.evaluate(rows, nested).first()
+    assert abs(got["a"] - np.std(np.arange(100))) < 1e-9 and abs(got["b"] - 99 / 4950) < 1e-12
+
+
 @pytest.mark.parametrize("m", [measures.laplacian(), measures.diff_t(2), measures.grad_x(), measures.sobel_x(), measures.sobel_y(), measures.separable_2d(measures.diff(1), measures.signed_sum([(0.5, 0), (0.5, 1)])), measures.atomic_2d([(1.0, 1, 1), (2.0, 0, -1)])])
 def test_fields_long_and_dense_equal_memory(spark, m):
     u = np.random.default_rng(5).standard_normal((9, 11))
@@ -291,9 +337,9 @@ def test_moments_say_what_a_term_would_do(spark):
 
 
 def test_lorenz_and_stencil(spark):
-    from galena.plans.registry import QUERIES
+    from galena.plans.registry import queries
 
-    found = {(r["rate"], r["term"]): r["coefficient"] for r in QUERIES["stlsq_lorenz"](spark, "").collect()}
+    found = {(r["rate"], r["term"]): r["coefficient"] for r in queries()["stlsq_lorenz"](spark, "").collect()}
     assert len(found) == 7 and abs(found["x", "(1, 0, 0)"] + 10) < 1e-5 and abs(found["y", "(1, 0, 0)"] - 28) < 1e-5 and abs(found["z", "(0, 0, 1)"] + 8 / 3) < 1e-5
     heat = dynamics.trajectories(spark, [{"system": "heat_1d", "seconds": 8}])
     assert dynamics.stencil_locality(heat, "heat_1d") == 1
