@@ -359,7 +359,9 @@ def _contested(groups: DataFrame, roots: DataFrame) -> DataFrame:
     found = groups.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
     placed = found.select("token", "entity", "n", F.coalesce("root", "entity").alias("root"))
     held = placed.groupBy("token", "root").count()
-    leaders = held.groupBy("token").agg(F.count("*").alias("many"), F.max_by("root", F.struct("count", "root")).alias("c")).where("many > 1").select("token", "c")
+    # of components that have as many of a token's entities the one with most rows, so that tokens of the same sets fall into one group
+    weights = held.groupBy("root").agg(F.sum("count").alias("weight"))
+    leaders = held.join(weights, "root").groupBy("token").agg(F.count("*").alias("many"), F.max_by("root", F.struct("count", "weight", "root")).alias("c")).where("many > 1").select("token", "c")
     return written(placed.join(leaders, "token"), "contested")
 
 
