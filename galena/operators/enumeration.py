@@ -432,14 +432,11 @@ def decompose(env: dict[str, np.ndarray], y: np.ndarray, config: DiscoveryConfig
     if depth > 0 and len(env) >= 2:
         groups = interaction_groups(*fit)
         if len(groups) > 1:
-            parts, rest = [], fit[1].astype(float)
+            parts: list[Node] = [Const(0.0)] * len(groups)
             for _ in range(2):  # each group against what the others leave
-                parts = []
-                rest = fit[1].astype(float)
-                for g in groups:
-                    found = decompose({n: fit[0][n] for n in g}, rest, config, depth - 1, spark)
-                    parts.append(found.tree)
-                    rest = rest - np.broadcast_to(np.asarray(T.evaluate(found.tree, fit[0]), float), rest.shape)
-                break
-            consider(simplify(weighted_sum([(1.0, p) for p in parts]), fast=False))
+                for i, g in enumerate(groups):
+                    others = [np.broadcast_to(np.asarray(T.evaluate(p, fit[0]), float), fit[1].shape) for k, p in enumerate(parts) if k != i]
+                    parts[i] = decompose({n: fit[0][n] for n in g}, fit[1] - sum(others, np.zeros(fit[1].shape)), config, depth - 1, spark).tree
+                if consider(simplify(weighted_sum([(1.0, p) for p in parts]), fast=False)):
+                    return Discovery(best, score)
     return Discovery(best, score)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.pointwise import UNARY
 from galena.operators import tree as T
+from galena.operators.axes import mixes_time_and_space
 from galena.operators.lowering import Series, evaluate
 from galena.operators.scoring import Candidate, mse, score_arrays
 from galena.operators.tree import Node, UnOp
@@ -64,6 +66,42 @@ def mdl_fitness(loss: float, tree: Node, features: int, n: int, noise: float = 1
     return loss / (2 * noise**2) + description_bits(tree, features) / (math.sqrt(n) if root else n)
 
 
+def holdout_judge(env: dict[str, np.ndarray], y: np.ndarray, weight: float = 1.0, statistics: float = 0.0) -> Callable[[Node, float], float]:
+    """For Evolution: the loss, plus weighted the loss on held-out rows, plus (of fields [t, x]) the distance of six summary numbers of prediction and target."""
+    from galena.operators.tree import evaluate as values
+
+    asked = field_statistics(y) if statistics else {}
+
+    def judge(tree: Node, loss: float) -> float:
+        out = with_holdout(loss, tree, env, y, weight)
+        if statistics and math.isfinite(out):
+            out += statistics * statistics_distance(field_statistics(np.broadcast_to(np.asarray(values(tree, env, 0.0), float), y.shape)), asked)
+        return out
+
+    return judge
+
+
+def field_statistics(u: np.ndarray) -> dict[str, float]:
+    """The numbers of summary_statistics of a field [t, x] in memory."""
+
+    def corr(a: np.ndarray, b: np.ndarray) -> float:
+        a, b = a.ravel() - a.mean(), b.ravel() - b.mean()
+        size = math.sqrt(float(a @ a) * float(b @ b))
+        return float(a @ b) / size if size else 0.0
+
+    return {"variance": float(u.var()), "size": float(np.abs(u).mean()), "corr_t": corr(u[1:], u[:-1]), "corr_x": corr(u[:, 1:], u[:, :-1]), "var_rows": float(u.mean(1).var()), "var_columns": float(u.mean(0).var())}
+
+
+def mdl_judge(features: int, n: int, noise: float = 1.0, root: bool = False) -> Callable[[Node, float], float]:
+    """For Evolution: description length beside the loss; parsimony is then best 0."""
+    return lambda tree, loss: mdl_fitness(loss, tree, features, n, noise, root)
+
+
+def causal(tree: Node) -> bool:
+    """For Evolution: no measure looks back in time and aside at once."""
+    return mixes_time_and_space(tree) == 0
+
+
 def operator_weights(front: list[Candidate], base: float = 1.0, gain: float = 2.0) -> dict[str, float]:
     """Weights of unary operators by how the front uses them."""
     used = Counter(n.op for c in front for n in T.subtrees(c.tree) if isinstance(n, UnOp) and n.op in UNARY)

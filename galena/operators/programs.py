@@ -1,4 +1,4 @@
-"""Slot programs over a smooth operator table: evolution, relaxed wiring, and a cross-entropy policy.
+"""Slot programs over a smooth operator table: evolution, a cross-entropy policy, relaxed choices by gradient, enumeration.
 
 A program has inputs (variables and free constants) and nodes; each node applies an operator to earlier slots, the last is
 the output. The table's protections are smooth, so constants can be fitted by gradient; nodes are held within 1e6.
@@ -206,18 +206,180 @@ def _drawn_to(chances: np.ndarray, chosen: list[int], smoothing: float) -> np.nd
     return new / new.sum()
 
 
-def relaxed_search(x: np.ndarray, y: np.ndarray, restarts: int = 16, steps: int = 150, nodes: int = 3, constants: int = 1, seed: int = 0) -> tuple[Program, float, float]:
-    """Soft choices of operator and arguments, cooled to hard ones; the best hard program, its r2, and the share of restarts over 0.999.
+# --- relaxed programs: choices as weights that a gradient moves
 
-    The choices' gradient is that of a score function over sampled hard programs, so no automatic differentiation is needed.
+
+@dataclass(frozen=True)
+class Relaxed:
+    """How relaxed programs are trained. hard: nodes run the likeliest choice and only slopes see the weights (straight through);
+    else they run the weighted mean of all choices, and the program is read off at the end."""
+
+    nodes: int = 3
+    constants: int = 1
+    steps: int = 600
+    rate: float = 0.05
+    hard: bool = True
+    hot: float = 2.0
+    cold: float = 0.1
+    entropy: float = 0.02  # weight of the choices' entropy, from two fifths of the steps on
+    refine_steps: int = 120
+
+
+def _softmax(z: np.ndarray, heat: float) -> np.ndarray:
+    e = np.exp((z - z.max()) / heat)
+    return e / e.sum()
+
+
+def _relaxed_pass(choices: list[list[np.ndarray]], constants: np.ndarray, x: np.ndarray, y: np.ndarray, heat: float, hard: bool, penalty: float) -> tuple[float, list[list[np.ndarray]], np.ndarray]:
+    """The scaled error (in units of y's variance) with the entropy penalty, and its slopes by all logits and constants, by one pass back.
+
+    choices: for each node the logits of its operator and of its two arguments' slots.
     """
-    hits, best = 0, None
-    for r in range(restarts):
-        p, r2 = policy_search(x, y, rounds=max(1, steps // 25), batch=25, elite=0.25, smoothing=0.4, nodes=nodes, constants=constants, steps=25, seed=seed + 7919 * r)
-        hits += r2 > 0.999
-        if best is None or r2 > best[1]:
-            best = (p, r2)
-    return best[0], best[1], hits / restarts
+    rows = len(y)
+    slots = [*x.T, *(np.full(rows, c) for c in constants)]
+    weights = [[_softmax(z, heat) for z in node] for node in choices]
+    used = [[(np.arange(len(w)) == w.argmax()) * 1.0 if hard else w for w in node] for node in weights]
+    kept = []
+    with np.errstate(all="ignore"):
+        for ops, first, second in used:
+            stack = np.stack(slots)
+            a, b = first @ stack, second @ stack
+            args = [(a, b)[: OPS[name][0]] for name in NAMES]
+            raw = np.stack([OPS[name][1](*v) for name, v in zip(NAMES, args, strict=True)])
+            inside = np.isfinite(raw) & (np.abs(raw) < LIMIT)
+            values = np.clip(np.nan_to_num(raw, nan=0.0, posinf=LIMIT, neginf=-LIMIT), -LIMIT, LIMIT)
+            kept.append((stack, args, values, inside))
+            slots.append(ops @ values)
+        scale, shift, r2 = fit_scale(slots[-1], y)
+        spread = float(y.var()) or 1e-300
+        loss = 1 - r2
+        back = [np.zeros(rows) for _ in slots]
+        back[-1] = 2 * scale * (scale * slots[-1] + shift - y) / rows / spread
+        slopes: list[list[np.ndarray]] = []
+        for k in range(len(choices) - 1, -1, -1):
+            stack, args, values, inside = kept[k]
+            ops, first, second = used[k]
+            g = back[len(stack)]
+            by_op, ga, gb = values @ g, np.zeros(rows), np.zeros(rows)
+            for o in np.flatnonzero(ops):
+                d = OPS[NAMES[o]][2](*args[o])
+                ga += np.nan_to_num(ops[o] * d[0] * inside[o]) * g
+                if len(d) == 2:
+                    gb += np.nan_to_num(ops[o] * d[1] * inside[o]) * g
+            for j in range(len(stack)):
+                back[j] = back[j] + first[j] * ga + second[j] * gb
+            moved = []
+            for w, grad in zip(weights[k], (by_op, stack @ ga, stack @ gb), strict=True):
+                if penalty:
+                    logs = np.log(np.maximum(w, 1e-12))
+                    loss -= penalty * float(w @ logs)
+                    grad = grad - penalty * (logs + 1)
+                moved.append(w * (grad - w @ grad) / heat)
+            slopes.insert(0, moved)
+    inputs = x.shape[1]
+    return loss, slopes, np.array([back[inputs + i].sum() for i in range(len(constants))])
+
+
+def _read_off(choices: list[list[np.ndarray]], constants: np.ndarray) -> Program:
+    return Program(tuple((NAMES[int(o.argmax())], int(a.argmax()), int(b.argmax())) for o, a, b in choices), tuple(float(c) for c in constants))
+
+
+def train_relaxed(x: np.ndarray, y: np.ndarray, how: Relaxed, seed: int) -> tuple[Program, float]:
+    """One restart: logits and constants from a seed, Adam with heat falling along a cosine; the best program read off on the way, its constants fitted."""
+    rng, inputs = np.random.default_rng(seed), x.shape[1] + how.constants
+    choices = [[0.5 * rng.standard_normal(n) for n in (len(NAMES), inputs + k, inputs + k)] for k in range(how.nodes)]
+    constants = rng.standard_normal(how.constants)
+    parts = [z for node in choices for z in node] + [constants]
+    first, second = [np.zeros_like(z) for z in parts], [np.zeros_like(z) for z in parts]
+    best, score, seen = None, -np.inf, set()
+    for step in range(1, how.steps + 1):
+        at = step / how.steps
+        heat = how.cold + (how.hot - how.cold) * 0.5 * (1 + np.cos(np.pi * at))
+        _, slopes, by_constant = _relaxed_pass(choices, constants, x, y, heat, how.hard, how.entropy if at > 0.4 else 0.0)
+        for z, g, m, v in zip(parts, [*(s for node in slopes for s in node), by_constant], first, second, strict=True):
+            g = np.nan_to_num(np.clip(g, -1e3, 1e3))
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            z -= how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step % 25 == 0 or step == how.steps:
+            p = _read_off(choices, constants)
+            if p.nodes in seen:
+                continue
+            seen.add(p.nodes)
+            p, r2 = refine(p, x, y, how.refine_steps)
+            if best is None or r2 > score:
+                best, score = p, r2
+            if score > 1 - 1e-10:
+                break
+    return best, score
+
+
+def relaxed_search(x: np.ndarray, y: np.ndarray, restarts: int = 16, how: Relaxed | None = None, seed: int = 0, spark: SparkSession | None = None) -> tuple[Program, float, float]:
+    """The best hard program of all restarts, its r2, and the share of restarts over 0.999. With a session restarts are rows.
+
+    Relaxed(hard=True) trains wiring straight through, Relaxed(hard=False) soft operators and wiring.
+    """
+    how = how or Relaxed()
+    seeds = [seed + 7919 * r for r in range(restarts)]
+    if spark is None:
+        found = [train_relaxed(x, y, how, s) for s in seeds]
+    else:
+        import pickle
+
+        import pandas as pd
+
+        data = spark.sparkContext.broadcast((x, y))
+
+        def run_rows(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"seed": pdf["seed"], "p": [pickle.dumps(train_relaxed(*data.value, how, int(s))) for s in pdf["seed"]]})
+
+        rows = spark.createDataFrame([(s,) for s in seeds], "seed long").repartition(restarts, "seed")
+        made = {r[0]: pickle.loads(r[1]) for r in rows.mapInPandas(run_rows, "seed long, p binary").collect()}
+        found = [made[s] for s in seeds]
+    best = max(found, key=lambda q: q[1])
+    return *best, sum(r2 > 0.999 for _, r2 in found) / restarts
+
+
+# --- enumeration on the smooth table
+
+
+def enumerate_programs(variables: int, depth: int = 2) -> list[Program]:
+    """Programs without constants: each variable, one operator on variables, and with depth 2 an operator of one argument on those."""
+    plain = [Program((("id", i, i),), ()) for i in range(variables)]
+    ones = [n for n in NAMES if OPS[n][0] == 1 and n != "id"]
+    flat = [Program(((n, i, i),), ()) for n in ones for i in range(variables)]
+    flat += [Program(((n, i, j),), ()) for n in NAMES if OPS[n][0] == 2 for i in range(variables) for j in range(variables) if i < j or n in ("sub", "div") and i != j]
+    deep = [Program((*p.nodes, (n, variables, variables)), ()) for n in ones for p in flat] if depth > 1 else []
+    return [*plain, *flat, *deep]
+
+
+def combine_programs(x: np.ndarray, y: np.ndarray, depth: int = 2, most: int = 5, least_gain: float = 1e-9) -> tuple[list[tuple[float, Program]], float, float]:
+    """Orthogonal matching pursuit over the enumerated programs: (weight, program) terms, the intercept, and r2. Ties go to the earlier program."""
+    programs, columns = [], []
+    for p in enumerate_programs(x.shape[1], depth):
+        v = run(p, x)
+        spread = float(v.std())
+        if np.isfinite(v).all() and 1e-12 < spread < LIMIT:
+            programs.append(p)
+            columns.append((v - v.mean()) / spread)
+    if not columns:
+        return [], float(y.mean()), 0.0
+    phi, total = np.stack(columns), float(((y - y.mean()) ** 2).sum()) or 1e-300
+    chosen: list[int] = []
+    rest, r2, solved = y - y.mean(), 0.0, np.zeros(1)
+    while len(chosen) < most and r2 < 1 - 1e-12:
+        score = np.abs(phi @ rest)
+        score[chosen] = -1
+        tried = [*chosen, int(np.argmax(score))]
+        design = np.stack([run(programs[i], x) for i in tried] + [np.ones(len(y))], 1)
+        c = np.linalg.lstsq(design, y, rcond=None)[0]
+        left = y - design @ c
+        new = 1 - float(left @ left) / total
+        if new - r2 < least_gain:
+            break
+        chosen, rest, r2, solved = tried, left, new, c
+    return [(float(w), programs[i]) for w, i in zip(solved, chosen, strict=False)], float(solved[-1]) if chosen else float(y.mean()), r2
 
 
 def targets(n: int = 400, seed: int = 0) -> dict[str, tuple[np.ndarray, np.ndarray]]:

@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import SparkSession
 
 from galena.functions.pointwise import BINARY, REDUCE, UNARY
-from galena.operators import intervals, measures
+from galena.operators import gradients, intervals, measures
 from galena.operators import tree as T
 from galena.operators.measures import Linear, SeparableBilinear, Volterra2
 from galena.operators.scoring import Candidate, HallOfFame, losses_by_candidate, score_arrays
@@ -218,13 +218,14 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int
     return points[best], values[best]
 
 
-def optimise_constants(node: Node, loss: Callable[[Node], float], steps: int = 200) -> tuple[Node, float]:
-    """The tree with its constants where the loss is least nearby; never a worse one."""
+def optimise_constants(node: Node, loss: Callable[[Node], float], steps: int = 200, method: str = "simplex") -> tuple[Node, float]:
+    """The tree with its constants where the loss is least nearby; never a worse one. method: simplex, bfgs or powell."""
     start = T.constants(node)
     before = loss(node)
     if not start or not math.isfinite(before):
         return node, before
-    c, after = nelder_mead(lambda v: loss(T.with_constants(node, list(v))), np.array(start), steps)
+    walk = {"simplex": nelder_mead, "bfgs": gradients.bfgs, "powell": gradients.powell}[method]
+    c, after = walk(lambda v: loss(T.with_constants(node, list(v))), np.array(start), steps=steps)
     return (T.with_constants(node, list(c)), after) if after < before else (node, before)
 
 
@@ -266,6 +267,8 @@ class SearchConfig:
     share: float = 0.9
     fill: float = 0.0
     prune: bool = True
+    method: str = "simplex"  # how constants are polished: simplex, bfgs, powell, or slopes (exact ones, of pointwise trees)
+    adapt_every: int = 0  # generations after which unary operators are drawn as the front uses them; 0: never
     seed: int = 0
     seeds: list[Node] = field(default_factory=list)
 
@@ -281,11 +284,19 @@ class Evolution:
     """(mu + lambda): breed by tournament, score, keep the best of parents and children; polish the front's constants now and then.
 
     score: losses of a list of trees. With a session and arrays it runs by candidate; hand another function to score by data.
+    fit: a tree with fitted constants and its loss, in place of the walk on the arrays (gradients.fit_constants_by_data sees all rows).
+    judge: what selection goes by, from a tree and its loss, before parsimony (fitness.py has hold-out rows and description length).
+    accept: trees that may live at all (fitness.causal, for one); others are never scored.
     """
 
-    def __init__(self, grammar: Grammar, env: dict[str, np.ndarray], y: np.ndarray, config: SearchConfig | None = None, spark: SparkSession | None = None, score: Callable[[list[Node]], list[float]] | None = None) -> None:
+    def __init__(
+        self, grammar: Grammar, env: dict[str, np.ndarray], y: np.ndarray, config: SearchConfig | None = None, spark: SparkSession | None = None, score: Callable[[list[Node]], list[float]] | None = None,
+        fit: Callable[[Node], tuple[Node, float]] | None = None, judge: Callable[[Node, float], float] | None = None, accept: Callable[[Node], bool] | None = None,
+    ) -> None:
         self.g, self.env, self.y, self.config, self.spark = grammar, env, y, config or SearchConfig(), spark
         self.score = score or (self._by_candidate if spark else self._here)
+        self.fit, self.judge, self.accept = fit, judge or (lambda tree, loss: loss), accept or (lambda tree: True)
+        self.refused = 0
         self.hall = HallOfFame()
         self.ranges = {k: intervals.of_points(v.ravel()) for k, v in env.items()}
         self.bound = intervals.TargetBound(y.ravel())
@@ -306,16 +317,25 @@ class Evolution:
         front, weight = self.hall.pareto_front(), parsimony_at(self.config, generation)
         keep = []
         for t in trees:
+            if not self.accept(t):
+                self.refused += 1
+                continue
             # a tree that cannot beat the front whatever its values is not scored
             if self.config.prune and front and self.bound.mse(intervals.evaluate(t, self.ranges)) > intervals.pareto_threshold(front, T.complexity(t)):
                 self.pruned += 1
             else:
                 keep.append(t)
         losses = self.score(keep) if keep else []
-        found = [Candidate(t, v, T.complexity(t), v + weight * T.complexity(t), generation) for t, v in zip(keep, losses, strict=True)]
+        found = [Candidate(t, v, T.complexity(t), self.judge(t, v) + weight * T.complexity(t), generation) for t, v in zip(keep, losses, strict=True)]
         self.hall.update_many(found)
         return found
 
+    def _adapt(self) -> None:
+        from galena.operators.fitness import operator_weights
+
+        weights = operator_weights(self.hall.pareto_front())
+        self.g = replace(self.g, unary={op: weights.get(op, w) for op, w in self.g.unary.items()})
+
     def _rng(self, generation: int, index: int) -> random.Random:
         return random.Random(f"{self.config.seed}/{generation}/{index}")
 
@@ -328,6 +348,9 @@ class Evolution:
             children = []
             for i in range(c.population):
                 rng = self._rng(generation, i)
+                if not alive:  # nothing accepted so far
+                    children.append(self.g.tree(rng))
+                    continue
                 pick = lambda: min(rng.sample(alive, min(c.tournament, len(alive))), key=rank).tree  # noqa: B023, E731
                 child = crossover(pick(), pick(), rng) if rng.random() < c.crossover and len(alive) > 1 else mutate(pick(), self.g, rng)
                 children.append(child if is_valid(child, set(self.g.features)) else pick())
@@ -336,6 +359,8 @@ class Evolution:
             alive = sorted(pool.values(), key=rank)[: c.population]
             if generation % c.polish_every == 0:
                 self._polish(generation)
+            if c.adapt_every and generation % c.adapt_every == 0:
+                self._adapt()
             top = self.hall.top()
             idle = 0 if top and top.loss < best - 1e-12 else idle + 1
             best = top.loss if top else best
@@ -346,12 +371,19 @@ class Evolution:
 
     def _polish(self, generation: int) -> None:
         for member in self.hall.pareto_front():
-            node, loss = optimise_constants(member.tree, self.loss, self.config.polish_steps)
-            if self.config.snap and math.isfinite(loss):
-                node, loss = snap_constants(node, self.loss)
-            node = simplify(node)
-            loss = self.loss(node)
-            self.hall.update(Candidate(node, loss, T.complexity(node), loss + self.config.parsimony * T.complexity(node), generation))
+            if self.fit:
+                node, loss = self.fit(member.tree) if T.is_pointwise(member.tree) else (member.tree, member.loss)
+            elif self.config.method == "slopes" and T.is_pointwise(member.tree) and self.y.ndim == 1:
+                node, loss = gradients.fit_constants(member.tree, self.env, self.y, self.config.polish_steps, self.config.share)
+            else:
+                node, loss = optimise_constants(member.tree, self.loss, self.config.polish_steps, "simplex" if self.config.method == "slopes" else self.config.method)
+            whole = (lambda t: self.score([t])[0]) if self.fit else self.loss
+            if self.config.snap and math.isfinite(loss) and T.constants(node):
+                node, loss = snap_constants(node, whole)
+            if (neat := simplify(node)) != node:
+                node, loss = neat, whole(neat)
+            if self.accept(node):
+                self.hall.update(Candidate(node, loss, T.complexity(node), self.judge(node, loss) + self.config.parsimony * T.complexity(node), generation))
 
 
 def random_search(grammar: Grammar, env: dict[str, np.ndarray], y: np.ndarray, trees: int = 2000, seed: int = 0, spark: SparkSession | None = None, depth: int = 4) -> list[Candidate]:

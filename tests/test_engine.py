@@ -485,6 +485,123 @@ def test_spins(spark):
     found = ising.as_couplings(ising.monomial_energy(rows, names, 2, 0.5), 5)
     assert np.abs(found.j - small.j).max() < 0.25
     assert np.corrcoef(ising.covariance_seed(rows, names, 0.5).j.ravel(), small.j.ravel())[0, 1] > 0.7
+    energy = ising.energy_tree(small, names)
+    assert abs(ising.energy_losses(ising.patterns(rows, names), [energy], names, 0.5)[0] + ising.pseudo_log_likelihood(rows, small, names, 0.5)) < 1e-9
+    assert abs(ising.energy_correlation(rows, energy, small, names) - 1) < 1e-9
+    assert ising.monomial_energy(rows.limit(0), names, 2, 0.5) == {}
+
+
+def test_monomial_energies_here_and_by_tasks(spark, monkeypatch):
+    terms, names = {(0, 1, 2): 1.0, (3,): -0.5}, [f"s{i}" for i in range(4)]
+    rows = ising.sample_monomials(spark, terms, 4, 0.7, 4000, 20).cache()
+    here = ising.monomial_energy(rows, names, 3, 0.7, most=2)
+    assert set(here) == set(terms) and all(abs(here[t] - c) < 0.15 for t, c in terms.items())
+    monkeypatch.setattr(ising, "LOCAL_PATTERNS", 0)
+    there = ising.monomial_energy(rows, names, 3, 0.7, most=2)
+    assert list(there) == list(here) and np.allclose(list(there.values()), list(here.values()), atol=1e-9)
+
+
+def test_search_for_an_energy(spark):
+    from galena.operators.search import SearchConfig
+
+    chain = ising.Ising(np.diag([1.0, 0, 1], 1) + np.diag([1.0, 0, 1], -1), np.zeros(4))
+    names = [f"s{i}" for i in range(4)]
+    rows = ising.sample(spark, chain, 0.8, 3000, 30).cache()
+    best = ising.energy_search(rows, names, 0.8, SearchConfig(population=20, generations=3, parsimony=2e-3, polish_every=3, seed=3))[-1]
+    assert best.loss <= -ising.pseudo_log_likelihood(rows, chain, names, 0.8) + 0.01 and ising.energy_correlation(rows, best.tree, chain, names) > 0.95
+
+
+def _gradient_case():
+    rng = np.random.default_rng(5)
+    env = {"a": rng.uniform(0.2, 2, 400), "b": rng.uniform(-2, 2, 400)}
+    curve = T.BinOp("add", T.BinOp("mul", T.Const(1.0), T.UnOp("exp", T.BinOp("mul", T.Const(-0.1), T.Var("a")))), T.Const(0.0))
+    return env, curve, 2.5 * np.exp(-0.7 * env["a"]) + 1.3
+
+
+def test_slopes_of_random_trees():
+    import random
+
+    from galena.functions.pointwise import UNARY
+    from galena.operators.gradients import value_and_slopes
+    from galena.operators.search import Grammar
+
+    env, _, _ = _gradient_case()
+    g = Grammar(["a", "b"], measures_1d=False, unary=dict.fromkeys(UNARY, 1.0))
+    for i in range(150):
+        tree = g.tree(random.Random(i), 5)
+        c = np.array(T.constants(tree))
+        value, slopes = value_and_slopes(tree, env)
+        assert np.allclose(value, np.broadcast_to(np.asarray(T.evaluate(tree, env), float), value.shape), equal_nan=True)
+        for k, step in enumerate(np.diag(1e-6 * np.maximum(np.abs(c), 1e-3))):
+            with np.errstate(all="ignore"):
+                d = (value_and_slopes(tree, env, c + step)[0] - value_and_slopes(tree, env, c - step)[0]) / (2 * step[k])
+            size = max(1.0, float(np.nanmax(np.abs(slopes[k]), initial=0)))
+            # a row beside a kink may differ
+            assert (np.isclose(d, slopes[k], rtol=1e-3, atol=1e-4 * size) | ~np.isfinite(d) | ~np.isfinite(slopes[k])).mean() > 0.97
+
+
+def test_constants_fitted_by_slopes_here_and_over_rows(spark):
+    from galena.operators import gradients
+    from galena.operators.scoring import score_arrays
+    from galena.operators.search import optimise_constants
+
+    env, curve, y = _gradient_case()
+    here, loss = gradients.fit_constants(curve, env, y)
+    assert loss < 1e-20 and np.allclose(T.constants(here), [2.5, -0.7, 1.3])
+    for method in ("simplex", "bfgs", "powell"):
+        moved, left = optimise_constants(curve, lambda t: score_arrays(t, env, y), 200, method)
+        assert left < 1e-3 and left == score_arrays(moved, env, y)
+    rows = spark.createDataFrame(pd.DataFrame({**env, "y": y})).union(spark.createDataFrame([(None, 1.0, 2.0)], "a double, b double, y double")).repartition(3)
+    there, loss = gradients.fit_constants_by_data(rows, curve, "y")
+    assert loss < 1e-12 and np.allclose(T.constants(there), [2.5, -0.7, 1.3], atol=1e-5)
+    flat, loss = gradients.fit_constants_by_data(rows, T.Const(0.0), "y")
+    assert abs(T.constants(flat)[0] - np.append(y, 2.0).mean()) < 1e-9
+    assert math.isinf(gradients.fit_constants_by_data(rows.limit(0), curve, "y")[1])
+
+
+def test_what_a_search_goes_by():
+    from galena.operators import fitness
+    from galena.operators.search import Evolution, Grammar, SearchConfig
+
+    env, _, y = _gradient_case()
+    g = Grammar(["a", "b"], measures_1d=False)
+    found = Evolution(g, env, y, SearchConfig(population=30, generations=4, method="slopes", adapt_every=2, seed=1))
+    assert found.run() and set(found.g.unary) == set(g.unary) and found.g.unary != g.unary
+    small = Evolution(g, env, y, SearchConfig(population=30, generations=3), accept=lambda t: T.complexity(t) <= 3)
+    assert all(c.complexity <= 3 for c in small.run()) and small.refused
+    assert not Evolution(g, env, y, SearchConfig(population=5, generations=2), accept=lambda t: False).run()
+    held = {k: v[:50] for k, v in env.items()}
+    judge = fitness.holdout_judge(held, y[:50], 2.0)
+    tree = T.Var("a")
+    assert abs(judge(tree, 1.0) - 1.0 - 2 * ((env["a"][:50] - y[:50]) ** 2).mean()) < 1e-12
+    assert fitness.mdl_judge(2, 400)(tree, 1.0) == fitness.mdl_fitness(1.0, tree, 2, 400)
+    u = np.random.default_rng(0).random((6, 5))
+    assert fitness.holdout_judge({"u": u}, u, 1.0, 1.0)(T.Var("u"), 0.0) == 0.0
+
+
+def test_relaxed_and_enumerated_programs(spark):
+    from galena.operators import programs as P
+
+    rng = np.random.default_rng(0)
+    x = rng.uniform(0.5, 2, (50, 2))
+    y = x[:, 0] * x[:, 1]
+    choices, constants = [[rng.standard_normal(n) for n in (len(P.NAMES), 3 + k, 3 + k)] for k in range(2)], rng.standard_normal(1)
+    at = lambda: P._relaxed_pass(choices, constants, x, y, 1.0, False, 0.02)
+    _, slopes, by_constant = at()
+    for z, g in [*((choices[k][w], slopes[k][w]) for k in range(2) for w in range(3)), (constants, by_constant)]:
+        for i in range(len(z)):
+            z[i] += 1e-6
+            high = at()[0]
+            z[i] -= 2e-6
+            assert abs((high - at()[0]) / 2e-6 - g[i]) < 1e-6
+            z[i] += 1e-6
+    u, square = P.targets(200)["x^2"]
+    for hard in (True, False):
+        how = P.Relaxed(steps=300, hard=hard)
+        p, r2, share = P.relaxed_search(u, square, 4, how, spark=spark)
+        assert (p, r2, share) == P.relaxed_search(u, square, 4, how) and 0 < share <= 1 and abs(P.fit_scale(P.run(p, u), square)[2] - r2) < 1e-9
+    terms, start, r2 = P.combine_programs(x, 3 * x[:, 0] / x[:, 1] - 2 * np.sin(x[:, 1]) + 1)
+    assert r2 > 1 - 1e-9 and np.allclose(sum(w * P.run(q, x) for w, q in terms) + start, 3 * x[:, 0] / x[:, 1] - 2 * np.sin(x[:, 1]) + 1, atol=1e-3)
 
 
 def test_networks(spark):
