@@ -354,32 +354,45 @@ def enumerate_programs(variables: int, depth: int = 2) -> list[Program]:
     return [*plain, *flat, *deep]
 
 
-def combine_programs(x: np.ndarray, y: np.ndarray, depth: int = 2, most: int = 5, least_gain: float = 1e-9) -> tuple[list[tuple[float, Program]], float, float]:
-    """Orthogonal matching pursuit over the enumerated programs: (weight, program) terms, the intercept, and r2. Ties go to the earlier program."""
+def combine_programs(x: np.ndarray, y: np.ndarray, depth: int = 2, most: int = 5, least_gain: float = 1e-9, beam: int = 12) -> tuple[list[tuple[float, Program]], float, float]:
+    """Matching pursuit over the enumerated programs with a beam: (weight, program) terms, the intercept, and r2.
+
+    Each round extends every kept set by the programs that go best with what it leaves; the sets of least error stay, ties to
+    the earlier programs. More terms must gain `least_gain`.
+    """
     programs, columns = [], []
     for p in enumerate_programs(x.shape[1], depth):
         v = run(p, x)
-        spread = float(v.std())
-        if np.isfinite(v).all() and 1e-12 < spread < LIMIT:
+        if np.isfinite(v).all() and 1e-12 < v.std() < LIMIT:
             programs.append(p)
-            columns.append((v - v.mean()) / spread)
-    if not columns:
+            columns.append((v - v.mean()) / v.std())
+    centred = y - y.mean()
+    total = float(centred @ centred)
+    if not columns or not total:
         return [], float(y.mean()), 0.0
-    phi, total = np.stack(columns), float(((y - y.mean()) ** 2).sum()) or 1e-300
-    chosen: list[int] = []
-    rest, r2, solved = y - y.mean(), 0.0, np.zeros(1)
-    while len(chosen) < most and r2 < 1 - 1e-12:
-        score = np.abs(phi @ rest)
-        score[chosen] = -1
-        tried = [*chosen, int(np.argmax(score))]
-        design = np.stack([run(programs[i], x) for i in tried] + [np.ones(len(y))], 1)
-        c = np.linalg.lstsq(design, y, rcond=None)[0]
-        left = y - design @ c
-        new = 1 - float(left @ left) / total
-        if new - r2 < least_gain:
+    phi = np.stack(columns)
+    kept: list[tuple[float, tuple[int, ...], np.ndarray]] = [(total, (), centred)]
+    best = kept[0]
+    for _ in range(most):
+        found: dict[tuple[int, ...], tuple[float, tuple[int, ...], np.ndarray]] = {}
+        for _, chosen, rest in kept:
+            score = np.abs(phi @ rest)
+            score[list(chosen)] = -1
+            for i in np.argsort(-score, kind="stable")[:beam]:
+                new = tuple(sorted((*chosen, int(i))))
+                if new not in found:
+                    design = phi[list(new)].T
+                    left = centred - design @ np.linalg.lstsq(design, centred, rcond=None)[0]
+                    found[new] = (float(left @ left), new, left)
+        kept = sorted(found.values(), key=lambda k: (k[0], k[1]))[:beam]
+        if not kept or best[0] - kept[0][0] < least_gain * total:
+            break
+        best = kept[0]
+        if best[0] < 1e-12 * total:
             break
-        chosen, rest, r2, solved = tried, left, new, c
-    return [(float(w), programs[i]) for w, i in zip(solved, chosen, strict=False)], float(solved[-1]) if chosen else float(y.mean()), r2
+    design = np.stack([*(run(programs[i], x) for i in best[1]), np.ones(len(y))], 1)
+    weights = np.linalg.lstsq(design, y, rcond=None)[0]
+    return [(float(w), programs[i]) for w, i in zip(weights, best[1], strict=False)], float(weights[-1]), 1 - best[0] / total
 
 
 def targets(n: int = 400, seed: int = 0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
