@@ -41,6 +41,18 @@ def euler(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, dt: float, s
     return out
 
 
+# fixed values: the words that a system may declare, and the signatures that make sense for a class of models
+SYMMETRIES = ("reflection", "rotation_so2", "rotation_so3", "scaling", "space_translation", "time_reversal", "time_translation")
+CONSERVED = ("angular_momentum", "energy", "l2_norm", "linear_momentum", "phase_volume")
+SMOOTHNESS = ("analytic", "c_infty", "c_2", "lipschitz", "general")
+APPLIES = {
+    "algebraic": ("dimension", "modes", "smoothness", "symmetry"),
+    "map": ("conservation", "determinism", "dimension", "modes", "smoothness", "spectral", "symmetry"),
+    "ode": ("conservation", "determinism", "dimension", "lyapunov", "modes", "smoothness", "spectral", "symmetry"),
+    "pde": ("conservation", "determinism", "dimension", "lyapunov", "modes", "smoothness", "spectral", "symmetry"),
+}
+
+
 @dataclass(frozen=True)
 class System:
     name: str
@@ -53,9 +65,21 @@ class System:
     skip: float = 0.0
     symmetries: tuple[str, ...] = ()
     conserved: tuple[str, ...] = ()
-    smooth: str = "smooth"
+    smooth: str = "c_infty"
+    modes: int = 1
     edge: Callable[[np.ndarray], None] | None = None
 
+    def __post_init__(self) -> None:
+        for given, allowed, what in ((self.symmetries, SYMMETRIES, "symmetry"), (self.conserved, CONSERVED, "conserved quantity"), ((self.smooth,), SMOOTHNESS, "class of smoothness"), ((self.kind,), tuple(APPLIES), "class of models")):
+            for word in given:
+                if word not in allowed:
+                    raise ValueError(f"{word!r} is no {what}; there are {', '.join(allowed)}")
+
+    def metadata(self) -> dict:
+        """What the system declares about itself."""
+        size = len(self.start(self.params))
+        return {"name": self.name, "class": self.kind, "state_size": size, "symmetries": list(self.symmetries), "conserved": list(self.conserved), "smoothness": self.smooth, "modes": self.modes, "params": dict(self.params)}
+
     def run(self, params: dict[str, float] | None = None, start: np.ndarray | None = None, seconds: float | None = None, noise: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(times, states), with Gaussian noise of the given size on the states."""
         p = {**self.params, **(params or {})}
@@ -110,7 +134,7 @@ register(System("vdp", "ode", {"mu": 1.0}, lambda p: np.array([2.0, 0.0]), lambd
 register(System("lorenz63", "ode", {"sigma": 10.0, "rho": 28.0, "beta": 8 / 3}, lambda p: np.array([1.0, 1.0, 1.0]), lambda p: lambda s: np.array([p["sigma"] * (s[1] - s[0]), s[0] * (p["rho"] - s[2]) - s[1], s[0] * s[1] - p["beta"] * s[2]]), 0.01, 20.0, skip=2.0))
 register(System("fhn", "ode", {"eps": 0.08, "a": 0.7, "b": 0.8, "current": 0.5}, lambda p: np.array([-1.0, 1.0]), lambda p: lambda s: np.array([s[0] - s[0] ** 3 / 3 - s[1] + p["current"], p["eps"] * (s[0] + p["a"] - p["b"] * s[1])]), 0.05, 200.0))
 register(System("heat_1d", "pde", {"alpha": 0.05, "n": 64.0}, lambda p: np.exp(-0.5 * ((np.arange(int(p["n"])) - p["n"] / 2) / 4) ** 2) * 10, _heat, 0.1, 20.0, edge=_ends_to_zero))
-register(System("burgers_1d", "pde", {"nu": 0.02, "n": 128.0, "length": 2 * math.pi}, lambda p: np.sin(np.arange(int(p["n"])) * p["length"] / p["n"]) + 0.5, _burgers, 0.005, 2.0, smooth="shock"))
+register(System("burgers_1d", "pde", {"nu": 0.02, "n": 128.0, "length": 2 * math.pi}, lambda p: np.sin(np.arange(int(p["n"])) * p["length"] / p["n"]) + 0.5, _burgers, 0.005, 2.0, smooth="lipschitz"))
 register(System("linear_pendulum", "ode", {"g_over_l": 9.81}, lambda p: np.array([0.1, 0.0]), lambda p: lambda s: np.array([s[1], -p["g_over_l"] * s[0]]), 0.01, 20.0, conserved=("energy",)))
 register(System("nonlinear_pendulum", "ode", {"g_over_l": 9.81}, lambda p: np.array([1.5, 0.0]), lambda p: lambda s: np.array([s[1], -p["g_over_l"] * math.sin(s[0])]), 0.01, 20.0, conserved=("energy",)))
 register(System("kepler", "ode", {"gm": 1.0}, lambda p: np.array([1.0, 0.0, 0.0, 0.8]), lambda p: lambda s: np.concatenate([s[2:], -p["gm"] * s[:2] / (s[0] ** 2 + s[1] ** 2) ** 1.5]), 0.005, 20.0, symmetries=("rotation_so2",), conserved=("energy", "angular_momentum")))
@@ -282,26 +306,37 @@ def spectral(x: np.ndarray, dt: float, size: int = 256) -> dict[str, float]:
     return {"peak": float(power.max() / power.mean()), "flatness": float(np.exp(np.log(power + 1e-300).mean()) / power.mean()), "frequency": float(np.fft.rfftfreq(size, dt)[1:][power.argmax()])}
 
 
+def principal(states: np.ndarray, most: int) -> np.ndarray:
+    """The states along their first principal directions, at most so many; as they are if they have no more columns."""
+    if states.shape[1] <= most:
+        return states
+    c = states - states.mean(0)
+    # by the smaller of the two Gram matrices, so wide fields stay cheap
+    if c.shape[1] <= c.shape[0]:
+        return c @ np.linalg.eigh(c.T @ c)[1][:, ::-1][:, :most]
+    values, left = np.linalg.eigh(c @ c.T)
+    return left[:, ::-1][:, :most] * np.sqrt(np.maximum(values[::-1][:most], 0))
+
+
 def _embed(x: np.ndarray, m: int) -> np.ndarray:
     return np.stack([x[k : len(x) - m + k + 1] for k in range(m)], 1)
 
 
 def _forecast_error(x: np.ndarray, m: int, k: int, tests: int) -> float:
+    """The mean size of the error, in standard deviations, of the last `tests` steps, each forecast by the nearest points of the stretch before all of them."""
     points, nxt = _embed(x[:-1], m), x[m:]
-    n = len(points)
-    at = np.linspace(n // 2, n - 1, min(tests, n - n // 2)).astype(int)
-    error = []
-    for i in at:
-        d = ((points - points[i]) ** 2).sum(1)
-        d[max(0, i - m) : i + m + 1] = np.inf
-        near = np.argpartition(d, k)[:k]
-        error.append((nxt[near].mean() - nxt[i]) ** 2)
-    return float(np.mean(error))
+    known = len(points) - tests - k
+    before = points[:known]
+    error = [abs(nxt[np.argpartition(((before - p) ** 2).sum(1), k)[:k]].mean() - y) for p, y in zip(points[-tests:], nxt[-tests:], strict=True)]
+    return float(np.mean(error) / x.std())
 
 
 def determinism(x: np.ndarray, m: int = 3, k: int = 5, surrogates: int = 5, tests: int = 200, seed: int = 1) -> dict[str, float]:
-    """How much better neighbours predict the next value than in series of the same spectrum with random phases: a z-score."""
-    if len(x) < 50 or x.std() == 0:
+    """How much better neighbours predict the next value than in series of the same spectrum with random phases: a z-score.
+
+    Nothing for constant series and for those too short for a test.
+    """
+    if len(x) < m + tests + 3 * k or x.std() == 0:
         return {}
     rng, own = np.random.default_rng(seed), _forecast_error(x, m, k, tests)
     spectrum, others = np.fft.rfft(x - x.mean()), []
@@ -309,40 +344,85 @@ def determinism(x: np.ndarray, m: int = 3, k: int = 5, surrogates: int = 5, test
         phases = np.exp(2j * np.pi * rng.random(len(spectrum)))
         phases[0] = 1
         others.append(_forecast_error(np.fft.irfft(np.abs(spectrum) * phases, len(x)), m, k, tests))
-    return {"z": float((np.mean(others) - own) / (np.std(others) + 1e-12)), "error": own / float(x.var())}
+    return {"z": float((np.mean(others) - own) / (np.std(others) + 1e-9)), "error": own}
+
+
+def nearest_apart(points: np.ndarray, apart: int) -> np.ndarray:
+    """For each point the nearest other one whose number differs by more than `apart`, ties to the smaller number; -1 where there is none.
+
+    Points are compared in the order of their first coordinate, outwards from each, until that coordinate alone is farther off
+    than the best so far: exact, and no square of the length is held.
+    """
+    n = len(points)
+    order = np.argsort(points[:, 0], kind="stable")
+    p = points[order]
+    best, found = np.full(n, np.inf), np.full(n, -1)
+    for way in (1, -1):
+        active, step = np.arange(n), way
+        while len(active):
+            active = active[(active + step >= 0) & (active + step < n)]
+            other = active + step
+            gap = (p[other, 0] - p[active, 0]) ** 2
+            go = gap <= best[active]
+            active, other = active[go], other[go]
+            d = ((p[other] - p[active]) ** 2).sum(1)
+            far = np.abs(order[other] - order[active]) > apart
+            closer = far & ((d < best[active]) | (d == best[active]) & (order[other] < found[active]))
+            best[active[closer]], found[active[closer]] = d[closer], order[other[closer]]
+            step += way
+    out = np.empty(n, int)
+    out[order] = found
+    return out
 
 
 def lyapunov(x: np.ndarray, dt: float, m: int = 3, theiler: int = 10, steps: int = 30, fit: int = 15) -> dict[str, float]:
-    """Rosenstein's largest exponent: the slope of the mean log distance of neighbours that part."""
+    """Rosenstein's largest exponent: the slope of the mean log distance of neighbours that part. Over the whole series."""
     points = _embed(x, m)
     n = len(points) - steps
     if n < 50:
         return {}
-    pairs = []
-    for i in range(n):
-        d = ((points[:n] - points[i]) ** 2).sum(1)
-        d[max(0, i - theiler) : i + theiler + 1] = np.inf
-        pairs.append(int(d.argmin()))
-    i = np.arange(n)
+    near = nearest_apart(points[:n], theiler)
+    i = np.flatnonzero(near >= 0)
     logs = []
     for s in range(fit):
-        d = np.sqrt(((points[i + s] - points[np.array(pairs) + s]) ** 2).sum(1))
+        d = np.sqrt(((points[i + s] - points[near[i] + s]) ** 2).sum(1))
         logs.append(np.log(d[d > 1e-12]).mean() if (d > 1e-12).any() else 0.0)
     return {"exponent": float(np.polyfit(np.arange(fit) * dt, logs, 1)[0])}
 
 
+def correlation_dimension(states: np.ndarray, points: int = 1500, widest: int = 6, seed: int = 0) -> dict[str, float]:
+    """The slope of the log share of close pairs by log distance, from the first to the fiftieth percentile of distances, on a bounded draw of points.
+
+    Nothing for series under 500 rows or states of more than `widest` columns.
+    """
+    n = len(states)
+    if n < 500 or states.shape[1] > widest:
+        return {}
+    x = states[np.sort(np.random.default_rng(seed).choice(n, min(n, points), replace=False))]
+    d = np.concatenate([np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(1)) for i in range(len(x) - 1)])
+    d.sort()
+    low, high = np.percentile(d, 1), np.percentile(d, 50)
+    if not 0 < low < high:
+        return {}
+    radii = np.exp(np.linspace(np.log(low), np.log(high), 10))
+    share = np.searchsorted(d, radii) / len(d)
+    return {"correlation": float(np.polyfit(np.log(radii[share > 0]), np.log(share[share > 0]), 1)[0])} if (share > 0).sum() >= 4 else {}
+
+
 def conservation(states: np.ndarray, degree: int = 3, seed: int = 2) -> dict[str, float]:
-    """For each degree the least share of variance of a combination of monomials, against the same of independently shuffled columns."""
+    """For each degree the least share of variance of a combination of monomials, against the same of independently shuffled columns.
+
+    Wider states are taken along their first four principal directions.
+    """
     from galena.operators.regression import monomials
 
+    states = principal(states, 4)
     rng, out = np.random.default_rng(seed), {}
     scaled = (states - states.mean(0)) / (states.std(0) + 1e-12)
     d = scaled.shape[1]
     shuffled = np.column_stack([rng.permutation(c) for c in scaled.T])
     for k in range(1, degree + 1):
-        powers = [p for p in monomials([str(i) for i in range(d)], k)]
-        if len(powers) > 120:
-            break
+        powers = monomials([str(i) for i in range(d)], k)
 
         def least(s: np.ndarray, powers=powers) -> float:
             phi = np.column_stack([np.prod(s ** np.array(p), axis=1) for p in powers])
@@ -396,23 +476,29 @@ class Signature:
 
 
 def series_signatures(traj: DataFrame) -> DataFrame:
-    """(traj_id, signature, key, value) of spectral, determinism, lyapunov, conservation and modes: a trajectory a task."""
+    """(traj_id, signature, key, value) of spectral, determinism, lyapunov, conservation, dimension (correlation) and modes: a trajectory a task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         states = np.array(pdf["state"].tolist())
         x, dt = states[:, 0], float(np.median(np.diff(pdf["t"]))) if len(pdf) > 1 else 1.0
-        found = {"spectral": spectral(x, dt), "determinism": determinism(x), "lyapunov": lyapunov(x[:3000], dt), "conservation": conservation(states) if states.shape[1] <= 4 else {}, "modes": mode_count(states)}
+        found = {"spectral": spectral(x, dt), "determinism": determinism(principal(states, 1)[:, 0]), "lyapunov": lyapunov(x, dt), "conservation": conservation(states), "dimension": correlation_dimension(states), "modes": mode_count(states)}
         rows = [(pdf["traj_id"].iloc[0], s, k, float(v)) for s, values in found.items() for k, v in values.items()]
         return pd.DataFrame(rows, columns=["traj_id", "signature", "key", "value"])
 
     return traj.groupBy("traj_id").applyInPandas(run, "traj_id string, signature string, key string, value double")
 
 
-def full_signature(traj: DataFrame) -> DataFrame:
-    """All signatures in long form."""
+def full_signature(traj: DataFrame, kind: str | None = None) -> DataFrame:
+    """(traj_id, class, signature, key, value): the measures that tell classes apart, and the signatures that apply to the class of each trajectory.
+
+    kind: the class of all of them, where it is known; else it is found.
+    """
     melt = lambda df, name, cols: df.selectExpr("traj_id", f"'{name}' as signature", f"stack({len(cols)}, {', '.join(f"'{c}', cast({c} as double)" for c in cols)}) as (key, value)")
+    classes = model_class(traj)
     out = series_signatures(traj)
-    for df, name, cols in ((model_class(traj), "model_class", ["t_acf", "x_acf", "invariance"]), (smoothness(traj), "smoothness", ["smoothness"]), (symmetry(traj), "symmetry", ["time_translation", "time_reversal", "reflection", "rotation_so2"]), (effective_dimension(traj), "dimension", ["dimension"])):
+    for df, name, cols in ((classes, "model_class", ["t_acf", "x_acf", "invariance"]), (smoothness(traj), "smoothness", ["smoothness"]), (symmetry(traj), "symmetry", ["time_translation", "time_reversal", "reflection", "rotation_so2"]), (effective_dimension(traj), "dimension", ["dimension"])):
         out = out.unionByName(melt(df, name, cols))
-    return out.where("value is not null")
+    named = traj.select("traj_id").distinct().withColumn("class", F.lit(kind)) if kind else classes.select("traj_id", "class")
+    allowed = F.create_map(*[v for k, names in APPLIES.items() for v in (F.lit(k), F.array(*map(F.lit, ("model_class", *names))))])
+    return out.where("value is not null").join(named, "traj_id").where(F.array_contains(F.element_at(allowed, F.col("class")), F.col("signature"))).select("traj_id", "class", "signature", "key", "value")

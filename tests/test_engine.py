@@ -441,7 +441,39 @@ def test_signatures(spark):
     assert got["harmonic_1d", "smoothness", "smoothness"] > 0.9 > got["algebraic_feynman_gaussian", "smoothness", "smoothness"]
     assert abs(got["harmonic_1d", "dimension", "dimension"] - 2) < 0.1
     assert got["harmonic_1d", "conservation", "degree2"] < 0.05 and got["harmonic_1d", "symmetry", "reflection"] > 0.6
-    assert got["lorenz63", "determinism", "z"] > got["algebraic_feynman_gaussian", "determinism", "z"]
+    assert ("algebraic_feynman_gaussian", "determinism", "z") not in got  # does not apply to its class
+    every = {(r["traj_id"], r["signature"], r["key"]): r["value"] for r in dynamics.series_signatures(traj).collect()}
+    assert got["lorenz63", "determinism", "z"] > every["algebraic_feynman_gaussian", "determinism", "z"]
+    assert 1.5 < got["lorenz63", "dimension", "correlation"] < 2.5 and abs(got["harmonic_1d", "dimension", "correlation"] - 1) < 0.2
+    assert got["lorenz63", "lyapunov", "exponent"] > got["harmonic_1d", "lyapunov", "exponent"]
+    told = dynamics.full_signature(traj, "algebraic").select("class", "signature").distinct().collect()
+    assert {r[0] for r in told} == {"algebraic"} and {r[1] for r in told} == {"model_class", *dynamics.APPLIES["algebraic"]}
+
+
+def test_neighbours_apart_equal_brute_force():
+    points = np.random.default_rng(2).integers(0, 6, (300, 3)).astype(float)  # many ties
+    want = []
+    for i, p in enumerate(points):
+        d = ((points - p) ** 2).sum(1)
+        d[max(0, i - 10) : i + 11] = np.inf
+        want.append(int(d.argmin()))
+    assert dynamics.nearest_apart(points, 10).tolist() == want
+    assert dynamics.nearest_apart(points[:5], 10).tolist() == [-1] * 5
+
+
+def test_what_systems_declare():
+    from dataclasses import replace
+
+    kepler = dynamics.SYSTEMS["kepler"]
+    assert kepler.metadata()["state_size"] == 4 and kepler.metadata()["conserved"] == ["energy", "angular_momentum"]
+    for wrong in ({"symmetries": ("mirror",)}, {"conserved": ("mass",)}, {"smooth": "rough"}, {"kind": "sde"}):
+        with pytest.raises(ValueError):
+            replace(kepler, **wrong)
+    wide = np.random.default_rng(0).standard_normal((30, 50))
+    tall = wide.T
+    for x in (wide, tall):
+        c = x - x.mean(0)
+        assert np.allclose(np.abs(dynamics.principal(x, 2)), np.abs(c @ np.linalg.svd(c, full_matrices=False)[2][:2].T))
 
 
 def test_forecaster(spark):
