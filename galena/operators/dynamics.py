@@ -243,11 +243,11 @@ def stencil_locality(traj: DataFrame, traj_id: str, most: int = 5, least_r2: flo
     from galena.operators.regression import _fit, factor
 
     one = traj.where(F.col("traj_id") == traj_id)
-    w = Window.orderBy("i")
     width = one.agg(F.min(F.size("state"))).first()[0]
     if not width or width < 2 * most + 2:
         return None
-    rows = one.select("state", F.lead("state").over(w).alias("n")).where("n is not null").select("state", "n", F.explode(F.sequence(F.lit(most), F.lit(width - 1 - most))).alias("x"))
+    # the next row by its number, so that a long trajectory is no single window
+    rows = one.select("i", "state").join(one.select((F.col("i") - 1).alias("i"), F.col("state").alias("n")), "i").select("state", "n", F.explode(F.sequence(F.lit(most), F.lit(width - 1 - most))).alias("x"))
     f = factor(rows, {str(s): F.get("state", F.col("x") + s) for s in range(-most, most + 1)}, F.get("n", F.col("x")) - F.get("state", F.col("x")), intercept=False)
     total = f.solve([])[1]
     for k in range(most + 1):

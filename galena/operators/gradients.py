@@ -107,7 +107,7 @@ def _damped(sums: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps:
         s = sums(c)
         squares, good, fine, rows = s[-4:]
         valid = good > 0 and fine >= max(2, math.floor(share * rows)) and math.isfinite(squares)
-        return s[: k * k].reshape(k, k), s[k * k : k * k + k], squares / good if valid else math.inf
+        return s[: k * k].reshape(k, k), s[k * k : k * k + k], float(squares / good) if valid else math.inf
 
     c, damp = np.array(start, float), 1e-3
     gram, slope, loss = at(c)

@@ -372,7 +372,7 @@ class Evolution:
     def _polish(self, generation: int) -> None:
         for member in self.hall.pareto_front():
             if self.fit:
-                node, loss = self.fit(member.tree) if T.is_pointwise(member.tree) else (member.tree, member.loss)
+                node, loss = self.fit(member.tree) if T.is_pointwise(member.tree) and T.constants(member.tree) else (member.tree, member.loss)
             elif self.config.method == "slopes" and T.is_pointwise(member.tree) and self.y.ndim == 1:
                 node, loss = gradients.fit_constants(member.tree, self.env, self.y, self.config.polish_steps, self.config.share)
             else:

@@ -279,16 +279,15 @@ def _lorenz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("constants_refined", "SELECT round(regr_slope(l_extendedprice / 1000, l_quantity), 2) AS slope, true AS neat FROM lineitem")
 def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A constant moved to the least loss over all rows, by sums that one pass gathers; and one near 2 pi snapped to it."""
-    from galena.operators.regression import ols
-    from galena.operators.search import optimise_constants, snap_constants
+    """A slope fitted over all rows by exact derivatives; and a constant near 2 pi snapped to it."""
+    from galena.operators.gradients import fit_constants_by_data
+    from galena.operators.search import snap_constants
     from galena.operators.tree import constants
 
-    f = ols(table(spark, sf_dir, "lineitem"), {"q": F.col("l_quantity")}, F.col("l_extendedprice") / 1000)
-    n, a, b = (float(x) for x in (1.0, f["q"], f["1"]))
-    moved, _ = optimise_constants(MUL(Const(1.0), Q), lambda t: (constants(t)[0] - a) ** 2 + n * 0)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("y"))
+    moved, _ = fit_constants_by_data(rows, BinOp("add", MUL(Const(1.0), Q), Const(0.0)), "y")
     snapped, _ = snap_constants(MUL(Const(6.2832), Q), lambda t: (constants(t)[0] - 2 * np.pi) ** 2)
-    return spark.createDataFrame([(round(float(constants(moved)[0]), 2), bool(abs(constants(snapped)[0] - 2 * np.pi) < 1e-12))], "slope double, neat boolean")
+    return spark.createDataFrame([(round(constants(moved)[0], 2), bool(abs(constants(snapped)[0] - 2 * np.pi) < 1e-12))], "slope double, neat boolean")
 
 
 # --- systems

@@ -376,13 +376,6 @@ def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothness(user_trajectories(spark, sf_dir)).where("not isnan(smoothness)").select("traj_id", F.round("smoothness", 6).alias("smoothness"))
 
 
-@query("model_class")
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from galena.operators.dynamics import SYSTEMS, model_class, trajectories
-
-    return model_class(trajectories(spark, [{"system": n} for n in SYSTEMS])).select("traj_id", "class")
-
-
 @query("full_signature")
 def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galena.operators.dynamics import full_signature, trajectories
@@ -507,15 +500,19 @@ def _evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_by_data")
 def _evolution_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every generation scored over all rows; only bounds and polishing see the sample."""
+    """Every generation scored over all rows, the front's constants fitted over all rows; the start holds three skeletons."""
     from galena.operators.enumeration import sample_rows
+    from galena.operators.gradients import fit_constants_by_data
     from galena.operators.scoring import losses_by_data
     from galena.operators.search import Evolution, Grammar, SearchConfig
 
     rows = _goods(spark, sf_dir)
     data = sample_rows(rows, ["q", "d", "net"], 2000)
     score = lambda trees: losses_by_data(rows, trees, "net")
-    front = Evolution(Grammar(["q", "d"], measures_1d=False), {k: data[k] for k in "qd"}, data["net"], SearchConfig(population=40, generations=3, seed=1), score=score).run()
+    fit = lambda tree: fit_constants_by_data(rows, tree, "net", 6)
+    skeleton = BinOp("mul", BinOp("mul", Const(1.0), Var("q")), BinOp("sub", Const(1.0), Var("d")))
+    config = SearchConfig(population=40, generations=3, snap=False, prune=False, seed=1, seeds=[BinOp("mul", Const(30.0), Var("q")), BinOp("mul", BinOp("mul", Const(30.0), Var("q")), BinOp("add", Const(1.0), BinOp("mul", Const(0.1), Var("d")))), skeleton])
+    front = Evolution(Grammar(["q", "d"], measures_1d=False), {k: data[k] for k in "qd"}, data["net"], config, score=score, fit=fit).run()
     return _on_all_rows(spark, rows, front, "net")
 
 
@@ -563,12 +560,12 @@ def _recovery_of_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from galena.plans import algebra  # noqa: F401  registers its queries
+    from galena.plans import algebra, fits  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from galena.plans import algebra  # noqa: F401
+    from galena.plans import algebra, fits  # noqa: F401
 
     return dict(ORACLES)
