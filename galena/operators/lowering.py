@@ -8,6 +8,7 @@ back as one row, a stratum for each level of nesting; they are never a window ov
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -396,3 +397,57 @@ def shared_measures(trees: list[Node]) -> list[Node]:
             if isinstance(n, FunctionalOp | FunctionalOp2D):
                 seen[n] = seen.get(n, 0) + 1
     return [n for n, count in seen.items() if count > 1]
+
+
+def is_measure(node: Node) -> bool:
+    return isinstance(node, FunctionalOp | FunctionalOp2D)
+
+
+class MeasureCache:
+    """Measure columns kept between batches of trees over one table, persisted, at most `most` of them (the least lately used go first).
+
+    cacheable says which nodes become columns; a node is kept once `threshold` trees of a batch hold it, or a batch before did.
+    hits and misses count nodes asked for. The frame is that of the last rewrite; close() gives its memory back.
+    """
+
+    def __init__(self, df: DataFrame, series: Series | None = None, fill: float | None = 0.0, threshold: int = 1, most: int = 64, cacheable: Callable[[Node], bool] = is_measure) -> None:
+        self.base, self.df, self.series, self.fill, self.threshold, self.most, self.cacheable = df, df, series, fill, threshold, most, cacheable
+        self.held: dict[Node, str] = {}
+        self.hits = self.misses = self.made = 0
+
+    def rewrite(self, trees: list[Node]) -> tuple[DataFrame, list[Node]]:
+        """The table with the columns, and the trees with variables in place of what is kept (the outermost such node of a branch)."""
+        asked: dict[Node, int] = {}
+
+        def outermost(n: Node) -> set[Node]:
+            return {n} if self.cacheable(n) else set().union(*map(outermost, children(n)))
+
+        for t in trees:
+            for n in outermost(t):
+                asked[n] = asked.get(n, 0) + 1
+        new = [n for n, count in asked.items() if n not in self.held and count >= self.threshold][: self.most]
+        self.hits += sum(n in self.held for n in asked)
+        self.misses += sum(n not in self.held for n in asked)
+        for n in [n for n in asked if n in self.held]:
+            self.held[n] = self.held.pop(n)  # used last
+        if new:
+            for n in new:
+                self.held[n] = f"__kept{self.made}"
+                self.made += 1
+            self.held = dict(list(self.held.items())[-self.most :])
+            old = [v for n, v in self.held.items() if n not in new]
+            before = self.df
+            self.df = evaluate(before, {self.held[n]: n for n in new if n in self.held}, self.series, self.fill, [*self.base.columns, *old]).persist()
+            self.df.count()
+            if before is not self.base:
+                before.unpersist()
+
+        def put(n: Node) -> Node:
+            return Var(self.held[n]) if n in self.held else with_children(n, tuple(map(put, children(n))))
+
+        return self.df, [put(t) for t in trees]
+
+    def close(self) -> None:
+        if self.df is not self.base:
+            self.df.unpersist()
+        self.df, self.held = self.base, {}

@@ -752,3 +752,23 @@ def test_entry_and_queries(spark):
     assert entry.entry(spark).count() >= 1 and set(entry.oracle_sql()) <= set(entry.queries())
     for name in ("queens", "exact_cover", "ising_ground_state", "lagged_join", "field_mixed", "measure_ema"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_measures_kept_between_batches(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.repeat(["a", "b"], 40), "i": np.tile(np.arange(40), 2), "x": rng.random(80), "y": rng.random(80)}))
+    series = L.Series(["i"], ["k"])
+    lag, mean = (FunctionalOp(Linear(m), (Var("x"),)) for m in (measures.lag(2), measures.roll_mean(3)))
+    trees = [BinOp("add", lag, mean), BinOp("mul", lag, Const(2.0)), UnOp("sin", FunctionalOp(Linear(measures.diff(1)), (lag,)))]
+    want = scoring.losses_by_data(df, trees, "y", series)
+    cache = L.MeasureCache(df, series, most=4)
+    for _ in range(2):
+        kept, short = cache.rewrite(trees)
+        assert all(T.is_pointwise(t) for t in short) and np.allclose(scoring.losses_by_data(kept, short, "y"), want, atol=1e-12)
+    assert (cache.hits, cache.misses) == (3, 3)
+    small = L.MeasureCache(df, series, most=1)
+    for batch in (trees[1:2], [mean], trees):
+        kept, short = small.rewrite(batch)
+        assert np.allclose(scoring.losses_by_data(kept, short, "y", series), scoring.losses_by_data(df, batch, "y", series), atol=1e-12) and len(small.held) == 1
+    cache.close()
+    small.close()
