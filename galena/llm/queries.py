@@ -113,11 +113,33 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galena.llm.session import scratch
+    from galena.llm.tokenfile import digests, write_token_files
+
+    path = scratch(spark, "token-files")
+    return digests(spark, write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galena.llm.lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from galena.llm.mixing import SQL
+    from galena.llm import lexical, mixing, vector_codes
 
-    return {"op3_exact_dedup": OP3_SQL, "op6_exact_topk": OP6_SQL, "op9_mixing": SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_exact_topk": OP6_SQL, "op9_mixing": mixing.SQL, "op12_vector_codes": vector_codes.SQL, "op13_ranked_search": lexical.SQL}

@@ -55,6 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop, system = _files(spark, path)
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return path
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of tables from written() that nothing reads any more."""
     for df in tables:
