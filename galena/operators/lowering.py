@@ -1,7 +1,7 @@
 """Trees as Spark plans.
 
 Pointwise nodes become column expressions. A linear measure becomes a window expression over one series' rows; lags of one
-argument share one window and so one exchange. An exponential average runs its recurrence in one pass over sorted rows. A
+argument share one window and so one exchange. Exponential averages and long kernels run over sorted rows, all of a level in one pass. A
 series without keys is cut into ranges with a halo of the rows before. Reductions become an aggregate that is joined
 back as one row, a stratum for each level of nesting; they are never a window over everything.
 """
@@ -12,16 +12,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from galena.functions.pointwise import BINARY, REDUCE, UNARY
-from galena.operators.measures import Measure, Measure2D, smoothing
+from galena.operators.measures import Linear, Measure, Measure2D, smoothing
+from galena.operators.streams import Averages, OverlapSave
 from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, Node, UnOp, Var, children, key, subtrees, used_features, with_children
 
-#: A kernel of more weights than this is applied to a collected window instead of as a sum of lags.
+#: A kernel of more weights than this runs over the sorted rows by transforms instead of as a sum of lags.
 MOST_LAGS = 64
 
 
@@ -65,43 +66,52 @@ def _measure_column(x: str, mu: Measure, series: Series) -> Column:
         for k in used.tolist():
             total = total + F.lit(float(kernel[k])) * (F.lag(c, k).over(w) if k else c)
         return total
-    last = mu.warmup
-    held = F.collect_list(F.coalesce(c, F.lit(float("nan")))).over(w.rowsBetween(-last, 0))
-    weights = F.array(*[F.lit(float(v)) for v in kernel[last::-1]])
-    dot = F.aggregate(F.zip_with(held, weights, lambda v, k: F.when(k != 0, v * k).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    return F.when(number > last, dot)
+    raise ValueError("a kernel of so many weights runs over the rows, not in a window")
 
 
-def _with_double(df: DataFrame, name: str) -> types.StructType:
-    """df's schema and one more column (add() would change df's own)."""
-    return types.StructType([*df.schema.fields, types.StructField(name, types.DoubleType())])
+def is_streamed(mu: Measure) -> bool:
+    """Whether a measure runs over sorted rows: an average without end, or a kernel of more than MOST_LAGS weights that is no plain mean."""
+    plain = mu.density is not None and mu.density.family == "rectangular" and not mu.atoms
+    return mu.is_recursive or not plain and np.count_nonzero(mu.kernel()) > MOST_LAGS
 
 
-def _ema_frame(df: DataFrame, x: str, out: str, mu: Measure, series: Series) -> DataFrame:
-    """The recurrence by one pass over sorted rows, linear in their number; only the last value of a series is held, however long it is.
+def _with_doubles(df: DataFrame, *names: str) -> types.StructType:
+    """df's schema and more columns (add() would change df's own)."""
+    return types.StructType([*df.schema.fields, *(types.StructField(n, types.DoubleType()) for n in names)])
 
-    A missing value makes the average of its series NaN from there on.
+
+def _values(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as floats, nulls as NaN."""
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def streamed(df: DataFrame, jobs: list[tuple[str, str, Measure]], series: Series) -> DataFrame:
+    """df with a column `out` for each (x, out, measure), all in one pass over each series' sorted rows.
+
+    Averages are scanned and long kernels convolved by transforms, so a row costs about log K for a kernel of K weights, and a task holds K - 1 values,
+    however long its series. Before the warmup a kernel's column is null; a missing value makes an average NaN from there on.
     """
-    a = smoothing(dict(mu.density.params)["halflife"])
-    if not series.keys:
-        return blocked_ema(df, x, out, a, series)
-    keys = list(series.keys)
+    if not series.keys and (ends := [(x, out, smoothing(dict(mu.density.params)["halflife"])) for x, out, mu in jobs if mu.is_recursive]):
+        df = blocked_averages(df, ends, series)
+        jobs = [j for j in jobs if not j[2].is_recursive]
+    if not jobs:
+        return df
+    row = "__row"
+    schema = _with_doubles(df, *[out for _, out, _ in jobs])
 
     def run(batches):
-        last, held = None, 0.0
-        for pdf in batches:
-            values = pdf[x].to_numpy(float).tolist()
-            made = np.empty(len(values))
-            for i, (k, v) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), values, strict=True)):
-                same = k == last or last is not None and all(p == q or (p != p and q != q) or (p is None and q is None) for p, q in zip(k, last, strict=True))
-                held = a * v + (1 - a) * held if same else v
-                last = k
-                made[i] = held
-            yield pdf.assign(**{out: made})
-
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *series.order)
-    made = dealt.mapInPandas(run, _with_double(df, out))
-    return made.withColumn(out, F.coalesce(out, F.lit(float("nan"))))  # NaN comes back from pandas as null
+        states = [Averages(smoothing(dict(mu.density.params)["halflife"])) if mu.is_recursive else OverlapSave(mu.kernel()[: mu.warmup + 1]) for _, _, mu in jobs]
+        for batch in batches:
+            n = batch.column(row).to_numpy()
+            made = []
+            for (x, _, mu), state in zip(jobs, states, strict=True):
+                values = _values(batch, x)
+                made.append(pa.array(state.push(values, n == 1)) if mu.is_recursive else pa.array(state.push(values), mask=n <= mu.warmup))
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != row]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema.names)
+
+    # the window deals and sorts the rows; its number says where a series begins
+    return df.withColumn(row, F.row_number().over(series.window())).mapInArrow(run, schema)
 
 
 def in_ranges(df: DataFrame, series: Series, before: int, blocks: int | None = None) -> tuple[DataFrame, Series, str]:
@@ -135,9 +145,14 @@ def in_ranges(df: DataFrame, series: Series, before: int, blocks: int | None = N
 
 
 def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, blocks: int | None = None) -> DataFrame:
-    """An exponential average along one series of any length, in ranges of its order's first column (a number or a time).
+    """One average of blocked_averages."""
+    return blocked_averages(df, [(x, out, a)], series, blocks)
+
 
-    A block of n rows turns what it is handed into y * (1 - a)**n + b, so a first pass gathers n and b of each block (two numbers), the
+def blocked_averages(df: DataFrame, jobs: list[tuple[str, str, float]], series: Series, blocks: int | None = None) -> DataFrame:
+    """df with an exponential average `out` of each (x, out, a) along one series of any length, in ranges of its order's first column (a number or a time).
+
+    A block of n rows turns what it is handed into y * (1 - a)**n + b, so a first pass gathers n and b of each block (a few numbers), the
     driver folds them from left to right, and a second pass starts every block from its own hand-over. The ranges are
     fixed before either pass, so both see the same blocks, also after a lost executor.
     """
@@ -148,43 +163,92 @@ def blocked_ema(df: DataFrame, x: str, out: str, a: float, series: Series, block
     bounds = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.001))) if blocks > 1 else []
     block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0)
     dealt = df.withColumn("__block", block.cast("int")).repartition(blocks, "__block").sortWithinPartitions("__block", *series.order)
+    xs = [x for x, _, _ in jobs]
+
+    def starts(block: np.ndarray, now: int | None) -> list[int]:
+        return np.flatnonzero(np.concatenate([[now is None or block[0] != now], block[1:] != block[:-1]])).tolist()
 
     def summary(batches):
-        found: dict[int, list] = {}
-        for pdf in batches:
-            for b, v in zip(pdf["__block"].to_numpy(), pdf[x].to_numpy(float), strict=True):
-                state = found.setdefault(int(b), [0, 0.0, v])
-                state[0] += 1
-                state[1] = a * v + (1 - a) * state[1]
-        if found:
-            yield pd.DataFrame([(b, *v) for b, v in found.items()], columns=["block", "n", "b", "first"])
-
-    parts = sorted(tuple(r) for r in dealt.select("__block", x).mapInPandas(summary, "block int, n long, b double, first double").collect())
-    start, held = {}, None
+        states, now, found = [Averages(a) for _, _, a in jobs], None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("__block").to_numpy()
+            begin = starts(block, now)
+            values = [_values(batch, x) for x in xs]
+            made = [s.push(v, np.zeros(len(v), bool), dict.fromkeys(begin, 0.0)) for s, v in zip(states, values, strict=True)]
+            edges = sorted({0, *begin, len(block)})
+            for low, high in zip(edges, edges[1:], strict=False):
+                held = found.setdefault(int(block[low]), [0, [], [float(v[low]) for v in values]])
+                held[0], held[1] = held[0] + high - low, [float(y[high - 1]) for y in made]
+            now = block[-1]
+        rows = [*found.items()]
+        columns = [pa.array([b for b, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.int64()), *(pa.array([v[k] for _, v in rows], pa.list_(pa.float64())) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "n", "added", "first"])
+
+    parts = sorted(tuple(r) for r in dealt.select("__block", *dict.fromkeys(xs)).mapInArrow(summary, "block int, n long, added array<double>, first array<double>").collect())
+    start: dict[int, list[float]] = {}
+    held: list[float] | None = None
     for b, n, added, first in parts:
         held = first if held is None else held  # the series begins at its own first value
         start[b] = held
-        held = held * (1 - a) ** n + added
+        held = [h * (1 - a) ** n + v for h, v, (_, _, a) in zip(held, added, jobs, strict=True)]
+    schema = _with_doubles(df, *[out for _, out, _ in jobs])
 
     def run(batches):
-        now, held = None, 0.0
-        for pdf in batches:
-            made = np.empty(len(pdf))
-            for i, (b, v) in enumerate(zip(pdf["__block"].to_numpy(), pdf[x].to_numpy(float), strict=True)):
-                if b != now:
-                    now, held = b, start[b]
-                held = a * v + (1 - a) * held
-                made[i] = held
-            yield pdf.drop(columns="__block").assign(**{out: made})
+        states, now = [Averages(a) for _, _, a in jobs], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("__block").to_numpy()
+            begin = starts(block, now)
+            made = [pa.array(s.push(_values(batch, x), np.zeros(len(block), bool), {i: start[int(block[i])][k] for i in begin})) for k, (s, x) in enumerate(zip(states, xs, strict=True))]
+            now = block[-1]
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__block"]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def without_averages(df: DataFrame, trees: list[Node], series: Series, fill: float | None = None) -> tuple[DataFrame, list[Node]]:
+    """For one series without keys: df with a column for every exponential average, innermost first, and the trees over these columns.
 
-    return dealt.mapInPandas(run, _with_double(df, out))
+    What is left reaches back a bounded number of rows, so it can run in ranges.
+    """
+
+    def split(n: Node) -> Node:
+        new = tuple(map(split, children(n)))
+        if isinstance(n, FunctionalOp) and any(mu.is_recursive for mu, _ in n.functional.parts()):
+            parts = [FunctionalOp(Linear(mu), (new[i],)) for mu, i in n.functional.parts()]
+            out: Node = parts[0]
+            for p in parts[1:]:
+                out = BinOp("mul", out, p)
+            return out
+        return with_children(n, new)
+
+    def is_average(n: Node) -> bool:
+        return isinstance(n, FunctionalOp) and n.functional.parts()[0][0].is_recursive
+
+    def put(n: Node) -> Node:
+        return named[n] if n in named else with_children(n, tuple(map(put, children(n))))
+
+    trees, count = [split(t) for t in trees], 0
+    while inner := list(dict.fromkeys(n for t in trees for n in subtrees(t) if is_average(n) and not any(map(is_average, subtrees(n.args[0]))))):
+        args = {n.args[0]: f"__x{count}_{i}" for i, n in enumerate(inner)}
+        before, named = df.columns, {n: Var(f"__y{count}_{i}") for i, n in enumerate(inner)}
+        df = evaluate(df, {x: n for n, x in args.items()}, series, fill)
+        df = blocked_averages(df, [(args[n.args[0]], named[n].name, smoothing(dict(n.functional.parts()[0][0].density.params)["halflife"])) for n in inner], series)
+        df = df.select(*[F.col(f"`{c}`") for c in before], *[v.name for v in named.values()])
+        trees, count = [put(t) for t in trees], count + 1
+    return df, trees
 
 
 class Compiler:
     """Adds to a frame the columns that trees need, each measure once, and compiles the rest to expressions."""
 
-    def __init__(self, df: DataFrame, series: Series | None = None, fill: float | None = None) -> None:
-        self.df, self.series, self.fill = df, series, fill
+    def __init__(self, df: DataFrame, series: Series | None = None, fill: float | None = None, own: str | None = None) -> None:
+        """own: a flag of the rows that count in reductions; others are there for what reaches back to them."""
+        self.df, self.series, self.fill, self.own = df, series, fill, own
         self.made: dict[str, str] = {}
 
     def column(self, node: Node) -> Column:
@@ -236,15 +300,27 @@ class Compiler:
             raise ValueError("a one-dimensional measure does not apply to a field")
         what = f"{mu!r} {key(arg)}"
         if what not in self.made:
-            x = self._named(arg)
-            name = self._new(what)
-            if mu.is_recursive:
-                self.df = _ema_frame(self.df, x, name, mu, self.series)
+            if is_streamed(mu):
+                self._stream([(mu, arg)])
             else:
-                value = _measure_column(x, mu, self.series)
-                self.df = self.df.withColumn(name, value if self.fill is None else F.coalesce(value, F.lit(float(self.fill))))
+                x = self._named(arg)
+                name = self._new(what)
+                self.df = self._filled(self.df.withColumn(name, _measure_column(x, mu, self.series)), name)
         return self.made[what]
 
+    def _filled(self, df: DataFrame, name: str) -> DataFrame:
+        return df if self.fill is None else df.withColumn(name, F.coalesce(name, F.lit(float(self.fill))))
+
+    def _stream(self, wanted: list[tuple[Measure, Node]]) -> None:
+        """All these measures in one pass over the rows."""
+        new = {f"{mu!r} {key(arg)}": (mu, arg) for mu, arg in wanted}
+        xs = {what: self._named(arg) for what, (_, arg) in new.items() if what not in self.made}
+        jobs = [(x, self._new(what), new[what][0]) for what, x in xs.items()]
+        self.df = streamed(self.df, jobs, self.series)
+        for _, name, mu in jobs:
+            if not mu.is_recursive:
+                self.df = self._filled(self.df, name)
+
     def _measure_2d(self, m: Measure2D, arg: Node) -> str:
         if self.series is None or self.series.space is None:
             raise ValueError("a two-dimensional measure needs a field")
@@ -258,23 +334,30 @@ class Compiler:
         return self.made[what]
 
     def prepare(self, trees: list[Node]) -> None:
-        """All reductions of the trees: one aggregate for each level of nesting, so that the rows are read once more a level, however many reductions there are."""
-        levels: dict[int, dict[str, tuple[str, Node]]] = {}
+        """What needs a pass over the rows, by levels of nesting: all averages and long kernels of a level in one pass, then all its reductions in one aggregate."""
+        streams: dict[int, list[tuple[Measure, Node]]] = {}
+        reductions: dict[int, dict[str, tuple[str, Node]]] = {}
 
         def level(n: Node) -> int:
             inner = max((level(c) for c in children(n)), default=0)
             if isinstance(n, UnOp) and n.op in REDUCE:
-                levels.setdefault(inner, {})[f"{n.op} {key(n.a)}"] = (n.op, n.a)
+                reductions.setdefault(inner, {})[f"{n.op} {key(n.a)}"] = (n.op, n.a)
+                return inner + 1
+            if isinstance(n, FunctionalOp) and self.series is not None and self.series.space is None and (long := [(mu, n.args[i]) for mu, i in n.functional.parts() if is_streamed(mu)]):
+                streams.setdefault(inner, []).extend(long)
                 return inner + 1
             return inner
 
         for t in trees:
             level(t)
-        for k in sorted(levels):
-            new = {what: (op, self._named(arg)) for what, (op, arg) in levels[k].items() if what not in self.made}
+        for k in sorted({*streams, *reductions}):
+            if k in streams:
+                self._stream(streams[k])
+            new = {what: (op, self._named(arg)) for what, (op, arg) in reductions.get(k, {}).items() if what not in self.made}
             if new:
                 named = {what: self._new(what) for what in new}
-                one = self.df.agg(*[REDUCE[op](F.col(x)).alias(named[what]) for what, (op, x) in new.items()])  # one row
+                counted = self.df if self.own is None else self.df.where(F.col(self.own))
+                one = counted.agg(*[REDUCE[op](F.col(x)).alias(named[what]) for what, (op, x) in new.items()])  # one row
                 self.df = self.df.join(F.broadcast(one))
 
     def _reduce(self, op: str, arg: Node) -> str:
@@ -336,14 +419,25 @@ def evaluate(df: DataFrame, trees: dict[str, Node], series: Series | None = None
     missing = set().union(*(used_features(t) for t in trees.values())) - set(df.columns)
     if missing:
         raise KeyError(f"no columns {sorted(missing)}")
-    kept, own = df.columns if keep is None else keep, None
-    before = halo(list(trees.values()))
-    if series is not None and not series.keys and series.space is None and before and not any(isinstance(n, UnOp) and n.op in REDUCE for t in trees.values() for n in subtrees(t)):
-        df, series, own = in_ranges(df, series, before)
-    c = Compiler(df, series, fill)
-    c.prepare(list(trees.values()))
-    made = {name: c.column(t) for name, t in trees.items()}
-    return (c.df if own is None else c.df.where(own)).select(*[F.col(f"`{k}`") for k in kept], *[v.alias(k) for k, v in made.items()])
+    kept = df.columns if keep is None else keep
+    c, columns = compiled(df, list(trees.values()), series, fill)
+    return (c.df if c.own is None else c.df.where(c.own)).select(*[F.col(f"`{k}`") for k in kept], *[pointwise(t).alias(name) for name, t in zip(trees, columns, strict=True)])
+
+
+def compiled(df: DataFrame, trees: list[Node], series: Series | None = None, fill: float | None = None) -> tuple[Compiler, list[Node]]:
+    """A compiler whose frame has a column for every measure and reduction of the trees, and the trees as pointwise ones over that frame.
+
+    One series without keys runs in ranges, whatever the trees hold: averages become columns first, the rest reaches back a bounded number of
+    rows, and reductions count each row where it belongs.
+    """
+    own = None
+    if series is not None and not series.keys and series.space is None:
+        df, trees = without_averages(df, trees, series, fill)
+        if before := halo(trees):
+            df, series, own = in_ranges(df, series, before)
+    c = Compiler(df, series, fill, own)
+    c.prepare(trees)
+    return c, [c.flat(t) for t in trees]
 
 
 def halo(trees: list[Node]) -> int:

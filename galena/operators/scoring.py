@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.pointwise import finite
 from galena.operators import tree as T
-from galena.operators.lowering import Compiler, Series, evaluate, in_layers
+from galena.operators.lowering import Series, compiled, evaluate, in_layers
 from galena.operators.tree import Node
 
 #: Candidates of one aggregate.
@@ -137,11 +137,9 @@ def losses_by_data(df: DataFrame, trees: list[Node], y: str, series: Series | No
     Mean square errors: one pass over the rows, in which every task adds up four numbers a tree over Arrow batches. Other losses: an
     aggregate for each BATCH trees.
     """
-    c = Compiler(df, series, fill)
-    c.prepare(trees)
-    flat = [c.flat(t) for t in trees]
+    c, flat = compiled(df, trees, series, fill)
     needed = sorted(set().union(*map(T.used_features, flat)))
-    rows = c.df.select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed])
+    rows = (c.df if c.own is None else c.df.where(c.own)).select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed])
     if loss is mse:
         return _square_errors(rows, flat, needed, share)
     out: list[float] = []
