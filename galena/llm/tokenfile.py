@@ -17,14 +17,16 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm.packing import pack, release, unpack
+from galena.llm.packing import release
 from galena.llm.session import forget, shuffle_width, written
 
 #: The longest code, in bits; a table of 2**MAX_BITS entries decodes.
@@ -33,45 +35,27 @@ MAX_BITS = 18
 BLOCK_IDS, CHECKPOINT = 1 << 16, 256
 #: Ids of one row of the written ids, ids of a file, and characters of a text that are cut into words at once.
 PART_IDS, FILE_IDS, SLICE = 1 << 20, 1 << 25, 1 << 20
-#: Words whose ids are kept, in either of two generations, and the longest of them.
-CACHE_WORDS, LONGEST_CACHED = 150_000, 64
+#: Parts of texts whose ids are kept, and their characters, in either of two generations; words of one call of the model.
+KEPT_PARTS, KEPT_BYTES, WORDS_TOGETHER = 600_000, 16 << 20, 24
 MAGIC = b"GTK1"
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("before", "<u8"), ("n", "<u4"), ("total", "<u8")])
 
 # fixed values: the white space that \s means in the tokenizer's pattern language
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # letters up to an ASCII sign that is neither letter nor apostrophe are one word of byte-level BPE; so is one line break before something else
 _WORD = re.compile(f" ?[{_LETTER}]+(?=[\\x00-&(-@\\[-`{{-\\x7f]|\\Z)|[\t-\r](?=[^{WHITE}])")
 _PARTS = re.compile(f"{_WORD.pattern}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_AFTER_TEXT = re.compile(f"(?<=[^{WHITE}]) ")
 _EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
-class _Kept(dict):
-    """key -> make(key), kept in two generations of bounded size, so frequent keys stay."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST_CACHED:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Encoder:
     """The tokenizers library's ids of whole texts, as little-endian integers of `kind`.
 
-    Byte-level BPE without normaliser or prefix space never joins what stands before white space with it, so such texts are cut there and the
-    library encodes each different word once. Any other tokenizer gets whole texts.
+    Byte-level BPE without normaliser or prefix space never joins what stands before white space with it, nor letters with an ASCII sign behind them, so such
+    texts are cut there and the library encodes each different part once; parts are kept in two generations of bounded size. Words of
+    letters go to its model many at a time, each with the mark of its space before it, where no id of the vocabulary
+    reaches over such a mark. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, most_id: int = 0) -> None:
@@ -82,36 +66,64 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
-        added = spec["added_tokens"]
-        self.vocabulary = 1 + max([most_id, *self.library.get_vocab(with_added_tokens=True).values()])
-        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        before = spec["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        model = spec["model"]
-        plain = plain and spec["normalizer"] is None and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.vocabulary = 1 + max([most_id, *vocabulary.values()])
+        self.kind = _kind(self.vocabulary)
+        before, model, added = spec["pre_tokenizer"] or {}, spec["model"], spec["added_tokens"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec["normalizer"] is None
+        plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         self.cuts = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(WHITE) for t in added)
         self.added = [t["content"] for t in added]
-        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
+        self.model, self.known, self.old, self.held = self.library.model, {}, {}, 0
         symbols = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else "" for b in range(256)]
         spare = iter(range(256, 512))
         self.symbols = {b: s or chr(next(spare)) for b, s in enumerate(symbols)}
+        self.space = self.symbols[32]
+        self.begins = np.zeros(self.vocabulary, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
+        self.apart = not any(self.space in t.lstrip(self.space) for t in vocabulary)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if _WORD.fullmatch(word):
-            found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
-            return np.array([t.id for t in found], self.kind).tobytes()
-        return self._whole(word)
+    def _marked(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.symbols)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Puts these parts among the known ones."""
+        if len(self.known) > KEPT_PARTS or self.held > KEPT_BYTES:
+            self.old, self.known, self.held = self.known, {}, 0
+            parts = parts | self.wanted
+        words = []
+        for part in parts:
+            self.held += len(part)
+            if (ids := self.old.get(part)) is not None:
+                self.known[part] = ids
+            elif part[0] == " " and part.isascii() and part[1:].isalpha():
+                words.append((part, self.space + part[1:]))
+            elif not _WORD.fullmatch(part):
+                self.known[part] = self._whole(part)
+            elif part[0] == " ":
+                words.append((part, self._marked(part)))
+            else:
+                self.known[part] = np.array([t.id for t in self.model.tokenize(self._marked(part))], self.kind).tobytes()
+        together = WORDS_TOGETHER if self.apart else 1
+        for at in range(0, len(words), together):
+            some = words[at : at + together]
+            ids = np.array([t.id for t in self.model.tokenize("".join([w for _, w in some]))], self.kind)
+            ends = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes] if together > 1 else [0, ids.nbytes]
+            raw = ids.tobytes()
+            for (part, _), low, high in zip(some, ends[:-1], ends[1:], strict=True):
+                self.known[part] = raw[low:high]
 
     def _stretch(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, _PARTS.findall(text)))
-
-    def _piece(self, piece: str) -> bytes:
-        return self._stretch(" " + piece)
+        parts = _PARTS.findall(text)
+        self.wanted = set(parts)
+        if new := self.wanted.difference(self.known):
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, parts))
 
     def runs(self, text: str) -> Iterator[np.ndarray]:
         """The text's ids in runs of bounded size; a word of its own is never cut."""
@@ -123,20 +135,38 @@ class Encoder:
             end = len(text)
             if end - at > SLICE and (edge := _EDGE.search(text, at + SLICE)):
                 end = edge.start()
-            part = text if end - at == len(text) else text[at:end]
-            # a space after something that is no white space always begins a word
-            odd = any(w + " " in part for w in (WHITE[:6] if part.isascii() else WHITE))
-            first, *rest = _AFTER_TEXT.split(part) if odd else part.split(" ")
-            yield np.frombuffer(self._stretch(first) + b"".join(map(self.pieces.__getitem__, rest)), self.kind)
+            yield np.frombuffer(self._stretch(text if end - at == len(text) else text[at:end]), self.kind)
             at = end
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str, most_id: int) -> Encoder:
+    """One encoder a worker, which keeps what it knows from task to task."""
+    return Encoder(path, most_id)
+
+
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Byte plane by byte plane, compressed."""
+    return _zip.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.itemsize).T).tobytes())
+
+
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(_unzip.decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    out = planes[0].astype(kind)
+    for k in range(1, kind.itemsize):
+        out |= planes[k].astype(kind) << kind.type(8 * k)
+    return out
+
+
 IDS = "doc_id long, tie long, row long, part int, before long, n long, total long, ids binary"
 
 
 def _ids(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row, out, held = None, TaskContext.get().partitionId() << 33, [], 0
+        encoder, row, out, held = _loaded(path, end_id), TaskContext.get().partitionId() << 33, [], 0
         names = [c.split()[0] for c in IDS.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -144,8 +174,6 @@ def _ids(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
         for batch in batches:
-            encoder = encoder or Encoder(path, end_id)
-            width = encoder.kind.itemsize
             for i in range(batch.num_rows):
                 parts, tie, total = [], 0, 0
                 runs = [*encoder.runs(batch.column(1)[i].as_py() or ""), np.array([end_id], encoder.kind)]
@@ -153,7 +181,7 @@ def _ids(path: str, end_id: int):
                 for at in range(0, len(ids), PART_IDS):
                     part = ids[at : at + PART_IDS]
                     tie = zlib.crc32(part.tobytes(), tie)
-                    parts.append((len(part), pack(part, width)))
+                    parts.append((len(part), _packed(part)))
                 doc_id = batch.column(0)[i].as_py()
                 for k, (n, data) in enumerate(parts):
                     out.append((doc_id, tie, row, k, total, n, len(ids), data))
@@ -180,8 +208,8 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     return slim.mapInArrow(_ids(tokenizer, end_id), IDS)
 
 
-def _width(vocabulary: int) -> int:
-    return 2 if vocabulary <= 1 << 16 else 4
+def _kind(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
 def _counts(vocabulary: int):
@@ -189,7 +217,7 @@ def _counts(vocabulary: int):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                total += np.bincount(unpack(data.as_py(), _width(vocabulary)).view(np.int64), minlength=vocabulary)
+                total += np.bincount(_unpacked(data.as_py(), _kind(vocabulary)), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
@@ -328,7 +356,7 @@ BLOCK = "file int, block int, start long, n int, first_doc long, last_doc long,
 
 def _blocks(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, width = canonical_codes(lengths), _width(len(lengths))
+        codes, kind = canonical_codes(lengths), _kind(len(lengths))
         file, block, start = TaskContext.get().partitionId(), 0, 0
         held, docs, size, out = [], [], 0, []
 
@@ -348,7 +376,7 @@ def _blocks(lengths: np.ndarray):
 
         for batch in batches:
             for doc_id, before, total, data in zip(*(batch.column(k) for k in ("doc_id", "before", "total", "ids")), strict=True):
-                ids, doc_id, before = unpack(data.as_py(), width).astype(np.uint32), doc_id.as_py(), before.as_py()
+                ids, doc_id, before = _unpacked(data.as_py(), kind), doc_id.as_py(), before.as_py()
                 at = 0
                 while at < len(ids):
                     part = ids[at : at + BLOCK_IDS - size]
@@ -376,7 +404,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     makes one row nor one block. An empty table gives files without blocks. Other columns are not read.
     """
     spark = docs.sparkSession
-    vocabulary = Encoder(tokenizer, end_id).vocabulary
+    vocabulary = _loaded(tokenizer, end_id).vocabulary
     ids = written(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
     counts = global_counts(ids, vocabulary)
     most = max(MAX_BITS, int(np.count_nonzero(counts)).bit_length())
