@@ -178,6 +178,31 @@ class TargetBound:
         return max(0.0, float(low + high) / self.n)
 
 
+class TableBound:
+    """As TargetBound, for a target of any length: sums of `bins` ranges of it, a row each. The range that a bound falls into counts as no error, so the bound
+    stays below the exact one, by a bin's share at most."""
+
+    def __init__(self, df: DataFrame, y: str, bins: int = 1024) -> None:
+        c = F.col(f"`{y}`").cast("double")
+        rows = df.select(c.alias("y")).where(finite(c))
+        cuts = sorted(set(rows.approxQuantile("y", [i / bins for i in range(1, bins)], 0.5 / bins)))
+        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col("y"))) if cuts else F.lit(0)
+        found = sorted(tuple(r) for r in rows.groupBy(place.alias("p")).agg(F.count("y"), F.sum("y"), F.sum(F.col("y") * F.col("y")), F.min("y"), F.max("y")).collect())
+        table = np.array([r[1:] for r in found], float).reshape(-1, 5)
+        self.lows, self.highs = table[:, 3], table[:, 4]
+        self.sums = np.concatenate([np.zeros((1, 3)), np.cumsum(table[:, :3], axis=0)])
+        self.n = max(1.0, float(self.sums[-1, 0]))
+
+    def mse(self, r: Interval) -> float:
+        if not r.bounded or not len(self.lows) or r.reach > 1e100:
+            return 0.0
+        below = self.sums[np.searchsorted(self.highs, r.low, "right")]
+        above = self.sums[-1] - self.sums[np.searchsorted(self.lows, r.high, "left")]
+        found = sum(squares - 2 * end * total + n * end * end for (n, total, squares), end in ((below, r.low), (above, r.high)))
+        slack = 1e-12 * (self.sums[-1, 2] + self.n * max(r.low**2, r.high**2))  # sums are rounded
+        return max(0.0, float(found - slack) / self.n)
+
+
 def least_mse(df: DataFrame, y: str, ranges: dict[str, Interval]) -> dict[str, float]:
     """The same for many ranges in one pass over a column of any length."""
     bounded = {k: r for k, r in ranges.items() if r.bounded}
@@ -194,4 +219,4 @@ def pareto_threshold(front: list, complexity: int) -> float:
     return min((c.loss for c in front if c.complexity <= complexity), default=math.inf)
 
 
-__all__ = ["EVERYTHING", "Interval", "TargetBound", "evaluate", "least_mse", "of_columns", "of_points", "pareto_threshold"]
+__all__ = ["EVERYTHING", "Interval", "TableBound", "TargetBound", "evaluate", "least_mse", "of_columns", "of_points", "pareto_threshold"]

@@ -19,6 +19,7 @@ from pyspark.sql import types
 
 from galena.functions.pointwise import BINARY, REDUCE, UNARY
 from galena.operators.measures import Linear, Measure, Measure2D, smoothing
+from galena.operators.population import ordered
 from galena.operators.streams import Averages, OverlapSave
 from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, Node, UnOp, Var, children, key, subtrees, used_features, with_children
 
@@ -484,10 +485,10 @@ def in_layers(df: DataFrame, trees: list[Node], keep: list[str]) -> tuple[DataFr
 
 
 def shared_measures(trees: list[Node]) -> list[Node]:
-    """Measure nodes that occur in two trees or more: what a population's plan computes once."""
+    """Measure nodes that two trees or more hold, in canonical order: what a population's plan computes once."""
     seen: dict[Node, int] = {}
     for t in trees:
-        for n in set(subtrees(t)):
+        for n in set(subtrees(ordered(t))):
             if isinstance(n, FunctionalOp | FunctionalOp2D):
                 seen[n] = seen.get(n, 0) + 1
     return [n for n, count in seen.items() if count > 1]
@@ -510,8 +511,12 @@ class MeasureCache:
         self.hits = self.misses = self.made = 0
 
     def rewrite(self, trees: list[Node]) -> tuple[DataFrame, list[Node]]:
-        """The table with the columns, and the trees with variables in place of what is kept (the outermost such node of a branch)."""
+        """The table with the columns, and the trees with variables in place of what is kept (the outermost such node of a branch).
+
+        Nodes are compared in canonical order, so operands of commutative operators may stand either way.
+        """
         asked: dict[Node, int] = {}
+        trees = [ordered(t) for t in trees]
 
         def outermost(n: Node) -> set[Node]:
             return {n} if self.cacheable(n) else set().union(*map(outermost, children(n)))

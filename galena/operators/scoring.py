@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from galena.functions.pointwise import finite
 from galena.operators import tree as T
-from galena.operators.lowering import Series, compiled, evaluate, in_layers
+from galena.operators.lowering import MeasureCache, Series, compiled, evaluate, in_layers
+from galena.operators.population import Population, ordered
 from galena.operators.tree import Node
 
 #: Candidates of one aggregate.
 BATCH = 25
-#: Rows at once and values of nodes kept for them, where trees are scored over Arrow batches.
-CHUNK, MEMO = 4096, 512
 #: A table of up to so many cells may go to every task.
 MOST_LOCAL_CELLS = 4_000_000
 
@@ -132,12 +131,12 @@ Loss = Callable[[Column, Column], Column]
 
 
 def losses_by_data(df: DataFrame, trees: list[Node], y: str, series: Series | None = None, fill: float | None = 0.0, loss: Loss = mse, share: float = 0.9) -> list[float]:
-    """One loss for each tree over all rows of df. Measures and reductions that trees share are one column.
+    """One loss for each tree over all rows of df. Measures and reductions that trees share, up to the order of commutative operands, are one column.
 
-    Mean square errors: one pass over the rows, in which every task adds up four numbers a tree over Arrow batches. Other losses: an
-    aggregate for each BATCH trees.
+    Mean square errors: one pass over the rows, in which every task runs the population as one program over Arrow batches and adds up four
+    numbers a tree. Other losses: an aggregate for each BATCH trees.
     """
-    c, flat = compiled(df, trees, series, fill)
+    c, flat = compiled(df, [ordered(t) for t in trees], series, fill)
     needed = sorted(set().union(*map(T.used_features, flat)))
     rows = (c.df if c.own is None else c.df.where(c.own)).select(F.col(f"`{y}`").cast("double").alias("__y"), *[F.col(f"`{n}`").cast("double").alias(n) for n in needed])
     if loss is mse:
@@ -151,23 +150,28 @@ def losses_by_data(df: DataFrame, trees: list[Node], y: str, series: Series | No
     return out
 
 
-def _square_errors(rows: DataFrame, trees: list[Node], names: list[str], share: float) -> list[float]:
-    """The guarded mean square errors of pointwise trees over rows (__y, names)."""
+def _square_errors(rows: DataFrame, trees: list[Node], names: list[str], share: float, stack: bool = True) -> list[float]:
+    """The guarded mean square errors of pointwise trees over rows (__y, names): one program for all, which every task runs over its batches."""
+    population = Population(trees, stack)
 
     def run(batches):
         sums = np.zeros((len(trees), 4))
         for batch in batches:
             values = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns)]
-            for at in range(0, batch.num_rows, CHUNK):  # operands stay in the processor's cache
-                y, *columns = (v[at : at + CHUNK] for v in values)
-                env, known = dict(zip(names, columns, strict=True)), np.isfinite(y)
-                memo: dict[Node, np.ndarray] = {}
-                for i, t in enumerate(trees):
-                    p = np.broadcast_to(_shared(t, env, memo), y.shape)
-                    fine = np.isfinite(p)
-                    good = fine & known
-                    e = p[good] - y[good]
-                    sums[i] += len(y), fine.sum(), len(e), e @ e
+            for at in range(0, batch.num_rows, population.rows):
+                y, *columns = (v[at : at + population.rows] for v in values)
+                known = np.isfinite(y)
+                every = known.all()
+                for places, p in population.run(dict(zip(names, columns, strict=True))):
+                    gap = np.broadcast_to(p - y, (len(places), len(y)))
+                    squares = np.einsum("ij,ij->i", gap, gap)
+                    for k, (row, e) in enumerate(zip(places, squares.tolist(), strict=True)):
+                        if every and math.isfinite(e):
+                            sums[row] += len(y), len(y), len(y), e
+                            continue
+                        fine = np.isfinite(np.broadcast_to(p[k] if np.ndim(p) == 2 else p, y.shape))
+                        left = gap[k][fine & known]
+                        sums[row] += len(y), fine.sum(), len(left), left @ left
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trees))), *(pa.array(x) for x in sums.T)], ["i", "n", "fine", "good", "e"])
 
     found = rows.mapInArrow(run, "i long, n double, fine double, good double, e double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("fine").alias("fine"), F.sum("good").alias("good"), F.sum("e").alias("e"))
@@ -178,23 +182,6 @@ def _square_errors(rows: DataFrame, trees: list[Node], names: list[str], share:
     return losses
 
 
-def _shared(node: Node, env: dict[str, np.ndarray], memo: dict[Node, np.ndarray]) -> np.ndarray:
-    """A pointwise tree's values; those of operator nodes are kept for the trees after it, as many as MEMO."""
-    if isinstance(node, T.Var):
-        return env[node.name]
-    if isinstance(node, T.Const):
-        return np.float64(node.value)
-    if node not in memo:
-        with np.errstate(all="ignore"):
-            args = [np.asarray(_shared(x, env, memo), float) for x in T.children(node)]
-            made = (T.NP_BINARY if isinstance(node, T.BinOp) else T.NP_UNARY)[node.op](*args)
-        if len(memo) >= MEMO:
-            memo.clear()
-        memo[node] = made
-        return made
-    return memo[node]
-
-
 def score_arrays(tree: Node, env: dict[str, np.ndarray], y: np.ndarray, fill: float = 0.0, share: float = 0.9, memo: dict | None = None) -> float:
     """The guarded mean square error in memory."""
     try:
@@ -229,6 +216,38 @@ def losses_by_candidate(spark: SparkSession, trees: list[Node], env: dict[str, n
     return [found[i] for i in range(len(trees))]
 
 
+class DataScorer:
+    """Losses of lists of trees over all rows of one table, list after list, as a search asks for them.
+
+    Trees are compared in canonical order: one that was scored before, in any order of commutative operands, is not scored again (of the last `most` of them), and
+    measures of earlier lists are columns that are kept (lowering.MeasureCache). asked, scored and columns count trees and columns made.
+    """
+
+    def __init__(self, df: DataFrame, y: str, series: Series | None = None, fill: float | None = 0.0, share: float = 0.9, most: int = 100_000, columns: int = 64) -> None:
+        self.cache = MeasureCache(df, series, fill, threshold=2, most=columns)
+        self.y, self.series, self.fill, self.share, self.most = y, series, fill, share, most
+        self.known: dict[Node, float] = {}
+        self.asked = self.scored = 0
+
+    @property
+    def columns(self) -> int:
+        return self.cache.made
+
+    def __call__(self, trees: list[Node]) -> list[float]:
+        trees = [ordered(t) for t in trees]
+        new = [t for t in dict.fromkeys(trees) if t not in self.known]
+        self.asked, self.scored = self.asked + len(trees), self.scored + len(new)
+        out = {t: self.known[t] for t in trees if t in self.known}
+        if new:
+            rows, short = self.cache.rewrite(new)
+            out |= zip(new, losses_by_data(rows, short, self.y, self.series, self.fill, share=self.share), strict=True)
+        self.known = dict([*((t, v) for t, v in self.known.items() if t not in out), *out.items()][-self.most :])
+        return [out[t] for t in trees]
+
+    def close(self) -> None:
+        self.cache.close()
+
+
 def population_table(df: DataFrame, trees: dict[str, Node], y: str, series: Series | None = None, fill: float | None = None, loss: Loss = mse) -> DataFrame:
     """(tree, complexity, loss) of each named tree, from one aggregate."""
     made = evaluate(df, {f"p{i}": t for i, t in enumerate(trees.values())}, series, fill)
