@@ -3,7 +3,8 @@
 A source's share p of all tokens becomes the weight p**t / sum(p**t). The exponent t is bisected: the smallest
 (the flattest mix) at which no source is repeated more than the limit allows and the entropy is not above its
 target. Below t = 1 the least source is repeated most, above it the largest; the limit bounds both and wins over the
-entropy: where natural shares are so even that t > 1 is asked for, t goes as far up as the limit allows. Weights times a token budget give each source its tokens; they are realised as blocks, each a new
+entropy: where natural shares are so even that t > 1 is asked for, t goes as far up as the limit allows. Without a limit the upper end is doubled
+until the entropy fits, or until the largest sources alone have weight and it can fall no further. Weights times a token budget give each source its tokens; they are realised as blocks, each a new
 permutation of the source: as many whole blocks as fit, then the beginning of one more.
 """
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from galena.llm.session import fresh, written
 
-GRID, PASSES, HIGHEST = 32, 7, 16.0
+GRID, PASSES = 32, 7
+#: Beyond this logarithm of a ratio of weights the lesser one counts as nothing.
+NOTHING = 60.0
 #: A source table of up to so many rows goes to every executor; a longer one is joined by a shuffle.
 MOST_BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,27 +30,40 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _entropies(sources: DataFrame, points: list[float], most: float) -> list[float]:
+    """The entropy of the mix at each exponent, in one pass over the sources."""
+    # against the largest share, so that no power of it is too small for a number
+    each = sources.select(F.log(F.col("share") / F.lit(most)).alias("l"), F.posexplode(F.array(*map(F.lit, points))).alias("i", "t"))
+    power = F.exp(F.col("t") * F.col("l"))
+    found = {i: math.log(z) - points[i] * s / z for i, z, s in each.groupBy("i").agg(F.sum(power), F.sum(power * F.col("l"))).collect()}
+    return [found[i] for i in range(len(points))]
+
+
 def temperature(sources: DataFrame, repeat_limit: float | None, entropy_share: float | None) -> float:
-    """The exponent for sources (share double > 0). entropy_share: of the logarithm of the number of sources."""
+    """The exponent for sources (share double > 0). entropy_share: of the logarithm of the number of sources.
+
+    The least one at which no source is repeated more than the limit allows and the entropy is not above its target. Above 1 the largest source is repeated
+    (most / least)**(t - 1) times, so the limit bounds t from above; where the target lies beyond, that bound is what is reached.
+    """
     n, least, most = sources.agg(F.count("*"), F.min("share"), F.max("share")).first()
     if not n or least == most:
         return 1.0
-    low, high = 0.0, HIGHEST
+    target = math.inf if entropy_share is None else entropy_share * math.log(n)
+    if repeat_limit is not None:
+        high = 1 + max(0.0, math.log(repeat_limit)) / math.log(most / least)
+    else:
+        second = sources.where(F.col("share") < F.lit(most)).agg(F.max("share")).first()[0]
+        end, high = NOTHING / math.log(most / second), 1.0
+        while high < end and _entropies(sources, [high], most)[0] > target:
+            high = min(end, 2 * high)
+    low = 0.0
     for _ in range(PASSES):
         points = [low + (high - low) * i / GRID for i in range(1, GRID + 1)]
-        entropy = [0.0] * GRID
-        if entropy_share is not None:
-            # one pass over the sources for the whole grid: sums of p**t and p**t * ln p
-            each = sources.select(F.log("share").alias("l"), F.posexplode(F.array(*map(F.lit, points))).alias("i", "t"))
-            for i, z, s in each.groupBy("i").agg(F.sum(F.exp(F.col("t") * F.col("l"))), F.sum(F.exp(F.col("t") * F.col("l")) * F.col("l"))).collect():
-                entropy[i] = math.log(z) - points[i] * s / z
-        fits = [(repeat_limit is None or (most / least) ** (1 - t) <= repeat_limit) and (entropy_share is None or h <= entropy_share * math.log(n)) for t, h in zip(points, entropy, strict=True)]
+        entropy = _entropies(sources, points, most) if entropy_share is not None else [0.0] * GRID
+        fits = [(repeat_limit is None or (most / least) ** (1 - t) <= repeat_limit) and h <= target for t, h in zip(points, entropy, strict=True)]
         at = fits.index(True) if True in fits else GRID - 1
         low, high = points[at] - (points[at] - low) / (at + 1), points[at]
-    if repeat_limit is None:
-        return high
-    # above 1 the largest source is repeated (most / least)**(t - 1) times
-    return min(high, 1 + max(0.0, math.log(repeat_limit)) / math.log(most / least))
+    return high
 
 
 def _slim(docs: DataFrame, id_col: str, source_col: str, text_col: str, tokens_col: str | None) -> DataFrame:
@@ -71,7 +87,7 @@ def _budgets(slim: DataFrame, repeat_limit: float | None, entropy_share: float |
     everything = sources.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shares = sources.where("total > 0").withColumn("share", F.col("total") / F.lit(float(max(1, everything))))
     t = temperature(shares, repeat_limit, entropy_share)
-    raised = F.pow(F.col("share"), F.lit(t))
+    raised = F.pow(F.col("share") / F.lit(shares.agg(F.max("share")).first()[0] or 1.0), F.lit(t))
     norm, widest = shares.agg(F.sum(raised), F.max(F.col("total") / raised)).first()
     if budget is None:  # the least at which every source has one whole block
         tokens = F.floor(raised * F.lit(widest or 0.0) + 0.5)
@@ -137,9 +153,9 @@ SQL = """
         SELECT doc_id, source, coalesce('s' || source, 'n') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
     ), sources AS (SELECT key, CAST(sum(n_tokens) AS BIGINT) AS total FROM slim GROUP BY key),
     shares AS (SELECT key, total, total / CAST((SELECT sum(total) FROM sources) AS DOUBLE) AS share FROM sources WHERE total > 0),
-    list AS (SELECT list(share) AS ps, max(share) / min(share) AS widest, ln(count(*)) AS most FROM shares),
+    list AS (SELECT list(share) AS ps, max(share) AS top, max(share) / min(share) AS widest, ln(count(*)) AS most FROM shares),
     bisect AS (
-        SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(16 AS DOUBLE) AS high
+        SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CASE WHEN widest > 1 THEN 1 + ln(2.0) / ln(widest) ELSE 1 END AS high FROM list
         UNION ALL
         SELECT i + 1, CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END FROM (
             SELECT i, low, high, pow(widest, 1 - (low + high) / 2) <= 2.0 AND
@@ -147,7 +163,7 @@ SQL = """
                 / list_sum(list_transform(ps, lambda p: pow(p, (low + high) / 2))) <= 0.97 * most AS ok
             FROM bisect, list WHERE i < 50)
     ), t AS (SELECT CASE WHEN (SELECT widest FROM list) = 1 THEN 1 ELSE high END AS t FROM bisect WHERE i = 50),
-    weighed AS (SELECT key, total, CAST(floor(pow(share, t) * max(total / pow(share, t)) OVER () + 0.5) AS BIGINT) AS tokens FROM shares, t),
+    weighed AS (SELECT key, total, CAST(floor(pow(share / top, t) * max(total / pow(share / top, t)) OVER () + 0.5) AS BIGINT) AS tokens FROM shares, t, list),
     plan AS (SELECT key, tokens // total AS blocks, tokens % total AS rest FROM weighed UNION ALL SELECT key, 1, 0 FROM sources WHERE total <= 0),
     used AS (SELECT doc_id, source, key, n_tokens, blocks, rest, unnest(range(0, blocks + 1)) AS block FROM slim JOIN plan USING (key)),
     placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY key, block ORDER BY md5('11:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))) AS end_tokens FROM used WHERE block < blocks OR rest > 0)

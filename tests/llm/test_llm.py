@@ -676,5 +676,5 @@ def test_pipeline_stages_on_empty_and_odd_rows(spark, odd_docs, no_docs):
 def test_entry_names_all_queries():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
