@@ -76,12 +76,12 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
     WITH v AS (
-        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), s AS (
-        SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.ints, v.ints), lambda p: p[1] * p[2])) AS score
-        FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
-    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT q.row, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.ints, v.ints), lambda p: p[1] * p[2])) AS score
+        FROM v AS q JOIN v ON q.row <> v.row WHERE q.vec_id % 50 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
 
