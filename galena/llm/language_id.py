@@ -39,7 +39,8 @@ def visible_text(page: str | None) -> str:
     out, at = [], 0
     closed = dict.fromkeys([*_ENDS, "<!--"], True)  # an element that is not closed once is not looked for again, so time is linear
     page = page or ""
-    while found := _TAG.search(page, at):
+    stop = page.rfind(">") + 1  # up to here every "<" has its ">", so no search runs on for nothing
+    while found := _TAG.search(page, at, stop):
         out.append(page[at : found.start()])
         at = found.end()
         name = "<!--" if found[0] == "<!--" else (found[1] or "").lower()
@@ -54,7 +55,7 @@ def visible_text(page: str | None) -> str:
                 at = end
             else:
                 closed[name] = False
-    out.append(page[at:])
+    out += page[at:].split("<!--")
     return html.unescape(" ".join(out))
 
 
@@ -141,9 +142,9 @@ def _text_only(model: TextModel):
 
 
 def declared_language(page: Column) -> Column:
-    """The primary subtag of the lang attribute of the html tag, or else of the content-language declaration; empty without one."""
-    tag = F.regexp_extract(page, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
-    meta = F.regexp_extract(page, r"""(?is)<meta\b[^>]*?content-language["']?[^>]*?\bcontent\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
+    """The primary subtag of the lang attribute of the html tag, or else of the content-language declaration; empty without one. A tag ends at the next < or >."""
+    tag = F.regexp_extract(page, r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
+    meta = F.regexp_extract(page, r"""(?is)<meta\b(?>[^<>]*?content-language)["']?[^<>]*?\bcontent\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
     return F.coalesce(F.lower(F.when(tag != "", tag).otherwise(meta)), F.lit(""))
 
 
