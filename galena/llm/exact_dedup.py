@@ -134,6 +134,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 LIVE = "__digest binary, __id long, __n long, __salt int"
 
 
+#: What a live digest takes in an index, so that a task's index stays small at any number of rows.
+ENTRY_BYTES = 256
 NAMES = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -154,11 +156,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = lower_ascii(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     content = docs.withColumn(sha, F.unhex(F.sha2(text.cast("binary"), 256)))
     slim = written(content.select(F.col(sha).alias("__digest"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.octet_length(text).cast("long").alias("__bytes")), "digests")
-    parts = salts or math.isqrt(slim.count()) + 1
+    rows = slim.count()
+    parts = salts or math.isqrt(rows) + 1
     spread = F.pmod(F.xxhash64(F.col("__id")), F.lit(parts)).cast("int")
     # the content key that verifies a hit: the digest, then the length
     key = F.concat(F.col("__digest"), F.unhex(F.lpad(F.hex("__bytes"), 16, "0")))
-    width = shuffle_width(spark)
+    width = shuffle_width(spark, rows * ENTRY_BYTES)
     local = slim.select(key.alias("__digest"), "__id", F.lit(1).cast("long").alias("__n"), spread.alias("__salt"))
     local = local.repartition(width, "__digest", "__salt").mapInArrow(_live_rows, LIVE)
     local = written(local, "live")
