@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,15 @@ SHINGLE = 5
 PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
+_ODD = 0x9E3779B97F4A7C15
+#: Bytes of a word that are hashed in steps of eight; longer words are digested.
+CHAINED = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _power(base: int, n: int) -> np.ndarray:
-    """The first n powers of base, modulo 2**64."""
-    steps = np.full(n, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and each row's offsets into them; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,12 +65,36 @@ class Words:
         return np.diff(self.first)
 
 
+def _hashes(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word: eight bytes at a time, with a bijection between, so words of eight bytes or fewer never share one and no sums of bytes decide over longer ones.
+
+    Words beyond CHAINED bytes are digested one by one.
+    """
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    window = np.ndarray((len(low),), "<u8", padded.data, strides=(1,))
+    out = sizes.astype(np.uint64) * np.uint64(_ODD)
+    at, left, rows = starts, sizes, None
+    for k in range(0, CHAINED, 8):
+        if k:
+            rows = np.flatnonzero((sizes > k) & (sizes <= CHAINED))
+            if not len(rows):
+                break
+            at, left = starts[rows] + k, sizes[rows] - k
+        part = window[at] & _MASKS[np.minimum(left, 8)]
+        if rows is None:
+            out = mix(out ^ part) * np.uint64(_ODD)
+        else:
+            out[rows] = mix(out[rows] ^ part) * np.uint64(_ODD)
+    for i in np.flatnonzero(sizes > CHAINED).tolist():
+        out[i] = int.from_bytes(blake2b(np.ascontiguousarray(low[starts[i] : starts[i] + sizes[i]]).data, digest_size=8).digest(), "little")
+    return mix(out)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    """In pieces of PIECE_BYTES, cut anywhere: a word that goes over a piece's end is carried into the next, so beside the result memory does not grow with a text."""
-    up, down = _power(_BASE, PIECE_BYTES), _power(_BASE_INV, PIECE_BYTES)
-    parts, sizes, first = [], [], np.zeros(len(offsets), np.int64)
-    held, held_size, begun = 0, 0, 0  # the open word's sum and bytes; words begun so far
-    for begin in range(0, len(raw), PIECE_BYTES):
+    """In pieces of PIECE_BYTES or fewer that end where a word does; a word as long as a piece is digested on its way, so beside the result memory does not grow with a text."""
+    parts, first = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64)
+    begun = begin = 0
+    while begin < len(raw):
         low = _LOWER[raw[begin : begin + PIECE_BYTES]]
         n = len(low)
         inside = _IN_WORD[low]
@@ -86,40 +103,37 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
         new = inside.copy()
         new[1:] &= ~inside[:-1]
         new[edges] |= inside[edges]
+        starts = np.flatnonzero(new)
+        goes_on = begin + n < len(raw) and inside[-1] and _IN_WORD[raw[begin + n]] and not (j < len(offsets) and offsets[j] == begin + n)
+        if goes_on and starts[-1] > 0:  # the open word comes with the next piece
+            n = int(starts[-1])
+            low, inside, starts = low[:n], inside[:n], starts[:-1]
+            j = int(np.searchsorted(offsets, begin + n))
+            edges = offsets[i:j] - begin
+        elif goes_on:
+            long, head, size = blake2b(digest_size=8), b"", 0
+            while len(low):
+                long.update(low.data)
+                head, size, begin = head + low.tobytes() if size <= CHAINED else head, size + len(low), begin + len(low)
+                stop = min(len(raw), begin + PIECE_BYTES, int(offsets[j]) if j < len(offsets) else len(raw))
+                low = _LOWER[raw[begin:stop]]
+                ends = np.flatnonzero(~_IN_WORD[low])
+                low = low[: ends[0]] if len(ends) else low
+            first[i:j] = begun
+            begun += 1
+            one = _hashes(np.frombuffer(head, np.uint8), np.zeros(1, np.int64), np.array([size])) if size <= CHAINED else mix(np.array([int.from_bytes(long.digest(), "little")], np.uint64))
+            parts.append(one)
+            continue
         last = inside.copy()
         last[:-1] &= ~inside[1:]
         at = edges[edges > 0] - 1
         last[at] |= inside[at]
-        starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[low] * up[:n], out=sums[1:])
-        own, size = (sums[ends] - sums[starts]) * down[starts], ends - starts
-        fresh = starts
-        if held_size:
-            if len(starts) and starts[0] == 0 and not (len(edges) and edges[0] == 0):
-                own[0] = (held + pow(_BASE, held_size, 2**64) * int(own[0])) % 2**64
-                size[0] += held_size
-                fresh = starts[1:]
-            else:
-                parts.append(np.array([held], np.uint64))
-                sizes.append(np.array([held_size]))
-            held_size = 0
-        first[i:j] = begun + np.searchsorted(fresh, edges)
-        begun += len(fresh)
-        if len(ends) and ends[-1] == n and begin + n < len(raw):
-            held, held_size = int(own[-1]), int(size[-1])
-            own, size = own[:-1], size[:-1]
-        parts.append(own)
-        sizes.append(size)
+        first[i:j] = begun + np.searchsorted(starts, edges)
+        begun += len(starts)
+        parts.append(_hashes(low, starts, np.flatnonzero(last) + 1 - starts))
+        begin += n
     first[np.searchsorted(offsets, len(raw)) :] = begun
-    out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    del parts
-    at = 0
-    for size in sizes:
-        end = at + len(size)
-        out[at:end] = mix(out[at:end] ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        at = end
-    return Words(out, first)
+    return Words(np.concatenate(parts), first)
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
