@@ -89,6 +89,50 @@ for _name in ("simplify", "fold", "in_order", "like_terms", "canonical"):
     query(f"rewrite_{_name}", f"SELECT *, true AS no_longer FROM ({_means_sql(in_sql(REWRITTEN, BASE), list(REWRITTEN))})")(_rewriter(_name, list(REWRITTEN)))
 
 
+#: Trees whose short forms need several rules in turn.
+LONG: dict[str, Node] = {
+    "factored": ADD(ADD(MUL(Q, D), MUL(Q, X)), MUL(D, X)), "cancelled": SUB(MUL(Q, ADD(X, Const(1.0))), MUL(X, Q)), "halves": MUL(MUL(Q, Const(2.0)), MUL(X, Const(0.5))), "circle": ADD(MUL(UnOp("sin", Q), UnOp("sin", Q)), ADD(X, MUL(UnOp("cos", Q), UnOp("cos", Q)))),
+    "root": UnOp("sqrt", MUL(ADD(Q, D), ADD(D, Q))), "ends": SUB(ADD(BinOp("min", Q, X), BinOp("max", X, Q)), X), "signs": UnOp("cos", UnOp("neg", SUB(Q, D))), "steps": DIV(DIV(MUL(Const(6.0), Q), Const(3.0)), Const(2.0)), "sums": ADD(ADD(ADD(Q, D), X), SUB(Const(0.0), ADD(D, X))),
+    "centred": SUB(ADD(Q, UnOp("reduce_mean", ADD(MUL(Const(2.0), D), MUL(Const(3.0), D)))), Q),
+}
+_SHORT = {"factored": 9, "cancelled": 1, "halves": 3, "circle": 3, "root": 4, "ends": 1, "signs": 4, "steps": 1, "sums": 1, "centred": 4}
+
+
+def _long_sql() -> str:
+    inner = f"SELECT *, (SELECT avg(5 * d) FROM ({BASE})) AS m FROM ({BASE})"
+    return _means_sql(in_sql({k: t if k != "centred" else Var("m") for k, t in LONG.items()}, inner), list(LONG))
+
+
+@query("rewrite_shorten", f"SELECT s.*, n.nodes FROM ({_long_sql()}) s JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in _SHORT.items())}) n(tree, nodes) USING (tree)")
+def _shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees made as short as classes of equal forms allow: values as before, and how many nodes are left."""
+    from galena.operators.egraph import shorten
+
+    made = {k: shorten(t) for k, t in LONG.items()}
+    out = _means(evaluate(rows_of(spark, sf_dir), made, keep=[]), list(made))
+    sizes = F.create_map(*[v for k, t in made.items() for v in (F.lit(k), F.lit(complexity(t)))])
+    return out.withColumn("nodes", sizes[F.col("tree")])
+
+
+_FRONT = {"f0": ADD(Q, SUB(D, D)), "f1": ADD(MUL(Q, X), MUL(MUL(Const(2.0), X), Q)), "f2": ADD(MUL(Const(2.0), MUL(Q, X)), ADD(MUL(Q, X), MUL(D, MUL(Q, Const(0.5)))))}
+_FRONT_SQL = f"WITH v AS ({in_sql(_FRONT, BASE)}) " + " UNION ALL ".join(f"SELECT '{t}' AS tree, {n} AS complexity, round(avg(power({k} - (3 * q * x + 0.5 * d * q + 0.01 * d), 2)), 8) AS loss FROM v" for k, t, n in (("f0", "q", 1), ("f1", "mul(mul(3, q), x)", 5)))
+
+
+@query("front_shortened", _FRONT_SQL + " UNION ALL SELECT 'the rest', 9, round(avg(power(f2 - (3 * q * x + 0.5 * d * q + 0.01 * d), 2)), 8) FROM v")
+def _short_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A front scored over all rows, each member shortened and scored again; SQL scores the members as they were."""
+    from galena.operators.egraph import shorten_front
+    from galena.operators.scoring import Candidate, losses_by_data
+    from galena.operators.simplify import in_order
+
+    rows = rows_of(spark, sf_dir).withColumn("y", F.expr("3 * q * x + 0.5 * d * q + 0.01 * d"))
+    before = [Candidate(t, v, complexity(t), v) for t, v in zip(_FRONT.values(), losses_by_data(rows, list(_FRONT.values()), "y"), strict=True)]
+    front = shorten_front(before)
+    losses = losses_by_data(rows, [c.tree for c in front], "y")
+    found = [(str(in_order(c.tree)) if c.complexity < 6 else "the rest", c.complexity, round(v, 8) + 0.0) for c, v in zip(front, losses, strict=True)]
+    return spark.createDataFrame(found, "tree string, complexity int, loss double")
+
+
 @query("rewrite_known", "SELECT * FROM (VALUES ('zero', 'd'), ('one', 'q + d'), ('fold', '6 + q'), ('twice', 'q - x')) t(tree, same_as)")
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewriting finds the short form: equal, as canonical trees, to the one named."""
