@@ -565,12 +565,12 @@ def _recovery_of_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from galena.plans import algebra, chosen, fits, series  # noqa: F401  they register their queries
+    from galena.plans import algebra, chosen, fits, series, signatures  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from galena.plans import algebra, chosen, fits, series  # noqa: F401
+    from galena.plans import algebra, chosen, fits, series, signatures  # noqa: F401
 
     return dict(ORACLES)
