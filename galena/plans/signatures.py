@@ -79,3 +79,25 @@ def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = mixture_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 3, 20)
     return spark.createDataFrame([(int(r.k), float(r.bic), float(r.loglik)) for r in made.itertuples()], "k int, bic double, loglik double")
+
+
+@query(
+    "neighbours_in_time",
+    "WITH o AS (SELECT value AS a, lead(value) OVER w AS b, lead(value, 2) OVER w AS c, row_number() OVER w - 1 AS i FROM events WINDOW w AS (ORDER BY ts, event_id)), p AS (SELECT * FROM o WHERE c IS NOT NULL)"
+    " SELECT x.i, round(min((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)), 6) AS d FROM p x JOIN p y ON abs(x.i - y.i) > 10 GROUP BY x.i",
+)
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every three events in a row the squared distance to the nearest others that are more than ten events away."""
+    from galena.operators.neighbours import embedded, nearest_neighbours_apart
+
+    points = embedded(table(spark, sf_dir, "events").select("ts", "event_id", "value"), "value", ONE)
+    return nearest_neighbours_apart(points, 10, 1024).select("i", F.round("d", 6).alias("d"))
+
+
+@query("lyapunov_one_series")
+def _exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fast neighbours among all events part."""
+    from galena.operators.neighbours import lyapunov_by_data
+
+    found = lyapunov_by_data(table(spark, sf_dir, "events").select("ts", "event_id", "value"), "value", ONE)
+    return spark.createDataFrame([("value", found)], "series string, exponent double")

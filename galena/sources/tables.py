@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (one of this process only where it is unset), read again."""
+    """df as a table in the folder that spark.checkpoint.dir names, read again; where that is unset, in one of this process on a local master, and an error on a cluster."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/step-{uuid.uuid4().hex}"
