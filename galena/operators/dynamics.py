@@ -20,7 +20,7 @@ TRAJECTORY = "traj_id string, i long, t double, state array<double>"
 
 
 def rk4(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, dt: float, steps: int) -> np.ndarray:
-    out = np.empty((steps + 1, len(start)))
+    out = np.empty((steps + 1, *np.shape(start)))
     out[0] = start
     for k in range(steps):
         s = out[k]

@@ -133,14 +133,18 @@ def _short_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "tree string, complexity int, loss double")
 
 
-@query("rewrite_known", "SELECT * FROM (VALUES ('zero', 'd'), ('one', 'q + d'), ('fold', '6 + q'), ('twice', 'q - x')) t(tree, same_as)")
+_KNOWN = {"zero": ("d", D), "one": ("q + d", ADD(Q, D)), "fold": ("6 + q", ADD(Const(6.0), Q)), "twice": ("q - x", SUB(Q, X))}
+
+
+@query("rewrite_known", f"SELECT m.*, n.same_as FROM ({_means_sql(in_sql({k: t for k, (_, t) in _KNOWN.items()}, BASE), list(_KNOWN))}) m JOIN (VALUES {', '.join(f"('{k}', '{name}')" for k, (name, _) in _KNOWN.items())}) n(tree, same_as) USING (tree)")
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewriting finds the short form: equal, as canonical trees, to the one named."""
+    """Rewriting finds the short form: equal, as canonical trees, to the one named; and what it has for values over all rows."""
     from galena.operators.simplify import canonical, simplify
 
-    short = {"d": D, "q + d": ADD(Q, D), "6 + q": ADD(Const(6.0), Q), "q - x": SUB(Q, X)}
-    found = [(k, name) for k in ("zero", "one", "fold", "twice") for name, t in short.items() if canonical(simplify(REWRITTEN[k])) == canonical(t)]
-    return spark.createDataFrame(found, "tree string, same_as string")
+    made = {k: simplify(REWRITTEN[k]) for k in _KNOWN}
+    names = {k: next((name for name, t in _KNOWN.values() if canonical(made[k]) == canonical(t)), None) for k in made}
+    out = _means(evaluate(rows_of(spark, sf_dir), made, keep=[]), list(made))
+    return out.withColumn("same_as", F.create_map(*[F.lit(v) for k in names for v in (k, names[k])])[F.col("tree")])
 
 
 # --- random trees: drawn, mutated, crossed, sent as tapes; values and losses as SQL has them
@@ -211,12 +215,38 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(x, 4)) for k, x in zip(trees, found, strict=True)], "tree string, loss double")
 
 
-@query("tree_structure", "SELECT * FROM (VALUES ('zero', 5, 2, 'd q', 1), ('one', 5, 2, 'd q', 1), ('terms', 11, 3, 'd q', 2), ('twice', 5, 3, 'q x', 0), ('square', 7, 2, 'd q', 0)) t(tree, complexity, height, columns, constants)")
+_LINES = "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_discount) AS n, 1 - l_discount AS rest FROM lineitem"
+
+
+@query(
+    "tree_structure",
+    f"SELECT l_orderkey, CAST(6 * count(*) - 1 AS INTEGER) AS complexity, CAST(count(*) + 2 AS INTEGER) AS height, CAST(3 * count(*) AS INTEGER) AS constants, CAST(6 * count(*) - 1 AS INTEGER) AS subtrees, round(sum(v), 4) AS total, round(sum(CASE WHEN n > 1 THEN v ELSE 0 END), 4) + 0.0 AS without_first,"
+    f" round(sum(rest), 6) AS ones FROM ({_LINES}) GROUP BY l_orderkey",
+)
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's total as a formula of its lines: size, height and constants of the tree, its value, its value with the least line replaced by zero, and with all prices set to one."""
     from galena.operators import tree as T
 
-    rows = [(k, complexity(REWRITTEN[k]), T.depth(REWRITTEN[k]) - T.depth(Q), " ".join(sorted(T.used_features(REWRITTEN[k]))), len(T.constants(REWRITTEN[k]))) for k in ("zero", "one", "terms", "twice", "square")]
-    return spark.createDataFrame(rows, "tree string, complexity int, height int, columns string, constants int")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_discount"))).alias("lines"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for key, rows in zip(pdf["l_orderkey"], pdf["lines"], strict=True):
+                terms = [MUL(Const(float(r["l_extendedprice"])), SUB(Const(1.0), Const(float(r["l_discount"])))) for r in rows]
+                whole = terms[0]
+                for t in terms[1:]:
+                    whole = ADD(whole, t)
+                # the first term stands below all sums
+                less = T.replace_at(whole, len(terms) - 1, Const(0.0))
+                ones = T.with_constants(whole, [1.0 if i % 3 == 0 else c for i, c in enumerate(T.constants(whole))])
+                values = [round(float(T.evaluate(t, {})), k) + 0.0 for t, k in ((whole, 4), (less, 4), (ones, 6))]
+                out.append((key, complexity(whole), T.depth(whole), len(T.constants(whole)), sum(1 for _ in subtrees(whole)), *values))
+            yield pd.DataFrame(out, columns=["l_orderkey", "complexity", "height", "constants", "subtrees", "total", "without_first", "ones"])
+
+    return lines.mapInPandas(run, "l_orderkey long, complexity int, height int, constants int, subtrees int, total double, without_first double, ones double")
 
 
 # --- series and reductions
@@ -336,13 +366,20 @@ def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- systems
 
-@query("oscillator", "SELECT i, round(a, 5) + 0.0 AS x FROM (SELECT CAST(k AS BIGINT) AS i, cos(k * 0.01) AS a FROM range(1000) t(k))")
+@query("oscillator", "SELECT s_suppkey, round(s_acctbal / 1000 * cos(2.0) + s_nationkey * sin(2.0), 5) + 0.0 AS x, round(s_nationkey * cos(2.0) - s_acctbal / 1000 * sin(2.0), 5) + 0.0 AS v FROM supplier")
 def _oscillator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated trajectory against the solution in closed form."""
+    """An oscillator for each supplier, started from its balance and nation, after two units of time: integrated, against the solution in closed form."""
     from galena.operators.dynamics import rk4
 
-    path = rk4(lambda s: np.array([s[1], -s[0]]), np.array([1.0, 0.0]), 0.01, 999)
-    return spark.createDataFrame([(i, round(float(x[0]), 5) + 0.0) for i, x in enumerate(path)], "i long, x double")
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            start = np.array([pdf["s_acctbal"].to_numpy(float) / 1000, pdf["s_nationkey"].to_numpy(float)])
+            end = rk4(lambda s: np.array([s[1], -s[0]]), start, 0.01, 200)[-1]
+            yield pd.DataFrame({"s_suppkey": pdf["s_suppkey"], "x": end[0].round(5) + 0.0, "v": end[1].round(5) + 0.0})
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey").mapInPandas(run, "s_suppkey long, x double, v double")
 
 
 _SPINS = 10
@@ -392,15 +429,22 @@ def _eight(spark: SparkSession, sf_dir: str) -> DataFrame:
 AXES = {"lag along time": ("causal_translation", True), "lag among the permuted": ("permutation", False), "lag along a ring": ("cyclic", True), "lag of what has no order": ("none", False), "sum of the permuted": ("permutation", True)}
 
 
-@query("axes_of_trees", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(ok).lower()})" for k, (_, ok) in AXES.items()) + ") t(tree, accepted)")
+_LAG_MEAN = f"(SELECT round(avg(v), 6) FROM (SELECT lag(value) OVER {W} AS v FROM events))"
+
+
+@query("axes_of_trees", " UNION ALL ".join(f"SELECT '{k}' AS tree, {str(ok).lower()} AS accepted, {('(SELECT round(sum(value), 6) FROM events)' if 'sum' in k else _LAG_MEAN) if ok else 'CAST(NULL AS DOUBLE)'} AS value" for k, (_, ok) in AXES.items()))
 def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees are checked against the axis of the users' series before a plan is made; those that make sense are evaluated over it."""
     from galena.operators.axes import Axis, Invariance, TypedVar, violation
 
-    rows = []
+    rows, found = table(spark, sf_dir, "events"), []
     for k, (kind, _) in AXES.items():
         env = {"value": TypedVar("value", (Axis("t", 10, Invariance(kind)),))}
-        rows.append((k, violation(UnOp("reduce_sum", Var("value")) if "sum" in k else linear(M.lag(1)), env) is None))
-    return spark.createDataFrame(rows, "tree string, accepted boolean")
+        tree = UnOp("reduce_sum", Var("value")) if "sum" in k else linear(M.lag(1))
+        fine = violation(tree, env) is None
+        value = evaluate(rows, {"v": tree}, EVENTS, keep=[]).agg(F.round(F.avg("v"), 6)).first()[0] if fine else None
+        found.append((k, fine, value))
+    return spark.createDataFrame(found, "tree string, accepted boolean, value double")
 
 
 # --- images: a tree on pixels, pooled

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galena.operators.tree import BinOp, Const, UnOp, Var, constants
 from galena.plans.algebra import BASE, rows_of
-from galena.plans.registry import _USERS, query, user_trajectories
+from galena.plans.registry import _USERS, FIELD_SQL, W, field, query, user_trajectories
 from galena.sources.tables import table
 
 # --- constants over all rows
@@ -125,12 +125,27 @@ def _enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trajectories
 
 
-@query("model_class", "SELECT * FROM (VALUES ('harmonic_1d', 'ode'), ('damped_harmonic_1d', 'ode'), ('vdp', 'ode'), ('lorenz63', 'ode'), ('fhn', 'ode'), ('heat_1d', 'pde'), ('burgers_1d', 'pde'), ('linear_pendulum', 'ode'), ('nonlinear_pendulum', 'ode'), ('kepler', 'ode'), ('algebraic_feynman_gaussian', 'algebraic')) t(traj_id, class)")
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each generated system is taken for, against what it is."""
-    from galena.operators.dynamics import SYSTEMS, model_class, trajectories
+_MONTHS = f"{FIELD_SQL}, k AS (SELECT t, x, u, dense_rank() OVER (ORDER BY t) - 1 AS i, dense_rank() OVER (ORDER BY x) - 1 AS p FROM g)"
+_ACFS = "SELECT traj_id, avg(top) AS t_acf FROM (SELECT traj_id, p, max(abs(acf)) AS top FROM (SELECT a.traj_id, a.p, b.i - a.i AS lag, CASE WHEN any_value(a.s) > 1e-300 THEN avg(a.c * b.c) / any_value(a.s) ELSE 0 END AS acf FROM z a JOIN z b ON a.traj_id = b.traj_id AND a.p = b.p AND b.i - a.i BETWEEN 1 AND 20 WHERE b.i - a.i < a.n / 2.0 GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"
+
 
-    return model_class(trajectories(spark, [{"system": n} for n in SYSTEMS])).select("traj_id", "class")
+@query(
+    "model_class",
+    f"""WITH {_MONTHS}, u AS (SELECT 'field' AS traj_id, p, i, u AS v FROM k UNION ALL SELECT CAST(user_id AS VARCHAR), 0, row_number() OVER {W} - 1, value FROM events),
+    m AS (SELECT traj_id, p, avg(v) AS m, var_pop(v) AS s, count(*) AS n FROM u GROUP BY 1, 2), z AS (SELECT u.traj_id, p, i, v - m AS c, s, n FROM u JOIN m USING (traj_id, p)),
+    r AS (SELECT i, p, u - avg(u) OVER (PARTITION BY i) AS c FROM k WHERE i % greatest(1, (SELECT max(i) FROM k) // 20) = 0), q AS (SELECT i, c, lead(c) OVER (PARTITION BY i ORDER BY p) AS d FROM r),
+    x AS (SELECT avg(cov / v) AS x_acf FROM (SELECT i, avg(c * d) AS cov, avg(c * c) AS v FROM q GROUP BY i) WHERE v > 1e-300)
+    SELECT t.traj_id, round(t_acf, 7) AS t_acf, CASE WHEN traj_id = 'field' THEN round(x_acf, 7) END AS x_acf, traj_id = 'field' AND x_acf >= 0.3 AS is_field FROM ({_ACFS}) t, x""",
+)
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' values as series, and the sums of orders by month and nation as a field: how neighbours in time and in space go together, and whether that makes a field."""
+    from galena.operators.dynamics import model_class
+
+    f = field(spark, sf_dir)
+    months = f.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "u"))), lambda c: c["u"]).alias("state"))
+    one = months.withColumn("i", (F.row_number().over(Window.orderBy("t")) - 1).cast("long"))  # a row a month
+    both = user_trajectories(spark, sf_dir).unionByName(one.select(F.lit("field").alias("traj_id"), "i", F.col("i").cast("double").alias("t"), "state"))
+    return model_class(both).select("traj_id", F.round("t_acf", 7).alias("t_acf"), F.round("x_acf", 7).alias("x_acf"), (F.col("class") == "pde").alias("is_field"))
 
 
 @query("target_rates", f"WITH {_USERS}, n AS (SELECT traj_id, i, v, lead(v) OVER (PARTITION BY traj_id ORDER BY i) AS n FROM e) SELECT traj_id, i, round(v, 8) AS x, round(n - v, 8) + 0.0 AS rate FROM n WHERE n IS NOT NULL")

@@ -378,9 +378,10 @@ def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("full_signature")
 def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from galena.operators.dynamics import full_signature, trajectories
+    """Every signature that applies to what each user's series of values is taken for."""
+    from galena.operators.dynamics import full_signature
 
-    return full_signature(trajectories(spark, [{"system": n} for n in ("harmonic_1d", "vdp", "lorenz63", "kepler")]))
+    return full_signature(user_trajectories(spark, sf_dir))
 
 
 @query("koopman_one_step", "WITH m AS (SELECT avg(value) AS m FROM events), s AS (SELECT event_id, value - m AS p, lead(value - m) OVER w AS n, value, m FROM events, m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT sum(p * n) / (sum(p * p) + 1e-6) AS b FROM s WHERE n IS NOT NULL) SELECT event_id, round(m + b * p, 6) AS forecast FROM s, b")
