@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from galena.functions.pointwise import BINARY, REDUCE, UNARY
 from galena.operators import gradients, intervals, measures
 from galena.operators import tree as T
-from galena.operators.lowering import Series
+from galena.operators.lowering import Series, pointwise
 from galena.operators.measures import Linear, SeparableBilinear, Volterra2
+from galena.operators.regression import polish_with_terms
 from galena.operators.scoring import Candidate, DataScorer, HallOfFame, losses_by_candidate, score_arrays
 from galena.operators.simplify import simplify
 from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, Node, UnOp, Var
@@ -289,16 +290,18 @@ class Evolution:
     judge: what selection goes by, from a tree and its loss, before parsimony (fitness.py has hold-out rows and description length).
     accept: trees that may live at all (fitness.causal, for one); others are never scored.
     ranges and bound: of the variables and of the target, where arrays are not all rows; on_table takes them from the table.
+    extend: a tree with terms that help it, tried on the front's best whenever constants are polished (regression.polish_with_terms knows them from one pass).
     """
 
     def __init__(
         self, grammar: Grammar, env: dict[str, np.ndarray], y: np.ndarray, config: SearchConfig | None = None, spark: SparkSession | None = None, score: Callable[[list[Node]], list[float]] | None = None,
         fit: Callable[[Node], tuple[Node, float]] | None = None, judge: Callable[[Node, float], float] | None = None, accept: Callable[[Node], bool] | None = None,
-        ranges: dict[str, intervals.Interval] | None = None, bound: intervals.TargetBound | intervals.TableBound | None = None,
+        ranges: dict[str, intervals.Interval] | None = None, bound: intervals.TargetBound | intervals.TableBound | None = None, extend: Callable[[Node], Node] | None = None,
     ) -> None:
         self.g, self.env, self.y, self.config, self.spark = grammar, env, y, config or SearchConfig(), spark
         self.score = score or (self._by_candidate if spark else self._here)
         self.fit, self.judge, self.accept = fit, judge or (lambda tree, loss: loss), accept or (lambda tree: True)
+        self.extend = extend
         self.refused = 0
         self.hall = HallOfFame()
         self.ranges = ranges or {k: intervals.of_points(v.ravel()) for k, v in env.items()}
@@ -308,17 +311,18 @@ class Evolution:
     @classmethod
     def on_table(
         cls, grammar: Grammar, df: DataFrame, y: str, config: SearchConfig | None = None, series: Series | None = None, fit_steps: int = 6,
-        judge: Callable[[Node, float], float] | None = None, accept: Callable[[Node], bool] | None = None,
+        judge: Callable[[Node, float], float] | None = None, accept: Callable[[Node], bool] | None = None, terms: int = 0, degree: int = 3,
     ) -> Evolution:
         """A search that never holds rows: losses, fitted constants, the ranges of the variables and the target's bounds all come from passes over df.
 
-        fit_steps: passes that fit a front member's constants. Measures that two trees of a generation hold become columns that later generations find again.
+        fit_steps: passes that fit a front member's constants. terms: powers of variables, up to `degree`, that may be added to the front's best from sums over all rows. Measures that two trees of a generation hold become columns that later generations find again.
         """
         config = config or SearchConfig()
         names = list(grammar.features)
         scorer = DataScorer(df, y, series, config.fill, config.share)
         fit = lambda tree: gradients.fit_constants_by_data(df, tree, y, fit_steps)
-        return cls(grammar, {}, np.zeros(0), config, score=scorer, fit=fit, judge=judge, accept=accept, ranges=intervals.of_columns(df, names), bound=intervals.TableBound(df, y))
+        extend = (lambda tree: polish_with_terms(df, pointwise(tree), tree, names, y, degree, terms)[0] if T.is_pointwise(tree) else tree) if terms else None
+        return cls(grammar, {}, np.zeros(0), config, score=scorer, fit=fit, judge=judge, accept=accept, ranges=intervals.of_columns(df, names), bound=intervals.TableBound(df, y), extend=extend)
 
     def _here(self, trees: list[Node]) -> list[float]:
         memo: dict = {}
@@ -402,6 +406,10 @@ class Evolution:
                 node, loss = neat, whole(neat)
             if self.accept(node):
                 self.hall.update(Candidate(node, loss, T.complexity(node), self.judge(node, loss) + self.config.parsimony * T.complexity(node), generation))
+        if self.extend and (top := self.hall.top()):
+            longer = simplify(self.extend(top.tree))
+            if longer != top.tree and is_valid(longer, set(self.g.features)):
+                self._scored([longer], generation)
 
 
 def random_search(grammar: Grammar, env: dict[str, np.ndarray], y: np.ndarray, trees: int = 2000, seed: int = 0, spark: SparkSession | None = None, depth: int = 4) -> list[Candidate]:

@@ -139,3 +139,17 @@ def test_search_on_a_table_holds_no_rows_and_prunes_rightly(spark):
     assert [c.loss for c in free.run()] == pytest.approx([c.loss for c in front], abs=1e-9)
     search.score.close()
     free.score.close()
+
+
+def test_terms_from_sums_over_all_rows_extend_the_best(spark):
+    """Sums of powers over all rows know what would help; the longer tree is scored like any other."""
+    x = np.linspace(-1, 2, 500)
+    df = spark.createDataFrame([(float(v), float(np.sin(3 * v) + 0.5 * v**3 - 2)) for v in x], "x double, y double").repartition(3)
+    config = SearchConfig(population=4, generations=1, polish_every=1, snap=False, seeds=[UnOp("sin", BinOp("mul", Const(3.0), Var("x")))], seed=2)
+    plain = Evolution.on_table(Grammar(["x"], measures_1d=False), df, "y", config)
+    longer = Evolution.on_table(Grammar(["x"], measures_1d=False), df, "y", config, terms=2)
+    without, found = plain.run()[-1], longer.run()[-1]
+    assert found.loss < 0.9 * without.loss and found.complexity > without.complexity
+    assert abs(found.loss - scoring.score_arrays(found.tree, {"x": x}, np.sin(3 * x) + 0.5 * x**3 - 2)) < 1e-9
+    plain.score.close()
+    longer.score.close()
