@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions.pointwise import REDUCE
+from galena.operators.measures import AXES
 from galena.operators.tree import FunctionalOp, FunctionalOp2D, Node, UnOp, Var, children, subtrees
 
 
@@ -75,6 +76,8 @@ def violation(node: Node, env: dict[str, TypedVar]) -> str | None:
         if isinstance(n, FunctionalOp):
             for arg in n.args:
                 have = axes(arg)
+                if have and n.functional.axis is not None and len(have) >= 2:
+                    have = (have[AXES.index(n.functional.axis)],)
                 if have and len(have) != 1:
                     return f"a one-dimensional measure on {len(have)} axes"
                 if have and have[0].invariance not in CONVOLUTIONAL:

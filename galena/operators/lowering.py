@@ -220,7 +220,7 @@ def without_averages(df: DataFrame, trees: list[Node], series: Series, fill: flo
     def split(n: Node) -> Node:
         new = tuple(map(split, children(n)))
         if isinstance(n, FunctionalOp) and any(mu.is_recursive for mu, _ in n.functional.parts()):
-            parts = [FunctionalOp(Linear(mu), (new[i],)) for mu, i in n.functional.parts()]
+            parts = [FunctionalOp(Linear(mu, n.functional.axis), (new[i],)) for mu, i in n.functional.parts()]
             out: Node = parts[0]
             for p in parts[1:]:
                 out = BinOp("mul", out, p)
@@ -271,7 +271,7 @@ class Compiler:
             case FunctionalOp(f, args):
                 out: Node | None = None
                 for mu, i in f.parts():
-                    part = Var(self._measure(mu, args[i]))
+                    part = Var(self._measure(mu, args[i], f.axis))
                     out = part if out is None else BinOp("mul", out, part)
                 return out
             case FunctionalOp2D(m, arg):
@@ -294,33 +294,44 @@ class Compiler:
         self.made[what] = name
         return name
 
-    def _measure(self, mu: Measure, arg: Node) -> str:
-        if self.series is None:
+    def _along(self, axis: str | None) -> Series:
+        """The series that a measure runs along: of a field, all rows of one place in time, or of one time in space."""
+        s = self.series
+        if s is None:
             raise ValueError("a measure needs a series")
-        if self.series.space is not None:
-            raise ValueError("a one-dimensional measure does not apply to a field")
-        what = f"{mu!r} {key(arg)}"
+        if s.space is None:
+            if axis == "space":
+                raise ValueError("a series has no axis of space")
+            return s
+        if axis is None:
+            raise ValueError("a one-dimensional measure over a field needs an axis")
+        return Series(s.order, [*s.keys, s.space]) if axis == "time" else Series([s.space], [*s.keys, *s.order])
+
+    def _measure(self, mu: Measure, arg: Node, axis: str | None = None) -> str:
+        series = self._along(axis)
+        what = f"{mu!r} {axis} {key(arg)}"
         if what not in self.made:
             if is_streamed(mu):
-                self._stream([(mu, arg)])
+                self._stream([(mu, arg, axis)])
             else:
                 x = self._named(arg)
                 name = self._new(what)
-                self.df = self._filled(self.df.withColumn(name, _measure_column(x, mu, self.series)), name)
+                self.df = self._filled(self.df.withColumn(name, _measure_column(x, mu, series)), name)
         return self.made[what]
 
     def _filled(self, df: DataFrame, name: str) -> DataFrame:
         return df if self.fill is None else df.withColumn(name, F.coalesce(name, F.lit(float(self.fill))))
 
-    def _stream(self, wanted: list[tuple[Measure, Node]]) -> None:
-        """All these measures in one pass over the rows."""
-        new = {f"{mu!r} {key(arg)}": (mu, arg) for mu, arg in wanted}
-        xs = {what: self._named(arg) for what, (_, arg) in new.items() if what not in self.made}
-        jobs = [(x, self._new(what), new[what][0]) for what, x in xs.items()]
-        self.df = streamed(self.df, jobs, self.series)
-        for _, name, mu in jobs:
-            if not mu.is_recursive:
-                self.df = self._filled(self.df, name)
+    def _stream(self, wanted: list[tuple[Measure, Node, str | None]]) -> None:
+        """All these measures in one pass over the rows, one for each axis that they run along."""
+        for axis in dict.fromkeys(w[2] for w in wanted):
+            new = {f"{mu!r} {axis} {key(arg)}": (mu, arg) for mu, arg, a in wanted if a == axis}
+            xs = {what: self._named(arg) for what, (_, arg) in new.items() if what not in self.made}
+            jobs = [(x, self._new(what), new[what][0]) for what, x in xs.items()]
+            self.df = streamed(self.df, jobs, self._along(axis))
+            for _, name, mu in jobs:
+                if not mu.is_recursive:
+                    self.df = self._filled(self.df, name)
 
     def _measure_2d(self, m: Measure2D, arg: Node) -> str:
         if self.series is None or self.series.space is None:
@@ -336,7 +347,7 @@ class Compiler:
 
     def prepare(self, trees: list[Node]) -> None:
         """What needs a pass over the rows, by levels of nesting: all averages and long kernels of a level in one pass, then all its reductions in one aggregate."""
-        streams: dict[int, list[tuple[Measure, Node]]] = {}
+        streams: dict[int, list[tuple[Measure, Node, str | None]]] = {}
         reductions: dict[int, dict[str, tuple[str, Node]]] = {}
 
         def level(n: Node) -> int:
@@ -344,7 +355,7 @@ class Compiler:
             if isinstance(n, UnOp) and n.op in REDUCE:
                 reductions.setdefault(inner, {})[f"{n.op} {key(n.a)}"] = (n.op, n.a)
                 return inner + 1
-            if isinstance(n, FunctionalOp) and self.series is not None and self.series.space is None and (long := [(mu, n.args[i]) for mu, i in n.functional.parts() if is_streamed(mu)]):
+            if isinstance(n, FunctionalOp) and self.series is not None and (long := [(mu, n.args[i], n.functional.axis) for mu, i in n.functional.parts() if is_streamed(mu)]):
                 streams.setdefault(inner, []).extend(long)
                 return inner + 1
             return inner

@@ -225,12 +225,15 @@ def signed_sum(terms: Iterable[tuple[float, int]]) -> Measure:
     return Measure(tuple(Atom(float(w), int(k)) for w, k in terms))
 
 
-# --- functionals: what a tree's node does with one or two arguments
+# --- functionals: what a tree's node does with one or two arguments; axis: along which of a field's two, "time" or "space"
+
+AXES = ("time", "space")
 
 
 @dataclass(frozen=True)
 class Linear:
     mu: Measure
+    axis: str | None = None
     arity: int = field(default=1, init=False)
 
     def parts(self) -> list[tuple[Measure, int]]:
@@ -242,6 +245,7 @@ class Linear:
 class SeparableBilinear:
     mu: Measure
     nu: Measure
+    axis: str | None = None
     arity: int = field(default=2, init=False)
 
     def parts(self) -> list[tuple[Measure, int]]:
@@ -252,6 +256,7 @@ class SeparableBilinear:
 class Volterra2:
     mu: Measure
     nu: Measure
+    axis: str | None = None
     arity: int = field(default=1, init=False)
 
     def parts(self) -> list[tuple[Measure, int]]:

@@ -90,14 +90,16 @@ class Grammar:
             return UnOp(_pick(rng, self.unary), self.tree(rng, depth - 1))
         if kind == "binary":
             return BinOp(rng.choice(sorted(BINARY)), self.tree(rng, depth - 1), self.tree(rng, depth - 1))
-        if self.measures_2d:
+        # over a field, where both kinds may stand, a measure along one axis says which: mostly time
+        if self.measures_2d and (not self.measures_1d or rng.random() < 0.5):
             return FunctionalOp2D(random_measure_2d(rng), self.tree(rng, depth - 1))
+        axis = _pick(rng, {"time": 0.8, "space": 0.2}) if self.measures_2d else None
         f = _pick(rng, {"linear": 0.5, "bilinear": 0.25, "volterra": 0.25})
         if f == "linear":
-            return FunctionalOp(Linear(random_measure(rng)), (self.tree(rng, depth - 1),))
+            return FunctionalOp(Linear(random_measure(rng), axis), (self.tree(rng, depth - 1),))
         if f == "bilinear":
-            return FunctionalOp(SeparableBilinear(random_measure(rng), random_measure(rng)), (self.tree(rng, depth - 1), self.tree(rng, depth - 1)))
-        return FunctionalOp(Volterra2(random_measure(rng), random_measure(rng)), (self.tree(rng, depth - 1),))
+            return FunctionalOp(SeparableBilinear(random_measure(rng), random_measure(rng), axis), (self.tree(rng, depth - 1), self.tree(rng, depth - 1)))
+        return FunctionalOp(Volterra2(random_measure(rng), random_measure(rng), axis), (self.tree(rng, depth - 1),))
 
 
 # --- mutations: each takes and gives a tree
@@ -156,7 +158,7 @@ def mutate_measure(node: Node, g: Grammar, rng: random.Random) -> Node:
     if isinstance(n, FunctionalOp2D):
         return T.replace_at(node, at, FunctionalOp2D(random_measure_2d(rng), n.arg))
     f = n.functional
-    new = Linear(random_measure(rng)) if isinstance(f, Linear) else type(f)(random_measure(rng), f.nu) if rng.random() < 0.5 else type(f)(f.mu, random_measure(rng))
+    new = replace(f, mu=random_measure(rng)) if isinstance(f, Linear) or rng.random() < 0.5 else replace(f, nu=random_measure(rng))
     return T.replace_at(node, at, FunctionalOp(new, n.args))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from galena.functions.pointwise import BINARY, NP_BINARY, NP_REDUCE, NP_UNARY, REDUCE, UNARY
-from galena.operators.measures import Functional, Linear, Measure2D
+from galena.operators.measures import AXES, Functional, Linear, Measure2D
 
 
 @dataclass(frozen=True)
@@ -205,9 +205,9 @@ def evaluate(node: Node, env: dict[str, np.ndarray], fill: float = float("nan"),
                 values = [np.broadcast_to(np.asarray(evaluate(x, env, fill, memo), float), shape) for x in args]
                 out = np.ones(shape)
                 for mu, i in f.parts():
-                    half = FunctionalOp(Linear(mu), (args[i],))
+                    half = FunctionalOp(Linear(mu, f.axis), (args[i],))
                     if half not in memo:
-                        memo[half] = mu.apply(values[i], fill)
+                        memo[half] = mu.apply(values[i], fill) if f.axis is None else np.apply_along_axis(mu.apply, AXES.index(f.axis), values[i], fill)
                     out = out * memo[half]
                 memo[node] = out
             return memo[node]

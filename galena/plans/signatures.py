@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.plans.registry import EVENTS, W, query
+from galena.plans.registry import EVENTS, FIELD, FIELD_SQL, W, field, query
 from galena.plans.series import ONE
 from galena.sources.tables import table
 
@@ -101,3 +101,23 @@ def _exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = lyapunov_by_data(table(spark, sf_dir, "events").select("ts", "event_id", "value"), "value", ONE)
     return spark.createDataFrame([("value", found)], "series string, exponent double")
+
+
+@query(
+    "field_both_axes",
+    f"WITH {FIELD_SQL}, l AS (SELECT t, x, u, lag(u) OVER r - 2 * u + lead(u) OVER r AS lap FROM g WINDOW r AS (PARTITION BY t ORDER BY x)), s AS (SELECT *, lap - lag(lap, 3) OVER p AS d, CASE WHEN row_number() OVER p >= 4 THEN avg(u) OVER (PARTITION BY x ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS m, u - lag(u, 2) OVER (PARTITION BY t ORDER BY x) AS side FROM l WINDOW p AS (PARTITION BY x ORDER BY t))"
+    " SELECT t, x, round(d + 0.5 * m, 6) + 0.0 AS later, round(side * m, 6) + 0.0 AS beside FROM s",
+)
+def _both_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a field: how a stencil's values change in time, a mean along time, and a difference along space, in one tree each."""
+    from galena.operators import measures as M
+    from galena.operators.lowering import evaluate
+    from galena.operators.measures import Linear
+    from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, Var
+
+    u = Var("u")
+    along = lambda mu, axis, arg=u: FunctionalOp(Linear(mu, axis), (arg,))
+    mean = along(M.roll_mean(4), "time")
+    trees = {"later": BinOp("add", along(M.diff(3), "time", FunctionalOp2D(M.laplacian(), u)), BinOp("mul", Const(0.5), mean)), "beside": BinOp("mul", along(M.diff(2), "space"), mean)}
+    made = evaluate(field(spark, sf_dir), trees, FIELD, keep=["t", "x"])
+    return made.select("t", "x", *[F.round(c, 6).alias(c) for c in trees])
