@@ -24,7 +24,7 @@ from galena.operators.streams import Averages, OverlapSave
 from galena.operators.tree import BinOp, Const, FunctionalOp, FunctionalOp2D, Node, UnOp, Var, children, key, subtrees, used_features, with_children
 
 #: A kernel of more weights than this runs over the sorted rows by transforms instead of as a sum of lags.
-MOST_LAGS = 64
+MOST_LAGS = 16
 
 
 @dataclass(frozen=True)
