@@ -63,9 +63,11 @@ def queens_count(n: int) -> int:
 
 def queens(spark: SparkSession, n: int) -> DataFrame:
     """(files array<int>): the queen's file on each rank, for every placement on an n by n board; a rank a round."""
-    board = spark.createDataFrame([([],)], "files array<int>")
-    files = spark.range(n).select(F.col("id").cast("int").alias("f"))
-    for rank in range(n):
-        safe = F.forall(F.sequence(F.lit(0), F.lit(rank - 1)), lambda r: (F.get("files", r) != F.col("f")) & (F.abs(F.get("files", r) - F.col("f")) != F.lit(rank) - r)) if rank else F.lit(True)
-        board = board.join(F.broadcast(files), safe).select(F.concat("files", F.array("f")).alias("files"))
+    if n < 1:
+        return spark.createDataFrame([([],)], "files array<int>")
+    board = spark.range(n).select(F.array(F.col("id").cast("int")).alias("files"))
+    for rank in range(1, n):
+        safe = F.forall(F.sequence(F.lit(0), F.lit(rank - 1)), lambda r: (F.get("files", r) != F.col("f")) & (F.abs(F.get("files", r) - F.col("f")) != F.lit(rank) - r))
+        grown = board.select("files", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("f"))
+        board = grown.where(safe).select(F.concat("files", F.array("f")).alias("files"))
     return board
