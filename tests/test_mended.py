@@ -5,9 +5,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
-from galena.operators import combinatorics
+from galena.operators import combinatorics, neighbours
+from galena.operators.lowering import Series
 
 
 @pytest.mark.parametrize("n, boards", [(0, 1), (1, 1), (3, 0), (5, 10), (8, 92)])
@@ -23,3 +25,34 @@ def test_queens_as_the_first_query_of_a_session():
     root = str(Path(__file__).resolve().parent.parent)
     ran = subprocess.run([sys.executable, "-c", code], cwd=root, env={k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"}, capture_output=True, text=True, timeout=200)
     assert ran.returncode == 0 and ran.stdout.split()[-1] == "92", ran.stderr[-2000:]
+
+
+def test_few_points_ask_a_second_box():
+    rng = np.random.default_rng(4)
+    points, numbers = np.round(rng.exponential(47, size=(20_000, 3)), 2), np.arange(20_000)
+    boxes = neighbours.Boxes(points[::64], numbers[::64], 16)
+    home = boxes.place(points, numbers)
+    assert len(boxes) > 10 and np.bincount(home).max() < 4096
+    asks = 0
+    for k in range(len(boxes)):
+        at = np.flatnonzero(home == k)
+        _, d = neighbours._nearest(points[at], numbers[at], points[at], numbers[at], 10)
+        asks += sum(len(who) for box, who in boxes.met(points[at], d) if box != k)
+    # slabs of the first coordinate asked several dozen rows a point
+    assert asks < len(points)
+
+
+def test_neighbours_of_a_series_with_many_copies(spark):
+    x = np.repeat(np.round(np.random.default_rng(5).exponential(47, 300), 1), 9)
+    x[900:1700] = 3.5
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").repartition(3)
+    points = neighbours.embedded(df, "x", Series(["i"]))
+    cloud = np.stack([x[:-2], x[1:-1], x[2:]], 1)
+    assert [r["p"] for r in points.orderBy("i").collect()] == cloud.tolist()
+    got = {r["i"]: (r["j"], r["d"]) for r in neighbours.nearest_neighbours_apart(points, 10, 100).collect()}
+    d = ((cloud[:, None] - cloud[None]) ** 2).sum(2)
+    n = np.arange(len(cloud))
+    d[np.abs(n[:, None] - n[None]) <= 10] = np.inf
+    assert len(got) == len(cloud)
+    for i, (j, far) in got.items():
+        assert abs(i - j) > 10 and abs(far - d[i].min()) < 1e-9 and (far == 0 or j == d[i].argmin())
