@@ -21,6 +21,8 @@ from galena.sources.tables import materialised
 
 #: Points of a box, about, and of the smaller boxes within it; sampled points of a box; squared distances that are held at once; rows of a range of a series.
 SLAB, LEAF, DRAWN, AT_ONCE, RANGE = 4096, 64, 16, 1 << 20, 1 << 16
+#: Rows of a range from which paths are sent, and paths sent in one piece.
+PATHS, PACK = 1 << 19, 1 << 16
 FOUND = "i long, j long, d double"
 
 
@@ -191,9 +193,9 @@ def _neighbours_of(points: DataFrame, apart: int, slab: int) -> DataFrame:
     return bounded.where((F.size("asked") == 0) & (F.col("j") >= 0)).select("i", "j", "d").unionByName(several.select("i", F.col("b.j").alias("j"), F.col("b.d").alias("d")))
 
 
-def _ranged(rows: DataFrame, number: str, more: int) -> DataFrame:
+def _ranged(rows: DataFrame, number: str, more: int, least: int = RANGE) -> DataFrame:
     """rows by ranges of their number, each with the first `more` rows of the next range as well."""
-    size = max(RANGE, more)
+    size = max(least, more + 1)
     own = F.floor(F.col(number) / size).cast("long")
     return rows.withColumn("__range", F.explode(F.when((F.col(number) % size < more) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))))
 
@@ -206,7 +208,30 @@ def embedded(df: DataFrame, x: str, series: Series, m: int = 3) -> DataFrame:
     w = Window.partitionBy("__range").orderBy("__i")
     later = [F.lead("__x", k).over(w) if k else F.col("__x") for k in range(m)]
     made = _ranged(rows, "__i", m - 1).select(F.col("__i").alias("i"), F.array(*later).alias("p"), (F.lead("__i", m - 1).over(w) if m > 1 else F.col("__i")).alias("__end"), "__range")
-    return made.where(F.col("__end").isNotNull() & (F.floor(F.col("i") / max(RANGE, m - 1)) == F.col("__range"))).select("i", "p")
+    return made.where(F.col("__end").isNotNull() & (F.floor(F.col("i") / max(RANGE, m)) == F.col("__range"))).select("i", "p")
+
+
+def _packed(j: np.ndarray, path: np.ndarray) -> bytes:
+    """Numbers and paths, compressed; where values repeat, as their list and places in it."""
+    different, place = np.unique(path, return_inverse=True)
+    few = len(different) <= min(1 << 16, path.size // 4)
+    if few:
+        planes = place.reshape(path.shape).T.astype("<u2").ravel().view(np.uint8).reshape(-1, 2).T
+        values = different.astype("<f8").tobytes() + np.ascontiguousarray(planes).tobytes()
+    else:
+        values = path.astype("<f8").tobytes()
+    return zstandard.compress(np.array([len(j), len(different) if few else -1], "<i8").tobytes() + j.astype("<i8").tobytes() + values, 1)
+
+
+def _unpacked(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, few = np.frombuffer(raw, "<i8", 2).tolist()
+    j, at = np.frombuffer(raw, "<i8", n, 16), 16 + 8 * n
+    if few < 0:
+        return j, np.frombuffer(raw, "<f8", offset=at).reshape(n, width)
+    different = np.frombuffer(raw, "<f8", few, at)
+    planes = np.frombuffer(raw, np.uint8, offset=at + 8 * few).reshape(2, -1)
+    return j, different[planes[0] + (planes[1].astype(np.int64) << 8)].reshape(width, n).T
 
 
 def _logs_of_parting(points: DataFrame, pairs: DataFrame, m: int, fit: int) -> dict[int, tuple[float, int]]:
@@ -214,14 +239,16 @@ def _logs_of_parting(points: DataFrame, pairs: DataFrame, m: int, fit: int) -> d
 
     Ranges of i and of j meet by two groupings: the first puts the values of i's path beside each pair and packs them by j's range, the second has those of j.
     """
-    size, width = max(RANGE, fit), fit + m - 1
+    width = fit + m - 1
+    size = max(PATHS, width)
+    last = points.agg(F.max("i")).first()[0]
 
     def paths(t: pa.Table) -> tuple[int, np.ndarray]:
         """The range's first number and the values from each number on, as views; what lies behind the series is missing."""
         order = np.argsort(_numbers(t.column("i")))
-        p = _cloud(t.column("p"), len(t))[order]
-        first = int(_numbers(t.column("i"))[order[0]])
-        return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([p[:, 0], p[-1, 1:], np.full(width, np.nan)]), width)
+        x = t.column("x").to_numpy().astype(float)[order]
+        tail = t.column("tail").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return int(_numbers(t.column("i"))[order[0]]), np.lib.stride_tricks.sliding_window_view(np.concatenate([x, tail, np.full(width, np.nan)]), width)
 
     def send(series: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
@@ -232,8 +259,9 @@ def _logs_of_parting(points: DataFrame, pairs: DataFrame, m: int, fit: int) -> d
             i, j = i[order], j[order]
             ends = np.flatnonzero(np.diff(j // size, prepend=-1, append=-1))
             for low, high in zip(ends[:-1], ends[1:], strict=True):
-                path = np.ascontiguousarray(values[i[low:high] - first])
-                out.append((int(j[low] // size), zstandard.compress(np.ascontiguousarray(j[low:high]).astype("<i8").tobytes() + path.astype("<f8").tobytes(), 1)))
+                for at in range(low, high, PACK):
+                    end = min(high, at + PACK)
+                    out.append((int(j[at] // size), _packed(j[at:end], values[i[at:end] - first])))
         return pa.table([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["__range", "packed"])
 
     def add(series: pa.Table, packs: pa.Table) -> pa.Table:
@@ -241,18 +269,18 @@ def _logs_of_parting(points: DataFrame, pairs: DataFrame, m: int, fit: int) -> d
         if len(series) and len(packs):
             first, values = paths(series)
             for pack in packs.column("packed"):
-                raw = zstandard.decompress(pack.as_py())
-                k = len(raw) // (8 * (width + 1))
-                j = np.frombuffer(raw, "<i8", k)
-                gap = (np.frombuffer(raw, "<f8", offset=8 * k).reshape(k, width) - values[j - first]) ** 2
+                j, path = _unpacked(pack.as_py(), width)
+                gap = (path - values[j - first]) ** 2
                 d = np.sqrt(sum(gap[:, c : c + fit] for c in range(m)))
                 far = d > 1e-12
                 total += np.log(d, out=np.zeros_like(d), where=far).sum(0)
                 count += far.sum(0)
         return pa.table([pa.array(np.arange(fit)), pa.array(total), pa.array(count)], ["s", "total", "n"])
 
+    values = points.select("i", F.get("p", F.lit(0)).alias("x"), F.when(F.col("i") == last, F.slice("p", 2, m - 1)).alias("tail"))
+
     def ranged() -> DataFrame:
-        return _ranged(points, "i", fit - 1).groupBy("__range")
+        return _ranged(values, "i", width - 1, PATHS).groupBy("__range")
 
     of_i = pairs.withColumn("__range", F.floor(F.col("i") / size).cast("long")).groupBy("__range")
     packed = materialised(ranged().cogroup(of_i).applyInArrow(send, "__range long, packed binary"), True)
@@ -271,7 +299,7 @@ def lyapunov_by_data(df: DataFrame, x: str, series: Series, dt: float = 1.0, m:
     if n < 50:
         return None
     sound = points.where((F.col("i") < n) & F.forall("p", lambda v: v.isNotNull() & (v - v == 0)))
-    found = _logs_of_parting(points, _neighbours_of(sound, theiler, slab).select("i", "j"), m, fit)
+    found = _logs_of_parting(points, materialised(_neighbours_of(sound, theiler, slab).select("i", "j"), True), m, fit)
     logs = [total / count if count else 0.0 for total, count in (found.get(s, (0.0, 0)) for s in range(fit))]
     return float(np.polyfit(np.arange(fit) * dt, logs, 1)[0])
 

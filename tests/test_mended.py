@@ -56,3 +56,22 @@ def test_neighbours_of_a_series_with_many_copies(spark):
     assert len(got) == len(cloud)
     for i, (j, far) in got.items():
         assert abs(i - j) > 10 and abs(far - d[i].min()) < 1e-9 and (far == 0 or j == d[i].argmin())
+
+
+@pytest.mark.parametrize("digits", [1, 12])
+def test_exponent_over_ranges_and_packs(spark, monkeypatch, digits):
+    monkeypatch.setattr(neighbours, "PATHS", 256)
+    monkeypatch.setattr(neighbours, "PACK", 100)
+    x = [0.3]
+    for _ in range(1999):
+        x.append(3.9 * x[-1] * (1 - x[-1]))
+    x = np.round(x, digits) if digits > 1 else np.round(np.array(x) * 40)
+    x = x + np.linspace(0, 1e-3, len(x)) if digits > 1 else x
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").repartition(3)
+    points = neighbours.embedded(rows, "x", Series(["i"]))
+    pairs = np.random.default_rng(6).integers(0, len(x) - 30, (1500, 2))
+    got = neighbours._logs_of_parting(points, spark.createDataFrame([tuple(map(int, p)) for p in pairs], "i long, j long"), 3, 15)
+    cloud = np.stack([x[:-2], x[1:-1], x[2:]], 1)
+    for s in range(15):
+        d = np.sqrt(((cloud[pairs[:, 0] + s] - cloud[pairs[:, 1] + s]) ** 2).sum(1))
+        assert got[s][1] == (d > 1e-12).sum() and abs(got[s][0] - np.log(d[d > 1e-12]).sum()) < 1e-6
