@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from galena.operators import combinatorics, neighbours
+from galena.operators import combinatorics, dynamics, neighbours
 from galena.operators.lowering import Series
 
 
@@ -75,3 +75,20 @@ def test_exponent_over_ranges_and_packs(spark, monkeypatch, digits):
     for s in range(15):
         d = np.sqrt(((cloud[pairs[:, 0] + s] - cloud[pairs[:, 1] + s]) ** 2).sum(1))
         assert got[s][1] == (d > 1e-12).sum() and abs(got[s][0] - np.log(d[d > 1e-12]).sum()) < 1e-6
+
+
+def test_only_signatures_of_the_class_are_computed(spark):
+    rng = np.random.default_rng(7)
+    traj = spark.createDataFrame([(k, i, float(i), [float(v)]) for k in "ab" for i, v in enumerate(rng.exponential(47, 70))], dynamics.TRAJECTORY)
+    classes = spark.createDataFrame([("a", "algebraic"), ("b", "map")], "traj_id string, class string")
+    got = {(r["traj_id"], r["signature"]) for r in dynamics.series_signatures(traj, classes).collect()}
+    assert got == {("a", "modes"), ("b", "modes"), ("b", "spectral"), ("b", "conservation")}
+    every = {(r["traj_id"], r["signature"], r["key"]): r["value"] for r in dynamics.series_signatures(traj).collect()}
+    assert ("a", "spectral", "peak") in every and every["a", "modes", "modes"] >= 1
+
+
+@pytest.mark.parametrize("d", [2, 3])
+def test_modes_are_counted(d):
+    rng = np.random.default_rng(8)
+    states = np.concatenate([rng.normal(0, 1, (200, d)), rng.normal(40, 1, (200, d))])
+    assert dynamics.mode_count(rng.permutation(states)) == {"modes": 2.0}
