@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ BLOCK_IDS, CHECKPOINT = 1 << 16, 256
 PART_IDS, FILE_IDS, SLICE = 1 << 20, 1 << 25, 1 << 20
 #: Parts of texts whose ids are kept, and their characters, in either of two generations; words of one call of the model.
 KEPT_PARTS, KEPT_BYTES, WORDS_TOGETHER = 600_000, 16 << 20, 24
+#: Bytes of the texts whose parts are looked up together, and of a text that is taken alone.
+TEXTS_TOGETHER, ALONE = 8 << 20, 1 << 20
 MAGIC = b"GTK1"
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("before", "<u8"), ("n", "<u4"), ("total", "<u8")])
 
@@ -46,6 +49,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # letters up to an ASCII sign that is neither letter nor apostrophe are one word of byte-level BPE; so is one line break before something else
 _WORD = re.compile(f" ?[{_LETTER}]+(?=[\\x00-&(-@\\[-`{{-\\x7f]|\\Z)|[\t-\r](?=[^{WHITE}])")
 _PARTS = re.compile(f"{_WORD.pattern}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_BLANK, _STOPS = frozenset(WHITE), ".,"
 _EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
@@ -54,8 +58,8 @@ class Encoder:
 
     Byte-level BPE without normaliser or prefix space never joins what stands before white space with it, nor letters with an ASCII sign behind them, so such
     texts are cut there and the library encodes each different part once; parts are kept in two generations of bounded size. Words of
-    letters go to its model many at a time, each with the mark of its space before it, where no id of the vocabulary
-    reaches over such a mark. Any other tokenizer gets whole texts.
+    letters go to its model many at a time, a control sign between two that no longer id of the vocabulary
+    holds. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, most_id: int = 0) -> None:
@@ -78,52 +82,129 @@ class Encoder:
         symbols = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else "" for b in range(256)]
         spare = iter(range(256, 512))
         self.symbols = {b: s or chr(next(spare)) for b, s in enumerate(symbols)}
-        self.space = self.symbols[32]
-        self.begins = np.zeros(self.vocabulary, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
-        self.apart = not any(self.space in t.lstrip(self.space) for t in vocabulary)
+        longer = set().union(*(t for t in vocabulary if len(t) > 1))
+        self.sign = next((chr(b) for b in range(32) if self.symbols[b] in vocabulary and self.symbols[b] not in longer), None)
+        self.border = vocabulary[self.symbols[ord(self.sign)]] if self.sign else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _marked(self, word: str) -> str:
-        return word.encode().decode("latin-1").translate(self.symbols)
-
-    def _learn(self, parts: set[str]) -> None:
-        """Puts these parts among the known ones."""
+    def _tokens(self, words: list[str]) -> np.ndarray:
+        joined = (self.sign or "").join(words)
+        if joined.isascii():
+            for sign in {" ", self.sign or " "}:
+                joined = joined.replace(sign, self.symbols[ord(sign)])
+        else:
+            joined = joined.encode().decode("latin-1").translate(self.symbols)
+        return np.array([t.id for t in self.model.tokenize(joined)], self.kind)
+
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of texts; those of their parts are kept."""
         if len(self.known) > KEPT_PARTS or self.held > KEPT_BYTES:
             self.old, self.known, self.held = self.known, {}, 0
-            parts = parts | self.wanted
-        words = []
-        for part in parts:
-            self.held += len(part)
-            if (ids := self.old.get(part)) is not None:
-                self.known[part] = ids
-            elif part[0] == " " and part.isascii() and part[1:].isalpha():
-                words.append((part, self.space + part[1:]))
-            elif not _WORD.fullmatch(part):
-                self.known[part] = self._whole(part)
-            elif part[0] == " ":
-                words.append((part, self._marked(part)))
-            else:
-                self.known[part] = np.array([t.id for t in self.model.tokenize(self._marked(part))], self.kind).tobytes()
-        together = WORDS_TOGETHER if self.apart else 1
+        known, old, words, made = self.known, self.old, {}, []
+        out = list(map(known.get, pieces))
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            piece = pieces[i]
+            if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                made.append((i, (piece,)))
+                if piece not in known and piece not in words:
+                    self.held += len(piece)
+                    if (ids := old.get(piece)) is None:
+                        words[piece] = None
+                    else:
+                        known[piece] = ids
+                continue
+            parts = _PARTS.findall(piece)
+            made.append((i, parts))
+            for part in parts:
+                if part in known or part in words:
+                    continue
+                self.held += len(part)
+                if (ids := old.get(part)) is not None:
+                    known[part] = ids
+                elif part[-1] not in _BLANK and _WORD.fullmatch(part):
+                    words[part] = None
+                else:
+                    known[part] = self._whole(part)
+        words, together = sorted(words, key=str.isascii), WORDS_TOGETHER if self.sign else 1  # groups of ASCII letters need fewer marks
+        size = self.kind.itemsize
         for at in range(0, len(words), together):
             some = words[at : at + together]
-            ids = np.array([t.id for t in self.model.tokenize("".join([w for _, w in some]))], self.kind)
-            ends = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes] if together > 1 else [0, ids.nbytes]
-            raw = ids.tobytes()
-            for (part, _), low, high in zip(some, ends[:-1], ends[1:], strict=True):
-                self.known[part] = raw[low:high]
+            ids = self._tokens(some)
+            ends = [*np.flatnonzero(ids == self.border).tolist(), len(ids)] if self.sign else [len(ids)]
+            raw, low = ids.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                known[word] = raw[low : end * size]
+                low = (end + 1) * size
+        for i, parts in made:
+            out[i] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        return out
 
     def _stretch(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self._whole(text)
         parts = _PARTS.findall(text)
-        self.wanted = set(parts)
-        if new := self.wanted.difference(self.known):
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, parts))
+        places = {part: i for i, part in enumerate(dict.fromkeys(parts))}
+        ids = self._found(list(places))
+        return b"".join([ids[places[part]] for part in parts])
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of these texts; what stands between their spaces is looked up once for all of them."""
+        texts = pc.fill_null(texts, "")
+        odd = np.full(len(texts), not self.cuts)
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        out = [np.concatenate([np.zeros(0, self.kind), *self.runs(text.as_py())]) if alone else None for text, alone in zip(texts, odd, strict=True)]
+        if odd.all():
+            return out
+        texts = texts.filter(pa.array(~odd))
+        # where no two signs of white space meet and no point or comma follows one, these and line breaks become pieces of their own
+        even = pc.invert(pc.match_substring_regex(texts, f"[{WHITE}][{WHITE}.,]"))
+        apart = pc.replace_substring(texts, "\n", " \n ")
+        for sign in _STOPS:
+            apart = pc.replace_substring(apart, f"{sign} ", f" {sign} ")
+        lists = pc.split_pattern(pc.if_else(even, apart, texts), " ")
+        del texts, apart
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        counts = pc.list_value_length(lists).to_numpy()
+        ends = np.cumsum(counts)
+        even = np.repeat(even.to_numpy(zero_copy_only=False), counts)
+        breaks, stops = ((at[:, None] == [pc.index(words, pa.scalar(s, words.type)).as_py() for s in signs]).any(1) & even for signs in ("\n", _STOPS))
+        # a piece goes from a space to the next; a text's first one has no space before it, nor have those signs and what follows a line break
+        bare = breaks | stops
+        bare[1:] |= breaks[:-1]
+        bare[ends - counts] = True
+        spaced, plain = np.zeros((2, len(words)), bool)
+        spaced[at[~bare]], plain[at[bare]] = True, True
+        at = np.where(bare, spaced.sum(dtype=np.int32) + np.cumsum(plain, dtype=np.int32)[at], np.cumsum(spaced, dtype=np.int32)[at]) - 1
+        pieces = pa.concat_arrays([pc.binary_join_element_wise("", words.filter(pa.array(spaced)), " "), words.filter(pa.array(plain))])
+        # texts are not cut between two signs of white space, nor before a point or comma but behind a letter or digit: such a piece goes on
+        last = pc.utf8_slice_codeunits(pieces, -1)
+        on = pc.is_in(last, value_set=pa.array(list(WHITE), pieces.type)).to_numpy(zero_copy_only=False)[at] & ~breaks
+        on[:-1] |= stops[1:] & ~pc.match_substring_regex(last, f"[0-9{_LETTER}]").to_numpy(zero_copy_only=False)[at[:-1]]
+        on[ends - 1] = False
+        pieces = pieces.to_numpy(zero_copy_only=False).tolist()
+        if on.any():
+            longer, before = {"": len(pieces)}, np.concatenate([[False], on[:-1]])
+            for low, high in zip(np.flatnonzero(on & ~before).tolist(), np.flatnonzero(before & ~on).tolist(), strict=True):
+                piece = "".join([pieces[i] for i in at[low : high + 1].tolist()])
+                at[low] = longer.setdefault(piece, len(pieces) + len(longer))
+                at[low + 1 : high + 1] = len(pieces)
+            pieces += longer
+        ids = self._found(pieces)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.kind.itemsize
+        here = sizes[at]
+        until = np.cumsum(here, dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        places = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[at] - (until - here), here)
+        places += np.arange(until[-1], dtype=np.int32)
+        for i, some in zip(np.flatnonzero(~odd).tolist(), np.split(flat[places], until[ends[:-1] - 1]), strict=True):
+            out[i] = some
+        return out
 
     def runs(self, text: str) -> Iterator[np.ndarray]:
         """The text's ids in runs of bounded size; a word of its own is never cut."""
@@ -162,38 +243,62 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
 
 
 IDS = "doc_id long, tie long, row long, part int, before long, n long, total long, ids binary"
+#: A task's last row, whose part is -1, has no ids but how often each occurs in the task's rows.
+COUNTED = f"{IDS}, seen array<int>, times array<long>"
+
+
+def _each(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Each row's document and ids; texts of TEXTS_TOGETHER bytes are encoded at once, a long one alone."""
+    for batch in batches:
+        docs, texts = batch.columns
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group, long = np.cumsum(sizes) // TEXTS_TOGETHER, sizes > ALONE
+        cuts = np.flatnonzero((group[1:] != group[:-1]) | long[1:] | long[:-1]) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            if low == high:
+                continue
+            ids = [np.concatenate([*encoder.runs(texts[low].as_py())])] if long[low] else encoder.many(texts.slice(low, high - low))
+            yield from zip(docs.slice(low, high - low).to_pylist(), ids, strict=True)
 
 
 def _ids(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, out, held = _loaded(path, end_id), TaskContext.get().partitionId() << 33, [], 0
-        names = [c.split()[0] for c in IDS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = [c.split()[0] for c in COUNTED.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        counts = np.zeros(encoder.vocabulary, np.int64)
+        fresh, waiting = [], 0
+        end = np.array([end_id], encoder.kind)
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                parts, tie, total = [], 0, 0
-                runs = [*encoder.runs(batch.column(1)[i].as_py() or ""), np.array([end_id], encoder.kind)]
-                ids = np.concatenate(runs) if len(runs) > 2 or len(runs[0]) < PART_IDS else runs[0]
-                for at in range(0, len(ids), PART_IDS):
-                    part = ids[at : at + PART_IDS]
-                    tie = zlib.crc32(part.tobytes(), tie)
-                    parts.append((len(part), _packed(part)))
-                doc_id = batch.column(0)[i].as_py()
-                for k, (n, data) in enumerate(parts):
-                    out.append((doc_id, tie, row, k, total, n, len(ids), data))
-                    total += n
-                    held += len(data)
-                row += 1
-                if held >= 4 << 20 or len(out) >= 2000:
-                    yield flush()
-                    out.clear()
-                    held = 0
-        if out:
-            yield flush()
+        for doc_id, ids in _each(encoder, batches):
+            ids, tie, total = np.concatenate([ids, end]), 0, 0
+            parts = []
+            fresh.append(ids)
+            waiting += len(ids)
+            if waiting > PART_IDS:
+                counts += np.bincount(np.concatenate(fresh), minlength=len(counts))
+                fresh, waiting = [], 0
+            for at in range(0, len(ids), PART_IDS):
+                part = ids[at : at + PART_IDS]
+                tie = zlib.crc32(part.tobytes(), tie)
+                parts.append((len(part), _packed(part)))
+            for k, (n, data) in enumerate(parts):
+                out.append((doc_id, tie, row, k, total, n, len(ids), data, None, None))
+                total += n
+                held += len(data)
+            row += 1
+            if held >= 4 << 20 or len(out) >= 2000:
+                yield flush()
+                out.clear()
+                held = 0
+        if fresh:
+            counts += np.bincount(np.concatenate(fresh), minlength=len(counts))
+        seen = np.flatnonzero(counts)
+        out.append((None, 0, row, -1, 0, 0, 0, b"", seen.astype(np.int32), counts[seen]))
+        yield flush()
         release()
 
     return run
@@ -204,31 +309,23 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     tie is a crc32 of all its ids, row tells rows of one id apart. Null text counts as empty: the end id alone.
     """
+    return _counted(docs, tokenizer, end_id, id_col, text_col).where("part >= 0").drop("seen", "times")
+
+
+def _counted(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return slim.mapInArrow(_ids(tokenizer, end_id), IDS)
+    return slim.mapInArrow(_ids(tokenizer, end_id), COUNTED)
 
 
 def _kind(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
-def _counts(vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for data in batch.column(0):
-                total += np.bincount(_unpacked(data.as_py(), _kind(vocabulary)), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
-
-    return run
-
-
 def global_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id below `vocabulary` occurs; tasks send one row for each id that they saw."""
-    found = ids.select("ids").mapInArrow(_counts(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """How often each id below `vocabulary` occurs, from the counts that tasks have put behind their rows."""
+    pairs = ids.select(F.explode(F.arrays_zip("seen", "times")).alias("c"))
     out = np.zeros(vocabulary, np.int64)
-    for i, n in found.collect():
+    for i, n in pairs.groupBy("c.seen").agg(F.sum("c.times")).collect():
         out[i] = n
     return out
 
@@ -405,13 +502,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """
     spark = docs.sparkSession
     vocabulary = _loaded(tokenizer, end_id).vocabulary
-    ids = written(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
+    ids = written(_counted(docs, tokenizer, end_id, id_col, text_col), "ids")
     counts = global_counts(ids, vocabulary)
     most = max(MAX_BITS, int(np.count_nonzero(counts)).bit_length())
     lengths = code_lengths(counts, most)
     order = ["doc_id", "tie", "row", "part"]
     width = shuffle_width(spark, int(counts.sum()), FILE_IDS)
-    ordered = ids.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    ordered = ids.where("part >= 0").drop("seen", "times").repartitionByRange(width, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(_blocks(lengths), BLOCK).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     files = sorted(blocks.groupBy("file").agg(F.sum("n")).collect())

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,50 @@ def test_encoder_equals_the_library_on_random_texts(library, monkeypatch):
         assert (np.concatenate(runs).tolist() if runs else []) == library(text), repr(text)
 
 
+def test_words_go_to_the_model_many_at_a_time(library):
+    encoder = tokenfile.Encoder(BYTE_BPE, 2)
+
+    class Counted:
+        model, calls = encoder.model, 0
+
+        def tokenize(self, words):
+            self.calls += 1
+            return self.model.tokenize(words)
+
+    encoder.model = Counted()
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdeàéñß") for _ in range(9)) for _ in range(480))
+    assert np.concatenate([*encoder.runs(text)]).tolist() == library(text)
+    assert encoder.model.calls <= 2 * 480 // tokenfile.WORDS_TOGETHER
+
+
+def test_texts_encoded_together_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "KEPT_PARTS", 300)
+    monkeypatch.setattr(tokenfile, "TEXTS_TOGETHER", 3000)
+    monkeypatch.setattr(tokenfile, "ALONE", 130)
+    rng = random.Random(6)
+    tidy = ["word", "Été", "b'", "don't", "1", "x9", ".", ",", "!", "!.", "'s.", "a.", "b,", "\n", " ", " ", " ", "  ", "\x0b", "\x85", "　", "中文。", "", "<|endoftext|>", "Ntly", "-", "\x00", "٣", "ǆ", " .", ".\n", ". "]
+    usual = ["word", "Été.", "dans,", "don't", "x9.", "!.", "-,", "3,", "Ö!!", "it's.", "'.", "...", "٣.", "中.", "\x00"]
+    texts = ["".join(rng.choice(tidy) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts += ["".join(rng.choice(usual) + rng.choice("  \n") for _ in range(rng.randrange(20))) for _ in range(1500)]
+    texts += [None, "", " ", "\n", ".", ",", ". ", " .", "\n.", ".\n", "a\n", "\na", " a", "a "]
+    rng.shuffle(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [*tokenfile._each(tokenfile.Encoder(BYTE_BPE, 2), iter([batch, batch.slice(0, 0), batch.slice(5, 40)]))]
+    assert [i for i, _ in got] == [*range(len(texts)), *range(5, 45)]
+    for i, ids in got:
+        assert ids.dtype == np.dtype("<u2") and ids.tolist() == library(texts[i]), repr(texts[i])
+
+
+def test_counts_come_with_the_ids(spark, odd_docs, library):
+    coded = tokenfile._counted(odd_docs, BYTE_BPE, 2, "doc_id", "text")
+    want = Counter(i for r in odd_docs.select("text").collect() for i in [*library(r[0]), 2])
+    counts = tokenfile.global_counts(coded, 50_257)
+    assert {i: counts[i] for i in np.flatnonzero(counts)} == want
+    ids = tokenfile.token_ids(odd_docs, BYTE_BPE, 2)
+    assert ids.columns == [c.split()[0] for c in tokenfile.IDS.split(", ")] and ids.agg(F.sum("n")).first()[0] == sum(want.values())
+
+
 def test_encoder_gives_other_tokenizers_whole_texts():
     from tokenizers import Tokenizer
 
