@@ -167,8 +167,14 @@ class Encoder:
         for sign in _STOPS:
             apart = pc.replace_substring(apart, f"{sign} ", f" {sign} ")
         lists = pc.split_pattern(pc.if_else(even, apart, texts), " ")
-        del texts, apart
+        del apart
         coded = lists.flatten().dictionary_encode()
+        if len(coded.dictionary) > KEPT_PARTS // 2 and len(texts) > 1:  # words that hardly repeat are taken fewer at a time
+            del lists, coded
+            half = len(texts) // 2
+            for i, some in zip(np.flatnonzero(~odd).tolist(), [*self.many(texts[:half]), *self.many(texts[half:])], strict=True):
+                out[i] = some
+            return out
         words, at = coded.dictionary, coded.indices.to_numpy()
         counts = pc.list_value_length(lists).to_numpy()
         ends = np.cumsum(counts)
