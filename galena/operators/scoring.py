@@ -84,11 +84,16 @@ def pareto_front(found: Iterable[Candidate]) -> list[Candidate]:
 
 
 def pareto_rows(df: DataFrame, complexity: str = "complexity", loss: str = "loss") -> DataFrame:
-    """Of rows, those on the front. The window runs over the best of each complexity alone: a few rows, however many candidates."""
-    best = df.groupBy(F.col(complexity).alias("__cx")).agg(F.min(loss).alias("__least"))
-    before = Window.orderBy("__cx").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__before", F.min("__least").over(before)).where("__before is null or __least < __before")
-    return df.join(F.broadcast(front), (F.col(complexity) == F.col("__cx")) & (F.col(loss) == F.col("__least")), "left_semi")
+    """Of rows, those on the front, with all ties of a complexity; losses that are not finite are not on it.
+
+    Losses are computed once: sums of doubles differ in their last bits from one evaluation to the next, so a join of df with its own least
+    losses would miss rows. The window without keys runs over the best of each complexity alone: a few rows, however many candidates.
+    """
+    rank = F.rank().over(Window.partitionBy(complexity).orderBy(loss))
+    least = df.where(finite(F.col(loss))).withColumn("__rank", rank).where("__rank = 1")
+    # up to here, ties in the loss to the simplest
+    best = F.min(F.struct(F.col(loss).alias("loss"), F.col(complexity).alias("cx"))).over(Window.orderBy(complexity))
+    return least.withColumn("__best", best).where(F.col("__best.cx") == F.col(complexity)).drop("__rank", "__best")
 
 
 class HallOfFame:
